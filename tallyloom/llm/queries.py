@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding, simhash, substring_dedup, topk
+from . import packing, shared, sharding, simhash, substring_dedup, token_files, topk
+
+WORD_TOKENIZER = "word_bpe_49k.json"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,6 +32,22 @@ FROM s QUALIFY rank <= 5
 """
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(WORD_TOKENIZER))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), _tokenizer(), capacity=4096, end_id=1)
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared.new_path(spark, "token-files")
+    token_files.write(_read(spark, sf_dir, "documents"), path, _tokenizer(), end_id=2)
+    return token_files.digests(spark, path)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_read(spark, sf_dir, "documents"), shards=24)
 
@@ -67,6 +85,8 @@ FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
 def queries() -> dict:
     return {
         "op1_topk": op1_topk,
+        "op2_packing": op2_packing,
+        "op6_token_files": op6_token_files,
         "op8_sharding": op8_sharding,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_simhash": op10_simhash,
