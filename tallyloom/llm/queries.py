@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, shared, sharding, simhash, substring_dedup, token_files, topk
+from . import decontaminate, packing, shared, sharding, simhash, substring_dedup, token_files, topk
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 
@@ -48,6 +48,35 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(spark, path)
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"), window=10, keep_text=False)
+    n_hit = substring_dedup.removed("spans")
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM documents
+), b AS (
+  SELECT item_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM benchmark
+), bw AS (
+  SELECT DISTINCT item_id, least(len(ws), 10) AS k, array_to_string(ws[p:p + least(len(ws), 10) - 1], ' ') AS g
+  FROM b, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS t(p) WHERE len(ws) > 0
+), dw AS (
+  SELECT doc_id, p, k, array_to_string(ws[p:p + k - 1], ' ') AS g
+  FROM d, (SELECT DISTINCT k FROM bw) AS ks, unnest(range(1, len(ws) - k + 2)) AS t(p)
+), hit AS (SELECT doc_id, p, k, item_id FROM dw JOIN bw USING (k, g)),
+words AS (SELECT doc_id, count(DISTINCT p + j) AS n_hit FROM hit, unnest(range(0, k)) AS t(j) GROUP BY doc_id),
+found AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS names
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY doc_id
+)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_read(spark, sf_dir, "documents"), shards=24)
 
@@ -87,6 +116,7 @@ def queries() -> dict:
         "op1_topk": op1_topk,
         "op2_packing": op2_packing,
         "op6_token_files": op6_token_files,
+        "op7_decontaminate": op7_decontaminate,
         "op8_sharding": op8_sharding,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_simhash": op10_simhash,
@@ -96,5 +126,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_topk": OP1_SQL,
+        "op7_decontaminate": OP7_SQL,
         "op9_substring_dedup": OP9_SQL,
     }
