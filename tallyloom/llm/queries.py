@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, shared, sharding, simhash, substring_dedup, token_files, topk
+from . import decontaminate, packing, quality, shared, sharding, simhash, substring_dedup, token_files, topk, toxicity
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 
@@ -42,6 +42,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), _tokenizer(), capacity=4096, end_id=1)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), "toxic", threshold=0.5)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), "quality", threshold=0.3)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared.new_path(spark, "token-files")
     token_files.write(_read(spark, sf_dir, "documents"), path, _tokenizer(), end_id=2)
@@ -115,6 +123,8 @@ def queries() -> dict:
     return {
         "op1_topk": op1_topk,
         "op2_packing": op2_packing,
+        "op3_toxicity": op3_toxicity,
+        "op5_quality": op5_quality,
         "op6_token_files": op6_token_files,
         "op7_decontaminate": op7_decontaminate,
         "op8_sharding": op8_sharding,
