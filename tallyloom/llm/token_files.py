@@ -129,6 +129,8 @@ def _segments(spark: SparkSession, path: str) -> DataFrame:
     table = spark.read.schema(SCHEMA).parquet(path)
     parts = table.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row for about 16 MB of text
     parts = parts.select("part", F.expr("sum(n) over (order by part) - n").alias("base"))
+    if parts.count() <= 1_000_000:  # 16 MB at most; beyond, Spark chooses the join
+        parts = F.broadcast(parts)
     return table.join(parts, "part").withColumn("before", F.col("base") + F.col("inside"))
 
 
