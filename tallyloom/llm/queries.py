@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality, shared, sharding, simhash, substring_dedup, token_files, topk, toxicity
+from . import chat, decontaminate, packing, quality, shared, sharding, simhash, substring_dedup, token_files, topk, toxicity
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 
@@ -46,6 +46,41 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), "toxic", threshold=0.5)
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary, pattern = str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.range(2).selectExpr("-1L as conv_id", "id as turn", "if(id = 0, 'user', 'assistant') as role", "'</s>[INST] ok [/INST]' as text")
+    packs, members = chat.format_trees(turns.unionByName(hard), vocabulary, pattern)
+    each = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    read = chat.read_back(packs, vocabulary, pattern).select(
+        "path",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(each, ""), 256).alias("turns_sha256"),
+        F.length("said").cast("long").alias("loss_chars"),
+        F.sha2("said", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+    return members.join(read, "path").drop("path")
+
+
+OP4_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, length(role) + length(text) + len(regexp_extract_all(role, '\\|<\||</?s>|\[/?INST\]|<</?SYS>>')) + len(regexp_extract_all(role, '\n'))
+            + len(regexp_extract_all(text, '\\|<\||</?s>|\[/?INST\]|<</?SYS>>')) + 24 AS n FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(n)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), "quality", threshold=0.3)
 
@@ -124,6 +159,7 @@ def queries() -> dict:
         "op1_topk": op1_topk,
         "op2_packing": op2_packing,
         "op3_toxicity": op3_toxicity,
+        "op4_chat": op4_chat,
         "op5_quality": op5_quality,
         "op6_token_files": op6_token_files,
         "op7_decontaminate": op7_decontaminate,
@@ -136,6 +172,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_topk": OP1_SQL,
+        "op4_chat": OP4_SQL,
         "op7_decontaminate": OP7_SQL,
         "op9_substring_dedup": OP9_SQL,
     }
