@@ -236,3 +236,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, bits: int = 4, seed: int
     rooted = distinct.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
     first = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(rooted.join(first, "root").select("print", "component_id"), "print").select("doc_id", "print", "component_id")
+
+
+def keep_first(docs: DataFrame, shingle: int = 5, bits: int = 4, seed: int = 42) -> DataFrame:
+    """The rows of docs (all columns) that are the first of their near-duplicate class: smallest doc_id, one row of it.
+
+    Rows with a null doc_id stay only if no row of their class has an id; of several, the one with the least text.
+    """
+    from pyspark.sql import Window
+
+    found = near_duplicates(docs.select("doc_id", "text"), shingle, bits, seed)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    kept = docs.join(first.withColumnRenamed("doc_id", "first_id"), F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
+    one = Window.partitionBy("doc_id").orderBy("text")
+    many = kept.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("many_id"))
+    if many.isEmpty():
+        return kept
+    return kept.withColumn("__row", F.row_number().over(one)).where("__row = 1").drop("__row")
