@@ -1,13 +1,13 @@
-"""Registered queries over the test tables and the SQL that each must match."""
+"""All registered queries and the SQL that they must match."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from tallyloom.plans import base, rollups  # noqa: F401
 
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.ORACLES)
