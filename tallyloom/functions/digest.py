@@ -42,9 +42,12 @@ def _shape(value) -> object:
     return "null" if value is None else "bool" if isinstance(value, bool) else "number" if isinstance(value, (int, float)) else "text"
 
 
-@F.pandas_udf("string")
-def json_shape(payload: pd.Series) -> pd.Series:
+def json_shape(payload: Column) -> Column:
     """Canonical shape of a JSON text: keys and types without values; null if it does not parse."""
+    return F.pandas_udf(_json_shape, "string")(payload)
+
+
+def _json_shape(payload: pd.Series) -> pd.Series:
 
     def one(text):
         try:

@@ -46,11 +46,12 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
 
 
 def log_pmf(n: int, a: float, b: float) -> np.ndarray:
-    """Beta-binomial log probabilities of 0 .. n."""
-    k = np.arange(n + 1, dtype=np.float64)
-    g = log_gamma
-    choose = g(np.array([n + 1.0])) - g(k + 1) - g(n - k + 1)
-    return choose + g(k + a) + g(n - k + b) - g(np.array([n + a + b])) + g(np.array([a + b])) - g(np.array([a])) - g(np.array([b]))
+    """Beta-binomial log probabilities of 0 .. n, by sums of logarithms (log-gamma at steps of one)."""
+    j = np.arange(n, dtype=np.float64)
+    rise = lambda x: np.concatenate([[0.0], np.cumsum(np.log(j + x))])  # noqa: E731  log-gamma(k + x) - log-gamma(x)
+    factorial = rise(1.0)
+    choose = factorial[n] - factorial - factorial[::-1]
+    return choose + rise(a) + rise(b)[::-1] - rise(a + b)[n]
 
 
 def tails(y: int, n: int, a: float, b: float) -> tuple[float, float, float]:
@@ -60,9 +61,13 @@ def tails(y: int, n: int, a: float, b: float) -> tuple[float, float, float]:
     return min(1.0, 2 * max(0.0, min(lower, upper))), float(np.searchsorted(cdf, 0.025)), float(min(n, np.searchsorted(cdf, 0.975)))
 
 
-@F.pandas_udf("p double, low double, high double")
-def beta_binomial_tail(y: pd.Series, n: pd.Series, mean: pd.Series, concentration: pd.Series) -> pd.DataFrame:
-    """Two-sided tail and central interval of y out of n; equal inputs are computed once; nulls give nulls."""
+def beta_binomial_tail(y: Column, n: Column, mean: Column, concentration: Column) -> Column:
+    """Struct (p, low, high): two-sided tail and central interval of y out of n; nulls give nulls."""
+    return F.pandas_udf(_tail, "p double, low double, high double")(y, n, mean, concentration)
+
+
+def _tail(y: pd.Series, n: pd.Series, mean: pd.Series, concentration: pd.Series) -> pd.DataFrame:
+    """Equal inputs are computed once."""
     memo: dict[tuple, tuple] = {}
     out = []
     for key in zip(y, n, mean, concentration, strict=True):
@@ -77,10 +82,9 @@ def beta_binomial_tail(y: pd.Series, n: pd.Series, mean: pd.Series, concentratio
 
 def chi2_sf_9(x: Column) -> Column:
     """Upper tail of chi-square with 9 degrees of freedom: the closed form for odd degrees, erfc by its expansion."""
-    return _chi2_9(x)
+    return F.pandas_udf(_chi2_9, "double")(x)
 
 
-@F.pandas_udf("double")
 def _chi2_9(x: pd.Series) -> pd.Series:
     def one(v):
         if v is None or math.isnan(v):
@@ -120,9 +124,12 @@ def clopper_pearson(k: int, n: int, level: float = 0.95) -> tuple[float, float]:
     return low, high
 
 
-@F.pandas_udf("low double, high double")
-def binomial_bounds(k: pd.Series, n: pd.Series) -> pd.DataFrame:
-    """Exact 95 % bounds of k out of n; (0, 1) for n = 0. For small results."""
+def binomial_bounds(k: Column, n: Column) -> Column:
+    """Struct (low, high): exact 95 % bounds of k out of n; (0, 1) for n = 0. For small results."""
+    return F.pandas_udf(_bounds, "low double, high double")(k, n)
+
+
+def _bounds(k: pd.Series, n: pd.Series) -> pd.DataFrame:
     out = [(0.0, 1.0) if not m else clopper_pearson(int(a), int(m)) for a, m in zip(k, n, strict=True)]
     return pd.DataFrame(out, columns=["low", "high"])
 
@@ -192,3 +199,64 @@ def likelihood_fit(y: np.ndarray, n: np.ndarray, w: np.ndarray, steps: int = 80)
         return mean, conc, "moment"
     a, b = np.exp(t)
     return a / (a + b), a + b, "likelihood"
+
+
+def _trigamma(x: np.ndarray) -> np.ndarray:
+    x, out = np.asarray(x, np.float64).copy(), np.zeros_like(np.asarray(x, np.float64))
+    for _ in range(10):
+        low = x < 10
+        out[low] += 1 / x[low] ** 2
+        x[low] += 1
+    i = 1 / x
+    i2 = i * i
+    return out + i + i2 / 2 + i * i2 * (1 / 6 - i2 * (1 / 30 - i2 * (1 / 42 - i2 / 30)))
+
+
+def left_out_fits(y: np.ndarray, n: np.ndarray, w: np.ndarray, steps: int = 30) -> list[tuple[float | None, float | None, str]]:
+    """Likelihood fits of a pool with one row of each state left out, all states at once.
+
+    Newton steps in log parameters start from the whole pool's fit; unsettled ones and those at a bound fall back to
+    the moment fit of the same rows. A state that is the whole pool has no fit.
+    """
+    total = w.sum()
+    if total <= 1:
+        return [(None, None, "none")] * len(y)
+    mean, conc, _ = likelihood_fit(y, n, w)
+    lo, hi = math.log(1e-3), math.log(1e6)
+    t = np.tile(np.clip(np.log([mean * conc, (1 - mean) * conc]), lo, hi), (len(y), 1))
+    left = np.tile(w, (len(y), 1)) - np.eye(len(y))  # weights of each fit
+    rows, settled = left.sum(1), np.zeros(len(y), bool)
+    for _ in range(steps):
+        go = np.flatnonzero(~settled)
+        if not len(go):
+            break
+        a, b = np.exp(t[go, 0])[:, None], np.exp(t[go, 1])[:, None]
+        v, r = left[go], rows[go][:, None]
+        ab = a + b
+        d_ab = r * _digamma(ab) - (v * _digamma(n + ab)).sum(1, keepdims=True)
+        t_ab = r * _trigamma(ab) - (v * _trigamma(n + ab)).sum(1, keepdims=True)
+        ga = (v * _digamma(y + a)).sum(1, keepdims=True) - r * _digamma(a) + d_ab
+        gb = (v * _digamma(n - y + b)).sum(1, keepdims=True) - r * _digamma(b) + d_ab
+        ha = (v * _trigamma(y + a)).sum(1, keepdims=True) - r * _trigamma(a) + t_ab
+        hb = (v * _trigamma(n - y + b)).sum(1, keepdims=True) - r * _trigamma(b) + t_ab
+        g1, g2 = (a * ga)[:, 0], (b * gb)[:, 0]
+        h11, h22, h12 = (a * a * ha + a * ga)[:, 0], (b * b * hb + b * gb)[:, 0], (a * b * t_ab)[:, 0]
+        det = h11 * h22 - h12 * h12
+        downhill = (det > 0) & (h11 < 0)
+        safe = np.where(downhill, det, 1.0)
+        s1 = np.where(downhill, (h12 * g2 - h22 * g1) / safe, np.sign(g1) * 0.5)
+        s2 = np.where(downhill, (h12 * g1 - h11 * g2) / safe, np.sign(g2) * 0.5)
+        step = np.stack([s1, s2], 1)
+        step *= np.minimum(1.0, 2 / np.maximum(1e-12, np.abs(step).max(1)))[:, None]
+        new = np.clip(t[go] + step, lo, hi)
+        settled[go] = np.abs(new - t[go]).max(1) < 1e-8
+        t[go] = new
+    out: list[tuple[float | None, float | None, str]] = []
+    for i in range(len(y)):
+        if not settled[i] or (t[i] <= lo + 1e-6).any() or (t[i] >= hi - 1e-6).any():
+            keep = left[i] > 0
+            out.append((*moment_fit(y[keep], n[keep], left[i][keep]), "moment"))
+        else:
+            a, b = np.exp(t[i])
+            out.append((float(a / (a + b)), float(a + b), "likelihood"))
+    return out

@@ -49,16 +49,11 @@ def peer_screen_moments(df: DataFrame, family: str, unit: str, levels: list[str]
 def _fit_states(pdf: pd.DataFrame) -> pd.DataFrame:
     """Fits of one pool, each state left out once; over MOST_STATES one fit of the whole pool, labelled so."""
     y, n, w = (pdf[c].to_numpy(np.float64) for c in ("y", "n", "w"))
-    out = []
-    whole = stats.likelihood_fit(y, n, w) if len(y) > MOST_STATES else None
-    for i in range(len(y)):
-        if whole:
-            out.append((*whole[:2], f"{whole[2]}_whole_pool"))
-            continue
-        left = w.copy()
-        left[i] -= 1
-        keep = left > 0
-        out.append(stats.likelihood_fit(y[keep], n[keep], left[keep]) if keep.any() else (None, None, "none"))
+    if len(y) > MOST_STATES:
+        mean, concentration, fit = stats.likelihood_fit(y, n, w)
+        out = [(mean, concentration, f"{fit}_whole_pool")] * len(y)
+    else:
+        out = stats.left_out_fits(y, n, w)
     return pdf[["pool_key", "y", "n"]].assign(fit_mean=[o[0] for o in out], fit_concentration=[o[1] for o in out], fit=[o[2] for o in out])
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import base, rollups  # noqa: F401
+from tallyloom.plans import base, comparisons, describing, rollups  # noqa: F401
 
 
 def queries() -> dict:
