@@ -13,12 +13,15 @@ spanning forest; components of the whole graph are found by alternating large-st
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import words as W
 from .shared import slices, written
 
 SEGMENTS = ((0, 21), (21, 21), (42, 22))  # fixed: first bit and length
@@ -238,18 +241,187 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, bits: int = 4, seed: int
     return prints.join(rooted.join(first, "root").select("print", "component_id"), "print").select("doc_id", "print", "component_id")
 
 
-def keep_first(docs: DataFrame, shingle: int = 5, bits: int = 4, seed: int = 42) -> DataFrame:
-    """The rows of docs (all columns) that are the first of their near-duplicate class: smallest doc_id, one row of it.
+# Near duplicates by shingle similarity: the same keys, over two fingerprints of word pairs, find candidates; the sets of
+# shingles decide. Word pairs change less than longer shingles, so texts with similar shingle sets have close prints.
+
+SEEDS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
+CLOSE = 26  # of 128 bits: texts of similarity 0.8 in five-word shingles differ in about 12
+
+
+def _sketches(batches):
+    """Per row: key of its word sequence, and two fingerprints of its word pairs."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            raw, at = W.text_bytes(part.column("text"))
+            raw = W.lower_ascii()[raw]
+            starts, ends, per = W.split(raw, at, W.not_space())
+            h = W.hashes(raw, starts, ends)
+            keys, prints = [], [[], []]
+            for i, j in zip(per[:-1].tolist(), per[1:].tolist(), strict=True):
+                own = h[i:j]
+                keys.append(hashlib.md5(own.tobytes()).digest())
+                pairs = W.combine(own, 2) if j - i > 1 else own
+                for seed, out in zip(SEEDS, prints, strict=True):
+                    bits = np.unpackbits(W.mix(pairs ^ seed).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                    out.append(int.from_bytes(np.packbits(bits.sum(0, dtype=np.int64) * 2 > len(pairs), bitorder="little").tobytes(), "little"))
+            a, b = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in prints)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys, pa.binary()), a, b], ["doc_id", "key", "p0", "p1"])
+
+
+def _sketch_keys(buckets: int):
+    def run(batches):
+        code = Golay()
+        for batch in batches:
+            node = batch.column("node").to_numpy()
+            prints = [batch.column(c).to_numpy().view(np.uint64) for c in ("p0", "p1")]
+            keys, rows = [], []
+            for which, x in enumerate(prints):
+                seg = [code.keys((x >> np.uint64(at)).astype(np.int64) & ((1 << n) - 1), n) for at, n in SEGMENTS]
+                for p, (a, b) in enumerate(PAIRS):
+                    for i in range(seg[a].shape[1]):
+                        for j in range(seg[b].shape[1]):
+                            ok = np.flatnonzero((seg[a][:, i] >= 0) & (seg[b][:, j] >= 0))
+                            keys.append(((which * 3 + p) << 24) + (seg[a][ok, i].astype(np.int64) << 12) + seg[b][ok, j])
+                            rows.append(ok)
+            keys, rows = np.concatenate(keys).astype(np.uint32), np.concatenate(rows)
+            bucket = (keys * np.uint32(2654435761) >> np.uint32(8)).astype(np.int64) % buckets
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            has = np.flatnonzero(np.diff(cuts))
+            parts = [order[cuts[b] : cuts[b + 1]] for b in has]
+            # a bucket gets each node of the batch once, and entries (key, place among those nodes)
+            cols = {"bucket": pa.array(has.astype(np.int32)), "keys": [], "rows": [], "nodes": [], "prints": []}
+            for i in parts:
+                local, inverse = np.unique(rows[i], return_inverse=True)
+                cols["keys"].append(keys[i].tobytes())
+                cols["rows"].append(inverse.astype(np.uint32).tobytes())
+                cols["nodes"].append(node[local].tobytes())
+                cols["prints"].append(np.stack([p[local] for p in prints], 1).tobytes())
+            yield pa.RecordBatch.from_pydict({k: v if k == "bucket" else pa.array(v, pa.binary()) for k, v in cols.items()})
+
+    return run
+
+
+def _candidates(table: pa.Table) -> pa.Table:
+    """Pairs of nodes of one key that are close: each node with the first reached of its cluster and with its nearest."""
+    keys, at, nodes, prints, base = [], [], [], [], 0
+    for k, r, n, p in zip(*(table[c].to_pylist() for c in ("keys", "rows", "nodes", "prints")), strict=True):
+        keys.append(np.frombuffer(k, np.uint32))
+        at.append(np.frombuffer(r, np.uint32).astype(np.int64) + base)
+        nodes.append(np.frombuffer(n, np.int64))
+        prints.append(np.frombuffer(p, np.uint64).reshape(-1, 2))
+        base += len(nodes[-1])
+    keys, at, nodes, prints = np.concatenate(keys), np.concatenate(at), np.concatenate(nodes), np.concatenate(prints)
+    order = np.lexsort((nodes[at], keys))  # in a run, smaller nodes first: they lead clusters
+    keys, at = keys[order], at[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    size = np.diff(np.append(first, len(keys)))
+    apart = lambda i, j: np.bitwise_count(prints[i] ^ prints[j]).sum(-1)
+    pairs = []
+    for i, n in zip(first[size > 16].tolist(), size[size > 16].tolist(), strict=True):
+        left = at[i : i + n]
+        pairs.append(np.stack([left[:-1], left[1:]], 1)[apart(left[:-1], left[1:]) <= CLOSE])
+        while len(left) > 1:
+            lead, left = left[0], left[1:]
+            near = apart(left, lead) <= CLOSE
+            pairs.append(np.stack([np.full(int(near.sum()), lead), left[near]], 1))
+            left = left[~near]
+    end = np.repeat(np.where(size <= 16, first + size, 0), size)
+    for d in range(1, 16):
+        i = np.flatnonzero(np.arange(len(at)) + d < end)
+        if not len(i):
+            break
+        i = i[apart(at[i], at[i + d]) <= CLOSE]
+        pairs.append(np.stack([at[i], at[i + d]], 1))
+    pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    if len(pairs):  # of a node's pairs in this bucket: the smallest partner, and the nearest
+        both = np.concatenate([pairs, pairs[:, ::-1]])
+        gap = apart(both[:, 0], both[:, 1])
+        keep = []
+        for order in (np.lexsort((nodes[both[:, 1]], both[:, 0])), np.lexsort((nodes[both[:, 1]], gap, both[:, 0]))):
+            own = both[order, 0]
+            keep.append(both[order[np.concatenate([[True], own[1:] != own[:-1]])]])
+        pairs = np.concatenate(keep)
+    ids = np.sort(nodes[pairs], axis=1) if len(pairs) else pairs
+    ids = np.unique(ids, axis=0) if len(ids) else ids
+    return pa.table({"a": pa.array(ids[:, 0].astype(np.int64)), "b": pa.array(ids[:, 1].astype(np.int64))})
+
+
+def _shingle_sets(shingle: int):
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                raw, at = W.text_bytes(part.column("text"))
+                raw = W.lower_ascii()[raw]
+                starts, ends, per = W.split(raw, at, W.not_space())
+                h = W.hashes(raw, starts, ends)
+                sets = [np.unique((W.combine(h[i:j], min(shingle, max(1, j - i))) >> np.uint64(32)).astype(np.uint32)).tobytes() for i, j in zip(per[:-1].tolist(), per[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
 
-    Rows with a null doc_id stay only if no row of their class has an id; of several, the one with the least text.
+    return run
+
+
+def _verified(similarity: float):
+    def run(batches):
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                u, v = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                small, large = (u, v) if len(u) < len(v) else (v, u)
+                both = 0
+                if len(small) >= similarity * len(large) and len(small):  # length bound
+                    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+                    both = int((large[at] == small).sum())
+                ok.append(both >= similarity * (len(u) + len(v) - both) and both > 0)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, key, least: the class of every row of docs (doc_id, text) by its smallest doc_id.
+
+    Rows are linked if their words agree (A-Z lower-cased), or if a candidate pair's sets of `shingle`-word shingles have
+    a Jaccard similarity of at least `similarity` (of 32-bit hashes). Candidates share a Golay key of one of two
+    fingerprints of their word pairs and differ in CLOSE of its 128 bits at most. In a key that many texts share, a text
+    is paired with its cluster's first, its neighbour and its nearest, not with all.
+
+    Null or empty texts have no words and are copies of each other. Null doc_ids: see keep_first.
+    """
+    table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = written(table.mapInArrow(_sketches, "doc_id long, key binary, p0 long, p1 long"), "sketches")
+    # a node is a distinct word sequence, named by its smallest doc_id
+    nodes = written(rows.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.first("p0").alias("p0"), F.first("p1").alias("p1")), "nodes")
+    buckets = max(1, nodes.count() * 160 // PER_BUCKET)
+    sent = nodes.select("node", "p0", "p1").mapInArrow(_sketch_keys(buckets), "bucket int, keys binary, rows binary, nodes binary, prints binary")
+    pairs = written(sent.groupBy("bucket").applyInArrow(_candidates, "a long, b long").distinct(), "pairs")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    texts = table.withColumnRenamed("doc_id", "node").join(ends, "node", "left_semi")
+    sets = written(texts.mapInArrow(_shingle_sets(shingle), "node long, shingles binary").dropDuplicates(["node"]), "sets")
+    joined = pairs.join(sets.selectExpr("node as a", "shingles as x"), "a").join(sets.selectExpr("node as b", "shingles as y"), "b")
+    roots = components(joined.select("a", "b", "x", "y").mapInArrow(_verified(similarity), "a long, b long"))
+    classes = nodes.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("least"))
+    return rows.select("doc_id", "key").join(classes, "key", "left").select("doc_id", "key", "least")
+
+
+def keep_first(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs (all columns) that stay: of each class of similar texts the row with the smallest doc_id.
+
+    Of several rows with that id the one with the least text stays. A row with a null doc_id goes if its words are those
+    of a row with an id; of several such rows without an id and with the same words, one stays.
     """
     from pyspark.sql import Window
 
-    found = near_duplicates(docs.select("doc_id", "text"), shingle, bits, seed)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(first.withColumnRenamed("doc_id", "first_id"), F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    one = Window.partitionBy("doc_id").orderBy("text")
-    many = kept.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("many_id"))
-    if many.isEmpty():
-        return kept
-    return kept.withColumn("__row", F.row_number().over(one)).where("__row = 1").drop("__row")
+    found = similar_classes(docs.select("doc_id", "text"), shingle, similarity)
+    first = found.where("doc_id = least").select("doc_id").distinct()
+    kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi")
+    if not kept.groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = kept.withColumn("__row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__row = 1").drop("__row")
+    unnamed = docs.where("doc_id is null")
+    if unnamed.isEmpty():
+        return kept.select(*docs.columns)
+    words = F.lower(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", " ")))
+    known = docs.where("doc_id is not null").select(words.alias("__w")).distinct()
+    alone = unnamed.withColumn("__w", words).join(known, "__w", "left_anti").dropDuplicates(["__w"]).drop("__w")
+    return kept.select(*docs.columns).unionByName(alone.select(*docs.columns))
