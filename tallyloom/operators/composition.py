@@ -13,14 +13,14 @@ def composition(facts: DataFrame, keys: list[str], category: str, value: str, ca
 
     Groups without positive candidate votes keep their row with nulls.
     """
-    t = facts.groupBy(*keys, category).agg(F.sum(value).alias("v"), F.bool_or(candidates).alias("c"))
+    t = facts.groupBy(*keys, category).agg(F.sum(value).alias("__sum"), F.bool_or(candidates).alias("__is"))
     w = Window.partitionBy(*keys)
-    t = t.withColumn("__v", F.when(F.col("c") & (F.col("v") > 0), F.col("v")))
-    t = t.withColumn("s", F.col("__v") / F.sum("__v").over(w)).withColumn("n", F.row_number().over(w.orderBy(F.desc_nulls_last("s"), category)))
-    s = F.col("s")
+    t = t.withColumn("__v", F.when(F.col("__is") & (F.col("__sum") > 0), F.col("__sum")))
+    t = t.withColumn("__s", F.col("__v") / F.sum("__v").over(w)).withColumn("__n", F.row_number().over(w.orderBy(F.desc_nulls_last("__s"), category)))
+    s = F.col("__s")
     g = t.groupBy(*keys).agg(
-        F.sum("__v").alias("candidate_votes"), F.count("__v").cast("long").alias("categories"), F.max(F.when(F.col("n") == 1, s)).alias("top1"),
-        F.sum(F.when(F.col("n") <= 2, s)).alias("top2"), F.sum(s * s).alias("hhi"), F.sum(-s * F.log(s)).alias("__h"),
+        F.sum("__v").alias("candidate_votes"), F.count("__v").cast("long").alias("categories"), F.max(F.when(F.col("__n") == 1, s)).alias("top1"),
+        F.sum(F.when(F.col("__n") <= 2, s)).alias("top2"), F.sum(s * s).alias("hhi"), F.sum(-s * F.log(s)).alias("__h"),
     )
     entropy = F.when(F.col("categories") > 1, F.col("__h") / F.log(F.col("categories").cast("double"))).when(F.col("categories") == 1, F.lit(0.0))
     return g.select(*keys, "candidate_votes", "categories", stable(F.col("top1")).alias("top1"), stable(F.col("top2")).alias("top2"), stable(F.col("hhi")).alias("hhi"), stable(1 / F.col("hhi")).alias("effective_number"), stable(entropy).alias("entropy"))
