@@ -103,3 +103,33 @@ def long_metrics(facts: DataFrame, id_: list[str], metrics: dict[str, tuple[str,
     """Wide facts as long rows of rate metrics: name -> (numerator column, denominator column)."""
     rows = [F.struct(F.lit(m).alias("metric"), F.col(a).cast("bigint").alias("numerator"), F.col(b).cast("bigint").alias("denominator")) for m, (a, b) in metrics.items()]
     return facts.select(*id_, F.explode(F.array(*rows)).alias("m")).select(*id_, "m.*")
+
+
+def family_rows(long: DataFrame, unit: str, target: str, others: list[str]) -> DataFrame:
+    """The target metric's row of each unit with the other metrics of the same unit beside it, or a reason for leaving it out.
+
+    long: unit, metric, numerator, denominator. One aggregation by unit, no self join.
+    """
+    pick = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
+    g = long.groupBy(unit).agg(*[pick(m, c).alias(f"{m}_{c}") for m in [target, *others] for c in ("numerator", "denominator")], *[F.count_if(F.col("metric") == m).alias(f"__{m}") for m in [target, *others]])
+    reason = F.when(F.col(f"__{target}") == 0, "no_target").when(F.col(f"__{target}") > 1, "repeated_target")
+    for m in others:
+        reason = reason.when(F.col(f"__{m}") == 0, f"no_{m}")
+    return g.withColumn("excluded", reason).drop(*[f"__{m}" for m in [target, *others]])
+
+
+def bound_units(units: DataFrame, places: DataFrame, unit_code: str, place_code: str, width: int) -> DataFrame:
+    """Units with the selected place whose code their own begins with; others get a finding. Joined on the beginning."""
+    p = places.select(F.col(place_code).alias("__p"), F.lit(True).alias("__known")).distinct()
+    j = units.withColumn("__p", F.substring(unit_code, 1, width)).join(p, "__p", "left")
+    return j.withColumn("place", F.when(F.col("__known"), F.col("__p"))).withColumn("finding", F.when(F.col("__known").isNull(), "unknown_place")).drop("__p", "__known")
+
+
+def cohort_registry(rows: DataFrame, family: str, pool: str, peers: str) -> DataFrame:
+    """How often each pool served a family, with the least and most peers."""
+    return rows.groupBy(family, pool).agg(F.count("*").alias("units"), F.min(peers).alias("least_peers"), F.max(peers).alias("most_peers"))
+
+
+def anomaly_components(anomalies: DataFrame, id_: str, kind: str, component: str) -> DataFrame:
+    """Anomalies with their components in order, most of them first."""
+    return anomalies.groupBy(id_, kind).agg(F.array_sort(F.collect_set(component)).alias("components")).orderBy(F.desc(F.size("components")), id_)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import base, comparisons, describing, feeds, rollups  # noqa: F401
+from tallyloom.plans import base, comparisons, describing, details, feeds, rollups  # noqa: F401
 
 
 def queries() -> dict:
