@@ -64,16 +64,13 @@ def peer_screen(df: DataFrame, family: str, unit: str, levels: list[str], y: str
     """
     keyed = df.withColumns({f"__{x}": F.concat_ws("|", F.col(family).cast("string"), F.col(x).cast("string")) for x in levels})
     pooled = windows.fallback_pool(keyed, [f"__{x}" for x in levels], F.col(eligible), LEAST_PEERS).withColumn("pool", F.substring("pool", 3, 99))
-    states = None
-    for x in levels:
-        wanted = pooled.where(F.col("pool") == x).select(F.col(f"__{x}").alias("pool_key")).distinct()
-        s = pooled.where(F.col(eligible)).groupBy(F.concat(F.lit(f"{x}|"), f"__{x}").alias("pool_key"), F.col(y).cast("long").alias("y"), F.col(n).cast("long").alias("n")).agg(F.count("*").alias("w"))
-        s = s.join(wanted.select(F.concat(F.lit(f"{x}|"), "pool_key").alias("pool_key")), "pool_key", "left_semi")
-        states = s if states is None else states.unionByName(s)
-    fits = states.groupBy("pool_key").applyInPandas(_fit_states, "pool_key string, y long, n long, fit_mean double, fit_concentration double, fit string")
     key = F.coalesce(*[F.when(F.col("pool") == x, F.concat(F.lit(f"{x}|"), f"__{x}")) for x in levels])
-    f = fits.withColumnRenamed("y", "__y").withColumnRenamed("n", "__n")
     k = pooled.withColumn("pool_key", key)
+    # states of every level in one aggregation, then only those of pools that serve some unit
+    every = keyed.where(F.col(eligible)).select(F.explode(F.array(*[F.concat(F.lit(f"{x}|"), f"__{x}") for x in levels])).alias("pool_key"), F.col(y).cast("long").alias("y"), F.col(n).cast("long").alias("n"))
+    states = every.groupBy("pool_key", "y", "n").agg(F.count("*").alias("w")).join(k.select("pool_key").distinct(), "pool_key", "left_semi")
+    fits = states.groupBy("pool_key").applyInPandas(_fit_states, "pool_key string, y long, n long, fit_mean double, fit_concentration double, fit string")
+    f = fits.withColumnRenamed("y", "__y").withColumnRenamed("n", "__n")
     out = k.join(f, (k.pool_key == f.pool_key) & (k[y].cast("long") == f["__y"]) & (k[n].cast("long") == f["__n"]), "left").drop(f.pool_key).drop("__y", "__n", "pool_key", *[f"__{x}" for x in levels])
     return windows.by_adjust(_scored(out, y, n, "fit_mean", "fit_concentration"), family, "p", unit).withColumn("signal", F.lit(False))
 
