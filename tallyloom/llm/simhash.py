@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import slices, written
+from .shared import delete, new_path, slices, written
 
 SEGMENTS = ((0, 21), (21, 21), (42, 22))  # fixed: first bit and length
 PAIRS = ((0, 1), (0, 2), (1, 2))
@@ -284,7 +284,11 @@ def _sketch_keys(buckets: int):
                             keys.append(((which * 3 + p) << 24) + (seg[a][ok, i].astype(np.int64) << 12) + seg[b][ok, j])
                             rows.append(ok)
             keys, rows = np.concatenate(keys).astype(np.uint32), np.concatenate(rows)
-            bucket = (keys * np.uint32(2654435761) >> np.uint32(8)).astype(np.int64) % buckets
+            # by the first segment's codeword, of which a print has 6 at most for each pair of segments: so a node goes
+            # to 36 buckets at most, however many there are; more buckets than codewords split by the second's
+            first, second = keys >> np.uint32(12), keys & np.uint32(4095)
+            split = np.uint32(max(1, -(-buckets // 8192)))
+            bucket = ((first * split + second % split) * np.uint32(2654435761) >> np.uint32(8)).astype(np.int64) % buckets
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             has = np.flatnonzero(np.diff(cuts))
@@ -303,7 +307,7 @@ def _sketch_keys(buckets: int):
 
 
 def _candidates(table: pa.Table) -> pa.Table:
-    """Pairs of nodes of one key that are close: each node with the first reached of its cluster and with its nearest."""
+    """Pairs of nodes of one key that are close; in a key of over 16 nodes, each with its cluster's first and its neighbour."""
     keys, at, nodes, prints, base = [], [], [], [], 0
     for k, r, n, p in zip(*(table[c].to_pylist() for c in ("keys", "rows", "nodes", "prints")), strict=True):
         keys.append(np.frombuffer(k, np.uint32))
@@ -317,14 +321,26 @@ def _candidates(table: pa.Table) -> pa.Table:
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     size = np.diff(np.append(first, len(keys)))
     apart = lambda i, j: np.bitwise_count(prints[i] ^ prints[j]).sum(-1)
-    pairs = []
+    # nodes that several mappers sent are one; pairs are numbers lower * count + higher, kept distinct as they come
+    names, same = np.unique(nodes, return_inverse=True)
+    found, waiting, held = np.zeros(0, np.int64), [], 0
+
+    def note(i, j):
+        nonlocal found, waiting, held
+        i, j = np.minimum(same[i], same[j]), np.maximum(same[i], same[j])
+        waiting.append((i * len(names) + j)[i != j])
+        held += len(i)
+        if held > 1 << 20:
+            found, waiting, held = np.unique(np.concatenate([found, *waiting])), [], 0
+
     for i, n in zip(first[size > 16].tolist(), size[size > 16].tolist(), strict=True):
         left = at[i : i + n]
-        pairs.append(np.stack([left[:-1], left[1:]], 1)[apart(left[:-1], left[1:]) <= CLOSE])
+        near = apart(left[:-1], left[1:]) <= CLOSE
+        note(left[:-1][near], left[1:][near])
         while len(left) > 1:
             lead, left = left[0], left[1:]
             near = apart(left, lead) <= CLOSE
-            pairs.append(np.stack([np.full(int(near.sum()), lead), left[near]], 1))
+            note(np.full(int(near.sum()), lead), left[near])
             left = left[~near]
     end = np.repeat(np.where(size <= 16, first + size, 0), size)
     for d in range(1, 16):
@@ -332,20 +348,12 @@ def _candidates(table: pa.Table) -> pa.Table:
         if not len(i):
             break
         i = i[apart(at[i], at[i + d]) <= CLOSE]
-        pairs.append(np.stack([at[i], at[i + d]], 1))
-    pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-    if len(pairs):  # of a node's pairs in this bucket: the smallest partner, and the nearest
-        both = np.concatenate([pairs, pairs[:, ::-1]])
-        gap = apart(both[:, 0], both[:, 1])
-        keep = []
-        for order in (np.lexsort((nodes[both[:, 1]], both[:, 0])), np.lexsort((nodes[both[:, 1]], gap, both[:, 0]))):
-            own = both[order, 0]
-            keep.append(both[order[np.concatenate([[True], own[1:] != own[:-1]])]])
-        pairs = np.concatenate(keep)
-    ids = np.sort(nodes[pairs], axis=1) if len(pairs) else pairs
-    ids = np.unique(ids, axis=0) if len(ids) else ids
-    return pa.table({"a": pa.array(ids[:, 0].astype(np.int64)), "b": pa.array(ids[:, 1].astype(np.int64))})
+        note(at[i], at[i + d])
+    found = np.unique(np.concatenate([found, *waiting]))
+    where = np.zeros(len(names), np.int64)
+    where[same] = np.arange(len(nodes))
+    a, b = found // max(1, len(names)), found % max(1, len(names))
+    return pa.table({"a": pa.array(names[a]), "b": pa.array(names[b]), "gap": pa.array(apart(where[a], where[b]).astype(np.int32))})
 
 
 def _shingle_sets(shingle: int):
@@ -384,8 +392,8 @@ def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
 
     Rows are linked if their words agree (A-Z lower-cased), or if a candidate pair's sets of `shingle`-word shingles have
     a Jaccard similarity of at least `similarity` (of 32-bit hashes). Candidates share a Golay key of one of two
-    fingerprints of their word pairs and differ in CLOSE of its 128 bits at most. In a key that many texts share, a text
-    is paired with its cluster's first, its neighbour and its nearest, not with all.
+    fingerprints of their word pairs and differ in CLOSE of its 128 bits at most. In a key of over 16 texts, a text is
+    paired with its cluster's first and its neighbour, not with all. Pairs inside a group already linked are not verified.
 
     Null or empty texts have no words and are copies of each other. Null doc_ids: see keep_first.
     """
@@ -395,12 +403,30 @@ def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     nodes = written(rows.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.first("p0").alias("p0"), F.first("p1").alias("p1")), "nodes")
     buckets = max(1, nodes.count() * 160 // PER_BUCKET)
     sent = nodes.select("node", "p0", "p1").mapInArrow(_sketch_keys(buckets), "bucket int, keys binary, rows binary, nodes binary, prints binary")
-    pairs = written(sent.groupBy("bucket").applyInArrow(_candidates, "a long, b long").distinct(), "pairs")
+    spark, at = docs.sparkSession, [new_path(docs.sparkSession, n) for n in ("pairs", "sets")]
+    sent.groupBy("bucket").applyInArrow(_candidates, "a long, b long, gap int").distinct().write.parquet(at[0])
+    pairs = spark.read.schema("a long, b long, gap int").parquet(at[0])
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     texts = table.withColumnRenamed("doc_id", "node").join(ends, "node", "left_semi")
-    sets = written(texts.mapInArrow(_shingle_sets(shingle), "node long, shingles binary").dropDuplicates(["node"]), "sets")
-    joined = pairs.join(sets.selectExpr("node as a", "shingles as x"), "a").join(sets.selectExpr("node as b", "shingles as y"), "b")
-    roots = components(joined.select("a", "b", "x", "y").mapInArrow(_verified(similarity), "a long, b long"))
+    texts.mapInArrow(_shingle_sets(shingle), "node long, shingles binary").dropDuplicates(["node"]).write.parquet(at[1])
+    sets = spark.read.schema("node long, shingles binary").parquet(at[1])
+
+    def verified(some: DataFrame) -> DataFrame:
+        joined = some.join(sets.selectExpr("node as a", "shingles as x"), "a").join(sets.selectExpr("node as b", "shingles as y"), "b")
+        return joined.select("a", "b", "x", "y").mapInArrow(_verified(similarity), "a long, b long")
+
+    # first each node with its smallest and its nearest partner, which joins dense groups; then what still lies between groups
+    both = pairs.union(pairs.select("b", "a", "gap")).toDF("a", "b", "gap")
+    best = both.groupBy("a").agg(F.min("b").alias("low"), F.min(F.struct("gap", "b"))["b"].alias("near"))
+    few = best.select("a", F.explode(F.array("low", "near")).alias("b")).selectExpr("least(a, b) a", "greatest(a, b) b").distinct()
+    edges = written(verified(few), "edges")
+    found = written(components(edges), "roots")
+    root = lambda c: found.selectExpr(f"node as {c}", f"root as root_{c}")
+    rest = pairs.join(few, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
+    rest = rest.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
+    roots = written(components(edges.unionByName(verified(rest))), "roots")
+    for path in at:
+        delete(spark, path)
     classes = nodes.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("least"))
     return rows.select("doc_id", "key").join(classes, "key", "left").select("doc_id", "key", "least")
 
