@@ -245,6 +245,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, bits: int = 4, seed: int
 # shingles decide. Word pairs change less than longer shingles, so texts with similar shingle sets have close prints.
 
 SEEDS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
+SKETCH_BUCKET = 1 << 19  # entries of sketches that one task merges
+CROWD, NEAREST = 8, 3  # partners in a bucket beyond which a text keeps its smallest and its nearest only
 CLOSE = 26  # of 128 bits: texts of similarity 0.8 in five-word shingles differ in about 12
 
 
@@ -353,7 +355,16 @@ def _candidates(table: pa.Table) -> pa.Table:
     where = np.zeros(len(names), np.int64)
     where[same] = np.arange(len(nodes))
     a, b = found // max(1, len(names)), found % max(1, len(names))
-    return pa.table({"a": pa.array(names[a]), "b": pa.array(names[b]), "gap": pa.array(apart(where[a], where[b]).astype(np.int32))})
+    gap = apart(where[a], where[b]) if len(a) else np.zeros(0, np.int64)
+    # a pair stays if either end has few partners, or takes the other for its smallest or one of its nearest
+    end, other, far, pair = np.concatenate([a, b]), np.concatenate([b, a]), np.tile(gap, 2), np.tile(np.arange(len(a)), 2)
+    stay = np.zeros(len(a), bool)
+    stay[pair[np.bincount(end, minlength=len(names))[end] <= CROWD]] = True
+    for order, most in ((np.lexsort((other, end)), 1), (np.lexsort((other, far, end)), NEAREST)):
+        own = end[order]
+        place = np.arange(len(own)) - np.searchsorted(own, own)
+        stay[pair[order[place < most]]] = True
+    return pa.table({"a": pa.array(names[a[stay]]), "b": pa.array(names[b[stay]]), "gap": pa.array(gap[stay].astype(np.int32))})
 
 
 def _shingle_sets(shingle: int):
@@ -393,7 +404,9 @@ def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     Rows are linked if their words agree (A-Z lower-cased), or if a candidate pair's sets of `shingle`-word shingles have
     a Jaccard similarity of at least `similarity` (of 32-bit hashes). Candidates share a Golay key of one of two
     fingerprints of their word pairs and differ in CLOSE of its 128 bits at most. In a key of over 16 texts, a text is
-    paired with its cluster's first and its neighbour, not with all. Pairs inside a group already linked are not verified.
+    paired with its cluster's first and its neighbour, not with all; of over CROWD partners in a bucket it keeps the
+    smallest and the NEAREST, so groups of copies give no more than a few pairs a text. Pairs inside a group already
+    linked are not verified.
 
     Null or empty texts have no words and are copies of each other. Null doc_ids: see keep_first.
     """
@@ -401,7 +414,7 @@ def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     rows = written(table.mapInArrow(_sketches, "doc_id long, key binary, p0 long, p1 long"), "sketches")
     # a node is a distinct word sequence, named by its smallest doc_id
     nodes = written(rows.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.first("p0").alias("p0"), F.first("p1").alias("p1")), "nodes")
-    buckets = max(1, nodes.count() * 160 // PER_BUCKET)
+    buckets = max(1, nodes.count() * 160 // SKETCH_BUCKET)
     sent = nodes.select("node", "p0", "p1").mapInArrow(_sketch_keys(buckets), "bucket int, keys binary, rows binary, nodes binary, prints binary")
     spark, at = docs.sparkSession, [new_path(docs.sparkSession, n) for n in ("pairs", "sets")]
     sent.groupBy("bucket").applyInArrow(_candidates, "a long, b long, gap int").distinct().write.parquet(at[0])
