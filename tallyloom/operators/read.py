@@ -47,6 +47,7 @@ def descend(geo: DataFrame, root: str, deepest: int = 16) -> DataFrame:
 def page(df: DataFrame, keys: list[str], after: tuple | None, size: int) -> DataFrame:
     """Rows after a key tuple, in key order, one more than size so that a caller sees whether others follow."""
     if after is not None:
+        df = df.where(F.col(keys[0]) >= after[0])  # reaches the scan; the tuple does not
         df = df.where(F.struct(*keys) > F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, after, strict=True)]))
     return df.orderBy(*keys).limit(size + 1)
 

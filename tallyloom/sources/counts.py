@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import text
 
-# Header of the count CSV and the width of its codes.
+# Header of the count CSV and the bound of a vote count.
 HEADER = ("DEP", "DEPNOMBRE", "MUN", "MUNNOMBRE", "ZONA", "PUESTO", "PUESNOMBRE", "MESA", "CORCODIGO", "CORNOMBRE", "CIR", "PAR", "PARNOMBRE", "CAN", "CANNOMBRE", "VOTOS")
-WIDTHS = {"DEP": 2, "MUN": 3, "ZONA": 2, "MESA": 6, "COR": 0}
 MOST_VOTES = 10_000
 
 
@@ -176,7 +175,7 @@ def changed_sources(now: DataFrame, last: DataFrame, key: str, content: str) ->
     return j.select(key, state.alias("state"))
 
 
-def stateful_csv(df: DataFrame, metrics: list[str]) -> Column | list[Column]:
+def stateful_csv(df: DataFrame, metrics: list[str]) -> list[Column]:
     """Columns of a flat download: each metric's value and status, text guarded against formulas."""
     kinds = dict(df.dtypes)
     cols = []
