@@ -155,7 +155,7 @@ def test_decontaminate_edges(spark, monkeypatch):
 
 def test_similar_texts(spark):
     rng = np.random.default_rng(6)
-    docs, classes = [], []
+    docs = []
     for g in range(30):
         base = [f"t{rng.integers(400)}" for _ in range(int(rng.integers(60, 300)))]
         docs.append((g * 10, " ".join(base), "x"))
@@ -169,7 +169,6 @@ def test_similar_texts(spark):
     kept = simhash.keep_first(df).collect()
     assert sorted(str(r.doc_id) for r in kept) == sorted([str(g * 10) for g in range(30)] + ["900", "902", "904", "None"])
     assert simhash.keep_first(df.where("false")).count() == 0
-    del classes
 
 
 def test_pipeline_stages(spark):
