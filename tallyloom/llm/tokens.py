@@ -49,7 +49,7 @@ class WordEncoder:
         for w in words:
             body, mark = (w[:-1], w[-1:]) if w[-1:] in (b".", b",") else (w, b"")
             s = body.decode("utf-8", "replace")
-            if s.isalpha() and max(s) < "Ā":
+            if s.isalpha() and (s.isascii() or max(s) < "Ā"):
                 stem = s.lower().encode()
                 base[w] = (stem, mark)
                 stems.add(stem)
@@ -69,19 +69,22 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Per text, its ids as little-endian unsigned 32-bit integers."""
-        get, out, open_ = self.cache.get, [], {}
+        get, out, open_ = self.cache.get, [], []
         new: set[bytes] = set()
-        for i, text in enumerate(texts):
+        for text in texts:
             words = text.split()  # bytes: ASCII white space only, which the tokenizer drops
             ids = list(map(get, words))
             if None in ids:
-                new.update([w for w, x in zip(words, ids, strict=True) if x is None])
-                open_[i] = words
+                lost = [k for k, x in enumerate(ids) if x is None]
+                new.update([words[k] for k in lost])
+                open_.append((len(out), words, ids, lost))
                 out.append(b"")
             else:
                 out.append(b"".join(ids))
         if new:
             learnt = self._learn(new)
-            for i, words in open_.items():
-                out[i] = b"".join([get(w) or learnt.get(w, b"") for w in words])
+            for i, words, ids, lost in open_:
+                for k in lost:
+                    ids[k] = learnt[words[k]]
+                out[i] = b"".join(ids)
         return out
