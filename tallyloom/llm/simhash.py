@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import tokens
 from . import words as W
 from .shared import delete, new_path, slices, written
 
@@ -246,12 +247,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, bits: int = 4, seed: int
 
 SEEDS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
 SKETCH_BUCKET = 1 << 19  # entries of sketches that one task merges
+BUCKETS = 64  # at least: a node goes to about 36 of them at any size, so what is shuffled follows the input
 CROWD, NEAREST = 8, 3  # partners in a bucket beyond which a text keeps its smallest and its nearest only
 CLOSE = 26  # of 128 bits: texts of similarity 0.8 in five-word shingles differ in about 12
 
 
 def _sketches(batches):
     """Per row: key of its word sequence, and two fingerprints of its word pairs."""
+    tokens.release()
     for batch in batches:
         for part in slices(batch, "text"):
             raw, at = W.text_bytes(part.column("text"))
@@ -414,7 +417,7 @@ def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     rows = written(table.mapInArrow(_sketches, "doc_id long, key binary, p0 long, p1 long"), "sketches")
     # a node is a distinct word sequence, named by its smallest doc_id
     nodes = written(rows.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.first("p0").alias("p0"), F.first("p1").alias("p1")), "nodes")
-    buckets = max(1, nodes.count() * 160 // SKETCH_BUCKET)
+    buckets = max(BUCKETS, nodes.count() * 160 // SKETCH_BUCKET)
     sent = nodes.select("node", "p0", "p1").mapInArrow(_sketch_keys(buckets), "bucket int, keys binary, rows binary, nodes binary, prints binary")
     spark, at = docs.sparkSession, [new_path(docs.sparkSession, n) for n in ("pairs", "sets")]
     sent.groupBy("bucket").applyInArrow(_candidates, "a long, b long, gap int").distinct().write.parquet(at[0])

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import tokens
 from . import words as W
 from .shared import others, slices, written
 
@@ -79,6 +80,7 @@ def _deal(bounds: np.ndarray):
 
 def _opened(table: pa.Table) -> tuple[pa.Table, list[bytes], np.ndarray, np.ndarray]:
     """The block in order of doc_id: (rows, texts, word hashes, first word of each document)."""
+    tokens.release()
     table = table.sort_by("doc_id")
     codec = pa.Codec("zstd")
     texts = [codec.decompress(z, n, asbytes=True) for z, n in zip(table["z"].to_pylist(), table["size"].to_pylist(), strict=True)]

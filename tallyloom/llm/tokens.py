@@ -14,6 +14,11 @@ _DELIMITER = "<|endoftext|>"
 _loaded: dict[str, WordEncoder] = {}
 
 
+def release() -> None:
+    """Gives back what a reused Python worker keeps for encoding; called by tasks that need the memory."""
+    _loaded.clear()
+
+
 class WordEncoder:
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
