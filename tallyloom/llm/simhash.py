@@ -242,13 +242,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, bits: int = 4, seed: int
     return prints.join(rooted.join(first, "root").select("print", "component_id"), "print").select("doc_id", "print", "component_id")
 
 
-# Near duplicates by shingle similarity: the same keys, over two fingerprints of word pairs, find candidates; the sets of
-# shingles decide. Word pairs change less than longer shingles, so texts with similar shingle sets have close prints.
+# Near duplicates by shingle similarity. A first round joins what the same keys, over two fingerprints of word pairs, find
+# cheaply: word pairs change less than longer shingles, so texts with similar shingle sets have close prints. A second
+# round is exact: of two sets as similar as asked, both hold one of the rarest few shingles of either (prefix filter), so
+# all pairs that share one, could be similar by their sizes and places, and are not yet in one component are verified.
 
 SEEDS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
 SKETCH_BUCKET = 1 << 19  # entries of sketches that one task merges
 BUCKETS = 64  # at least: a node goes to about 36 of them at any size, so what is shuffled follows the input
-CROWD, NEAREST = 8, 3  # partners in a bucket beyond which a text keeps its smallest and its nearest only
+JOIN_BUCKET = 1 << 21  # entries (shingle, node) of the exact round that one task joins
+SAMPLE, FREQUENT = 8, 1 << 20  # nodes of which one is counted for the order of shingles; shingles with a known count
 CLOSE = 26  # of 128 bits: texts of similarity 0.8 in five-word shingles differ in about 12
 
 
@@ -312,7 +315,10 @@ def _sketch_keys(buckets: int):
 
 
 def _candidates(table: pa.Table) -> pa.Table:
-    """Pairs of nodes of one key that are close; in a key of over 16 nodes, each with its cluster's first and its neighbour."""
+    """Close pairs of one key for the first round: each node's smallest and nearest partner found in the bucket.
+
+    In a key of over 16 nodes a node is compared with its cluster's first and its neighbour only.
+    """
     keys, at, nodes, prints, base = [], [], [], [], 0
     for k, r, n, p in zip(*(table[c].to_pylist() for c in ("keys", "rows", "nodes", "prints")), strict=True):
         keys.append(np.frombuffer(k, np.uint32))
@@ -359,14 +365,10 @@ def _candidates(table: pa.Table) -> pa.Table:
     where[same] = np.arange(len(nodes))
     a, b = found // max(1, len(names)), found % max(1, len(names))
     gap = apart(where[a], where[b]) if len(a) else np.zeros(0, np.int64)
-    # a pair stays if either end has few partners, or takes the other for its smallest or one of its nearest
     end, other, far, pair = np.concatenate([a, b]), np.concatenate([b, a]), np.tile(gap, 2), np.tile(np.arange(len(a)), 2)
     stay = np.zeros(len(a), bool)
-    stay[pair[np.bincount(end, minlength=len(names))[end] <= CROWD]] = True
-    for order, most in ((np.lexsort((other, end)), 1), (np.lexsort((other, far, end)), NEAREST)):
-        own = end[order]
-        place = np.arange(len(own)) - np.searchsorted(own, own)
-        stay[pair[order[place < most]]] = True
+    for order in (np.lexsort((other, end)), np.lexsort((other, far, end))):
+        stay[pair[order[np.flatnonzero(np.diff(end[order], prepend=-1))]]] = True
     return pa.table({"a": pa.array(names[a[stay]]), "b": pa.array(names[b[stay]]), "gap": pa.array(gap[stay].astype(np.int32))})
 
 
@@ -384,6 +386,126 @@ def _shingle_sets(shingle: int):
     return run
 
 
+def _tallies(batches):
+    for batch in batches:
+        sets = batch.column("shingles").to_pylist()
+        found, n = np.unique(np.frombuffer(b"".join(sets), np.uint32), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(n)], ["shingle", "n"])
+
+
+def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that a sample of the nodes has most often, FREQUENT at most, and how often.
+
+    They only order the shingles of a set. Any order gives the same pairs in the end; rare shingles first give few to verify.
+    """
+    some = sets.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).mapInArrow(_tallies, "shingle long, n long")
+    top = some.groupBy("shingle").agg(F.sum("n").alias("n")).where("n >= 4").orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
+    shingle, n = top["shingle"].to_numpy(), top["n"].to_numpy()
+    order = np.argsort(shingle)
+    return shingle[order].astype(np.uint32), n[order].astype(np.int32)
+
+
+def _prefixes(similarity: float, known: np.ndarray, counts: np.ndarray):
+    """Per node: the size of its set and its rarest shingles, one of which it shares with every set similar to it."""
+
+    def run(batches):
+        for batch in batches:
+            sizes, out = [], []
+            for x in batch.column("shingles").to_pylist():
+                u = np.frombuffer(x, np.uint32)
+                n = len(u)
+                seen = np.zeros(n, np.int32)
+                if len(known) and n:
+                    at = np.minimum(np.searchsorted(known, u), len(known) - 1)
+                    seen = np.where(known[at] == u, counts[at], 0)
+                sizes.append(n)
+                out.append(u[np.lexsort((u, seen))][: n - int(np.ceil(similarity * n - 1e-9)) + 1].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes, pa.int32()), pa.array(out, pa.binary())], ["node", "size", "prefix"])
+
+    return run
+
+
+def _deal(buckets: int):
+    """One row for each batch and bucket: entries (shingle, place among the row's nodes, place in the prefix)."""
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1 << 15):
+                part = batch.slice(start, 1 << 15)
+                node, root, size = (part.column(c).to_numpy() for c in ("node", "root", "size"))
+                prefixes = part.column("prefix").to_pylist()
+                per = np.array([len(x) // 4 for x in prefixes], np.int64)
+                keys = np.frombuffer(b"".join(prefixes), np.uint32)
+                rows = np.repeat(np.arange(len(per)), per)
+                place = np.minimum(np.arange(len(keys)) - np.repeat(np.cumsum(per) - per, per), 65535)
+                bucket = (W.mix(keys.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                has = np.flatnonzero(np.diff(cuts))
+                cols: dict = {c: [] for c in ("keys", "rows", "places", "nodes", "roots", "sizes")}
+                for b in has:
+                    i = order[cuts[b] : cuts[b + 1]]
+                    local, inverse = np.unique(rows[i], return_inverse=True)
+                    parts = (keys[i], inverse.astype(np.uint16), place[i].astype(np.uint16), node[local], root[local], size[local])
+                    for c, x in zip(cols.values(), parts, strict=True):
+                        c.append(x.tobytes())
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(has.astype(np.int32))} | {c: pa.array(x, pa.binary()) for c, x in cols.items()})
+
+    return run
+
+
+def _crossing(similarity: float):
+    """All pairs that share a shingle of their prefixes, lie in two components, and may be similar by size and place."""
+    rate = similarity / (1 + similarity)
+
+    def run(table: pa.Table) -> pa.Table:
+        cols: dict = {"keys": np.uint32, "rows": np.uint16, "places": np.uint16, "nodes": np.int64, "roots": np.int64, "sizes": np.int32}
+        got = {c: [np.frombuffer(x, t) for x in table[c].to_pylist()] for c, t in cols.items()}
+        base = np.cumsum([0] + [len(x) for x in got["nodes"]])
+        at = np.concatenate([x + b for x, b in zip(got["rows"], base, strict=False)])
+        keys, place, nodes, roots, sizes = (np.concatenate(got[c]) for c in ("keys", "places", "nodes", "roots", "sizes"))
+        del got
+        order = np.lexsort((sizes[at], keys))
+        keys, at, place = keys[order], at[order], place[order].astype(np.int64)
+        first = np.flatnonzero(np.diff(keys, prepend=keys[:1] + np.uint32(1)) != 0)
+        many = np.diff(np.append(first, len(keys)))
+        root = roots[at]
+        differ = np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first)
+        stay = np.repeat(differ, many)
+        at, place, root, many = at[stay], place[stay], root[stay], many[differ]
+        first = np.cumsum(many) - many
+        size = sizes[at].astype(np.int64)
+        found, waiting, held = np.zeros(0, np.int64), [], 0
+
+        def note(i, j):
+            nonlocal found, waiting, held
+            least = rate * (size[i] + size[j]) - 1e-9
+            most = np.minimum(size[i] - place[i], size[j] - place[j])  # of the shared shingles, if this is their first
+            ok = (root[i] != root[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9) & (most >= least)
+            x, y = np.broadcast_to(at[i], ok.shape)[ok], at[j][ok]
+            waiting.append(np.minimum(x, y) * len(nodes) + np.maximum(x, y))
+            held += len(x)
+            if held > 1 << 20:
+                found, waiting, held = np.unique(np.concatenate([found, *waiting])), [], 0
+
+        for i, n in zip(first[many > 64].tolist(), many[many > 64].tolist(), strict=True):
+            group, own = np.arange(i, i + n), root[i : i + n]
+            names, n_own = np.unique(own, return_counts=True)
+            for k in group[own != names[n_own.argmax()]].tolist():  # members of the largest component meet the others here
+                low, high = np.searchsorted(size[i : i + n], [similarity * size[k] - 1e-9, size[k] / similarity + 1e-9])
+                note(k, group[low : high + 1])
+        end = np.repeat(np.where(many <= 64, first + many, 0), many)
+        for d in range(1, 64):
+            i = np.flatnonzero(np.arange(len(at)) + d < end)
+            if not len(i):
+                break
+            note(i, i + d)
+        found = np.unique(np.concatenate([found, *waiting]))
+        return pa.table({"a": pa.array(nodes[found // max(1, len(nodes))]), "b": pa.array(nodes[found % max(1, len(nodes))])})
+
+    return run
+
+
 def _verified(similarity: float):
     def run(batches):
         for batch in batches:
@@ -404,12 +526,10 @@ def _verified(similarity: float):
 def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, key, least: the class of every row of docs (doc_id, text) by its smallest doc_id.
 
-    Rows are linked if their words agree (A-Z lower-cased), or if a candidate pair's sets of `shingle`-word shingles have
-    a Jaccard similarity of at least `similarity` (of 32-bit hashes). Candidates share a Golay key of one of two
-    fingerprints of their word pairs and differ in CLOSE of its 128 bits at most. In a key of over 16 texts, a text is
-    paired with its cluster's first and its neighbour, not with all; of over CROWD partners in a bucket it keeps the
-    smallest and the NEAREST, so groups of copies give no more than a few pairs a text. Pairs inside a group already
-    linked are not verified.
+    Rows are linked if their words agree (A-Z lower-cased), or if their sets of `shingle`-word shingles have a Jaccard
+    similarity of at least `similarity` (of 32-bit hashes); a class is all that links connect. Fingerprints of word pairs
+    find most links first. Every other pair that shares a shingle of its prefixes is then verified unless its ends are
+    already in one component, so no link between two components is missed.
 
     Null or empty texts have no words and are copies of each other. Null doc_ids: see keep_first.
     """
@@ -419,27 +539,31 @@ def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     nodes = written(rows.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.first("p0").alias("p0"), F.first("p1").alias("p1")), "nodes")
     buckets = max(BUCKETS, nodes.count() * 160 // SKETCH_BUCKET)
     sent = nodes.select("node", "p0", "p1").mapInArrow(_sketch_keys(buckets), "bucket int, keys binary, rows binary, nodes binary, prints binary")
-    spark, at = docs.sparkSession, [new_path(docs.sparkSession, n) for n in ("pairs", "sets")]
+    spark, at = docs.sparkSession, [new_path(docs.sparkSession, n) for n in ("pairs", "sets", "prefixes", "crossing")]
     sent.groupBy("bucket").applyInArrow(_candidates, "a long, b long, gap int").distinct().write.parquet(at[0])
     pairs = spark.read.schema("a long, b long, gap int").parquet(at[0])
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = table.withColumnRenamed("doc_id", "node").join(ends, "node", "left_semi")
-    texts.mapInArrow(_shingle_sets(shingle), "node long, shingles binary").dropDuplicates(["node"]).write.parquet(at[1])
+    texts = table.withColumnRenamed("doc_id", "node").join(nodes.select("node").distinct(), "node", "left_semi")
+    texts.mapInArrow(_shingle_sets(shingle), "node long, shingles binary").where("length(shingles) > 0").dropDuplicates(["node"]).write.parquet(at[1])
     sets = spark.read.schema("node long, shingles binary").parquet(at[1])
 
     def verified(some: DataFrame) -> DataFrame:
         joined = some.join(sets.selectExpr("node as a", "shingles as x"), "a").join(sets.selectExpr("node as b", "shingles as y"), "b")
         return joined.select("a", "b", "x", "y").mapInArrow(_verified(similarity), "a long, b long")
 
-    # first each node with its smallest and its nearest partner, which joins dense groups; then what still lies between groups
+    # first each node with its smallest and its nearest partner, which joins dense groups
     both = pairs.union(pairs.select("b", "a", "gap")).toDF("a", "b", "gap")
     best = both.groupBy("a").agg(F.min("b").alias("low"), F.min(F.struct("gap", "b"))["b"].alias("near"))
     few = best.select("a", F.explode(F.array("low", "near")).alias("b")).selectExpr("least(a, b) a", "greatest(a, b) b").distinct()
     edges = written(verified(few), "edges")
     found = written(components(edges), "roots")
-    root = lambda c: found.selectExpr(f"node as {c}", f"root as root_{c}")
-    rest = pairs.join(few, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
-    rest = rest.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
+    # then, exactly, what still lies between components
+    prefixes = sets.mapInArrow(_prefixes(similarity, *_frequent(sets)), "node long, size int, prefix binary")
+    prefixes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", "prefix").write.parquet(at[2])
+    prefixes = spark.read.schema("node long, root long, size int, prefix binary").parquet(at[2])
+    entries = prefixes.agg(F.sum(F.length("prefix")).alias("n")).first()["n"] or 0
+    dealt = prefixes.mapInArrow(_deal(max(BUCKETS, entries // 4 // JOIN_BUCKET)), "bucket int, keys binary, rows binary, places binary, nodes binary, roots binary, sizes binary")
+    dealt.groupBy("bucket").applyInArrow(_crossing(similarity), "a long, b long").selectExpr("least(a, b) a", "greatest(a, b) b").distinct().write.parquet(at[3])
+    rest = spark.read.schema("a long, b long").parquet(at[3])
     roots = written(components(edges.unionByName(verified(rest))), "roots")
     for path in at:
         delete(spark, path)

@@ -176,3 +176,48 @@ def test_repeats_small_blocks(spark, monkeypatch):
         assert plain[d].split() == [w for w, g in zip((t or "").split(), want[d], strict=True) if not g]
         assert any(want[d]) or plain[d] == (t or "")
     assert substring_dedup.remove_repeats(df.where("false")).count() == 0
+
+
+def _similar(texts: dict[int, str], shingle: int = 5, similarity: float = 0.8) -> dict[int, int]:
+    sets = {}
+    for d, t in texts.items():
+        w = t.lower().split()
+        k = min(shingle, len(w))
+        sets[d] = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+    ids = sorted(texts)
+    least = {d: d for d in ids}
+
+    def root(d):
+        while least[d] != d:
+            d = least[d]
+        return d
+
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if root(a) != root(b) and (both := len(sets[a] & sets[b])) >= similarity * (len(sets[a]) + len(sets[b]) - both):
+                least[max(root(a), root(b))] = min(root(a), root(b))
+    return {d: root(d) for d in ids}
+
+
+def _same_classes(spark, texts: dict[int, str]) -> int:
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = _similar(texts)
+    assert {r.doc_id: r.least for r in simhash.similar_classes(df).collect()} == want
+    return len(set(want.values()))
+
+
+def test_crowded_near_copies(spark):
+    """Forms of one template, each far from the others and with one near copy: crowds in which only twins are similar."""
+    rng = np.random.default_rng(9)
+    texts: dict[int, str] = {}
+    base = [f"w{i}" for i in range(250)]
+    for n in range(300):
+        own = list(base)
+        for i in rng.choice(250, 10, replace=False):
+            own[i] = f"f{n}x{i}"
+        texts[2 * n] = " ".join(own)
+        for i in rng.choice(250, 4, replace=False):
+            own[i] = f"c{n}x{i}"
+        texts[2 * n + 1] = " ".join(own)
+    ids = rng.permutation(len(texts)).tolist()
+    assert 3 < _same_classes(spark, dict(zip(ids, texts.values(), strict=True))) < len(texts)
