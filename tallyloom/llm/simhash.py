@@ -256,7 +256,7 @@ CLOSE = 26  # of 128 bits: texts of similarity 0.8 in five-word shingles differ
 
 
 def _sketches(batches):
-    """Per row: key of its word sequence, and two fingerprints of its word pairs."""
+    """Per row: key of its word sequence, and two fingerprints of its distinct word pairs (repeats count once, as in the sets)."""
     tokens.release()
     for batch in batches:
         for part in slices(batch, "text"):
@@ -268,7 +268,7 @@ def _sketches(batches):
             for i, j in zip(per[:-1].tolist(), per[1:].tolist(), strict=True):
                 own = h[i:j]
                 keys.append(hashlib.md5(own.tobytes()).digest())
-                pairs = W.combine(own, 2) if j - i > 1 else own
+                pairs = np.unique(W.combine(own, 2) if j - i > 1 else own)
                 for seed, out in zip(SEEDS, prints, strict=True):
                     bits = np.unpackbits(W.mix(pairs ^ seed).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                     out.append(int.from_bytes(np.packbits(bits.sum(0, dtype=np.int64) * 2 > len(pairs), bitorder="little").tobytes(), "little"))

@@ -221,3 +221,17 @@ def test_crowded_near_copies(spark):
         texts[2 * n + 1] = " ".join(own)
     ids = rng.permutation(len(texts)).tolist()
     assert 3 < _same_classes(spark, dict(zip(ids, texts.values(), strict=True))) < len(texts)
+
+
+def test_repeated_appended_truncated_copies(spark):
+    """Copies with a passage repeated, text appended or the end cut, against brute force; repeats leave fingerprints alone."""
+    rng = np.random.default_rng(11)
+    texts: dict[int, str] = {}
+    for n in range(60):
+        w = [f"v{rng.integers(5000)}" for _ in range(400)]
+        for copy in (w, w + w[100:140] * (5 + 15 * (n % 2)), w + [f"a{n}x{i}" for i in range(60 + n)], w[: 310 + n]):
+            texts[len(texts)] = " ".join(copy)
+    assert _same_classes(spark, texts) < len(texts)
+    rows = spark.createDataFrame([(d, t) for d, t in texts.items() if d % 4 < 2], "doc_id long, text string")
+    p = {r.doc_id: np.array([r.p0, r.p1]).view(np.uint64) for r in rows.mapInArrow(simhash._sketches, "doc_id long, key binary, p0 long, p1 long").collect()}
+    assert max(int(np.bitwise_count(p[d] ^ p[d + 1]).sum()) for d in range(0, len(texts), 4)) <= 8
