@@ -23,6 +23,7 @@ from .tokens import WordEncoder
 GROUP = 4000  # pieces of one group
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 6, 4
 WELL = 0.995  # filling from which a bin is kept between rounds
+GROUP_BITS, BIN_BITS = 31, 28  # of a sequence_id, below the round: the group, an int, and its bin, more than a group holds
 
 
 def _pieces(path: str, capacity: int, end_id: int):
@@ -155,12 +156,12 @@ def _settle(capacity: int, round_: int, last: bool):
         size, n = items["length"].to_pylist(), items.num_rows
         sequence, offset = [-1] * n, [0] * n
         group = items["grp"][0].as_py() if n else 0
-        for b, members in enumerate(bins):
-            if last or sum(size[i] for i in members) >= WELL * capacity:
-                at = 0
-                for i in members:
-                    sequence[i], offset[i] = ((round_ << 40) + group << 14) + b, at
-                    at += size[i]
+        filled = [members for members in bins if last or sum(size[i] for i in members) >= WELL * capacity]
+        for b, members in enumerate(filled):
+            at = 0
+            for i in members:
+                sequence[i], offset[i] = (((round_ << GROUP_BITS) + group) << BIN_BITS) + b, at
+                at += size[i]
         return pa.table({c: items[c] for c in _PIECE} | {"sequence_id": pa.array(sequence, pa.int64()), "offset": pa.array(offset, pa.int64())})
 
     return run
@@ -170,6 +171,12 @@ _PIECE = ("doc_id", "piece", "start", "length", "ids_crc32")
 _PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
+def _dealt(left: DataFrame, groups: int, round_: int) -> DataFrame:
+    """left with grp: by a hash of the whole piece and, of equal pieces, each one's number, so no id or text fills a group."""
+    each = left.groupBy(*_PIECE).agg(F.count("*").alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    return each.select(*_PIECE, F.pmod(F.xxhash64(*_PIECE, "copy", F.lit(round_)), F.lit(groups)).cast("int").alias("grp"))
+
+
 def pack(items: DataFrame, capacity: int = 4096) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32; 0 < length <= capacity).
 
@@ -180,7 +187,7 @@ def pack(items: DataFrame, capacity: int = 4096) -> DataFrame:
     while n:
         groups = max(1, n // GROUP)
         last = groups == 1 or round_ == 6
-        dealt = left.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", F.lit(round_)), F.lit(groups)).cast("int"))
+        dealt = written(_dealt(left, groups, round_), "dealt")
         islands = dealt.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))))
         state = None
         for epoch in range(EPOCHS):

@@ -124,3 +124,14 @@ def test_crossover_keeps_all_pieces():
         two = packing._cross(two, one, size, 100, rng)
         assert sorted(i for b in two for i in b) == list(range(200)) and all(sum(size[i] for i in b) <= 100 for b in two)
         assert packing._from_bytes(packing._to_bytes(two, 200)) == [sorted(b) for b in two]
+
+
+def test_packing_equal_and_unnamed_pieces(spark):
+    """More pieces of one null id, equal or not, than a group may hold bins: groups stay small, no two sequences share an id."""
+    columns = "doc_id long, piece int, start long, length long, ids_crc32 long"
+    rows = [(None, 0, 0, 100, 7)] * 18000 + [(None, 0, 0, 100, i) for i in range(6000)] + [(i, 0, 0, 100, 7) for i in range(8000)]
+    items = spark.createDataFrame(rows, columns)
+    got = packing.pack(items, 100).collect()
+    assert len(got) == len(rows) and _valid(got, 100) == len(rows)
+    sizes = [r["count"] for r in packing._dealt(items, 8, 0).groupBy("grp").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1.1 * len(rows) / 8
