@@ -94,7 +94,7 @@ class Automaton:
     def _next(self, state: int, c: str) -> int:
         edits: dict[int, int] = {}
         for node, d in self.states[state]:
-            if node in self.stems:
+            if node in self.stems and d == 0:  # reached with edits, it is only a place in a longer entry
                 edits[node] = 0  # stays: the rest of the word is free
             for letter, child in self.children[node].items():
                 cost = d + (letter != c)
@@ -116,7 +116,7 @@ class Automaton:
             at = self._next(at, c) if to is None else to
             if not self.states[at]:
                 return -1
-        if any(n in self.stems for n, _ in self.states[at]):
+        if any(n in self.stems and d == 0 for n, d in self.states[at]):
             return 0
         return self.found[at]
 
@@ -205,8 +205,8 @@ def learn_lexicon(rows: DataFrame) -> list[str]:
     """Entries from rows (text, y), at most FIT_ROWS of them: words and beginnings that are toxic beyond chance.
 
     Of rows with one sketch and label (copies) one counts. An entry needs PURE of its rows toxic, and so many that
-    CHANCE entries at most would be pure by chance, were labels dealt at random. A beginning covers longer ones and the
-    words under it. What reaches the driver is bounded by FIT_ROWS.
+    CHANCE entries at most would be pure by chance, were labels dealt at random. A beginning covers longer ones; words under
+    it stay entries, since a beginning allows no edits. What reaches the driver is bounded by FIT_ROWS.
     """
     schema = "entry string, n long"
     rows = written(rows.mapInArrow(_sketch, "text string, y int, sketch long").dropDuplicates(["y", "sketch"]), "distinct")
@@ -225,7 +225,7 @@ def learn_lexicon(rows: DataFrame) -> list[str]:
     words = {e for e in pure if not e.endswith("*")}
     # a beginning is an entry only if several words share it; one word alone stands for itself and may be misspelled
     shared = {s for s in stems if len([w for w in words if w.startswith(s[:-1])]) != 1}
-    return sorted(shared | {w for w in words if not any(w[:k] + "*" in shared for k in range(4, len(w) + 1))})
+    return sorted(shared | words)
 
 
 def _measure(entries: list[str], label: bool):

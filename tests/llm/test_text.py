@@ -192,3 +192,20 @@ def test_pipeline_stages(spark):
             assert set(before) - set(after) == hit and hit
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert {r.doc_id for r in last} == set(after) and n > len(after)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abcd", max_size=12))
+def test_automaton_words_under_a_beginning(word):
+    entries = ["abcd*", "abcda", "abcdabcdab", "cab*", "cabdd"]
+    want = [0] if word.startswith(("abcd", "cab")) else []
+    want += [d for e in ("abcda", "abcdabcdab", "cabdd") if (d := _edits(word, e)) <= (1 if len(e) < 9 else 2)]
+    assert toxicity.Automaton(entries).edits(word) == min(want, default=-1)
+
+
+def test_misspelled_word_with_inflections(spark):
+    rows = [(f"a{i} b{i} you {('idiot', 'idiots', 'idiotic')[i % 3]} c{i} d{i}", 1) for i in range(150)] + [(f"e{i} f{i} you friend g{i} h{i}", 0) for i in range(150)]
+    entries = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, y int"))
+    assert any(e.endswith("*") for e in entries) and {"idiot", "idiots"} <= set(entries)
+    found = toxicity.Automaton(entries)
+    assert [found.edits(w) for w in ("idiot", "idiotas", "iidiot", "idjot", "friend")] == [0, 0, 1, 1, -1]
