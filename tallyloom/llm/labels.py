@@ -11,7 +11,12 @@ def held_out(key: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % 5 == 0
 
 
-def training(labels: DataFrame, label: str) -> DataFrame:
-    """doc_id, y: one row for each labelled, not held-out document; of repeated labels the larger, nulls left out."""
+def training(labels: DataFrame, label: str, most: int) -> DataFrame:
+    """doc_id, y: one row for each labelled, not held-out document; of repeated labels the larger, nulls left out.
+
+    `most` rows, give or take chance, by a hash of doc_id: so few that joins may broadcast them, whatever the corpus.
+    """
     y = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out())
-    return y.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
+    y = y.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
+    n = y.count()
+    return y.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * most / n)) if n > most else y

@@ -23,6 +23,7 @@ STATISTICS = (
     "log_bytes", "log_words", "mean_word", "sd_word", "upper", "digit", "mark", "symbol", "sentence", "distinct",
     "adjacent", "top_word", "repeated_lines", "line_words", "packed", "long_word", "short_word", "capital_words",
 )
+FIT_ROWS = 100_000  # labelled rows, by a hash of doc_id, that the model is fitted on
 SHRINK, RIDGE = 0.15, 0.05  # towards the pooled covariance; towards its diagonal
 GAP = 200.0  # log odds beyond which all are alike
 
@@ -118,8 +119,8 @@ class Discriminant:
 
 
 def fit(features: DataFrame, labels: DataFrame, label: str = "quality") -> Discriminant:
-    """From features (doc_id, x) of all labelled rows that are not held out; only sums and a histogram reach the driver."""
-    rows = features.join(training(labels, label), "doc_id")
+    """From features (doc_id, x) of FIT_ROWS labelled rows at most, none held out; only sums and a histogram reach the driver."""
+    rows = features.join(F.broadcast(training(labels, label, FIT_ROWS)), "doc_id")  # FIT_ROWS pairs of numbers
     k = len(STATISTICS)
     x = [F.col("x")[i] for i in range(k)]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
@@ -158,8 +159,8 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold:
     """doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold) of every row of docs (doc_id, text).
 
     labels: doc_id and label (0 or 1); nulls are left out, repeated labels count once. Null texts count as empty and are
-    scored too; rows with a null doc_id are scored and never learned from; repeated rows are scored alike. If a class
-    has fewer than two rows, every score is class 1's share of the training rows (0.5 without any).
+    scored too; rows with a null doc_id are scored and never learned from; repeated rows are scored alike. Fitted on
+    FIT_ROWS labelled rows at most. If a class has fewer than two rows, every score is class 1's share of the training rows (0.5 without any).
     """
     features = written(measured(docs), "statistics")
     out = features.mapInArrow(_score(fit(features, labels, label)), "doc_id long, score double")
@@ -179,7 +180,8 @@ def _keep(model: Discriminant, threshold: float):
 def keep(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3) -> DataFrame:
     """The rows of docs (all columns) with a score of at least threshold: fitted on labelled rows only, then one scan."""
     table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), others(docs, "doc_id", "text"))
-    known = table.select("doc_id", "text").join(training(labels, label).select("doc_id"), "doc_id", "left_semi")
+    # labelled texts are measured where they are: FIT_ROWS numbers are broadcast, and no text is shuffled
+    known = table.select("doc_id", "text").join(F.broadcast(training(labels, label, FIT_ROWS).select("doc_id")), "doc_id", "left_semi")
     model = fit(written(measured(known), "statistics"), labels, label)
     kept = table.mapInArrow(_keep(model, threshold), table.schema)
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]

@@ -14,6 +14,7 @@ spanning forest; components of the whole graph are found by alternating large-st
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -250,24 +251,36 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, bits: int = 4, seed: int
 SEEDS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
 SKETCH_BUCKET = 1 << 19  # entries of sketches that one task merges
 BUCKETS = 64  # at least: a node goes to about 36 of them at any size, so what is shuffled follows the input
+SET_BYTES = 32 << 20  # of shingle sets in one bucket of their table
 JOIN_BUCKET = 1 << 21  # entries (shingle, node) of the exact round that one task joins
-SAMPLE, FREQUENT = 8, 1 << 20  # nodes of which one is counted for the order of shingles; shingles with a known count
+SAMPLE, FREQUENT = 32, 1 << 18  # nodes of which one is counted for the order of shingles; shingles with a known count
 CLOSE = 26  # of 128 bits: texts of similarity 0.8 in five-word shingles differ in about 12
 
 
+def _words(part: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(each row's key: the digest of its lower-case words, word hashes, first word of each row)."""
+    keys = [hashlib.md5(b" ".join((x or b"").lower().split())).digest() for x in part.column("text").cast(pa.binary()).to_pylist()]
+    raw, at = W.text_bytes(part.column("text"))
+    raw = W.lower_ascii()[raw]
+    starts, ends, per = W.split(raw, at, W.not_space())
+    return keys, W.hashes(raw, starts, ends), per
+
+
+def _word_key(text: str):
+    """The key of `_words` as a column."""
+    spaced = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+", " "))
+    return F.unhex(F.md5(F.translate(spaced, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").cast("binary")))
+
+
 def _sketches(batches):
     """Per row: key of its word sequence, and two fingerprints of its distinct word pairs (repeats count once, as in the sets)."""
     tokens.release()
     for batch in batches:
         for part in slices(batch, "text"):
-            raw, at = W.text_bytes(part.column("text"))
-            raw = W.lower_ascii()[raw]
-            starts, ends, per = W.split(raw, at, W.not_space())
-            h = W.hashes(raw, starts, ends)
-            keys, prints = [], [[], []]
+            keys, h, per = _words(part)
+            prints = [[], []]
             for i, j in zip(per[:-1].tolist(), per[1:].tolist(), strict=True):
                 own = h[i:j]
-                keys.append(hashlib.md5(own.tobytes()).digest())
                 pairs = np.unique(W.combine(own, 2) if j - i > 1 else own)
                 for seed, out in zip(SEEDS, prints, strict=True):
                     bits = np.unpackbits(W.mix(pairs ^ seed).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -376,12 +389,9 @@ def _shingle_sets(shingle: int):
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                raw, at = W.text_bytes(part.column("text"))
-                raw = W.lower_ascii()[raw]
-                starts, ends, per = W.split(raw, at, W.not_space())
-                h = W.hashes(raw, starts, ends)
+                keys, h, per = _words(part)
                 sets = [np.unique((W.combine(h[i:j], min(shingle, max(1, j - i))) >> np.uint64(32)).astype(np.uint32)).tobytes() for i, j in zip(per[:-1].tolist(), per[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "key", "shingles"])
 
     return run
 
@@ -405,37 +415,28 @@ def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return shingle[order].astype(np.uint32), n[order].astype(np.int32)
 
 
-def _prefixes(similarity: float, known: np.ndarray, counts: np.ndarray):
-    """Per node: the size of its set and its rarest shingles, one of which it shares with every set similar to it."""
+def _prefix(u: np.ndarray, similarity: float, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a set, one of which it shares with every set similar to it."""
+    seen = np.zeros(len(u), np.int32)
+    if len(known) and len(u):
+        at = np.minimum(np.searchsorted(known, u), len(known) - 1)
+        seen = np.where(known[at] == u, counts[at], 0)
+    return u[np.lexsort((u, seen))][: len(u) - int(np.ceil(similarity * len(u) - 1e-9)) + 1]
 
-    def run(batches):
-        for batch in batches:
-            sizes, out = [], []
-            for x in batch.column("shingles").to_pylist():
-                u = np.frombuffer(x, np.uint32)
-                n = len(u)
-                seen = np.zeros(n, np.int32)
-                if len(known) and n:
-                    at = np.minimum(np.searchsorted(known, u), len(known) - 1)
-                    seen = np.where(known[at] == u, counts[at], 0)
-                sizes.append(n)
-                out.append(u[np.lexsort((u, seen))][: n - int(np.ceil(similarity * n - 1e-9)) + 1].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes, pa.int32()), pa.array(out, pa.binary())], ["node", "size", "prefix"])
 
-    return run
-
-
-def _deal(buckets: int):
+def _deal(buckets: int, similarity: float, known: np.ndarray, counts: np.ndarray):
     """One row for each batch and bucket: entries (shingle, place among the row's nodes, place in the prefix)."""
 
     def run(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 1 << 15):
-                part = batch.slice(start, 1 << 15)
-                node, root, size = (part.column(c).to_numpy() for c in ("node", "root", "size"))
-                prefixes = part.column("prefix").to_pylist()
-                per = np.array([len(x) // 4 for x in prefixes], np.int64)
-                keys = np.frombuffer(b"".join(prefixes), np.uint32)
+            for start in range(0, batch.num_rows, 1 << 12):
+                part = batch.slice(start, 1 << 12)
+                node, root = (part.column(c).to_numpy() for c in ("node", "root"))
+                sets = [np.frombuffer(x, np.uint32) for x in part.column("shingles").to_pylist()]
+                size = np.array([len(x) for x in sets], np.int32)
+                prefixes = [_prefix(x, similarity, known, counts) for x in sets]
+                per = np.array([len(x) for x in prefixes], np.int64)
+                keys = np.concatenate(prefixes)
                 rows = np.repeat(np.arange(len(per)), per)
                 place = np.minimum(np.arange(len(keys)) - np.repeat(np.cumsum(per) - per, per), 65535)
                 bucket = (W.mix(keys.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
@@ -523,71 +524,101 @@ def _verified(similarity: float):
     return run
 
 
+def _named(rows: DataFrame) -> DataFrame:
+    """rows with `id`: doc_id, or for a null doc_id a number above all ids, one for each key."""
+    most = rows.agg(F.max("doc_id").alias("most"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")).first()
+    if not most.nulls:
+        return rows.withColumn("id", F.col("doc_id"))
+    keys = rows.where("doc_id is null").select("key").distinct().withColumn("n", F.monotonically_increasing_id())
+    keys = written(keys.select("key", (F.col("n") + F.lit(max(most.most or 0, 0) + 1)).alias("__id")), "unnamed")
+    unnamed = rows.where("doc_id is null").join(keys, "key").withColumnRenamed("__id", "id")
+    return rows.where("doc_id is not null").withColumn("id", F.col("doc_id")).unionByName(unnamed)
+
+
 def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, key, least: the class of every row of docs (doc_id, text) by its smallest doc_id.
+    """doc_id, key, id, least: the class of every row of docs (doc_id, text) by its smallest id.
 
     Rows are linked if their words agree (A-Z lower-cased), or if their sets of `shingle`-word shingles have a Jaccard
     similarity of at least `similarity` (of 32-bit hashes); a class is all that links connect. Fingerprints of word pairs
     find most links first. Every other pair that shares a shingle of its prefixes is then verified unless its ends are
     already in one component, so no link between two components is missed.
 
-    Null or empty texts have no words and are copies of each other. Null doc_ids: see keep_first.
+    id is doc_id; rows with a null doc_id get an id above all others, one for each word sequence (key), and are linked like
+    any other. Rows of one doc_id are one document: its shingles are those of the row with the least key. Null or empty
+    texts have no words and are copies of each other. doc_ids must leave room above them: 2^62 at most.
     """
+    spark = docs.sparkSession
     table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = written(table.mapInArrow(_sketches, "doc_id long, key binary, p0 long, p1 long"), "sketches")
-    # a node is a distinct word sequence, named by its smallest doc_id
-    nodes = written(rows.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.first("p0").alias("p0"), F.first("p1").alias("p1")), "nodes")
+    rows = _named(written(table.mapInArrow(_sketches, "doc_id long, key binary, p0 long, p1 long"), "sketches"))
+    # a node is a word sequence, named by the smallest id of its rows
+    one = rows.groupBy("id").agg(F.min(F.struct("key", "p0", "p1")).alias("m")).select("id", "m.*")
+    nodes = written(one.groupBy("key").agg(F.min("id").alias("node"), F.first("p0").alias("p0"), F.first("p1").alias("p1")), "nodes")
     buckets = max(BUCKETS, nodes.count() * 160 // SKETCH_BUCKET)
     sent = nodes.select("node", "p0", "p1").mapInArrow(_sketch_keys(buckets), "bucket int, keys binary, rows binary, nodes binary, prints binary")
-    spark, at = docs.sparkSession, [new_path(docs.sparkSession, n) for n in ("pairs", "sets", "prefixes", "crossing")]
+    at = [new_path(spark, n) for n in ("pairs", "sets", "crossing")]
     sent.groupBy("bucket").applyInArrow(_candidates, "a long, b long, gap int").distinct().write.parquet(at[0])
     pairs = spark.read.schema("a long, b long, gap int").parquet(at[0])
-    texts = table.withColumnRenamed("doc_id", "node").join(nodes.select("node").distinct(), "node", "left_semi")
-    texts.mapInArrow(_shingle_sets(shingle), "node long, shingles binary").where("length(shingles) > 0").dropDuplicates(["node"]).write.parquet(at[1])
-    sets = spark.read.schema("node long, shingles binary").parquet(at[1])
+    name = f"shingle_sets_{uuid.uuid4().hex}"
+    sets = _set_table(table, rows, nodes, shingle, name, at[1])
 
     def verified(some: DataFrame) -> DataFrame:
-        joined = some.join(sets.selectExpr("node as a", "shingles as x"), "a").join(sets.selectExpr("node as b", "shingles as y"), "b")
+        joined = some.join(sets.selectExpr("node as a", "shingles as x").hint("merge"), "a").join(sets.selectExpr("node as b", "shingles as y").hint("merge"), "b")
         return joined.select("a", "b", "x", "y").mapInArrow(_verified(similarity), "a long, b long")
 
-    # first each node with its smallest and its nearest partner, which joins dense groups
+    # first each node with its nearest partner and its partner before it, which joins dense groups; ties go to the
+    # closest id, so that no node is the partner of very many
     both = pairs.union(pairs.select("b", "a", "gap")).toDF("a", "b", "gap")
-    best = both.groupBy("a").agg(F.min("b").alias("low"), F.min(F.struct("gap", "b"))["b"].alias("near"))
-    few = best.select("a", F.explode(F.array("low", "near")).alias("b")).selectExpr("least(a, b) a", "greatest(a, b) b").distinct()
+    before = F.coalesce(F.max(F.when(F.col("b") < F.col("a"), F.col("b"))), F.min("b"))
+    best = both.groupBy("a").agg(before.alias("before"), F.min(F.struct("gap", F.abs(F.col("a") - F.col("b")), "b"))["b"].alias("near"))
+    few = best.select("a", F.explode(F.array("before", "near")).alias("b")).selectExpr("least(a, b) a", "greatest(a, b) b").distinct()
     edges = written(verified(few), "edges")
-    found = written(components(edges), "roots")
+    roots = written(components(edges), "roots")
     # then, exactly, what still lies between components
-    prefixes = sets.mapInArrow(_prefixes(similarity, *_frequent(sets)), "node long, size int, prefix binary")
-    prefixes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", "prefix").write.parquet(at[2])
-    prefixes = spark.read.schema("node long, root long, size int, prefix binary").parquet(at[2])
-    entries = prefixes.agg(F.sum(F.length("prefix")).alias("n")).first()["n"] or 0
-    dealt = prefixes.mapInArrow(_deal(max(BUCKETS, entries // 4 // JOIN_BUCKET)), "bucket int, keys binary, rows binary, places binary, nodes binary, roots binary, sizes binary")
-    dealt.groupBy("bucket").applyInArrow(_crossing(similarity), "a long, b long").selectExpr("least(a, b) a", "greatest(a, b) b").distinct().write.parquet(at[3])
-    rest = spark.read.schema("a long, b long").parquet(at[3])
-    roots = written(components(edges.unionByName(verified(rest))), "roots")
+    size = F.length("shingles") / 4
+    entries = sets.agg(F.sum(size - F.ceil(similarity * size) + 1).alias("n")).first()["n"] or 0
+    dealt = sets.join(roots.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "shingles")
+    dealt = dealt.mapInArrow(_deal(max(BUCKETS, int(entries) // JOIN_BUCKET), similarity, *_frequent(sets)), "bucket int, keys binary, rows binary, places binary, nodes binary, roots binary, sizes binary")
+    dealt.groupBy("bucket").applyInArrow(_crossing(similarity), "a long, b long").selectExpr("least(a, b) a", "greatest(a, b) b").distinct().write.parquet(at[2])
+    more = written(verified(spark.read.schema("a long, b long").parquet(at[2])), "edges")
+    if not more.isEmpty():
+        roots = written(components(edges.unionByName(more)), "roots")
+    spark.sql(f"drop table {name}")
     for path in at:
         delete(spark, path)
-    classes = nodes.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("least"))
-    return rows.select("doc_id", "key").join(classes, "key", "left").select("doc_id", "key", "least")
+    same = one.select("id", "key").join(nodes.select("key", "node"), "key").join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("least"))
+    return rows.select("doc_id", "key", "id").join(same, "id")
+
+
+def _set_table(table: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int, name: str, path: str) -> DataFrame:
+    """node, shingles of all nodes with words, as a table bucketed by node: its joins shuffle the other side only."""
+    found = table.mapInArrow(_shingle_sets(shingle), "doc_id long, key binary, shingles binary").where("length(shingles) > 0")
+    named = found.where("doc_id is not null").withColumnRenamed("doc_id", "node")
+    if not rows.where("doc_id is null").isEmpty():
+        ids = rows.where("doc_id is null").select("key", F.col("id").alias("node")).distinct()
+        named = named.unionByName(found.where("doc_id is null").drop("doc_id").join(ids, "key").dropDuplicates(["key"]).select("node", "key", "shingles"))
+    n_bytes = table.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    n = max(BUCKETS, n_bytes // SET_BYTES)
+    kept = named.repartition(n, "node").join(nodes.select("node").hint("merge"), "node", "left_semi")
+    sets = kept.groupBy("node").agg(F.min(F.struct("key", "shingles")).alias("m")).select("node", "m.shingles")
+    sets.write.option("compression", "none").bucketBy(n, "node").sortBy("node").option("path", path).saveAsTable(name)
+    return table.sparkSession.table(name)
 
 
 def keep_first(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs (all columns) that stay: of each class of similar texts the row with the smallest doc_id.
 
-    Of several rows with that id the one with the least text stays. A row with a null doc_id goes if its words are those
-    of a row with an id; of several such rows without an id and with the same words, one stays.
+    Of several rows with that id the one with the least text stays. Rows with a null doc_id come after all others; one of
+    them stays if its class holds no row with an id.
     """
     from pyspark.sql import Window
 
-    found = similar_classes(docs.select("doc_id", "text"), shingle, similarity)
-    first = found.where("doc_id = least").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi")
+    found = written(similar_classes(docs.select("doc_id", "text"), shingle, similarity).where("id = least"), "first")
+    # merge: what is shuffled follows the input at every size
+    kept = docs.where("doc_id is not null").join(found.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
     if not kept.groupBy("doc_id").count().where("count > 1").isEmpty():
         kept = kept.withColumn("__row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__row = 1").drop("__row")
-    unnamed = docs.where("doc_id is null")
-    if unnamed.isEmpty():
+    alone = found.where("doc_id is null").select("key").distinct()
+    if alone.isEmpty():
         return kept.select(*docs.columns)
-    words = F.lower(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", " ")))
-    known = docs.where("doc_id is not null").select(words.alias("__w")).distinct()
-    alone = unnamed.withColumn("__w", words).join(known, "__w", "left_anti").dropDuplicates(["__w"]).drop("__w")
-    return kept.select(*docs.columns).unionByName(alone.select(*docs.columns))
+    unnamed = docs.where("doc_id is null").withColumn("__key", _word_key("text")).join(alone.withColumnRenamed("key", "__key"), "__key", "left_semi")
+    return kept.select(*docs.columns).unionByName(unnamed.dropDuplicates(["__key"]).select(*docs.columns))

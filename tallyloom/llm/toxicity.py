@@ -271,12 +271,8 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: f
     and never learned from. Without labels of both kinds every score is class 1's share (0.5 without any).
     """
     table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    y = training(labels, label)
-    n = y.count()
-    if n > FIT_ROWS:
-        y = y.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * FIT_ROWS / n))
     # FIT_ROWS pairs of numbers: under a megabyte, whatever the corpus, so texts are not shuffled
-    rows = written(table.join(F.broadcast(y), "doc_id").select("text", "y"), "labelled")
+    rows = written(table.join(F.broadcast(training(labels, label, FIT_ROWS)), "doc_id").select("text", "y"), "labelled")
     entries = learn_lexicon(rows)
     got = rows.mapInArrow(_measure(entries, True), "y int, x array<double>").groupBy("x", "y").agg(F.count("*").alias("n")).collect()  # FIT_ROWS at most
     seen = sorted((tuple(r.x), r.y, r.n) for r in got)

@@ -223,6 +223,24 @@ def test_crowded_near_copies(spark):
     assert 3 < _same_classes(spark, dict(zip(ids, texts.values(), strict=True))) < len(texts)
 
 
+def test_all_pairs_of_the_test_table(spark):
+    """Every pair of documents with a similarity of 0.8 or more lies in one class, crowded groups included."""
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    sets = {d: {tuple(w[i : i + min(5, len(w))]) for i in range(len(w) - min(5, len(w)) + 1)} for d, t in docs if (w := t.lower().split())}
+    holders: dict[tuple, list[int]] = {}
+    for d, x in sets.items():
+        for g in x:
+            holders.setdefault(g, []).append(d)
+    # of the sets that share a shingle, those that share one of the rarest fifth: no similar pair shares none of them
+    pairs = set()
+    for d, x in sets.items():
+        for g in sorted(x, key=lambda g: (len(holders[g]), g))[: len(x) - int(np.ceil(0.8 * len(x))) + 1]:
+            pairs.update((min(d, e), max(d, e)) for e in holders[g] if e != d)
+    close = [(a, b) for a, b in pairs if (both := len(sets[a] & sets[b])) >= 0.8 * (len(sets[a]) + len(sets[b]) - both)]
+    least = {r.doc_id: r.least for r in simhash.similar_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert len(close) > 50 and all(least[a] == least[b] for a, b in close)
+
+
 def test_repeated_appended_truncated_copies(spark):
     """Copies with a passage repeated, text appended or the end cut, against brute force; repeats leave fingerprints alone."""
     rng = np.random.default_rng(11)

@@ -168,6 +168,12 @@ def test_similar_texts(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string, key string")
     kept = simhash.keep_first(df).collect()
     assert sorted(str(r.doc_id) for r in kept) == sorted([str(g * 10) for g in range(30)] + ["900", "902", "904", "None"])
+    near = docs[0][1].split()
+    near[3] = "other"
+    lone = [(None, "\u00c9 one two", "x"), (None, "\u00e9 one two", "x"), (None, " ".join(near), "x"), (None, "\u00c9  ONE two", "x")]
+    kept = simhash.keep_first(df.unionByName(spark.createDataFrame(lone, df.schema))).where("doc_id is null").collect()
+    # near copies of rows with ids go; only A-Z is lower-cased; of equal words one row stays
+    assert sorted(r.text.lower().split()[-1] for r in kept) == ["else", "two", "two"] and len({r.text[0] for r in kept}) == 3
     assert simhash.keep_first(df.where("false")).count() == 0
 
 
