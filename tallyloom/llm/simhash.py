@@ -253,7 +253,7 @@ SKETCH_BUCKET = 1 << 19  # entries of sketches that one task merges
 BUCKETS = 64  # at least: a node goes to about 36 of them at any size, so what is shuffled follows the input
 SET_BYTES = 32 << 20  # of shingle sets in one bucket of their table
 JOIN_BUCKET = 1 << 21  # entries (shingle, node) of the exact round that one task joins
-SAMPLE, FREQUENT = 32, 1 << 18  # nodes of which one is counted for the order of shingles; shingles with a known count
+FREQUENT = 1 << 20  # shingles whose count orders them
 CLOSE = 26  # of 128 bits: texts of similarity 0.8 in five-word shingles differ in about 12
 
 
@@ -328,7 +328,7 @@ def _sketch_keys(buckets: int):
 
 
 def _candidates(table: pa.Table) -> pa.Table:
-    """Close pairs of one key for the first round: each node's smallest and nearest partner found in the bucket.
+    """Close pairs for the first round: of the partners that a node has in the bucket the nearest and the next by number.
 
     In a key of over 16 nodes a node is compared with its cluster's first and its neighbour only.
     """
@@ -380,9 +380,10 @@ def _candidates(table: pa.Table) -> pa.Table:
     gap = apart(where[a], where[b]) if len(a) else np.zeros(0, np.int64)
     end, other, far, pair = np.concatenate([a, b]), np.concatenate([b, a]), np.tile(gap, 2), np.tile(np.arange(len(a)), 2)
     stay = np.zeros(len(a), bool)
-    for order in (np.lexsort((other, end)), np.lexsort((other, far, end))):
+    step = np.abs(other - end)  # ties go to the next by number, so no node is the partner of very many
+    for order in (np.lexsort((step, end)), np.lexsort((step, far, end))):
         stay[pair[order[np.flatnonzero(np.diff(end[order], prepend=-1))]]] = True
-    return pa.table({"a": pa.array(names[a[stay]]), "b": pa.array(names[b[stay]]), "gap": pa.array(gap[stay].astype(np.int32))})
+    return pa.table({"a": pa.array(names[a[stay]]), "b": pa.array(names[b[stay]])})
 
 
 def _shingle_sets(shingle: int):
@@ -397,19 +398,19 @@ def _shingle_sets(shingle: int):
 
 
 def _tallies(batches):
+    """Per batch: shingles that several of its nodes have, and how many do."""
     for batch in batches:
         sets = batch.column("shingles").to_pylist()
         found, n = np.unique(np.frombuffer(b"".join(sets), np.uint32), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(n)], ["shingle", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(found[n > 1].astype(np.int64)), pa.array(n[n > 1])], ["shingle", "n"])
 
 
 def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingles that a sample of the nodes has most often, FREQUENT at most, and how often.
+    """Sorted shingles that most nodes have, FREQUENT at most, and a lower bound of how many have each.
 
     They only order the shingles of a set. Any order gives the same pairs in the end; rare shingles first give few to verify.
     """
-    some = sets.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).mapInArrow(_tallies, "shingle long, n long")
-    top = some.groupBy("shingle").agg(F.sum("n").alias("n")).where("n >= 4").orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
+    top = sets.mapInArrow(_tallies, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
     shingle, n = top["shingle"].to_numpy(), top["n"].to_numpy()
     order = np.argsort(shingle)
     return shingle[order].astype(np.uint32), n[order].astype(np.int32)
@@ -556,8 +557,8 @@ def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     buckets = max(BUCKETS, nodes.count() * 160 // SKETCH_BUCKET)
     sent = nodes.select("node", "p0", "p1").mapInArrow(_sketch_keys(buckets), "bucket int, keys binary, rows binary, nodes binary, prints binary")
     at = [new_path(spark, n) for n in ("pairs", "sets", "crossing")]
-    sent.groupBy("bucket").applyInArrow(_candidates, "a long, b long, gap int").distinct().write.parquet(at[0])
-    pairs = spark.read.schema("a long, b long, gap int").parquet(at[0])
+    sent.groupBy("bucket").applyInArrow(_candidates, "a long, b long").distinct().write.parquet(at[0])
+    pairs = spark.read.schema("a long, b long").parquet(at[0])
     name = f"shingle_sets_{uuid.uuid4().hex}"
     sets = _set_table(table, rows, nodes, shingle, name, at[1])
 
@@ -565,13 +566,8 @@ def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
         joined = some.join(sets.selectExpr("node as a", "shingles as x").hint("merge"), "a").join(sets.selectExpr("node as b", "shingles as y").hint("merge"), "b")
         return joined.select("a", "b", "x", "y").mapInArrow(_verified(similarity), "a long, b long")
 
-    # first each node with its nearest partner and its partner before it, which joins dense groups; ties go to the
-    # closest id, so that no node is the partner of very many
-    both = pairs.union(pairs.select("b", "a", "gap")).toDF("a", "b", "gap")
-    before = F.coalesce(F.max(F.when(F.col("b") < F.col("a"), F.col("b"))), F.min("b"))
-    best = both.groupBy("a").agg(before.alias("before"), F.min(F.struct("gap", F.abs(F.col("a") - F.col("b")), "b"))["b"].alias("near"))
-    few = best.select("a", F.explode(F.array("before", "near")).alias("b")).selectExpr("least(a, b) a", "greatest(a, b) b").distinct()
-    edges = written(verified(few), "edges")
+    # first what the fingerprints have found, which joins dense groups
+    edges = written(verified(pairs), "edges")
     roots = written(components(edges), "roots")
     # then, exactly, what still lies between components
     size = F.length("shingles") / 4
