@@ -31,6 +31,27 @@ def test_topk_edges(spark):
     assert topk.top_k(v.where("false"), v.where("false")).count() == 0
 
 
+def test_topk_long_vectors(spark, monkeypatch):
+    """Vectors too long for exact doubles, or for scores that fit a long, beside common ones, over several blocks."""
+    monkeypatch.setattr(topk, "CANDIDATES", 150)
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(600, 8)), 3)
+    x[[50, 77, 301]] *= 1e7
+    x[400] *= 1e300
+    rows = [(i, r.tolist()) for i, r in enumerate(x)]
+    v = spark.createDataFrame(rows, "id long, vector array<double>")
+    whole = [[int(np.floor(256.0 * c)) for c in r] for r in x]
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(v, v.where("id % 50 = 0"), 5).collect()}
+    assert len(got) == 12 * 5
+    clip = lambda s: min(max(s, -(2**63)), 2**63 - 1)
+    for q in range(0, 600, 50):
+        best = sorted(((-clip(sum(a * b for a, b in zip(whole[q], w, strict=True))), i) for i, w in enumerate(whole) if i != q))[:5]
+        have = [got[q, r] for r in range(1, 6)]
+        assert [s for _, s in have] == [-s for s, _ in best]
+        assert q == 400 or [i for i, _ in have] == [i for _, i in best]  # past a long, ties are many
+
+
 def test_topk_prunes_rightly(spark):
     rng = np.random.default_rng(5)
     x = np.round(rng.normal(size=(1500, 40)) * rng.exponential(size=(1500, 1)), 3)
@@ -178,6 +199,21 @@ def test_repeats_small_blocks(spark, monkeypatch):
     assert substring_dedup.remove_repeats(df.where("false")).count() == 0
 
 
+def test_blocks_follow_bytes(spark, monkeypatch):
+    """Ids far apart and bunched, long texts among short ones: blocks are in order of doc_id and of about equal bytes."""
+    monkeypatch.setattr(substring_dedup, "CELLS", 64)
+    rng = np.random.default_rng(12)
+    ids = sorted({*range(1000), *(int(x) for x in rng.integers(-(2**62), 2**62, 500)), -(2**63), 2**63 - 1})
+    table = spark.createDataFrame([(d, "x" * (3000 if d % 50 == 0 else 100), None) for d in ids], "doc_id long, text string, rest string")
+    cuts = substring_dedup._cuts(table, 20_000)
+    rows = table.mapInArrow(substring_dedup._deal(*cuts), "block int, doc_id long, z binary, size long, rest string").select("block", "doc_id", "size").collect()
+    block = {r.doc_id: r.block for r in rows}
+    order = [block[d] for d in ids]
+    assert order == sorted(order) and order[0] == 0 and len(set(order)) > 3
+    spread = [r for r in rows if not 0 <= r.doc_id < 1000]
+    assert max(sum(r["size"] for r in spread if r.block == b) for b in {r.block for r in spread} - {block[0]}) < 60_000
+
+
 def _similar(texts: dict[int, str], shingle: int = 5, similarity: float = 0.8) -> dict[int, int]:
     sets = {}
     for d, t in texts.items():

@@ -71,6 +71,10 @@ def test_token_files_edges(spark, plain, monkeypatch):
     for r, (d, t, _) in zip(sorted(back, key=lambda r: r.start), order, strict=True):
         assert (r.doc_id, r.start, np.frombuffer(r.ids, "<u4").tolist()) == (d, at, [*_ids(plain, t), 2])
         at += len(r.ids) // 4
+    every = np.concatenate([np.frombuffer(r.ids, "<u4") for r in sorted(back, key=lambda r: r.start)])
+    places = [0, 1, 7, 30, len(every) // 2, len(every) - 1, len(every) - 1, len(every), -1]
+    got = {r.place: r.id for r in token_files.tokens(spark, path, places).collect()}
+    assert got == {p: int(every[p]) for p in places if 0 <= p < len(every)}
     none = shared.new_path(spark, "t")
     token_files.write(docs.where("false"), none, PATH)
     assert token_files.digests(spark, none).count() == 0
@@ -115,6 +119,37 @@ def test_packing_in_groups(spark, monkeypatch):
     assert packing.pack(items.where("false"), 100).count() == 0
 
 
+def _evolved(size: list[int], capacity: int) -> tuple[int, int]:
+    """(bins of best-fit decreasing, bins after all epochs of all islands)."""
+    import pyarrow as pa
+
+    n = len(size)
+    items = pa.table({"grp": pa.array([0] * n, pa.int32()), "doc_id": list(range(n)), "piece": [0] * n, "length": size, "ids_crc32": [0] * n})
+    people = [pa.table({"packing": pa.array([], pa.binary()), "fitness": pa.array([], pa.float64())})] * packing.ISLANDS
+    for epoch in range(packing.EPOCHS):
+        out = [packing._evolve(capacity, epoch)(items.append_column("island", pa.array([i] * n, pa.int32())), p) for i, p in enumerate(people)]
+        best = [o.slice(int(np.argmax(o["fitness"].to_numpy())), 1) for o in out]
+        people = [pa.concat_tables([o, best[i - 1]]).select(["packing", "fitness"]) for i, o in enumerate(out)]
+    first = packing._fill(size, sorted(range(n), key=lambda i: -size[i]), capacity, [])
+    return len(first), min(len(packing._from_bytes(p)) for o in people for p in o["packing"].to_pylist())
+
+
+def test_evolution_beats_best_fit_decreasing():
+    """Sizes that fill bins in threes: best-fit decreasing wastes space that crossover recovers."""
+    rng = np.random.default_rng(1)
+    gains = []
+    for _ in range(3):
+        size = []
+        for _ in range(120):
+            a = int(rng.integers(380, 490))
+            b = int(rng.integers(251, (1000 - a) // 2 + 1))
+            size += [a, b, 1000 - a - b]
+        first, last = _evolved(size, 1000)
+        assert 120 <= last <= first
+        gains.append(first - last)
+    assert sum(gains) >= 3, gains
+
+
 def test_crossover_keeps_all_pieces():
     rng = np.random.default_rng(0)
     size = rng.integers(1, 60, 200).tolist()
