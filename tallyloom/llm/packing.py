@@ -3,8 +3,9 @@
 Pieces of documents are dealt into groups by a hash. Each group is packed by several islands, each with a population of
 packings started from best-fit decreasing in a perturbed order. A crossover injects whole well-filled bins of one parent
 into another, empties the bins that hold any of their pieces, and best-fits the pieces displaced. After each epoch an
-island's best packing migrates to the next island. The best of a group is kept; its badly filled bins are opened and
-their pieces go on to a next, smaller round of groups, until one group holds them all.
+island's best packing migrates to the next island. Every island evolves for one epoch at least, which also gathers the
+free space in few bins; later epochs end at once where no packing can have fewer bins. The best of a group is kept; its
+badly filled bins are opened and their pieces go on to a next, smaller round of groups, until one group holds them all.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from .shared import slices, written
 from .tokens import WordEncoder
 
 GROUP = 4000  # pieces of one group
-ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 6, 4
+ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 3, 8, 5
 WELL = 0.995  # filling from which a bin is kept between rounds
 GROUP_BITS, BIN_BITS = 31, 28  # of a sequence_id, below the round: the group, an int, and its bin, more than a group holds
 
@@ -80,23 +81,33 @@ def _fill(size: list[int], items, capacity: int, bins: list[list[int]]) -> list[
     return found.bins
 
 
-def _fitness(bins: list[list[int]], size: list[int], capacity: int) -> float:
+def _loads(bins: list[list[int]], size: list[int]) -> list[int]:
+    return [sum([size[i] for i in b]) for b in bins]
+
+
+def _fitness(loads: list[int], capacity: int) -> float:
     """Fewer bins first; among as many, the more unequally they are filled the better."""
-    return -len(bins) + sum((sum(size[i] for i in b) / capacity) ** 2 for b in bins) / (len(bins) + 1)
+    fill = np.array(loads) / capacity
+    return float((fill**2).sum() / (len(loads) + 1) - len(loads))
 
 
 def _cross(one: list[list[int]], two: list[list[int]], size: list[int], capacity: int, rng) -> list[list[int]]:
-    full = [b for b in two if sum(size[i] for i in b) >= WELL * capacity and len(b) > 1]
-    if not full:
-        return one
-    take = [full[i] for i in rng.permutation(len(full))[: max(1, len(full) // 3)]]
+    """A child of one: it takes whole well-filled bins of two, and best-fits the pieces displaced by them.
+
+    Mutation: bins filled badly are opened, and a few bins at random too, so that their space can be put together anew.
+    """
+    full = [b for b, n in zip(two, _loads(two, size), strict=True) if n >= WELL * capacity and len(b) > 1]
+    take = [full[i] for i in rng.permutation(len(full))[: -(-len(full) // 3)]]
     inside = {i for b in take for i in b}
-    clean = [b for b in one if inside.isdisjoint(b)]
-    displaced = [i for b in one if not inside.isdisjoint(b) for i in b if i not in inside]
-    badly = [b for b in clean if sum(size[i] for i in b) < 0.9 * capacity]
-    displaced += [i for b in badly for i in b]  # mutation: badly filled bins are opened as well
-    kept = [list(b) for b in clean if sum(size[i] for i in b) >= 0.9 * capacity] + [list(b) for b in take]
-    return _fill(size, sorted(displaced, key=lambda i: -size[i]), capacity, kept)
+    kept, displaced = [list(b) for b in take], []
+    luck = rng.random(len(one))
+    for b, n, r in zip(one, _loads(one, size), luck.tolist(), strict=True):
+        clash = not inside.isdisjoint(b)
+        if clash or n < 0.9 * capacity or r < 0.02:
+            displaced += [i for i in b if i not in inside] if clash else b
+        else:
+            kept.append(list(b))
+    return _fill(size, sorted(displaced, key=lambda i: -size[i] * (1 + 0.1 * float(rng.random()))), capacity, kept)
 
 
 def _ordered(table: pa.Table) -> pa.Table:
@@ -129,16 +140,17 @@ def _evolve(capacity: int, epoch: int):
         least = -(-sum(size) // capacity)
         rng = np.random.default_rng([group, island, epoch])
         people = [_from_bytes(p) for p in sorted(packings["packing"].to_pylist())]
-        while len(people) < POPULATION and not any(len(b) == least for b in people):
+        while len(people) < POPULATION:  # an island starts from best-fit decreasing, and from orders near it
             noise = np.array(size) * (1 + (0.15 * rng.random(len(size)) if people or island else 0))
             people.append(_fill(size, np.argsort(-noise, kind="stable").tolist(), capacity, []))
-        score = [_fitness(b, size, capacity) for b in people]
+        score = [_fitness(_loads(b, size), capacity) for b in people]
         for _ in range(GENERATIONS):
-            if any(len(b) == least for b in people):
+            if epoch and any(len(b) == least for b in people):
                 break  # as few bins as any packing of these pieces can have
             order = np.argsort(score)
-            child = _cross(people[order[-1]], people[order[int(rng.integers(len(order)))]], size, capacity, rng)
-            value = _fitness(child, size, capacity)
+            one, two = order[-1], order[int(rng.integers(len(order)))]  # one with itself: mutation alone
+            child = _cross(people[one], people[two], size, capacity, rng)
+            value = _fitness(_loads(child, size), capacity)
             if value > score[order[0]]:
                 people[order[0]], score[order[0]] = child, value
         best = np.argsort(score)[::-1][:POPULATION]

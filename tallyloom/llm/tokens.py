@@ -7,8 +7,11 @@ of its words in order. Words not seen before are encoded by the library itself,
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
+from . import words as W
+
 MOST = 1_000_000  # words kept by one Python worker
 _DELIMITER = "<|endoftext|>"
 _loaded: dict[str, WordEncoder] = {}
@@ -73,23 +76,24 @@ class WordEncoder:
         return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Per text, its ids as little-endian unsigned 32-bit integers."""
-        get, out, open_ = self.cache.get, [], []
-        new: set[bytes] = set()
-        for text in texts:
-            words = text.split()  # bytes: ASCII white space only, which the tokenizer drops
-            ids = list(map(get, words))
-            if None in ids:
-                lost = [k for k, x in enumerate(ids) if x is None]
-                new.update([words[k] for k in lost])
-                open_.append((len(out), words, ids, lost))
-                out.append(b"")
-            else:
-                out.append(b"".join(ids))
-        if new:
-            learnt = self._learn(new)
-            for i, words, ids, lost in open_:
-                for k in lost:
-                    ids[k] = learnt[words[k]]
-                out[i] = b"".join(ids)
-        return out
+        """Per text, its ids as little-endian unsigned 32-bit integers. Equal words (by 64-bit hashes) are looked up once."""
+        raw, at = W.text_bytes(pa.array(texts, pa.large_binary()))
+        starts, ends, per = W.split(raw, at, W.not_space())  # ASCII white space only, which the tokenizer drops
+        if not len(starts):
+            return [b""] * len(texts)
+        _, first, which = np.unique(W.hashes(raw, starts, ends), return_index=True, return_inverse=True)
+        data = raw.tobytes()
+        words = [data[i:j] for i, j in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        ids = list(map(self.cache.get, words))
+        lost = [k for k, x in enumerate(ids) if x is None]
+        if lost:
+            learnt = self._learn({words[k] for k in lost})
+            for k in lost:
+                ids[k] = learnt[words[k]]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, begin = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        n = size[which]
+        after = np.cumsum(n)
+        out = flat[np.repeat(begin[which] - (after - n), n) + np.arange(after[-1])].tobytes()
+        cut = np.concatenate([[0], after])[per] * 4
+        return [out[i:j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
