@@ -5,6 +5,7 @@ those ids of level k that have one, which level k's continuation bitmap marks. A
 bits) leads from an id's place in one level to its place in the next, so any token is read without decoding others.
 
 A file is a Parquet table of segments in ascending order of doc_id; a segment holds whole documents, about 65,536 ids.
+Levels are stored uncompressed, so their bytes are what `token_at` addresses.
 """
 
 from __future__ import annotations
@@ -103,7 +104,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
     size = table.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ordered = table.repartitionByRange(max(spark.sparkContext.defaultParallelism, size >> 24), "doc_id").sortWithinPartitions("doc_id", "text")
     ordered = ordered.withColumn("part", F.spark_partition_id())
-    ordered.mapInArrow(_encode(tokenizer, end_id), SCHEMA).write.option("compression", "zstd").parquet(path)
+    ordered.mapInArrow(_encode(tokenizer, end_id), SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def _decode(batches):
@@ -139,6 +140,22 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return _segments(spark, path).mapInArrow(_decode, "doc_id long, start long, ids binary")
 
 
+def _pick(batches):
+    for batch in batches:
+        for row in batch.to_pylist():
+            places = [p - row["before"] for p in row["places"]]
+            yield pa.RecordBatch.from_arrays([pa.array(row["places"], pa.int64()), pa.array([token_at(row["levels"], i) for i in places], pa.int64())], ["place", "id"])
+
+
+def tokens(spark: SparkSession, path: str, places: list[int]) -> DataFrame:
+    """place, id of the ids at these places (from 0, over all documents), by random access: only segments that hold one
+    are read, and in them a chunk, a bit and a rank for each level. Places past the end have no row; repeated ones have one.
+    """
+    wanted = F.array(*[F.lit(int(p)).cast("long") for p in sorted(set(places))]).cast("array<long>")
+    inside = F.filter(wanted, lambda p: (p >= F.col("before")) & (p < F.col("before") + F.col("n_tokens")))
+    return _segments(spark, path).withColumn("places", inside).where("size(places) > 0").select("before", "places", "levels").mapInArrow(_pick, "place long, id long")
+
+
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of the ids read back from the files."""
     return _segments(spark, path).mapInArrow(_checked, "doc_id long, start long, n_tokens long, ids_crc32 long")
