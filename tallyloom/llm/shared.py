@@ -47,7 +47,7 @@ def others(df: DataFrame, *used: str):
     return (F.struct(*[df[f"`{n}`"] for n in names]) if names else F.lit(None).cast("string")).alias("rest")
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts have about max_bytes at most (a single longer row comes alone)."""
     col = batch.column(batch.schema.get_field_index(column))
     size = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False)

@@ -27,7 +27,7 @@ BLOCK_BYTES = 6 << 20  # text in one block of documents
 CELLS = 1 << 17  # ranges of doc_id whose bytes are summed to cut blocks
 GROUP = 1 << 18  # suffixes that one prefix may have before it is lengthened
 TAIL = np.uint64(0x2545F4914F6CDD1D)
-BUCKET = 1 << 21  # suffixes, of several groups, that one task merges
+BUCKET = 1 << 20  # suffixes, of several groups, that one task merges
 DIGEST = 11  # bytes of a window's digest: among 2 * 10^13 windows less than one false match is expected
 
 
