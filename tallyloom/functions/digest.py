@@ -23,14 +23,15 @@ def tuple_hash(*fields: Column) -> Column:
     return F.sha2(F.concat(*parts), 256)
 
 
-def set_digest(df: DataFrame, keys: list[str], member: str, buckets: int = 64) -> DataFrame:
+def set_digest(df: DataFrame, keys: list[str], member: str) -> DataFrame:
     """Order-independent SHA-256 of each group's members, with their number.
 
-    Members are digested in buckets by their hash first, and the buckets' digests then, so no task sorts a whole group.
+    Members are digested in buckets by the first two hex digits of their SHA-256, and the buckets' digests then, so no
+    task sorts a whole group.
     """
-    bucket = F.pmod(F.crc32(F.col(member).cast("string")), F.lit(buckets)).cast("int")
+    bucket = F.substring(F.sha2(F.col(member).cast("string"), 256), 1, 2)
     parts = df.groupBy(*keys, bucket.alias("__b")).agg(F.count("*").alias("__n"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(member).cast("string"))), ";"), 256).alias("__d"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__b", "__d"))), lambda x: F.concat_ws("=", x["__b"].cast("string"), x["__d"])), ";")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__b", "__d"))), lambda x: F.concat_ws("=", x["__b"], x["__d"])), ";")
     return parts.groupBy(*keys).agg(F.sum("__n").alias("members"), F.sha2(whole, 256).alias("digest"))
 
 
@@ -39,7 +40,7 @@ def _shape(value) -> object:
         return {k: _shape(value[k]) for k in sorted(value)}
     if isinstance(value, list):
         return [json.loads(x) for x in sorted({json.dumps(_shape(v), sort_keys=True) for v in value})]
-    return "null" if value is None else "bool" if isinstance(value, bool) else "number" if isinstance(value, (int, float)) else "text"
+    return "null" if value is None else "bool" if isinstance(value, bool) else "int" if isinstance(value, int) else "float" if isinstance(value, float) else "text"
 
 
 def json_shape(payload: Column) -> Column:

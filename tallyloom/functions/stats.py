@@ -145,10 +145,9 @@ def _digamma(x: np.ndarray) -> np.ndarray:
 
 
 def moment_fit(y: np.ndarray, n: np.ndarray, w: np.ndarray) -> tuple[float, float]:
-    """(mean, concentration) by moments of weighted states (y, n)."""
-    total = (w * n).sum()
-    mean = float(np.clip(((w * y).sum() + 0.5) / (total + 1), 1e-6, 1 - 1e-6))
-    var = float((w * n * (y / n - mean) ** 2).sum() / total)
+    """(mean, concentration) by moments of states (y, n) that stand w times: rates count by how often they stand."""
+    mean = float(np.clip(((w * y).sum() + 0.5) / ((w * n).sum() + 1), 1e-6, 1 - 1e-6))
+    var = float((w * (y / n - mean) ** 2).sum() / w.sum())
     return mean, float(np.clip(mean * (1 - mean) / max(var, 1e-9) - 1, 1e-3, 1e6))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,6 +84,12 @@ def join_summary(joined: DataFrame, ratio: str, by: list[str], thresholds: list[
     return joined.groupBy(*by).agg(F.count("*").alias("rows"), F.count(ratio).alias("with_ratio"), F.round(F.min(ratio), 9).alias("min_ratio"), q(0.5).alias("median_ratio"), q(0.95).alias("p95_ratio"), F.round(F.max(ratio), 9).alias("max_ratio"), *above)
 
 
+def variant_summaries(variants: dict[str, DataFrame], ratio: str, by: list[str], thresholds: list[float]) -> DataFrame:
+    """`join_summary` of the same join under several mappings, side by side with the variant's name."""
+    parts = [join_summary(df, ratio, by, thresholds).select(F.lit(name).alias("variant"), "*") for name, df in variants.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def matched_coverage(crosswalk: DataFrame, observations: DataFrame, code: str, value: str) -> DataFrame:
     """By status: places, their share, total of value and its share."""
     v = observations.groupBy(code).agg(F.sum(value).alias("v"))

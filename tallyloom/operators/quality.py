@@ -100,6 +100,19 @@ def anomalies(units: DataFrame, facts: DataFrame, unit: str, complete: str) -> D
     return missing.unionByName(broken)
 
 
+def pinned_totals(rows: DataFrame, key: list[str], value: str, kind: str, pins: DataFrame) -> DataFrame:
+    """Totals of a source against pinned ones (check, expected): check, expected, actual, status.
+
+    Checks: rows, sum, repeated_keys and kind:<k> for each kind; a check that either side lacks differs.
+    """
+    repeated = rows.groupBy(*key).count().agg(F.sum(F.col("count") - 1).alias("repeated_keys"))
+    whole = rows.agg(F.count("*").alias("rows"), F.sum(value).alias("sum")).crossJoin(repeated)  # one row each
+    long = whole.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, ("rows", "sum", "repeated_keys"))), F.array(*[F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")) for c in ("rows", "sum", "repeated_keys")]))).alias("check", "actual"))
+    kinds = rows.groupBy(F.concat(F.lit("kind:"), F.col(kind).cast("string")).alias("check")).agg(F.count("*").alias("actual"))
+    j = long.unionByName(kinds).join(pins.select("check", F.col("expected").cast("long").alias("expected")), "check", "full_outer")
+    return j.select("check", "expected", "actual", F.when(F.col("expected").eqNullSafe(F.col("actual")), "equal").otherwise("different").alias("status"))
+
+
 def verify(gates: dict[str, DataFrame]) -> DataFrame:
     """Every gate with its number of findings and whether it passes."""
     counts = [df.agg(F.count("*").alias("findings")).select(F.lit(name).alias("gate"), "findings") for name, df in gates.items()]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import stats
-from tallyloom.operators import windows
+from tallyloom.operators import rollup, windows
 
 LEAST_DENOMINATOR, LEAST_PEERS, MOST_STATES = 80, 30, 512
 SHRINK = 8.0  # n / (n + SHRINK) is the weight of a level's own fit
@@ -30,7 +30,7 @@ def _scored(df: DataFrame, y: str, n: str, mean: str, concentration: str) -> Dat
 
 
 def peer_screen_moments(df: DataFrame, family: str, unit: str, levels: list[str], y: str, n: str, eligible: str) -> DataFrame:
-    """Peer screen with leave-one-out moment fits from window sums: pool, peers, reason, fit, z, effect, p, rank, q.
+    """Peer screen with leave-one-out moment fits from pools' sums: pool, peers, reason, fit, z, effect, p, rank, q.
 
     levels: finest first. Pools hold eligible rows only; a row without enough peers abstains.
     """
@@ -42,7 +42,7 @@ def peer_screen_moments(df: DataFrame, family: str, unit: str, levels: list[str]
         rows = windows.moment_fit(pooled.where(F.col(eligible)), [f"__{x}"], y, n).where(F.col("pool") == x)
         fits = rows if fits is None else fits.unionByName(rows)
     rest = pooled.where("pool is null").withColumns({"fit_mean": F.lit(None).cast("double"), "fit_concentration": F.lit(None).cast("double")})
-    out = _scored(fits.unionByName(rest).drop(*[f"__{x}" for x in levels]), y, n, "fit_mean", "fit_concentration")
+    out = _scored(fits.drop("fit_peers").unionByName(rest).drop(*[f"__{x}" for x in levels]), y, n, "fit_mean", "fit_concentration")
     return windows.by_adjust(out, family, "p", unit).withColumn("signal", F.lit(False))
 
 
@@ -103,77 +103,123 @@ def cluster_screen(df: DataFrame, family: str, place: str, levels: list[str], y:
 
 
 def hierarchical_reference(df: DataFrame, levels: list[str], y: str, n: str, eligible: str) -> DataFrame:
-    """Leave-one-out reference shrunk down the levels (coarsest first): adds ref_mean, ref_concentration, ref_level.
+    """Leave-one-out reference of each row, fitted to unit rows and shrunk down the levels (coarsest first).
 
-    Each level's fit of the others gets weight m / (m + 8), m others: means linearly, concentrations geometrically.
-    The level used is the finest with enough others: 9 in the place, 1 in the municipality, else the department.
+    Adds ref_level, ref_mean, ref_concentration, variance, p (two-sided tail) and low, high (central 95 %, as rates). All
+    rows, then each level, are fitted without the row, by moments; a level's fit of m others, two at least, gets weight
+    m / (m + 8) against its parent's: means linearly, concentrations geometrically. The level named is the finest with
+    enough others: 9 in the place, 1 in the municipality, else the department, which must have 30.
     """
-    rows = df.where(F.col(eligible)).withColumn("__all", F.lit(1))
-    fitted = windows.moment_fit(rows, ["__all"], y, n).withColumnsRenamed({"fit_mean": "ref_mean", "fit_concentration": "ref_concentration"})
+    fitted = windows.moment_fit(df.where(F.col(eligible)), [], y, n).withColumnsRenamed({"fit_mean": "ref_mean", "fit_concentration": "ref_concentration"}).drop("fit_peers")
     level = F.lit(None).cast("string")
     for i, x in enumerate(levels):
-        fitted = windows.moment_fit(fitted, [x], y, n).withColumn(f"__m_{x}", F.count("*").over(Window.partitionBy(x)) - 1)
-        w = F.col(f"__m_{x}") / (F.col(f"__m_{x}") + SHRINK)
-        enough = F.col(f"__m_{x}") >= (0 if i == 0 else 1 if i < len(levels) - 1 else 9)
-        usable = enough & F.col("fit_concentration").isNotNull()
+        m = F.col(f"__m_{x}")
+        fitted = windows.moment_fit(fitted, [x], y, n).withColumnRenamed("fit_peers", f"__m_{x}")
+        w, usable = m / (m + SHRINK), m >= 2
         mean = F.when(usable, w * F.col("fit_mean") + (1 - w) * F.col("ref_mean")).otherwise(F.col("ref_mean"))
         strength = F.when(usable, F.exp(w * F.log("fit_concentration") + (1 - w) * F.log("ref_concentration"))).otherwise(F.col("ref_concentration"))
-        fitted = fitted.withColumns({"ref_mean": mean, "ref_concentration": strength})
-        level = F.when(enough, F.lit(x)).otherwise(level)
+        fitted = fitted.withColumns({"ref_mean": mean, "ref_concentration": strength}).drop("fit_mean", "fit_concentration")
+        level = F.when(m >= (0 if i == 0 else 1 if i < len(levels) - 1 else 9), F.lit(x)).otherwise(level)
     ok = F.col(f"__m_{levels[0]}") >= LEAST_PEERS
-    out = fitted.withColumn("ref_level", F.when(ok, level)).withColumn("ref_mean", F.when(ok, F.col("ref_mean"))).withColumn("ref_concentration", F.when(ok, F.col("ref_concentration")))
-    out = out.select(*df.columns, "ref_level", "ref_mean", "ref_concentration")
+    out = fitted.withColumns({"ref_level": F.when(ok, level), "ref_mean": F.when(ok, F.col("ref_mean")), "ref_concentration": F.when(ok, F.col("ref_concentration"))})
     rest = df.where(~F.coalesce(F.col(eligible), F.lit(False)))
-    return out.unionByName(rest.withColumns({"ref_level": F.lit(None).cast("string"), "ref_mean": F.lit(None).cast("double"), "ref_concentration": F.lit(None).cast("double")}))
+    kinds = {"ref_level": "string", "ref_mean": "double", "ref_concentration": "double"}
+    out = out.select(*df.columns, *kinds).unionByName(rest.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items()}))
+    a, b = F.col("ref_mean") * F.col("ref_concentration"), (1 - F.col("ref_mean")) * F.col("ref_concentration")
+    tail = stats.beta_binomial_tail(F.col(y).cast("double"), F.col(n).cast("double"), F.col("ref_mean"), F.col("ref_concentration"))
+    out = out.withColumn("variance", stats.beta_binomial_variance(F.col(n), a, b)).withColumn("__t", tail)
+    return out.select("*", F.col("__t.p").alias("p"), (F.col("__t.low") / F.col(n)).alias("low"), (F.col("__t.high") / F.col(n)).alias("high")).drop("__t")
 
 
 def municipality_left_out(df: DataFrame, department: str, municipality: str, y: str, n: str) -> DataFrame:
-    """Each municipality's total against the rest of its department: expected and variance with one shared latent rate."""
-    m = df.groupBy(department, municipality).agg(F.sum(y).alias("y"), F.sum(n).alias("n"))
-    fit = windows.moment_fit(m, [department], "y", "n")
-    a, b = F.col("fit_mean") * F.col("fit_concentration"), (1 - F.col("fit_mean")) * F.col("fit_concentration")
-    return fit.select(department, municipality, "y", "n", (F.col("n") * F.col("fit_mean")).alias("expected"), stats.beta_binomial_variance(F.col("n"), a, b).alias("variance"))
+    """Each municipality's total against the unit rows of all other municipalities, fitted by moments.
 
+    expected and variance with one latent rate shared by the municipality; null with fewer than two rows outside. No
+    p-value: the uncertainty of the fit is not in the variance.
+    """
+    own = df.groupBy(department, municipality).agg(*windows.moment_sums(y, n))
+    sums = ("__y", "__n", "__k", "__r", "__rr")
+    total = own.agg(*[F.sum(c).alias(f"{c}_all") for c in sums])  # one row
+    out = own.crossJoin(F.broadcast(total))
+    mean, concentration = windows.moments(*[F.col(f"{c}_all") - F.col(c) for c in sums])
+    out = out.withColumns({"mean": mean, "concentration": concentration})
+    ok, trials = F.col("__k_all") - F.col("__k") >= 2, F.col("__n")
+    a, b = F.col("mean") * F.col("concentration"), (1 - F.col("mean")) * F.col("concentration")
+    return out.select(
+        department, municipality, F.col("__k").alias("units"), F.col("__y").alias("y"), trials.alias("n"),
+        F.when(ok, trials * F.col("mean")).alias("expected"), F.when(ok, stats.beta_binomial_variance(trials, a, b)).alias("variance"),
+    )
+
+
+# Screens by permutation: a permutation's draws depend on the municipality's key and the batch, never on the partitioning.
+
+
+def _seed(group, start: int) -> np.random.Generator:
+    return np.random.default_rng([zlib.crc32(str(group).encode()), start])
+
+
+def _batched(df: DataFrame, first: int, last: int, batch: int) -> DataFrame:
+    """df once for each batch of the permutations first .. last - 1, with the batch's start and size."""
+    starts = df.withColumn("start", F.explode(F.sequence(F.lit(first), F.lit(last - 1), F.lit(batch))))
+    return starts.withColumn("size", F.least(F.lit(batch), F.lit(last) - F.col("start")))
 
-# Screens by permutation: a permutation's draws depend on the block's key and the batch, never on the partitioning.
 
+def _reached(tops: np.ndarray):
+    """Column function: how many of the permutations' maxima reach a value."""
+    ordered = np.sort(tops)
 
-def _runs(x: np.ndarray) -> np.ndarray:
-    return (x[:, 1:] != x[:, :-1]).sum(1) + 1
+    def count(value: pd.Series) -> pd.Series:
+        return pd.Series(len(ordered) - np.searchsorted(ordered, value.abs().to_numpy(np.float64) - 1e-12)).where(value.notna().to_numpy()).astype("Int64")
 
+    return F.pandas_udf(count, "long")
 
-def _permuted_runs(batch: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        place, block, b = str(pdf["place"].iloc[0]), int(pdf["block"].iloc[0]), int(pdf["batch"].iloc[0])
-        x = pdf.sort_values("sequence")["category"].astype("category").cat.codes.to_numpy()
-        rng = np.random.default_rng([zlib.crc32(place.encode()), block, b])
-        return pd.DataFrame({"place": pdf["place"].iloc[0], "permutation": b * batch + np.arange(batch), "runs": _runs(rng.permuted(np.tile(x, (batch, 1)), axis=1)).astype(np.int64)})
 
-    return run
+def runs_distribution(a: int, b: int) -> np.ndarray:
+    """Probabilities of 2, 3, .. a + b runs when a and b labels of two kinds are shuffled."""
+    k = np.arange(1, a + b)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        choose = lambda n, m: np.where((m >= 0) & (m <= n), np.exp(stats.log_gamma(np.full(len(m), n + 1.0)) - stats.log_gamma(np.maximum(m, 0) + 1.0) - stats.log_gamma(np.maximum(n - m, 0) + 1.0) - total), 0.0)
+        total = 0.5 * float((stats.log_gamma(np.array([a + b + 1.0])) - stats.log_gamma(np.array([a + 1.0])) - stats.log_gamma(np.array([b + 1.0])))[0])
+        even = 2 * choose(a - 1, k - 1) * choose(b - 1, k - 1)
+        odd = choose(a - 1, k) * choose(b - 1, k - 1) + choose(a - 1, k - 1) * choose(b - 1, k)
+    out = np.zeros(a + b - 1)
+    for runs, p in ((2 * k, even), (2 * k + 1, odd)):
+        inside = runs <= a + b
+        out[runs[inside] - 2] = p[inside]
+    return out / out.sum()
 
 
-def runs_screen(df: DataFrame, place: str, municipality: str, sequence: str, category: str, permutations: int = 999, batch: int = 256) -> DataFrame:
+def _drawn_runs(pdf: pd.DataFrame) -> pd.DataFrame:
+    """|z| of one municipality for each permutation of a batch: runs of a shuffled block are drawn from their distribution."""
+    start, size = int(pdf["start"].iloc[0]), int(pdf["size"].iloc[0])
+    pdf = pdf.sort_values(["place", "block"], kind="stable").reset_index(drop=True)
+    rng = _seed(pdf["municipality"].iloc[0], start)
+    drawn = np.empty((len(pdf), size), np.int32)
+    for (a, b), rows in sorted(pdf.groupby(["a", "b"]).indices.items()):
+        drawn[rows] = np.searchsorted(np.cumsum(runs_distribution(int(a), int(b)))[:-1], rng.random((len(rows), size))) + 2
+    first = np.flatnonzero(np.concatenate([[True], pdf["place"].to_numpy()[1:] != pdf["place"].to_numpy()[:-1]]))
+    e, v = (np.add.reduceat(pdf[c].to_numpy(np.float64), first)[:, None] for c in ("expected", "variance"))
+    z = ((np.add.reduceat(drawn, first, axis=0) - e) / np.sqrt(v)).sum(0) / np.sqrt(len(first))
+    return pd.DataFrame({"permutation": start + np.arange(size), "top": np.abs(z)})
+
+
+def runs_screen(df: DataFrame, place: str, municipality: str, sequence: str, category: str, permutations: int = 9_999, batch: int = 256) -> DataFrame:
     """Municipalities' runs z (sum of place z over root k) with max-T p-values over the family of municipalities.
 
-    Blocks have 6 values and two categories at least. (block, batch of permutations) is the unit of work; a permutation
-    keeps one number for each municipality, and its maximum over municipalities.
+    Blocks have 6 values and two categories at least. A permutation shuffles each block; only its number of runs matters,
+    so that is drawn from its exact distribution. (municipality, batch of permutations) is the unit of work; one maximum
+    for each permutation reaches the driver. 999 permutations at least.
     """
+    if permutations < 999:
+        raise ValueError("at least 999 permutations")
     b = windows.blocks(df, [municipality, place], sequence, category)
-    moments = windows.runs_moments(b, [municipality, place, "block"], sequence, category)
-    places = moments.groupBy(municipality, place).agg(F.sum("runs").alias("runs"), F.sum("expected").alias("e"), F.sum("variance").alias("v")).where("v > 0")
+    found = windows.runs_moments(b, [municipality, place, "block"], sequence, category).where("variance > 0")
+    places = found.groupBy(municipality, place).agg(F.sum("runs").alias("runs"), F.sum("expected").alias("e"), F.sum("variance").alias("v"))
     observed = places.groupBy(municipality).agg((F.sum((F.col("runs") - F.col("e")) / F.sqrt("v")) / F.sqrt(F.count("*"))).alias("z"), F.count("*").alias("places"))
-    batches = -(-permutations // batch)
-    rows = b.join(moments.select(municipality, place, "block"), [municipality, place, "block"], "left_semi")
-    rows = rows.select(F.col(municipality).alias("municipality"), F.col(place).alias("place"), "block", F.col(sequence).alias("sequence"), F.col(category).alias("category"), F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("batch"))
-    kind = df.schema[place].dataType.simpleString()
-    drawn = rows.groupBy("place", "block", "batch").applyInPandas(_permuted_runs(batch), f"place {kind}, permutation long, runs long").where(F.col("permutation") < permutations)
-    per_place = drawn.groupBy("place", "permutation").agg(F.sum("runs").alias("r")).join(places.select(F.col(place).alias("place"), F.col(municipality).alias("municipality"), "e", "v"), "place")
-    z = per_place.groupBy("municipality", "permutation").agg((F.sum((F.col("r") - F.col("e")) / F.sqrt("v")) / F.sqrt(F.count("*"))).alias("z"))
-    top = z.groupBy("permutation").agg(F.max(F.abs("z")).alias("top"))
-    # as many rows as permutations, sorted once: how many maxima reach each |z|
-    tops = top.agg(F.array_sort(F.collect_list("top")).alias("tops"))
-    at_least = F.size(F.filter("tops", lambda t: t >= F.abs("z") - 1e-12))
-    return observed.crossJoin(F.broadcast(tops)).select(municipality, "places", "z", ((1 + at_least) / (permutations + 1)).alias("p"))
+    rows = found.select(F.col(municipality).alias("municipality"), F.col(place).alias("place"), "block", F.col("fewer").cast("int").alias("a"), (F.col("n") - F.col("fewer")).cast("int").alias("b"), "expected", "variance")
+    drawn = _batched(rows, 0, permutations, batch).groupBy("municipality", "start").applyInPandas(_drawn_runs, "permutation long, top double")
+    tops = drawn.groupBy("permutation").agg(F.max("top").alias("top")).toPandas()["top"].to_numpy(np.float64)
+    return observed.select(municipality, "places", "z", ((1 + _reached(tops)("z")) / (permutations + 1)).alias("p"))
 
 
 def neighbours(units: DataFrame, unit: str, group: str, lat: str, lon: str, k: int = 5, most_km: float = 20.0) -> DataFrame:
@@ -218,44 +264,100 @@ def spatial_units(rows: DataFrame, unit: str, group: str, lat: str, lon: str, re
     return g.withColumn("status", status).drop("__ok", "__c")
 
 
-def _permuted_moran(batch: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        group, b = str(pdf["group"].iloc[0]), int(pdf["batch"].iloc[0])
-        pdf = pdf.sort_values("unit")
-        x = pdf["residual"].to_numpy(np.float64)
-        at = {u: i for i, u in enumerate(pdf["unit"])}
-        tested = [(i, [at[o] for o in others if o in at]) for i, (others, ok) in enumerate(zip(pdf["others"], pdf["tested"], strict=True)) if ok]
-        z, v = x - x.mean(), x.var()
-        rng = np.random.default_rng([zlib.crc32(group.encode()), b])
-        drawn = z[rng.permuted(np.tile(np.arange(len(z)), (batch, 1)), axis=1)]
-        top = np.zeros(batch)
-        for i, others in tested:
-            top = np.maximum(top, np.abs(drawn[:, i] * drawn[:, others].mean(1)) / v)
-        return pd.DataFrame({"permutation": b * batch + np.arange(batch), "top": top})
+MOST_EXTENDED = 99_999  # permutations where a p-value of the first ones is 0.01 or less
+COLUMNS = 256  # tested units whose statistics a task holds at once
 
-    return run
 
+def _moran_draws(pdf: pd.DataFrame):
+    """One municipality, one batch: (units, |observed|, |statistics| by permutation and unit) of the tested units, in chunks."""
+    start, size = int(pdf["start"].iloc[0]), int(pdf["size"].iloc[0])
+    pdf = pdf.sort_values("unit", kind="stable").reset_index(drop=True)
+    x = pdf["residual"].to_numpy(np.float64)
+    at = {u: i for i, u in enumerate(pdf["unit"])}
+    tested = np.flatnonzero(pdf["tested"].to_numpy(bool))
+    near = [[at[o] for o in pdf["others"].iloc[i] if o in at] for i in tested]
+    z, v = x - x.mean(), x.var()
+    drawn = z[_seed(pdf["group"].iloc[0], start).permuted(np.tile(np.arange(len(z)), (size, 1)), axis=1)]
+    for c in range(0, len(tested), COLUMNS):
+        own, others = tested[c : c + COLUMNS], near[c : c + COLUMNS]
+        wide = max(map(len, others))
+        index = np.array([o + [0] * (wide - len(o)) for o in others])
+        weight = np.array([[1 / len(o)] * len(o) + [0.0] * (wide - len(o)) for o in others])
+        lag = lambda values: sum(values[:, index[:, j]] * weight[:, j] for j in range(wide))  # noqa: B023, E731
+        yield pdf["unit"].to_numpy()[own], np.abs(z[own] * lag(z[None, :])[0] / v), np.abs(drawn[:, own] * lag(drawn) / v)
 
-def spatial_screen(units: DataFrame, unit: str, group: str, lat: str, lon: str, residual: str, permutations: int = 9999, batch: int = 512, least_units: int = 100) -> DataFrame:
-    """Local Moran screen with synchronised max-T permutations: neighbours, local_i, p, flag, kind, reason.
 
-    All valid units of a municipality are exchanged; those with 3 neighbours in a municipality of least_units such
-    units are tested. A task holds one municipality and one batch of permutations. p = (1 + reached) / (1 + N).
-    """
+def _top_moran(pdf: pd.DataFrame) -> pd.DataFrame:
+    top = np.zeros(int(pdf["size"].iloc[0]))
+    for _, _, drawn in _moran_draws(pdf):
+        top = np.maximum(top, drawn.max(1))
+    return pd.DataFrame({"permutation": int(pdf["start"].iloc[0]) + np.arange(len(top)), "top": top})
+
+
+def _unit_moran(pdf: pd.DataFrame) -> pd.DataFrame:
+    got = [(units, (drawn >= observed - 1e-12).sum(0)) for units, observed, drawn in _moran_draws(pdf)]
+    return pd.DataFrame({"unit": np.concatenate([u for u, _ in got]), "reached": np.concatenate([n for _, n in got])})
+
+
+def _moran_work(units: DataFrame, unit: str, group: str, lat: str, lon: str, residual: str, least_units: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with neighbours, local_i and tested; all units of municipalities with tested ones, with their neighbours)."""
     links = neighbours(units, unit, group, lat, lon)
     moran = local_moran(units, links, unit, group, residual)
-    enough = F.count("local_i").over(Window.partitionBy(group)) >= least_units
-    rows = moran.withColumn("tested", F.col("local_i").isNotNull() & enough)
+    counts = moran.groupBy(group).agg(F.count("local_i").alias("__scored"))
+    rows = moran.join(counts, group).withColumn("tested", F.col("local_i").isNotNull() & (F.col("__scored") >= least_units))
     near = links.groupBy(unit).agg(F.array_sort(F.collect_list("other")).alias("others"))  # k at most
-    work = rows.join(near, unit, "left").withColumn("others", F.coalesce("others", F.array().cast(near.schema["others"].dataType)))
-    batches = -(-permutations // batch)
-    with_tests = work.withColumn("__any", F.max("tested").over(Window.partitionBy(group))).where("__any")
-    given = with_tests.select(F.col(group).alias("group"), F.col(unit).alias("unit"), F.col(residual).alias("residual"), "others", "tested", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("batch"))
-    tops = given.groupBy("group", "batch").applyInPandas(_permuted_moran(batch), "permutation long, top double").where(F.col("permutation") < permutations)
-    tops = tops.groupBy("permutation").agg(F.max("top").alias("top")).agg(F.array_sort(F.collect_list("top")).alias("tops"))
-    reached = F.size(F.filter("tops", lambda t: t >= F.abs("local_i") - 1e-12))
-    out = rows.crossJoin(F.broadcast(tops))
-    p = F.when(F.col("tested"), (1 + reached) / (1 + permutations))
+    work = rows.where(F.col("__scored") >= least_units).join(near, unit, "left").withColumn("others", F.coalesce("others", F.array().cast(near.schema["others"].dataType)))
+    return rows.drop("__scored"), work.select(F.col(group).alias("group"), F.col(unit).alias("unit"), F.col(residual).alias("residual"), "others", "tested")
+
+
+def _enough(permutations: int) -> None:
+    if permutations < 9_999:
+        raise ValueError("at least 9,999 permutations")
+
+
+def spatial_screen(units: DataFrame, unit: str, group: str, lat: str, lon: str, residual: str, permutations: int = 9_999, most: int = MOST_EXTENDED, batch: int = 128, least_units: int = 100) -> DataFrame:
+    """Local Moran screen with synchronised max-T permutations: neighbours, local_i, p, rank, flag, kind, reason.
+
+    All valid units of a municipality are exchanged; those with 3 neighbours in a municipality of least_units such
+    units are tested. A task holds one municipality and one batch of permutations; one maximum for each permutation
+    reaches the driver. p = (1 + reached) / (1 + N); if one is 0.01 or less, N grows to `most` for all. rank: by p, then unit.
+    """
+    _enough(permutations)
+    rows, work = _moran_work(units, unit, group, lat, lon, residual, least_units)
+
+    def tops(first: int, last: int) -> np.ndarray:
+        found = _batched(work, first, last, batch).groupBy("group", "start").applyInPandas(_top_moran, "permutation long, top double")
+        return found.groupBy("permutation").agg(F.max("top").alias("top")).toPandas()["top"].to_numpy(np.float64)
+
+    got, largest = tops(0, permutations), rows.where("tested").agg(F.max(F.abs("local_i")).alias("m")).first().m
+    if largest is not None and most > permutations and (1 + (got >= largest - 1e-12).sum()) / (1 + permutations) <= 0.01:
+        got, permutations = np.concatenate([got, tops(permutations, most)]), most
+    out = rows.withColumn("p", F.when(F.col("tested"), (1 + _reached(got)("local_i")) / (1 + permutations)))
     reason = F.when(F.col("neighbours") < 3, "fewer_than_3_neighbours").when(F.col("local_i").isNull(), "no_variance").when(~F.col("tested"), f"fewer_than_{least_units}_eligible_units")
-    flag = F.coalesce((p <= 0.001) & (F.abs("local_i") >= 0.25), F.lit(False))
-    return out.select(*units.columns, "neighbours", "local_i", p.alias("p"), flag.alias("flag"), F.when(flag, F.when(F.col("local_i") > 0, "cluster").otherwise("outlier")).alias("kind"), reason.alias("reason"))
+    flag = F.coalesce((F.col("p") <= 0.001) & (F.abs("local_i") >= 0.25), F.lit(False))
+    out = out.withColumn("__key", F.struct("p", unit))
+    ranked = out.join(rollup.dense_ids(out.where("tested"), "__key", "rank"), "__key", "left")
+    return ranked.select(*units.columns, "neighbours", "local_i", "p", F.col("rank").cast("long").alias("rank"), flag.alias("flag"), F.when(flag, F.when(F.col("local_i") > 0, "cluster").otherwise("outlier")).alias("kind"), reason.alias("reason"))
+
+
+def joint_permutations(units: DataFrame, unit: str, group: str, lat: str, lon: str, residual: str, permutations: int = 9_999, most: int = MOST_EXTENDED, batch: int = 128, least_units: int = 100) -> DataFrame:
+    """Each tested unit's own permutation p inside its municipality: unit, local_i, permutations, p.
+
+    One shuffle of a municipality's residuals serves all its units. Municipalities in which a p is 0.01 or less are
+    extended to `most` permutations.
+    """
+    _enough(permutations)
+    rows, work = _moran_work(units, unit, group, lat, lon, residual, least_units)
+    kind = units.schema[unit].dataType.simpleString()
+
+    def reached(some: DataFrame, first: int, last: int) -> DataFrame:
+        found = _batched(some, first, last, batch).groupBy("group", "start").applyInPandas(_unit_moran, f"unit {kind}, reached long")
+        return found.groupBy(F.col("unit").alias(unit)).agg(F.sum("reached").alias("reached"))
+
+    tested = rows.where("tested").select(unit, group, "local_i")
+    first = tested.join(reached(work, 0, permutations), unit)
+    low = first.where((1 + F.col("reached")) / (1 + permutations) <= 0.01).select(group).distinct().withColumn("__more", F.lit(True))
+    more = reached(work.join(low.select(F.col(group).alias("group")), "group", "left_semi"), permutations, most).withColumnRenamed("reached", "__again")
+    out = first.join(low, group, "left").join(more, unit, "left")
+    n = F.when(F.col("__more"), F.lit(most)).otherwise(F.lit(permutations)).cast("long")
+    return out.select(unit, "local_i", n.alias("permutations"), ((1 + F.col("reached") + F.coalesce("__again", F.lit(0))) / (1 + n)).alias("p"))

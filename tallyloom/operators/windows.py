@@ -27,8 +27,8 @@ def fallback_pool(df: DataFrame, levels: list[str], eligible: Column, least: int
     """
     ok = eligible.cast("int")
     out = df
-    for level in levels:
-        out = out.withColumn(f"__n_{level}", F.sum(ok).over(Window.partitionBy(level)) - ok)
+    for level in levels:  # counts by level, joined back: no task holds a level's rows
+        out = out.join(df.groupBy(level).agg(F.sum(ok).alias(f"__n_{level}")), level, "left").withColumn(f"__n_{level}", F.coalesce(f"__n_{level}", F.lit(0)) - ok)
     pool, peers = F.lit(None).cast("string"), F.col(f"__n_{levels[-1]}")
     for level in reversed(levels):
         enough = F.col(f"__n_{level}") >= least
@@ -38,19 +38,33 @@ def fallback_pool(df: DataFrame, levels: list[str], eligible: Column, least: int
     return out.withColumn("reason", reason).drop(*[f"__n_{x}" for x in levels])
 
 
-def moment_fit(df: DataFrame, pool: list[str], y: str, n: str) -> DataFrame:
-    """Adds fit_mean, fit_concentration of the others of each row's pool (leave one out, from window sums alone)."""
-    w = Window.partitionBy(*pool)
+def moments(y: Column, n: Column, k: Column, r: Column, rr: Column) -> tuple[Column, Column]:
+    """(mean, concentration) by moments from sums over k rows: of y, n, the rates r = y / n and their squares.
+
+    The mean is the smoothed pooled rate, the variance that of the rates around it, each row counting once.
+    """
+    mean = F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), (y + 0.5) / (n + 1)))
+    var = F.when(k > 0, (rr - 2 * mean * r + mean * mean * k) / k)
+    return mean, F.when(k > 0, F.least(F.lit(1e6), F.greatest(F.lit(1e-3), mean * (1 - mean) / F.greatest(var, F.lit(1e-9)) - 1)))
+
+
+def moment_sums(y: str, n: str) -> list[Column]:
+    """The sums of `moments`, as __y, __n, __k, __r, __rr."""
     r = F.col(y) / F.col(n)
-    total = lambda c: F.sum(c).over(w) - c
-    out = df.withColumn("__y", total(F.col(y))).withColumn("__n", total(F.col(n)))
-    out = out.withColumn("__nr", total(F.col(n) * r)).withColumn("__nrr", total(F.col(n) * r * r))
-    mean = F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), (F.col("__y") + 0.5) / (F.col("__n") + 1)))
-    out = out.withColumn("fit_mean", mean)
-    m = F.col("fit_mean")
-    var = F.when(F.col("__n") > 0, (F.col("__nrr") - 2 * m * F.col("__nr") + m * m * F.col("__n")) / F.col("__n"))
-    concentration = F.least(F.lit(1e6), F.greatest(F.lit(1e-3), m * (1 - m) / F.greatest(var, F.lit(1e-9)) - 1))
-    return out.withColumn("fit_concentration", F.when(F.col("__n") > 0, concentration)).drop("__y", "__n", "__nr", "__nrr")
+    return [F.sum(y).alias("__y"), F.sum(n).alias("__n"), F.count("*").alias("__k"), F.sum(r).alias("__r"), F.sum(r * r).alias("__rr")]
+
+
+def moment_fit(df: DataFrame, pool: list[str], y: str, n: str) -> DataFrame:
+    """Adds fit_mean, fit_concentration and fit_peers of the others of each row's pool: the pool's sums less the row's own.
+
+    pool: columns without nulls; none of them: all rows are one pool.
+    """
+    sums = df.groupBy(*pool).agg(*moment_sums(y, n))
+    out = df.join(sums, pool) if pool else df.crossJoin(F.broadcast(sums))  # one row
+    r, c = F.col(y) / F.col(n), F.col
+    mean, concentration = moments(c("__y") - c(y), c("__n") - c(n), c("__k") - 1, c("__r") - r, c("__rr") - r * r)
+    fitted = out.withColumns({"fit_mean": mean, "fit_concentration": concentration, "fit_peers": c("__k") - 1})
+    return fitted.select(*df.columns, "fit_mean", "fit_concentration", "fit_peers")
 
 
 def blocks(df: DataFrame, place: list[str], sequence: str, category: str) -> DataFrame:
@@ -63,7 +77,7 @@ def blocks(df: DataFrame, place: list[str], sequence: str, category: str) -> Dat
 
 
 def runs_moments(df: DataFrame, block: list[str], sequence: str, category: str, least: int = 6) -> DataFrame:
-    """Runs of two categories in a block: n, runs, expected, variance; blocks under `least` or not of two kinds left out."""
+    """Runs of two categories in a block: n, runs, expected, variance, fewer (rows of the rarer one); blocks under `least` or not of two kinds left out."""
     w = Window.partitionBy(*block).orderBy(sequence)
     changed = df.withColumn("__c", F.coalesce(F.col(category) != F.lag(category).over(w), F.lit(False)).cast("int"))
     g = changed.groupBy(*block).agg(F.count("*").alias("n"), (F.sum("__c") + 1).alias("runs"), F.countDistinct(category).alias("kinds"))
@@ -73,7 +87,7 @@ def runs_moments(df: DataFrame, block: list[str], sequence: str, category: str,
     b = n - a
     expected = 1 + 2 * a * b / n
     variance = 2 * a * b * (2 * a * b - n) / (n * n * (n - 1))
-    return out.select(*block, "n", "runs", expected.alias("expected"), variance.alias("variance"))
+    return out.select(*block, "n", "runs", expected.alias("expected"), variance.alias("variance"), F.col("__a").alias("fewer"))
 
 
 def versions(df: DataFrame, key: str, order: list[str], content: str) -> DataFrame:

@@ -50,11 +50,11 @@ def membership(spark, d):
     return reconcile.membership_findings(roster, b.units(spark, d).where("place % 17 <> 0").select(F.col("place").alias("member")), c.where("member % 3 <> 0"), "member")
 
 
-@query("SELECT c_custkey AS place FROM customer WHERE c_custkey NOT IN (SELECT place FROM units)")
+@query("SELECT c_custkey AS place FROM customer WHERE c_custkey NOT IN (SELECT place FROM units WHERE place % 7 <> 0)")
 def without_result(spark, d):
-    """J20."""
+    """Places without results, of which every seventh lost them."""
     c = b.table(spark, d, "customer").select(F.col("c_custkey").alias("place"))
-    return reconcile.without_result(c, b.units(spark, d), "place")
+    return reconcile.without_result(c, b.units(spark, d).where("place % 7 <> 0"), "place")
 
 
 @query("""WITH f AS (SELECT source, unit, sum(votes)::BIGINT AS votes FROM sources GROUP BY ALL), c AS (SELECT unit, votes FROM f WHERE source = 'a'), o AS (SELECT unit, votes FROM f WHERE source = 'b')
@@ -224,12 +224,13 @@ def anomalies(spark, d):
     return quality.anomalies(c, f, "unit", "complete")
 
 
-@query("""WITH m AS (SELECT department, sha256(string_agg(h, ';' ORDER BY h)) AS x FROM (SELECT department, sha256(len(unit::VARCHAR) || ':' || unit || ';' || len(n::VARCHAR) || ':' || n || ';') AS h FROM rates) GROUP BY department)
-SELECT department, count(*) AS members FROM rates GROUP BY department""")
+@query("""WITH m AS (SELECT department, sha256(len(unit::VARCHAR) || ':' || unit || ';' || len(n::VARCHAR) || ':' || n || ';') AS h FROM rates),
+p AS (SELECT department, substr(sha256(h), 1, 2) AS b, count(*) AS k, sha256(string_agg(h, ';' ORDER BY h)) AS x FROM m GROUP BY ALL)
+SELECT department, sum(k)::BIGINT AS members, sha256(string_agg(b || '=' || x, ';' ORDER BY b)) AS digest FROM p GROUP BY department""")
 def set_digests(spark, d):
-    """Members of order-independent digests."""
+    """Order-independent digests."""
     h = b.rates(spark, d).withColumn("h", digest.tuple_hash(F.col("unit"), F.col("n")))
-    return digest.set_digest(h, ["department"], "h").select("department", "members")
+    return digest.set_digest(h, ["department"], "h")
 
 
 @query("SELECT unit, sha256(len(unit::VARCHAR) || ':' || unit || ';' || len(n::VARCHAR) || ':' || n || ';') AS h, sha256('{\"n\":' || n || ',\"unit\":' || unit || '}') AS j FROM rates")
@@ -291,10 +292,10 @@ def category_page(spark, d):
     return read.category_page(b.sources(spark, d), kinds, "source", ["unit", "source", "category"], (500, "a", "AF"), 100)
 
 
-@query("SELECT level, id FROM geo ORDER BY CASE level WHEN 'department' THEN 1 WHEN 'municipality' THEN 2 WHEN 'place' THEN 3 ELSE 4 END, id LIMIT 200")
+@query("SELECT level, id FROM geo ORDER BY CASE level WHEN 'department' THEN 1 WHEN 'municipality' THEN 2 WHEN 'place' THEN 3 ELSE 4 END, id")
 def level_order(spark, d):
     """By rank of level, then id."""
-    return read.by_level(b.geo(spark, d), "level", list(b.H.levels), "id").limit(200).select("level", "id")
+    return read.by_level(b.geo(spark, d), "level", list(b.H.levels), "id").select("level", "id")
 
 
 @query("""SELECT doc_id, regexp_matches(text, '(?i)[a-z0-9._%+-]+@[a-z0-9-]+(\\.[a-z0-9-]+)*\\.[a-z]{2,}') AS email, len(regexp_extract_all(text, '(https?://[^\\s\"''<>\\\\]+)', 1)) AS urls FROM documents""")
@@ -318,6 +319,17 @@ def labels(spark, d):
     return b.table(spark, d, "part").select("p_partkey", text.exact_label(F.col("p_name")).alias("label"), text.compact_label(F.col("p_name")).alias("compact"), text.code(F.col("p_size"), 4).alias("code"), text.size_band(F.col("p_size")).alias("band"), text.tier(F.col("p_size")).alias("tier"))
 
 
+@query("""WITH a AS (SELECT count(*) AS rows, sum(l_quantity)::BIGINT AS s, count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS k FROM lineitem), t AS (SELECT unnest(['rows', 'sum', 'repeated_keys']) AS "check", unnest([rows, s, k]) AS actual FROM a
+UNION ALL SELECT 'kind:' || l_returnflag, count(*) FROM lineitem GROUP BY ALL), p AS (SELECT "check", actual + ("check" = 'kind:R')::INT AS expected FROM t WHERE "check" <> 'kind:A')
+SELECT "check", expected, actual, CASE WHEN expected = actual THEN 'equal' ELSE 'different' END AS status FROM t LEFT JOIN p USING ("check")""")
+def pinned_totals(spark, d):
+    """Totals of a source against pinned ones, of which one is wrong and one missing."""
+    l = b.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    n = l.agg(F.count("*").alias("rows"), F.sum("l_quantity").cast("long").alias("sum"), F.count_if(F.col("l_returnflag") == "R").alias("r"), F.count_if(F.col("l_returnflag") == "N").alias("n"), (F.count("*") - F.countDistinct("l_orderkey", "l_linenumber")).alias("k"))
+    pins = n.select(F.explode(F.create_map(F.lit("rows"), F.col("rows"), F.lit("sum"), F.col("sum"), F.lit("repeated_keys"), F.col("k"), F.lit("kind:R"), F.col("r") + 1, F.lit("kind:N"), F.col("n"))).alias("check", "expected"))
+    return quality.pinned_totals(l, ["l_orderkey", "l_linenumber"], "l_quantity", "l_returnflag", pins)
+
+
 @query()
 def json_shapes(spark, d):
     """Shapes of raw payloads by type, with counts."""

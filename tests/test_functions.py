@@ -28,7 +28,7 @@ def one(spark, value, f, kind="string"):
         (lambda c: text.https_ok(c, ["a.example"]), "https://a.example/x", True), (lambda c: text.https_ok(c, ["a.example"]), "http://a.example/x", False),
         (text.ancestors, "r1:place:05:001:03", ["r1:place:05", "r1:place:05:001", "r1:place:05:001:03"]), (text.personal_findings, "mail a@b.co or 300-555-1234", ["email", "phone"]),
         (lambda c: text.payload_class(c, ["a", "b"], ["a"]), '{"a":1,"z":2}', "extended"), (lambda c: text.payload_class(c, ["a"], ["a"]), "[1]", "not_an_object"),
-        (digest.json_shape, '{"b":[1,2],"a":null}', '{"a":"null","b":["number"]}'), (digest.json_shape, "{", None),
+        (digest.json_shape, '{"b":[1,2],"a":null}', '{"a":"null","b":["int"]}'), (digest.json_shape, "{", None),
     ],
 )
 def test_text(spark, f, given, want):
@@ -188,3 +188,67 @@ def test_set_digest_ignores_order(spark):
     c = a.where("m <> 'z'")
     d = [digest.set_digest(x, ["g"], "m").first().digest for x in (a, b, c)]
     assert d[0] == d[1] != d[2]
+
+
+def test_moment_fit_counts_rates_once():
+    mean, concentration = stats.moment_fit(np.array([5.0, 40.0, 90.0]), np.array([10.0, 100.0, 300.0]), np.ones(3))
+    rates, pooled = np.array([0.5, 0.4, 0.3]), 135.5 / 411
+    assert abs(mean - pooled) < 1e-12 and abs(concentration - (pooled * (1 - pooled) / ((rates - pooled) ** 2).mean() - 1)) < 1e-9
+    assert 17 < concentration < 19
+
+
+def test_runs_distribution():
+    from itertools import combinations
+
+    for a, b in ((3, 4), (2, 6), (1, 5)):
+        tally = np.zeros(a + b - 1)
+        for ones in combinations(range(a + b), a):
+            x = np.isin(np.arange(a + b), ones)
+            tally[1 + (x[1:] != x[:-1]).sum() - 2] += 1
+        assert np.allclose(screens.runs_distribution(a, b), tally / tally.sum())
+    assert abs(screens.runs_distribution(400, 700).sum() - 1) < 1e-9
+
+
+def test_runs_screen_against_shuffles(spark):
+    rng = np.random.default_rng(3)
+    rows = [(m, p, s, "x" if (s // 4 % 2 if m == 0 else rng.random() < 0.5) else "y") for m in range(3) for p in range(4) for s in range(24)]
+    df = spark.createDataFrame(rows, "m int, p int, s int, c string")
+    got = {r.m: r for r in screens.runs_screen(df, "p", "m", "s", "c").collect()}
+
+    def z_of(values):
+        n, a = len(values), sum(values)
+        e, v = 1 + 2 * a * (n - a) / n, 2 * a * (n - a) * (2 * a * (n - a) - n) / (n * n * (n - 1))
+        return (1 + sum(x != y for x, y in zip(values, values[1:])) - e) / math.sqrt(v)
+
+    blocks = {(m, p): [c == "x" for i, j, _, c in rows if (i, j) == (m, p)] for m in range(3) for p in range(4)}
+    z = lambda b: [sum(z_of(b[m, p]) for p in range(4)) / 2 for m in range(3)]
+    tops = np.array([max(map(abs, z({k: rng.permutation(v).tolist() for k, v in blocks.items()}))) for _ in range(1500)])
+    for m, want in enumerate(z(blocks)):
+        assert abs(got[m].z - want) < 1e-9 and abs(got[m].p - (1 + (tops >= abs(want)).sum()) / 1501) < 0.05
+    assert got[0].p < 0.01
+    with pytest.raises(ValueError, match="999"):
+        screens.runs_screen(df, "p", "m", "s", "c", permutations=199)
+
+
+def test_permutations_of_units(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, "m", 1 + (i % 11) / 100, 1 + (i // 11) / 100, float(rng.normal()) + (6 if i in (0, 1, 11, 12) else 0)) for i in range(121)]
+    df = spark.createDataFrame(rows, "u int, m string, lat double, lon double, r double")
+    args = (df, "u", "m", "lat", "lon", "r")
+    screen, joint = {r.u: r for r in screens.spatial_screen(*args).collect()}, {r.u: r for r in screens.joint_permutations(*args).collect()}
+    links: dict = {}
+    for r in screens.neighbours(df, "u", "m", "lat", "lon").collect():
+        links.setdefault(r.u, []).append(r.other)
+    x = np.array([r[4] for r in rows])
+    z = x - x.mean()
+    index = np.array([links[u] for u in range(121)])
+    stat = lambda v: np.abs(v * v[index].mean(1) / (z**2).mean())
+    drawn = np.array([stat(rng.permutation(z)) for _ in range(4000)])
+    tops, seen = drawn.max(1), stat(z)
+    for u in range(121):
+        assert abs(joint[u].p - (1 + (drawn[:, u] >= seen[u]).sum()) / 4001) < 0.04
+        assert abs(screen[u].p - (1 + (tops >= seen[u]).sum()) / 4001) < 0.05
+    assert {r.permutations for r in joint.values()} == {99_999} and screen[0].flag and screen[0].kind == "cluster"
+    assert [u for u, _ in sorted(screen.items(), key=lambda t: t[1]["rank"])] == sorted(screen, key=lambda u: (screen[u].p, u))
+    with pytest.raises(ValueError, match="9,999"):
+        screens.spatial_screen(*args, permutations=999)
