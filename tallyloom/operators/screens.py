@@ -315,7 +315,7 @@ def _enough(permutations: int) -> None:
         raise ValueError("at least 9,999 permutations")
 
 
-def spatial_screen(units: DataFrame, unit: str, group: str, lat: str, lon: str, residual: str, permutations: int = 9_999, most: int = MOST_EXTENDED, batch: int = 128, least_units: int = 100) -> DataFrame:
+def spatial_screen(units: DataFrame, unit: str, group: str, lat: str, lon: str, residual: str, permutations: int = 9_999, most: int = MOST_EXTENDED, batch: int = 256, least_units: int = 100) -> DataFrame:
     """Local Moran screen with synchronised max-T permutations: neighbours, local_i, p, rank, flag, kind, reason.
 
     All valid units of a municipality are exchanged; those with 3 neighbours in a municipality of least_units such
@@ -340,7 +340,7 @@ def spatial_screen(units: DataFrame, unit: str, group: str, lat: str, lon: str,
     return ranked.select(*units.columns, "neighbours", "local_i", "p", F.col("rank").cast("long").alias("rank"), flag.alias("flag"), F.when(flag, F.when(F.col("local_i") > 0, "cluster").otherwise("outlier")).alias("kind"), reason.alias("reason"))
 
 
-def joint_permutations(units: DataFrame, unit: str, group: str, lat: str, lon: str, residual: str, permutations: int = 9_999, most: int = MOST_EXTENDED, batch: int = 128, least_units: int = 100) -> DataFrame:
+def joint_permutations(units: DataFrame, unit: str, group: str, lat: str, lon: str, residual: str, permutations: int = 9_999, most: int = MOST_EXTENDED, batch: int = 256, least_units: int = 100) -> DataFrame:
     """Each tested unit's own permutation p inside its municipality: unit, local_i, permutations, p.
 
     One shuffle of a municipality's residuals serves all its units. Municipalities in which a p is 0.01 or less are
