@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from . import words as W
 
-MOST = 300_000  # words kept by one Python worker
+MOST = 600_000  # words kept by one Python worker
 _DELIMITER = "<|endoftext|>"
 _loaded: dict[str, WordEncoder] = {}
 
