@@ -31,7 +31,7 @@ def _pieces(path: str, capacity: int, end_id: int):
     def run(batches):
         encoder, end = WordEncoder.at(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 4 << 20):
                 cols: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
                 texts = [x or b"" for x in part.column("text").cast(pa.binary()).to_pylist()]
                 for d, raw in zip(part.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):

@@ -73,7 +73,7 @@ def _encode(path: str, end_id: int):
             return pa.RecordBatch.from_pylist([{"part": part, "segment": n, "inside": inside, "n_tokens": total, "doc_ids": docs, "doc_ends": ends, "levels": levels}], schema=_ARROW)
 
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", 4 << 20):
                 texts = [x or b"" for x in piece.column("text").cast(pa.binary()).to_pylist()]
                 for d, p, raw in zip(piece.column("doc_id").to_pylist(), piece.column("part").to_pylist(), encoder.encode(texts), strict=True):
                     part = p
