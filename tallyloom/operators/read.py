@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,3 +136,14 @@ def cohort_registry(rows: DataFrame, family: str, pool: str, peers: str) -> Data
 def anomaly_components(anomalies: DataFrame, id_: str, kind: str, component: str) -> DataFrame:
     """Anomalies with their components in order, most of them first."""
     return anomalies.groupBy(id_, kind).agg(F.array_sort(F.collect_set(component)).alias("components")).orderBy(F.desc(F.size("components")), id_)
+
+
+def by_priority(df: DataFrame, score: str, id_: str) -> DataFrame:
+    """Highest score first, then id."""
+    return df.orderBy(F.desc(score), id_)
+
+
+def unit_records(kinds: dict[str, DataFrame], unit: str, value) -> DataFrame:
+    """All records of one unit: kind of record and the rest of its row as JSON, columns by name."""
+    one = lambda k, df: df.where(F.col(unit) == value).select(F.lit(k).alias("record"), F.to_json(F.struct(*sorted(c for c in df.columns if c != unit)), {"ignoreNullFields": "false"}).alias("detail"))
+    return reduce(DataFrame.unionByName, [one(k, df) for k, df in kinds.items()])

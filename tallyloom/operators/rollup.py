@@ -167,3 +167,10 @@ def rekeyed(facts: DataFrame, key: str, name: str) -> tuple[DataFrame, DataFrame
     """(dictionary of key, facts with the dictionary's ids instead)."""
     ids = dense_ids(facts, key, name)
     return ids, facts.join(ids, key).drop(key)
+
+
+def summary_check(summary: DataFrame, parts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """A declared summary against the sum of its parts: keys, declared, computed, equal; a side that is missing differs."""
+    c = parts.groupBy(*keys).agg(F.sum(value).alias("computed"))
+    j = summary.select(*keys, F.col(value).alias("declared")).join(c, keys, "full_outer")
+    return j.select(*keys, "declared", "computed", F.coalesce(F.col("declared") == F.col("computed"), F.lit(False)).alias("equal"))

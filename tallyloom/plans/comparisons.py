@@ -330,7 +330,7 @@ def pinned_totals(spark, d):
     return quality.pinned_totals(l, ["l_orderkey", "l_linenumber"], "l_quantity", "l_returnflag", pins)
 
 
-@query()
+@query("""SELECT event_type, shape, count(*) AS count FROM (SELECT event_type, replace(replace(replace(replace(json_structure(props)::VARCHAR, 'UBIGINT', 'int'), 'BIGINT', 'int'), 'DOUBLE', 'float'), 'VARCHAR', 'text') AS shape FROM events) GROUP BY ALL""")
 def json_shapes(spark, d):
     """Shapes of raw payloads by type, with counts."""
     return b.table(spark, d, "events").select("event_type", digest.json_shape(F.col("props")).alias("shape")).groupBy("event_type", "shape").count()

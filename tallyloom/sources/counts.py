@@ -122,14 +122,14 @@ def declared_urls(docs: DataFrame, raw: str) -> DataFrame:
     return docs.select(F.explode(text.urls(F.col(raw))).alias("url")).distinct()
 
 
-def census(spark: SparkSession, path: str) -> DataFrame:
-    """Census rows of a JSON array."""
-    return spark.read.schema("COD_DEPTO string, DEPARTAMENTO string, COD_MUN string, MUNICIPIO string, MUJERES long, HOMBRES long, TOTAL long, MESAS long, PUESTOS long").option("multiLine", True).json(path)
+def census(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Census rows of a JSON array: one array a file, or one a line (files that can be split)."""
+    return spark.read.schema("COD_DEPTO string, DEPARTAMENTO string, COD_MUN string, MUNICIPIO string, MUJERES long, HOMBRES long, TOTAL long, MESAS long, PUESTOS long").option("multiLine", multi_line).json(path)
 
 
-def catalog_features(spark: SparkSession, path: str, attributes: str) -> DataFrame:
-    """Attributes of a feature collection."""
-    return spark.read.schema(f"features array<struct<attributes: struct<{attributes}>>>").option("multiLine", True).json(path).select(F.explode("features").alias("f")).select("f.attributes.*")
+def catalog_features(spark: SparkSession, path: str, attributes: str, multi_line: bool = True) -> DataFrame:
+    """Attributes of feature collections: one a file, or one a line."""
+    return spark.read.schema(f"features array<struct<attributes: struct<{attributes}>>>").option("multiLine", multi_line).json(path).select(F.explode("features").alias("f")).select("f.attributes.*")
 
 
 def roster(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
