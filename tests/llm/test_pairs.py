@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import struct
 import zlib
 
 import numpy as np
@@ -83,6 +85,38 @@ def test_sharding(spark):
     assert sharding.shard(docs.where("false")).count() == 0
 
 
+def _shard(key: int, shards: int) -> int:
+    """By the definition: the least -ln(u), u from the seeded hash of key, then shard number."""
+    cost = []
+    for s in range(shards):
+        h = xxhash.xxh64_intdigest(struct.pack("<i", s), xxhash.xxh64_intdigest(struct.pack("<q", key), 42))
+        cost.append(-math.log(((h >> 11) + 0.5) / 2**53))
+    return cost.index(min(cost))
+
+
+def test_op8_against_brute_force(spark):
+    rows = queries.op8_sharding(spark, SF).collect()
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        t = texts[r.doc_id]
+        assert (r["size"], r.text_crc32, r.law, r.shard, r.grown_shard) == (len(t) + 8, zlib.crc32(t), "key", _shard(r.doc_id, 24), _shard(r.doc_id, 25))
+    for s in range(24):
+        slots = sorted(r.slot for r in rows if r.shard == s)
+        assert slots == list(range(len(slots)))
+
+
+def test_sharding_one_hot_key(spark, monkeypatch):
+    """Rows of one key, equal or not, are numbered in many groups and stay in one shard."""
+    monkeypatch.setattr(sharding, "PER_SLOT_GROUP", 50)
+    docs = spark.range(2000).selectExpr("if(id < 1500, null, id) as doc_id", "if(id < 700, 'same', cast(id as string)) as text").repartition(4)
+    rows = sharding.shard(docs, 5).collect()
+    assert len(rows) == 2000 and len({r.shard for r in rows if r.doc_id is None}) == 1
+    for s in range(5):
+        slots = sorted(r.slot for r in rows if r.shard == s)
+        assert slots == list(range(len(slots)))
+
+
 def _print(text: str | None, k: int) -> int:
     w = (text or "").encode().lower().split()
     if not w:
