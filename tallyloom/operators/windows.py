@@ -6,17 +6,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+EULER = 0.5772156649015329  # fixed value: the limit of 1 + 1/2 + .. + 1/m - ln m
+
+
+def harmonic(m: Column) -> Column:
+    """1 + 1/2 + .. + 1/m: summed up to 10,000, beyond that by its expansion, whose error is below 1e-17."""
+    summed = F.aggregate(F.sequence(F.lit(1).cast("long"), F.least(m, F.lit(10_000))), F.lit(0.0), lambda s, i: s + 1.0 / i)
+    return F.when(m <= 10_000, summed).otherwise(F.log(m) + EULER + 1 / (2.0 * m) - 1 / (12.0 * m * m))
+
+
+def _beside(rows: DataFrame, ranges: DataFrame, family: str) -> DataFrame:
+    """Rows with the columns of their family and range; a null family is a family."""
+    r = ranges.withColumnsRenamed({family: "__f", "__part": "__p"})
+    return rows.join(r, F.col(family).eqNullSafe(F.col("__f")) & (F.col("__part") == F.col("__p"))).drop("__f", "__p")
+
+
 def by_adjust(df: DataFrame, family: str, p: str, tie: str) -> DataFrame:
-    """Adds rank and q: Benjamini-Yekutieli over each family, ties of p by `tie`; rows with a null p get nulls."""
-    tested = df.where(F.col(p).isNotNull())
-    order = Window.partitionBy(family).orderBy(p, tie)
-    ranked = tested.withColumn("rank", F.row_number().over(order)).withColumn("__m", F.count("*").over(Window.partitionBy(family)))
-    # harmonic numbers once for each family size, not for each row
-    sizes = ranked.groupBy("__m").agg(F.lit(1)).select("__m", F.expr("aggregate(sequence(1L, __m), 0D, (s, i) -> s + 1D / i)").alias("__h"))
-    raw = F.col(p) * F.col("__m") * F.col("__h") / F.col("rank")
-    back = Window.partitionBy(family).orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)
-    out = ranked.join(sizes, "__m").withColumn("__raw", raw).withColumn("q", F.least(F.lit(1.0), F.min("__raw").over(back))).drop("__m", "__h", "__raw")
-    rest = df.where(F.col(p).isNull()).withColumn("rank", F.lit(None).cast("int")).withColumn("q", F.lit(None).cast("double"))
+    """Adds rank and q: Benjamini-Yekutieli over each family, ties of p by `tie`; rows with a null p get nulls.
+
+    Rows are dealt by ranges of (family, p, tie). Ranks and least q count within a range, and what lies before and after
+    it in its family is added from one row for each family and range: no task holds a whole family.
+    """
+    tested = df.where(F.col(p).isNotNull()).persist()  # sampled for its ranges, then dealt
+    dealt = tested.repartitionByRange(family, p, tie).withColumn("__part", F.spark_partition_id()).persist()
+    by, within = Window.partitionBy(family), Window.partitionBy(family, "__part")
+    upto = by.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(family, "__part").agg(F.count("*").alias("__n"))
+    sizes = sizes.withColumns({"__before": F.coalesce(F.sum("__n").over(upto), F.lit(0)), "__m": F.sum("__n").over(by)})
+    sizes = sizes.select(family, "__part", "__before", (F.col("__m") * harmonic(F.col("__m"))).alias("__scale"))
+    numbered = _beside(dealt.withColumn("__k", F.row_number().over(within.orderBy(p, tie))), sizes, family)
+    ranked = numbered.withColumn("rank", F.col("__before") + F.col("__k")).withColumn("__raw", F.col(p) * F.col("__scale") / F.col("rank"))
+    after = by.orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)
+    least = ranked.groupBy(family, "__part").agg(F.min("__raw").alias("__least"))
+    least = least.select(family, "__part", F.min("__least").over(after).alias("__after"))
+    back = within.orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)
+    out = _beside(ranked.withColumn("__here", F.min("__raw").over(back)), least, family)
+    out = out.withColumn("q", F.least(F.lit(1.0), "__here", "__after"))  # least passes over nulls
+    rest = df.where(F.col(p).isNull()).withColumn("rank", F.lit(None).cast("long")).withColumn("q", F.lit(None).cast("double"))
     return out.select(*df.columns, "rank", "q").unionByName(rest.select(*df.columns, "rank", "q"))
 
 

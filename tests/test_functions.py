@@ -252,3 +252,34 @@ def test_permutations_of_units(spark):
     assert [u for u, _ in sorted(screen.items(), key=lambda t: t[1]["rank"])] == sorted(screen, key=lambda u: (screen[u].p, u))
     with pytest.raises(ValueError, match="9,999"):
         screens.spatial_screen(*args, permutations=999)
+
+
+def test_by_adjust_over_many_ranges(spark):
+    rng = np.random.default_rng(4)
+    rows = [(None if i % 10 == 9 else f"f{i % 3}", i, None if i % 17 == 0 else float(rng.integers(1, 60)) / 100) for i in range(900)]
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "7"}
+    old = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        got = {r.id: (r["rank"], r.q) for r in windows.by_adjust(spark.createDataFrame(rows, "f string, id int, p double"), "f", "p", "id").collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(got) == 900
+    for f in {r[0] for r in rows}:
+        family = sorted((p, i) for g, i, p in rows if g == f and p is not None)
+        m = len(family)
+        h = sum(1 / i for i in range(1, m + 1))
+        least = 1.0
+        for rank in range(m, 0, -1):
+            p, i = family[rank - 1]
+            least = min(least, p * m * h / rank)
+            assert got[i][0] == rank and got[i][1] == pytest.approx(least, rel=1e-12)
+    assert all(got[i] == (None, None) for _, i, p in rows if p is None)
+
+
+def test_harmonic_numbers(spark):
+    got = spark.createDataFrame([(1,), (10_000,), (10_001,), (2_000_000,)], "m long").select("m", windows.harmonic(F.col("m")).alias("h")).collect()
+    for r in got:
+        assert r.h == pytest.approx(math.fsum(1 / i for i in range(1, r.m + 1)), rel=1e-13)
