@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .shared import others, slices
+from .shared import others, slices, trim
 
 WAVE_BYTES = 4 << 20  # item text of one wave
 SHINGLE = 4  # words of a shingle; shorter windows are one shingle
@@ -98,6 +98,7 @@ def _count(shared, sizes: list[int]):
                     inside[ok] = True
                     total += np.bincount(np.searchsorted(tokens, g[hit[inside[hit]]]), minlength=len(tokens))
         some = np.flatnonzero(total)
+        trim()
         yield pa.RecordBatch.from_pydict({"token": pa.array(tokens[some].view(np.int64)), "n": pa.array(total[some])})
 
     return run
@@ -148,6 +149,7 @@ def _join(shared, keep_text: bool, names: list[str]):
                 if keep_text:
                     got["text"] = part.column("text")
                 yield pa.RecordBatch.from_arrays([got[c] for c in names], names)
+        trim()
 
     return run
 

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices, written
-from .tokens import WordEncoder
+from .shared import slices, trim, written
+from .tokens import MOST, WordEncoder
 
 GROUP = 4000  # pieces of one group
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 3, 8, 5
@@ -27,11 +27,12 @@ WELL = 0.995  # filling from which a bin is kept between rounds
 GROUP_BITS, BIN_BITS = 31, 28  # of a sequence_id, below the round: the group, an int, and its bin, more than a group holds
 
 
-def _pieces(path: str, capacity: int, end_id: int):
+def _pieces(path: str, capacity: int, end_id: int, cached: int, slice_bytes: int):
     def run(batches):
-        encoder, end = WordEncoder.at(path), np.array([end_id], "<u4").tobytes()
+        trim()
+        encoder, end = WordEncoder.at(path, cached), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", slice_bytes):
                 cols: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
                 texts = [x or b"" for x in part.column("text").cast(pa.binary()).to_pylist()]
                 for d, raw in zip(part.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
@@ -45,9 +46,12 @@ def _pieces(path: str, capacity: int, end_id: int):
     return run
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32: documents with their end id, those over capacity cut into pieces."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pieces(tokenizer, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, cached: int = MOST, slice_bytes: int = 4 << 20) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32: documents with their end id, those over capacity cut into pieces.
+
+    A worker keeps the ids of `cached` words and encodes about slice_bytes of text at once; both only set its memory.
+    """
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pieces(tokenizer, capacity, end_id, cached, slice_bytes), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class _Bins:
@@ -223,9 +227,9 @@ def pack(items: DataFrame, capacity: int = 4096) -> DataFrame:
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, cached: int = MOST, slice_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of docs (doc_id, text).
 
     Null or empty text: the end id alone. Texts of any length are cut, never dropped. Other columns are left out.
     """
-    return pack(written(pieces(docs, tokenizer, capacity, end_id), "pieces"), capacity)
+    return pack(written(pieces(docs, tokenizer, capacity, end_id, cached, slice_bytes), "pieces"), capacity)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -43,6 +44,14 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def trim() -> None:
+    """Gives free memory of this Python worker back to the system: Spark keeps workers, and idle ones count too."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if give_back is not None:
+        give_back(0)
+
+
 def others(df: DataFrame, *used: str):
     """All columns but those used, in one struct `rest` (null if there are none): carried along untouched."""
     names = [f.name for f in df.schema.fields if f.name not in used]

@@ -11,8 +11,9 @@ import pyarrow as pa
 from tokenizers import Tokenizer
 
 from . import words as W
+from .shared import trim
 
-MOST = 600_000  # words kept by one Python worker
+MOST = 600_000  # words kept by one Python worker, unless told otherwise
 _DELIMITER = "<|endoftext|>"
 _loaded: dict[str, WordEncoder] = {}
 
@@ -20,10 +21,12 @@ _loaded: dict[str, WordEncoder] = {}
 def release() -> None:
     """Gives back what a reused Python worker keeps for encoding; called by tasks that need the memory."""
     _loaded.clear()
+    trim()
 
 
 class WordEncoder:
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = MOST) -> None:
+        self.most = most
         self.tokenizer = Tokenizer.from_file(path)
         self.delimiter = self.tokenizer.token_to_id(_DELIMITER)
         if self.delimiter is None:
@@ -31,11 +34,15 @@ class WordEncoder:
         self.cache: dict[bytes, bytes] = {}
 
     @classmethod
-    def at(cls, path: str) -> WordEncoder:
-        """The worker's encoder for this file, loaded once."""
+    def at(cls, path: str, most: int = MOST) -> WordEncoder:
+        """The worker's encoder for this file, loaded once; it keeps about `most` words."""
         if path not in _loaded:
-            _loaded[path] = cls(path)
-        return _loaded[path]
+            _loaded[path] = cls(path, most)
+        encoder = _loaded[path]
+        if len(encoder.cache) > most:
+            encoder.cache = {}
+        encoder.most = most
+        return encoder
 
     def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
         out = {}
@@ -70,7 +77,7 @@ class WordEncoder:
         out = {w: known[w] for w in words if w in known}
         for w, (stem, mark) in base.items():
             out[w] = known[stem] + known[mark] if mark else known[stem]
-        if len(self.cache) < MOST:
+        if len(self.cache) < self.most:
             self.cache.update(known)
             self.cache.update(out)
         return out
