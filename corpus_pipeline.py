@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm import decontaminate, packing, quality, simhash, substring_dedup
 
 TOKENIZER = "word_bpe_49k.json"
+CACHED, SLICE_BYTES = 200_000, 1 << 20  # less than packing's own: four stages have used the executors before it
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack_documents(docs, str(public_tokenizers.path(TOKENIZER)), capacity=4096, end_id=1)
+    return packing.pack_documents(docs, str(public_tokenizers.path(TOKENIZER)), capacity=4096, end_id=1, cached=CACHED, slice_bytes=SLICE_BYTES)
 
 
 STAGES = [
