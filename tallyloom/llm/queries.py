@@ -1,11 +1,11 @@
-"""Queries op1 to op10 over the test tables, and their SQL where SQL can express them."""
+"""Queries op1 to op13 over the test tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, packing, quality, shared, sharding, simhash, substring_dedup, token_files, topk, toxicity
+from . import chat, collocations, decontaminate, packing, pii, quality, shared, sharding, simhash, substring_dedup, token_files, topk, toxicity, trie
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 
@@ -154,6 +154,72 @@ FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
 """
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_read(spark, sf_dir, "documents").select("lang", "text"), least=100, longest=5, cover=100, top=2000)
+
+
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws
+  FROM documents, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS t(piece)
+), n AS (SELECT lang, sum(len(ws))::HUGEINT AS n FROM pieces GROUP BY lang),
+g AS (
+  SELECT lang, ws[p:p + k - 1] AS words FROM pieces, unnest([1, 2, 3, 4, 5]) AS s(k), unnest(range(1, len(ws) - k + 2)) AS t(p)
+), f AS (SELECT lang, words, count(*) AS a FROM g GROUP BY lang, words HAVING count(*) >= 100),
+c AS (SELECT *, array_to_string(words, ' ') AS phrase FROM f WHERE len(words) > 1),
+cut AS (
+  SELECT c.lang, c.phrase, c.a, x.a AS l, y.a AS r, n.n, (1000::HUGEINT * c.a * n.n) // (x.a::HUGEINT * y.a) AS score
+  FROM c JOIN n ON c.lang = n.lang, unnest([1, 2, 3, 4]) AS t(k), f x, f y
+  WHERE k < len(c.words) AND x.lang = c.lang AND y.lang = c.lang AND x.words = c.words[1:k] AND y.words = c.words[k + 1:len(c.words)]
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1
+), kept AS (
+  SELECT * FROM cut WHERE NOT EXISTS (
+    SELECT 1 FROM c o WHERE o.lang = cut.lang AND len(o.phrase) > len(cut.phrase) AND contains(' ' || o.phrase || ' ', ' ' || cut.phrase || ' ') AND 100 * o.a >= 100 * cut.a)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept QUALIFY rank <= 2000
+"""
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_read(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    text = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.base and s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(F.array_join(F.transform(base, text), ","), 256).alias("base_sha256"), F.array_join(F.transform("spans", text), ",").alias("spans"))
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_read(spark, sf_dir, "conversations"), group=100, most_shared=6)
+
+
+OP13_SQL = r"""
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p, struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) AS x
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (SELECT c, list(x ORDER BY p) AS xs FROM t GROUP BY c),
+crc AS (  -- crc32 bit by bit: DuckDB has no function for it
+  SELECT c, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(c::VARCHAR, ''), lambda d: ascii(d)::UBIGINT)), lambda s, d: list_reduce(list_prepend(xor(s, d), range(8)::UBIGINT[]), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END)) AS s FROM own
+), h AS (SELECT c, xor(s, 4294967295::UBIGINT) % 6 AS h FROM crc),
+built AS (
+  SELECT own.c, list_concat(coalesce(b.xs, [])[1:h], own.xs[h + 1:len(own.xs)]) AS xs
+  FROM own JOIN h USING (c) LEFT JOIN own b ON b.c = own.c - own.c % 100
+), pre AS (SELECT c, d, xs[1:d] AS seq, len(xs) AS total FROM built, unnest(range(0, len(xs) + 1)) AS t(d)),
+node AS (
+  SELECT d, seq, min(c) AS conv_id, count(*) AS n_convs, coalesce(length(seq[d].text), 0) AS chars,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE total = d), '')) AS ends_sha256
+  FROM pre GROUP BY d, seq
+), kids AS (SELECT d - 1 AS d, seq[1:d - 1] AS seq, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+below AS (
+  SELECT a.d, a.seq, count(*) FILTER (WHERE k.n IS NULL) AS n_leaves, sum((x.n_convs - 1) * x.chars) AS saved
+  FROM node x LEFT JOIN kids k ON k.d = x.d AND k.seq = x.seq, unnest(range(0, x.d + 1)) AS t(up) JOIN node a ON a.d = up AND a.seq = x.seq[1:up] GROUP BY a.d, a.seq
+)
+SELECT node.conv_id, node.d AS depth, p.conv_id AS parent_conv_id, node.n_convs, coalesce(kids.n, 0) AS n_children, below.n_leaves, below.saved::BIGINT AS saved_tokens, node.ends_sha256
+FROM node LEFT JOIN kids ON kids.d = node.d AND kids.seq = node.seq JOIN below ON below.d = node.d AND below.seq = node.seq
+LEFT JOIN node p ON p.d = node.d - 1 AND p.seq = node.seq[1:node.d - 1]
+"""
+
+
 def queries() -> dict:
     return {
         "op1_topk": op1_topk,
@@ -166,6 +232,9 @@ def queries() -> dict:
         "op8_sharding": op8_sharding,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_simhash": op10_simhash,
+        "op11_collocations": op11_collocations,
+        "op12_pii": op12_pii,
+        "op13_trie": op13_trie,
     }
 
 
@@ -175,4 +244,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_chat": OP4_SQL,
         "op7_decontaminate": OP7_SQL,
         "op9_substring_dedup": OP9_SQL,
+        "op11_collocations": OP11_SQL,
+        "op13_trie": OP13_SQL,
     }
