@@ -134,128 +134,8 @@ def _bounds(k: pd.Series, n: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["low", "high"])
 
 
-def _digamma(x: np.ndarray) -> np.ndarray:
-    x, out = np.asarray(x, np.float64).copy(), np.zeros_like(np.asarray(x, np.float64))
-    for _ in range(10):
-        low = x < 10
-        out[low] -= 1 / x[low]
-        x[low] += 1
-    i = 1 / (x * x)
-    return out + np.log(x) - 0.5 / x - i * (1 / 12 - i * (1 / 120 - i * (1 / 252 - i / 240)))
-
-
 def moment_fit(y: np.ndarray, n: np.ndarray, w: np.ndarray) -> tuple[float, float]:
     """(mean, concentration) by moments of states (y, n) that stand w times: rates count by how often they stand."""
     mean = float(np.clip(((w * y).sum() + 0.5) / ((w * n).sum() + 1), 1e-6, 1 - 1e-6))
     var = float((w * (y / n - mean) ** 2).sum() / w.sum())
     return mean, float(np.clip(mean * (1 - mean) / max(var, 1e-9) - 1, 1e-3, 1e6))
-
-
-def likelihood_fit(y: np.ndarray, n: np.ndarray, w: np.ndarray, steps: int = 80) -> tuple[float, float, str]:
-    """(mean, concentration, method): beta-binomial maximum likelihood in log parameters, else the moment fit.
-
-    Ascent by gradient steps with backtracking; a fit at a bound (log 1e-3, log 1e6) or unsettled falls back.
-    """
-    mean, conc = moment_fit(y, n, w)
-    lo, hi = math.log(1e-3), math.log(1e6)
-    t = np.clip(np.log([mean * conc, (1 - mean) * conc]), lo, hi)
-
-    def value(t):
-        a, b = np.exp(t)
-        return float((w * (log_gamma(y + a) + log_gamma(n - y + b) - log_gamma(n + a + b))).sum() + w.sum() * float((log_gamma(np.array([a + b])) - log_gamma(np.array([a])) - log_gamma(np.array([b])))[0]))
-
-    def slope(t):
-        a, b = np.exp(t)
-        d = _digamma
-        common = d(np.array([a + b]))[0] * w.sum() - (w * d(n + a + b)).sum()
-        return np.array([a * ((w * d(y + a)).sum() - d(np.array([a]))[0] * w.sum() + common), b * ((w * d(n - y + b)).sum() - d(np.array([b]))[0] * w.sum() + common)])
-
-    at, g, settled = value(t), slope(t), False
-    for _ in range(steps):
-        h, eps = np.zeros((2, 2)), 1e-4
-        for j in range(2):
-            e = np.zeros(2)
-            e[j] = eps
-            h[:, j] = (slope(t + e) - slope(t - e)) / (2 * eps)
-        h = (h + h.T) / 2
-        try:
-            step = -np.linalg.solve(h, g) if np.linalg.eigvalsh(h).max() < 0 else g / max(1.0, np.abs(g).max())
-        except np.linalg.LinAlgError:
-            break
-        scale = min(1.0, 3 / max(1e-12, np.abs(step).max()))
-        for _ in range(30):
-            new = np.clip(t + scale * step, lo, hi)
-            now = value(new)
-            if now >= at - 1e-12:
-                break
-            scale /= 2
-        moved, t, at = np.abs(new - t).max(), new, now
-        g = slope(t)
-        if moved < 1e-7:
-            settled = True
-            break
-    if not settled or (t <= lo + 1e-6).any() or (t >= hi - 1e-6).any():
-        return mean, conc, "moment"
-    a, b = np.exp(t)
-    return a / (a + b), a + b, "likelihood"
-
-
-def _trigamma(x: np.ndarray) -> np.ndarray:
-    x, out = np.asarray(x, np.float64).copy(), np.zeros_like(np.asarray(x, np.float64))
-    for _ in range(10):
-        low = x < 10
-        out[low] += 1 / x[low] ** 2
-        x[low] += 1
-    i = 1 / x
-    i2 = i * i
-    return out + i + i2 / 2 + i * i2 * (1 / 6 - i2 * (1 / 30 - i2 * (1 / 42 - i2 / 30)))
-
-
-def left_out_fits(y: np.ndarray, n: np.ndarray, w: np.ndarray, steps: int = 30) -> list[tuple[float | None, float | None, str]]:
-    """Likelihood fits of a pool with one row of each state left out, all states at once.
-
-    Newton steps in log parameters start from the whole pool's fit; unsettled ones and those at a bound fall back to
-    the moment fit of the same rows. A state that is the whole pool has no fit.
-    """
-    total = w.sum()
-    if total <= 1:
-        return [(None, None, "none")] * len(y)
-    mean, conc, _ = likelihood_fit(y, n, w)
-    lo, hi = math.log(1e-3), math.log(1e6)
-    t = np.tile(np.clip(np.log([mean * conc, (1 - mean) * conc]), lo, hi), (len(y), 1))
-    left = np.tile(w, (len(y), 1)) - np.eye(len(y))  # weights of each fit
-    rows, settled = left.sum(1), np.zeros(len(y), bool)
-    for _ in range(steps):
-        go = np.flatnonzero(~settled)
-        if not len(go):
-            break
-        a, b = np.exp(t[go, 0])[:, None], np.exp(t[go, 1])[:, None]
-        v, r = left[go], rows[go][:, None]
-        ab = a + b
-        d_ab = r * _digamma(ab) - (v * _digamma(n + ab)).sum(1, keepdims=True)
-        t_ab = r * _trigamma(ab) - (v * _trigamma(n + ab)).sum(1, keepdims=True)
-        ga = (v * _digamma(y + a)).sum(1, keepdims=True) - r * _digamma(a) + d_ab
-        gb = (v * _digamma(n - y + b)).sum(1, keepdims=True) - r * _digamma(b) + d_ab
-        ha = (v * _trigamma(y + a)).sum(1, keepdims=True) - r * _trigamma(a) + t_ab
-        hb = (v * _trigamma(n - y + b)).sum(1, keepdims=True) - r * _trigamma(b) + t_ab
-        g1, g2 = (a * ga)[:, 0], (b * gb)[:, 0]
-        h11, h22, h12 = (a * a * ha + a * ga)[:, 0], (b * b * hb + b * gb)[:, 0], (a * b * t_ab)[:, 0]
-        det = h11 * h22 - h12 * h12
-        downhill = (det > 0) & (h11 < 0)
-        safe = np.where(downhill, det, 1.0)
-        s1 = np.where(downhill, (h12 * g2 - h22 * g1) / safe, np.sign(g1) * 0.5)
-        s2 = np.where(downhill, (h12 * g1 - h11 * g2) / safe, np.sign(g2) * 0.5)
-        step = np.stack([s1, s2], 1)
-        step *= np.minimum(1.0, 2 / np.maximum(1e-12, np.abs(step).max(1)))[:, None]
-        new = np.clip(t[go] + step, lo, hi)
-        settled[go] = np.abs(new - t[go]).max(1) < 1e-8
-        t[go] = new
-    out: list[tuple[float | None, float | None, str]] = []
-    for i in range(len(y)):
-        if not settled[i] or (t[i] <= lo + 1e-6).any() or (t[i] >= hi - 1e-6).any():
-            keep = left[i] > 0
-            out.append((*moment_fit(y[keep], n[keep], left[i][keep]), "moment"))
-        else:
-            a, b = np.exp(t[i])
-            out.append((float(a / (a + b)), float(a + b), "likelihood"))
-    return out

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.operators import trees
+
 
 def filtered(df: DataFrame, **equal) -> DataFrame:
     """Conjunction of the filters that are given; None asks for nothing."""
@@ -36,14 +38,9 @@ def subtree_bounds(df: DataFrame, left: int, right: int) -> DataFrame:
     return df.where(F.col("tree_left").between(left, right) & (F.col("tree_right") <= right))
 
 
-def descend(geo: DataFrame, root: str, deepest: int = 16) -> DataFrame:
-    """A place and all below it by parent links, one level a step, in SQL's recursive form."""
-    view = "tallyloom_geo"
-    geo.select("id", "parent_id").createOrReplaceTempView(view)
-    return geo.sparkSession.sql(
-        f"WITH RECURSIVE t(id, depth) AS (SELECT id, 0 FROM {view} WHERE id = :root UNION ALL SELECT g.id, t.depth + 1 FROM {view} g JOIN t ON g.parent_id = t.id WHERE t.depth < {deepest}) SELECT id, depth FROM t",
-        args={"root": root},
-    )
+def descend(geo: DataFrame, root: str) -> DataFrame:
+    """A place and all below it by parent links, whatever the depth: id, depth."""
+    return trees.descend(geo, root)
 
 
 def page(df: DataFrame, keys: list[str], after: tuple | None, size: int) -> DataFrame:
@@ -65,19 +62,18 @@ def star(facts: DataFrame, sources: DataFrame, geo: DataFrame, source: str, plac
 
 
 def children(geo: DataFrame, facts: DataFrame, parent: str, category: str, value: str) -> DataFrame:
-    """Children of a place with totals and ordered categories; a child without facts keeps its row."""
-    g = facts.groupBy("id").agg(F.sum(value).alias("total"), F.array_sort(F.collect_list(F.struct(F.col(category).alias("category"), F.col(value).alias("value")))).alias("categories"))
-    return geo.where(F.col("parent_id") == parent).select("id", "level").join(g, "id", "left").withColumn("has_facts", F.col("total").isNotNull())
-
+    """Children of a place with totals and ordered categories; a child without facts keeps its row.
 
-def has_facts(geo: DataFrame, facts: DataFrame) -> DataFrame:
-    return geo.join(facts.select("id").distinct().withColumn("__f", F.lit(True)), "id", "left").withColumn("has_facts", F.col("__f").isNotNull()).drop("__f")
+    Only the children's facts are aggregated: they are picked out by a semi-join before.
+    """
+    own = geo.where(F.col("parent_id") == parent).select("id", "level")
+    g = facts.join(own.select("id"), "id", "left_semi").groupBy("id").agg(F.sum(value).alias("total"), F.array_sort(F.collect_list(F.struct(F.col(category).alias("category"), F.col(value).alias("value")))).alias("categories"))
+    return own.join(g, "id", "left").withColumn("has_facts", F.col("total").isNotNull())
 
 
-def path_from_root(geo: DataFrame, id_: str, path: str) -> DataFrame:
-    """One row for each place and ancestor, root first: id, depth, ancestor."""
-    parts = F.split(path, "/")
-    return geo.select(id_, F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("depth", "ancestor"))
+def path_from_root(geo: DataFrame, of: Column | None = None) -> DataFrame:
+    """One row for each place (of those asked for) and ancestor, walked by parent links: id, depth (0: the root), ancestor."""
+    return trees.paths(geo, of=of)
 
 
 def unit_detail(units: DataFrame, lineage: DataFrame, facts: DataFrame, unit: str, source: str, value: str) -> DataFrame:

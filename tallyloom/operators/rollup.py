@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators import trees
 from tallyloom.schema import Hierarchy, Metric
 
 
@@ -154,13 +155,7 @@ def ordered_categories(facts: DataFrame, keys: list[str], category: str, value:
 def dense_ids(df: DataFrame, key: str, name: str) -> DataFrame:
     """Distinct keys with dense ids in their order, numbered in ranges so that no task holds all keys."""
     keys = df.select(key).distinct()
-    n = max(1, keys.count() // 500_000)
-    part = keys.repartitionByRange(n, key).withColumn("__part", F.spark_partition_id())
-    if n == 1:
-        return part.select(key, (F.row_number().over(Window.partitionBy("__part").orderBy(key))).alias(name))
-    part = part.persist()
-    base = part.groupBy("__part").count().select("__part", F.expr("sum(count) over (order by __part) - count").alias("__base"))
-    return part.join(F.broadcast(base), "__part").select(key, (F.col("__base") + F.row_number().over(Window.partitionBy("__part").orderBy(key))).cast("long").alias(name))
+    return trees.numbered(keys.withColumn("__all", F.lit(1)), ["__all"], [key], name).drop("__all")
 
 
 def rekeyed(facts: DataFrame, key: str, name: str) -> tuple[DataFrame, DataFrame]:

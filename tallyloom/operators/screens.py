@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions import stats
-from tallyloom.operators import rollup, windows
+from tallyloom.functions import likelihood, stats
+from tallyloom.operators import fits, rollup, windows
+from tallyloom.scratch import kept
 
 LEAST_DENOMINATOR, LEAST_PEERS, MOST_STATES = 80, 30, 512
 SHRINK = 8.0  # n / (n + SHRINK) is the weight of a level's own fit
@@ -47,13 +48,20 @@ def peer_screen_moments(df: DataFrame, family: str, unit: str, levels: list[str]
 
 
 def _fit_states(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Fits of one pool, each state left out once; over MOST_STATES one fit of the whole pool, labelled so."""
+    """Fits of one pool, each state left out once; over MOST_STATES one fit of the whole pool, labelled so.
+
+    A fit at a bound of its parameters is replaced by the moment fit of the same rows.
+    """
     y, n, w = (pdf[c].to_numpy(np.float64) for c in ("y", "n", "w"))
     if len(y) > MOST_STATES:
-        mean, concentration, fit = stats.likelihood_fit(y, n, w)
-        out = [(mean, concentration, f"{fit}_whole_pool")] * len(y)
+        out = [likelihood.whole_fit(y, n, w)]
+        rest = [w]
     else:
-        out = stats.left_out_fits(y, n, w)
+        out = likelihood.left_out(y, n, w)
+        rest = [w - (np.arange(len(w)) == i) if o[2] == "boundary" else w for i, o in enumerate(out)]
+    out = [(*stats.moment_fit(y[v > 0], n[v > 0], v[v > 0]), "moment") if o[2] == "boundary" else o for o, v in zip(out, rest, strict=True)]
+    if len(y) > MOST_STATES:
+        out = [(out[0][0], out[0][1], f"{out[0][2]}_whole_pool")] * len(y)
     return pdf[["pool_key", "y", "n"]].assign(fit_mean=[o[0] for o in out], fit_concentration=[o[1] for o in out], fit=[o[2] for o in out])
 
 
@@ -102,53 +110,89 @@ def cluster_screen(df: DataFrame, family: str, place: str, levels: list[str], y:
     return out.withColumn("signal", F.coalesce((fit == "likelihood") & (F.col("q") <= 0.05), F.lit(False)))
 
 
-def hierarchical_reference(df: DataFrame, levels: list[str], y: str, n: str, eligible: str) -> DataFrame:
+def _fitted_by_moments(df: DataFrame, levels: list[str], y: str, n: str) -> DataFrame:
+    """Rows with m_i, mean_i, strength_i of all others (i = 0) and of the others of each level (1, 2, ..)."""
+    pools = [[], *[levels[: i + 1] for i in range(len(levels))]]
+    sums = df.groupBy(*levels).agg(*windows.moment_sums(y, n))  # the finest pools; the others are sums of these
+    names, out = [c for c in sums.columns if c.startswith("__")], df
+    for i, pool in enumerate(pools):
+        up = sums.groupBy(*pool).agg(*[F.sum(c).alias(f"{c}_{i}") for c in names])
+        out = out.join(up, pool) if pool else out.crossJoin(F.broadcast(up))  # one row
+    r = F.col(y) / F.col(n)
+    for i in range(len(pools)):
+        less = [F.col(f"{c}_{i}") - own for c, own in zip(names, (F.col(y), F.col(n), F.lit(1), r, r * r), strict=True)]
+        mean, strength = windows.moments(*less)
+        out = out.withColumns({f"m_{i}": less[2], f"mean_{i}": mean, f"strength_{i}": strength, f"fit_{i}": F.lit("moment")})
+    return out.select(*df.columns, *[f"{c}_{i}" for i in range(len(pools)) for c in ("m", "mean", "strength", "fit")])
+
+
+def _fitted_by_likelihood(df: DataFrame, levels: list[str], y: str, n: str, most_states: int) -> DataFrame:
+    """The same by maximum likelihood. Fits are joined to distinct states, and those once to the rows."""
+    name = lambda i: F.concat_ws("|", F.lit(str(i)), *[F.col(c).cast("string") for c in levels[:i]])
+    pools = [name(i) for i in range(len(levels) + 1)]
+    found = kept(fits.left_out(fits.states(df, pools, y, n), most_states), "left-out-fits")
+    distinct = df.select(*levels, F.col(y).cast("long").alias("__y"), F.col(n).cast("long").alias("__n")).distinct()
+    for i, pool in enumerate(pools):
+        f = found.select("pool_key", F.col("y").alias("__fy"), F.col("n").alias("__fn"), F.col("fit_peers").alias(f"m_{i}"), F.col("fit_mean").alias(f"mean_{i}"), F.col("fit_concentration").alias(f"strength_{i}"), F.col("fit").alias(f"fit_{i}"))
+        distinct = distinct.withColumn("__k", pool).join(f, (F.col("__k") == F.col("pool_key")) & (F.col("__y") == F.col("__fy")) & (F.col("__n") == F.col("__fn"))).drop("__k", "pool_key", "__fy", "__fn")
+    keyed = df.withColumns({"__y": F.col(y).cast("long"), "__n": F.col(n).cast("long")})
+    return keyed.join(distinct, [*levels, "__y", "__n"]).drop("__y", "__n")
+
+
+def hierarchical_reference(df: DataFrame, levels: list[str], y: str, n: str, eligible: str, fit: str = "likelihood", most_states: int = fits.MOST_STATES) -> DataFrame:
     """Leave-one-out reference of each row, fitted to unit rows and shrunk down the levels (coarsest first).
 
-    Adds ref_level, ref_mean, ref_concentration, variance, p (two-sided tail) and low, high (central 95 %, as rates). All
-    rows, then each level, are fitted without the row, by moments; a level's fit of m others, two at least, gets weight
-    m / (m + 8) against its parent's: means linearly, concentrations geometrically. The level named is the finest with
-    enough others: 9 in the place, 1 in the municipality, else the department, which must have 30.
+    Adds ref_level, ref_mean, ref_concentration, ref_fit, variance, p (two-sided tail) and low, high (central 95 %, as
+    rates). All rows, then each level, are fitted without the row, by maximum likelihood (a fit that does not settle falls
+    back to moments; fit = "moment" takes those throughout). A level's fit of m others, two at least, gets weight m / (m + 8)
+    against its parent's: means linearly, concentrations geometrically. The level named is the finest with enough others: 9
+    in the place, 1 in the municipality, else the department, which must have 30. ref_fit: likelihood if all levels used
+    settled inside their bounds, else not_converged; moment. Levels must not be null in eligible rows.
     """
-    fitted = windows.moment_fit(df.where(F.col(eligible)), [], y, n).withColumnsRenamed({"fit_mean": "ref_mean", "fit_concentration": "ref_concentration"}).drop("fit_peers")
-    level = F.lit(None).cast("string")
-    for i, x in enumerate(levels):
-        m = F.col(f"__m_{x}")
-        fitted = windows.moment_fit(fitted, [x], y, n).withColumnRenamed("fit_peers", f"__m_{x}")
+    some = df.where(F.col(eligible))
+    fitted = _fitted_by_moments(some, levels, y, n) if fit == "moment" else _fitted_by_likelihood(some, levels, y, n, most_states)
+    mean, strength, sound, level = F.col("mean_0"), F.col("strength_0"), F.col("fit_0") == "likelihood", F.lit(None).cast("string")
+    for i, x in enumerate(levels, 1):
+        m = F.col(f"m_{i}")
         w, usable = m / (m + SHRINK), m >= 2
-        mean = F.when(usable, w * F.col("fit_mean") + (1 - w) * F.col("ref_mean")).otherwise(F.col("ref_mean"))
-        strength = F.when(usable, F.exp(w * F.log("fit_concentration") + (1 - w) * F.log("ref_concentration"))).otherwise(F.col("ref_concentration"))
-        fitted = fitted.withColumns({"ref_mean": mean, "ref_concentration": strength}).drop("fit_mean", "fit_concentration")
-        level = F.when(m >= (0 if i == 0 else 1 if i < len(levels) - 1 else 9), F.lit(x)).otherwise(level)
-    ok = F.col(f"__m_{levels[0]}") >= LEAST_PEERS
-    out = fitted.withColumns({"ref_level": F.when(ok, level), "ref_mean": F.when(ok, F.col("ref_mean")), "ref_concentration": F.when(ok, F.col("ref_concentration"))})
+        mean = F.when(usable, w * F.col(f"mean_{i}") + (1 - w) * mean).otherwise(mean)
+        strength = F.when(usable, F.exp(w * F.log(f"strength_{i}") + (1 - w) * F.log(strength))).otherwise(strength)
+        sound = F.when(usable, sound & (F.col(f"fit_{i}") == "likelihood")).otherwise(sound)
+        enough = m >= (0 if i == 1 else 1 if i < len(levels) else 9)
+        last = (mean, strength, sound) if i == 1 else tuple(F.when(enough, a).otherwise(b) for a, b in zip((mean, strength, sound), last, strict=True))
+        level = F.when(enough, F.lit(x)).otherwise(level)
+    ok = F.col("m_1") >= LEAST_PEERS
+    said = F.lit("moment") if fit == "moment" else F.when(last[2], "likelihood").otherwise("not_converged")
+    kinds = {"ref_level": "string", "ref_mean": "double", "ref_concentration": "double", "ref_fit": "string"}
+    new = dict(zip(kinds, (level, last[0], last[1], said), strict=True))
+    out = fitted.withColumns({c: F.when(ok, v) for c, v in new.items()}).select(*df.columns, *kinds)
     rest = df.where(~F.coalesce(F.col(eligible), F.lit(False)))
-    kinds = {"ref_level": "string", "ref_mean": "double", "ref_concentration": "double"}
-    out = out.select(*df.columns, *kinds).unionByName(rest.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items()}))
+    out = out.unionByName(rest.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items()}))
     a, b = F.col("ref_mean") * F.col("ref_concentration"), (1 - F.col("ref_mean")) * F.col("ref_concentration")
     tail = stats.beta_binomial_tail(F.col(y).cast("double"), F.col(n).cast("double"), F.col("ref_mean"), F.col("ref_concentration"))
     out = out.withColumn("variance", stats.beta_binomial_variance(F.col(n), a, b)).withColumn("__t", tail)
     return out.select("*", F.col("__t.p").alias("p"), (F.col("__t.low") / F.col(n)).alias("low"), (F.col("__t.high") / F.col(n)).alias("high")).drop("__t")
 
 
-def municipality_left_out(df: DataFrame, department: str, municipality: str, y: str, n: str) -> DataFrame:
-    """Each municipality's total against the unit rows of all other municipalities, fitted by moments.
+def municipality_left_out(df: DataFrame, department: str, municipality: str, y: str, n: str, fit: str = "likelihood") -> DataFrame:
+    """Each municipality's total against the unit rows of all other municipalities, fitted by likelihood or by moments.
 
     expected and variance with one latent rate shared by the municipality; null with fewer than two rows outside. No
-    p-value: the uncertainty of the fit is not in the variance.
+    p-value: the uncertainty of the fit is not in the variance. fit: how the others were fitted.
     """
-    own = df.groupBy(department, municipality).agg(*windows.moment_sums(y, n))
-    sums = ("__y", "__n", "__k", "__r", "__rr")
-    total = own.agg(*[F.sum(c).alias(f"{c}_all") for c in sums])  # one row
-    out = own.crossJoin(F.broadcast(total))
-    mean, concentration = windows.moments(*[F.col(f"{c}_all") - F.col(c) for c in sums])
-    out = out.withColumns({"mean": mean, "concentration": concentration})
-    ok, trials = F.col("__k_all") - F.col("__k") >= 2, F.col("__n")
+    group = [department, municipality]
+    if fit == "likelihood":
+        out = fits.groups_left_out(df, group, y, n).withColumnsRenamed({"fit_mean": "mean", "fit_concentration": "concentration"})
+    else:
+        own = df.groupBy(*group).agg(*windows.moment_sums(y, n))
+        sums = ("__y", "__n", "__k", "__r", "__rr")
+        total = own.agg(*[F.sum(c).alias(f"{c}_all") for c in sums])  # one row
+        every = own.crossJoin(F.broadcast(total))
+        mean, concentration = windows.moments(*[F.col(f"{c}_all") - F.col(c) for c in sums])
+        ok = F.col("__k_all") - F.col("__k") >= 2
+        out = every.select(*group, F.col("__k").alias("units"), F.col("__y").alias("y"), F.col("__n").alias("n"), F.when(ok, mean).alias("mean"), F.when(ok, concentration).alias("concentration"), F.when(ok, "moment").alias("fit"))
     a, b = F.col("mean") * F.col("concentration"), (1 - F.col("mean")) * F.col("concentration")
-    return out.select(
-        department, municipality, F.col("__k").alias("units"), F.col("__y").alias("y"), trials.alias("n"),
-        F.when(ok, trials * F.col("mean")).alias("expected"), F.when(ok, stats.beta_binomial_variance(trials, a, b)).alias("variance"),
-    )
+    return out.select(*group, "units", "y", "n", (F.col("n") * F.col("mean")).alias("expected"), stats.beta_binomial_variance(F.col("n"), a, b).alias("variance"), "fit")
 
 
 # Screens by permutation: a permutation's draws depend on the municipality's key and the batch, never on the partitioning.

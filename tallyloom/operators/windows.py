@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.scratch import kept
 
 EULER = 0.5772156649015329  # fixed value: the limit of 1 + 1/2 + .. + 1/m - ln m
 
@@ -25,10 +26,12 @@ def by_adjust(df: DataFrame, family: str, p: str, tie: str) -> DataFrame:
     """Adds rank and q: Benjamini-Yekutieli over each family, ties of p by `tie`; rows with a null p get nulls.
 
     Rows are dealt by ranges of (family, p, tie). Ranks and least q count within a range, and what lies before and after
-    it in its family is added from one row for each family and range: no task holds a whole family.
+    it in its family is added from one row for each family and range: no task holds a whole family. The rows are written
+    once before they are dealt, and once dealt, in the shared folder; nothing stays in the session's cache.
     """
-    tested = df.where(F.col(p).isNotNull()).persist()  # sampled for its ranges, then dealt
-    dealt = tested.repartitionByRange(family, p, tie).withColumn("__part", F.spark_partition_id()).persist()
+    df = kept(df, "tested")
+    tested = df.where(F.col(p).isNotNull())
+    dealt = kept(tested.repartitionByRange(family, p, tie).withColumn("__part", F.spark_partition_id()), "dealt")
     by, within = Window.partitionBy(family), Window.partitionBy(family, "__part")
     upto = by.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = dealt.groupBy(family, "__part").agg(F.count("*").alias("__n"))
@@ -142,16 +145,28 @@ def top_two(df: DataFrame, keys: list[str], name: str, value: str) -> DataFrame:
 def nested_sets(tree: DataFrame, scope: list[str], id_: str, path: str) -> DataFrame:
     """Adds tree_left, tree_right in path order: k-th node of depth d with n below it: 2k - 1 - d, and 2n - 1 more.
 
-    path: array of ids from the root, the node's own last. A window holds one scope's tree.
+    path: array of ids from the root, the node's own last. Nodes are numbered by ranges of (scope, path), so a scope may
+    hold any number of them.
     """
-    w = Window.partitionBy(*scope).orderBy(path)
+    from tallyloom.operators import trees
+
     below = tree.select(*scope, F.explode(path).alias("__a"), F.lit(1).alias("__one")).groupBy(*scope, "__a").agg(F.sum("__one").alias("__size"))
-    k = tree.withColumn("__k", F.row_number().over(w)).withColumn("__a", F.element_at(path, -1))
+    k = trees.numbered(tree, scope, [path], "__k").withColumn("__a", F.element_at(path, -1))
     left = 2 * F.col("__k") - 1 - (F.size(path) - 1)
     out = k.join(below, [*scope, "__a"])
     return out.select(*tree.columns, left.cast("long").alias("tree_left"), (left + 2 * F.col("__size") - 1).cast("long").alias("tree_right"))
 
 
+def nested_sets_by_links(tree: DataFrame, id_: str = "id", parent: str = "parent_id") -> DataFrame:
+    """id, tree_left, tree_right of a forest given by parent links, siblings and tops in the order of their ids."""
+    from tallyloom.operators import trees
+
+    up = kept(trees.paths(tree, id_, parent), "paths")
+    path = F.transform(F.array_sort(F.collect_list(F.struct("depth", "ancestor"))), lambda x: x["ancestor"])  # as long as the tree is deep
+    nodes = up.groupBy("id").agg(path.alias("path")).withColumn("scope", F.lit(1))
+    return nested_sets(nodes, ["scope"], "id", "path").select("id", "tree_left", "tree_right")
+
+
 def ranks(df: DataFrame, by: dict[str, Column], tie: str) -> DataFrame:
     """Adds one rank for each named order. For small results: each order sorts all rows."""
     for name, order in by.items():

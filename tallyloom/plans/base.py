@@ -40,6 +40,8 @@ def query(sql: str | None = None):
 
 def _with(sql: str) -> str:
     s = sql.strip()
+    if s.startswith("WITH RECURSIVE "):
+        return CTE.replace("WITH ", "WITH RECURSIVE ", 1) + ",\n" + s[15:]
     return CTE + (",\n" + s[5:] if s[:5].upper() == "WITH " else "\n" + s)
 
 

@@ -292,21 +292,25 @@ _SHRUNK = ", ".join(
 )
 
 
+_NAMED = "(CASE WHEN k3 >= 9 THEN {0}3 WHEN k2 >= 1 THEN {0}2 ELSE {0}1 END)"  # of the level that is named
+
+
 @query(f"""WITH f AS (SELECT *, {_sums(0, '')}, {_sums(1, 'PARTITION BY department')}, {_sums(2, 'PARTITION BY municipality')}, {_sums(3, 'PARTITION BY place')} FROM rates WHERE eligible),
 m AS (SELECT *, {', '.join(map(_mean, range(4)))} FROM f), v AS (SELECT *, {', '.join(map(_strength, range(4)))} FROM m), s0 AS (SELECT *, m0 AS a0, c0 AS b0 FROM v), {_SHRUNK}
-SELECT unit, CASE WHEN k3 >= 9 THEN 'place' WHEN k2 >= 1 THEN 'municipality' ELSE 'department' END AS ref_level, round(a3, 9) AS ref_mean, round(b3, 4) AS ref_concentration, round(n * a3 * (1 - a3) * (b3 + n) / (b3 + 1), 4) AS variance FROM s3 WHERE k1 >= 30
+SELECT unit, CASE WHEN k3 >= 9 THEN 'place' WHEN k2 >= 1 THEN 'municipality' ELSE 'department' END AS ref_level, round({_NAMED.format('a')}, 9) AS ref_mean, round({_NAMED.format('b')}, 4) AS ref_concentration,
+  round(n * {_NAMED.format('a')} * (1 - {_NAMED.format('a')}) * ({_NAMED.format('b')} + n) / ({_NAMED.format('b')} + 1), 4) AS variance FROM s3 WHERE k1 >= 30
 UNION ALL SELECT unit, NULL, NULL, NULL, NULL FROM s3 WHERE k1 < 30 UNION ALL SELECT unit, NULL, NULL, NULL, NULL FROM rates WHERE NOT eligible""")
 def hierarchical_reference(spark, d):
-    """Shrunken leave-one-out reference."""
-    r = screens.hierarchical_reference(b.rates(spark, d), ["department", "municipality", "place"], "y", "n", "eligible")
+    """Shrunken leave-one-out reference by moments, the fallback of the likelihood's."""
+    r = screens.hierarchical_reference(b.rates(spark, d), ["department", "municipality", "place"], "y", "n", "eligible", fit="moment")
     return r.select("unit", "ref_level", F.round("ref_mean", 9).alias("ref_mean"), F.round("ref_concentration", 4).alias("ref_concentration"), F.round("variance", 4).alias("variance"))
 
 
 @query()
 def hierarchical_tails(spark, d):
-    """Tails and intervals of the same."""
+    """The reference by maximum likelihood at every level, with tails and intervals."""
     r = screens.hierarchical_reference(b.rates(spark, d), ["department", "municipality", "place"], "y", "n", "eligible")
-    return r.select("unit", "y", "n", "ref_level", "p", "low", "high")
+    return r.select("unit", "y", "n", "ref_level", "ref_mean", "ref_concentration", "ref_fit", "p", "low", "high")
 
 
 @query("""WITH g AS (SELECT department, municipality, count(*) AS units, sum(y)::BIGINT AS y, sum(n)::BIGINT AS n, sum(y::DOUBLE / n) AS r, sum((y::DOUBLE / n) * (y::DOUBLE / n)) AS rr FROM rates GROUP BY ALL),
@@ -315,10 +319,16 @@ s AS (SELECT *, least(1e6, greatest(1e-3, a * (1 - a) / greatest((q0 - 2 * a * r
 SELECT department, municipality, units, y, n, round(n * a, 6) AS expected, round(n * a * (1 - a) * (s + n) / (s + 1), 3) AS variance FROM s""")
 def municipality_left_out(spark, d):
     """Each municipality's total against the units of all others."""
-    r = screens.municipality_left_out(b.rates(spark, d), "department", "municipality", "y", "n")
+    r = screens.municipality_left_out(b.rates(spark, d), "department", "municipality", "y", "n", fit="moment")
     return r.select("department", "municipality", "units", "y", "n", F.round("expected", 6).alias("expected"), F.round("variance", 3).alias("variance"))
 
 
+@query()
+def municipality_likelihood(spark, d):
+    """The same by maximum likelihood over the units of all other municipalities."""
+    return screens.municipality_left_out(b.rates(spark, d), "department", "municipality", "y", "n")
+
+
 @query()
 def runs_screen(spark, d):
     """Permuted runs with max-T."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.operators import read, rollup, windows
@@ -181,8 +182,37 @@ def subtree_recursive(spark, d):
 
 @query("""WITH t AS (SELECT id, string_split(id, '/') AS p FROM geo WHERE level = 'place') SELECT id, i - 1 AS depth, array_to_string(p[1:i], '/') AS ancestor FROM t, unnest(range(1, len(p) + 1)) AS u(i)""")
 def paths_from_root(spark, d):
-    """F24."""
-    return read.path_from_root(b.geo(spark, d).where("level = 'place'"), "id", "id")
+    """ancestors of places by walking parent links."""
+    return read.path_from_root(b.geo(spark, d).where("level <> 'unit'"), F.col("level") == "place")
+
+
+def _chains(spark, d) -> DataFrame:
+    """Orders as a forest of opaque ids: an order's parent is the customer's order before it, by key, but for every 40th."""
+    o = b.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.expr("lag(o_orderkey) over (partition by o_custkey % 20 order by o_orderkey)").alias("p"))
+    return o.select(F.md5(F.col("k").cast("string")).alias("id"), F.when(F.col("k") % 40 != 0, F.md5(F.col("p").cast("string"))).alias("parent_id"))
+
+
+_CHAINS = "WITH RECURSIVE o AS (SELECT o_orderkey AS k, lag(o_orderkey) OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey) AS p FROM orders), c AS (SELECT md5(k::VARCHAR) AS id, CASE WHEN k % 40 <> 0 THEN md5(p::VARCHAR) END AS parent_id FROM o)"
+
+
+@query(f"{_CHAINS}, t AS (SELECT id, 0::BIGINT AS depth, id AS ancestor, parent_id AS up FROM c UNION ALL SELECT t.id, t.depth + 1, c.id, c.parent_id FROM t JOIN c ON t.up = c.id) SELECT id, max(depth) OVER (PARTITION BY id) - depth AS depth, ancestor FROM t")
+def deep_paths(spark, d):
+    """F24 on long chains of ids that are no paths."""
+    return read.path_from_root(_chains(spark, d))
+
+
+@query(f"{_CHAINS}, s AS (SELECT min(id) AS root FROM c WHERE parent_id IS NULL), t AS (SELECT c.id, 0::BIGINT AS depth FROM c JOIN s ON c.id = s.root UNION ALL SELECT c.id, t.depth + 1 FROM t JOIN c ON c.parent_id = t.id) SELECT id, depth FROM t")
+def deep_subtree(spark, d):
+    """F6 on the same: all below the first top."""
+    t = _chains(spark, d)
+    return read.descend(t, t.where("parent_id is null").agg(F.min("id")).first()[0])
+
+
+@query(f"""{_CHAINS}, t AS (SELECT id, [id] AS path, parent_id AS up FROM c UNION ALL SELECT t.id, list_prepend(c.id, t.path), c.parent_id FROM t JOIN c ON t.up = c.id), p AS (SELECT id, path FROM t WHERE up IS NULL),
+n AS (SELECT a AS id, count(*) AS n FROM (SELECT unnest(path) AS a FROM p) GROUP BY a), k AS (SELECT id, row_number() OVER (ORDER BY path) AS k, len(path) - 1 AS dp FROM p) SELECT id, 2 * k - 1 - dp AS tree_left, 2 * k - 1 - dp + 2 * n - 1 AS tree_right FROM k JOIN n USING (id)""")
+def nested_sets_by_links(spark, d):
+    """W12 from parent links."""
+    return windows.nested_sets_by_links(_chains(spark, d))
 
 
 @query("SELECT 'no_result' AS side, count(*) AS n FROM units WHERE unit % 13 = 0 UNION ALL SELECT 'no_geography', count(*) FROM units WHERE unit % 11 = 0")
