@@ -1,13 +1,11 @@
-"""Substring deduplication by joining windows inside groups of suffixes that are split by their prefixes.
+"""Substring deduplication by joining windows of words.
 
 Every position of a document starts a suffix; only its first `words` words, a window, matter.
-1. A census of word prefixes over all documents finds those with too many suffixes; a group of suffixes is named by its
-   shortest prefix that is not among them (1 word for rare ones, up to `words` for passages that many documents share).
-2. Documents are put in blocks by ranges of doc_id with about equal bytes. A block sends each group the digests (88 bits)
-   of its distinct windows, so a passage costs a block one entry however often it occurs there.
-3. Each group merges the lists. Equal digests are one node at depth `words`; as blocks are in order of doc_id, the first
-   block of a node owns it. Every block gets back one bit per entry: "a smaller block has this".
-4. Each block marks the windows so told and those that an earlier document of its own has; runs of marked windows are
+1. Documents are put in blocks by ranges of doc_id with about equal bytes. A block sends each bucket, by a hash of the
+   window, the digests (88 bits) of its distinct windows, so a passage costs a block one entry however often it occurs there.
+2. Each bucket merges the lists. As blocks are in order of doc_id, the first block of a digest owns it. Every block gets
+   back one bit per entry: "a smaller block has this".
+3. Each block marks the windows so told and those that an earlier document of its own has; runs of marked windows are
    the maximal repeats, and their words are removed.
 """
 
@@ -25,54 +23,19 @@ from .shared import others, slices
 
 BLOCK_BYTES = 6 << 20  # text in one block of documents
 CELLS = 1 << 17  # ranges of doc_id whose bytes are summed to cut blocks
-GROUP = 1 << 18  # suffixes that one prefix may have before it is lengthened
 TAIL = np.uint64(0x2545F4914F6CDD1D)
-BUCKET = 1 << 20  # suffixes, of several groups, that one task merges
+BUCKET = 1 << 20  # suffixes that one task merges
 DIGEST = 11  # bytes of a window's digest: among 2 * 10^13 windows less than one false match is expected
 
 
-def _groups(words: np.ndarray, starts: np.ndarray, heavy: list[np.ndarray], depth: int) -> np.ndarray:
-    """Hash of the shortest prefix of each suffix that is not heavy."""
-    out = W.mix(words[starts])
-    left = np.arange(len(starts))
-    for k in range(1, depth):
-        if not len(heavy[k]) or not len(left):
-            break
-        left = left[np.isin(out[left], heavy[k])]
-        out[left] = W.mix(out[left] * np.uint64(31) + words[starts[left] + k])
-    return out
-
-
-def _census(n_all: int, depth: int):
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                raw, at = W.text_bytes(part.column("text"))
-                s, e, per = W.split(raw, at, W.not_space())
-                h, starts = W.hashes(raw, s, e), W.whole(per, depth)
-                least = max(64, GROUP * len(starts) // (4 * max(n_all, 1)))
-                now = W.mix(h[starts])
-                for k in range(1, depth):
-                    keys, inverse, n = np.unique(now, return_inverse=True, return_counts=True)
-                    keep = n >= least
-                    if not keep.any():
-                        break
-                    yield pa.RecordBatch.from_pydict({"k": pa.array([k] * int(keep.sum()), pa.int32()), "prefix": pa.array(keys[keep].view(np.int64)), "n": pa.array(n[keep].astype(np.int64))})
-                    go = keep[inverse]
-                    starts, now = starts[go], now[go]
-                    now = W.mix(now * np.uint64(31) + h[starts + k])
-
-    return run
-
-
-def _cuts(table: DataFrame, block_bytes: int) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """(shift, first cell, first block of each cell, blocks of each cell): doc_id >> shift is a cell, CELLS at most.
+def _cuts(table: DataFrame, block_bytes: int) -> tuple[int, tuple[int, int, np.ndarray, np.ndarray]]:
+    """(bytes in all, (shift, first cell, first block of each cell, blocks of each cell)): doc_id >> shift is a cell, CELLS at most.
 
     Small neighbouring cells share a block; a large cell has several, of equal ranges of doc_id.
     """
     ends = table.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
     if ends.a is None:
-        return 0, 0, np.zeros(1, np.int64), np.ones(1, np.int64)
+        return 0, (0, 0, np.zeros(1, np.int64), np.ones(1, np.int64))
     shift = next(k for k in range(64) if (ends.b >> k) - (ends.a >> k) < CELLS)
     low = ends.a >> shift
     sums = table.groupBy((F.shiftright("doc_id", shift) - F.lit(low)).cast("int").alias("cell")).agg(F.sum(F.octet_length("text")).alias("n")).toArrow()  # CELLS rows at most
@@ -85,7 +48,7 @@ def _cuts(table: DataFrame, block_bytes: int) -> tuple[int, int, np.ndarray, np.
     step[1:] = large[1:] | large[:-1] | (before[1:] // block_bytes != before[:-1] // block_bytes)
     many = np.maximum(many, 1)
     opened = np.where(step, many, 0)
-    return shift, low, np.cumsum(opened) - np.where(large, many, 1), many
+    return int(size.sum()), (shift, low, np.cumsum(opened) - np.where(large, many, 1), many)
 
 
 def _deal(shift: int, low: int, first: np.ndarray, many: np.ndarray):
@@ -116,7 +79,7 @@ def _opened(table: pa.Table) -> tuple[pa.Table, list[bytes], np.ndarray, np.ndar
     return table, texts, W.hashes(raw, s, e), per
 
 
-def _suffixes(h: np.ndarray, per: np.ndarray, depth: int, heavy, buckets: int):
+def _suffixes(h: np.ndarray, per: np.ndarray, depth: int, buckets: int):
     """(starts, digests of the distinct windows, their first start, index of each start's window, order by bucket, cuts)."""
     starts = W.whole(per, depth)
     none = np.zeros(0, np.uint64)
@@ -126,17 +89,17 @@ def _suffixes(h: np.ndarray, per: np.ndarray, depth: int, heavy, buckets: int):
     if (tail != tail[first][inverse]).any():  # two windows with one head
         _, first, inverse = np.unique(np.rec.fromarrays([head, tail]), return_index=True, return_inverse=True)
         distinct = head[first]
-    bucket = _groups(h, starts[first], heavy, depth) % np.uint64(buckets)
+    bucket = W.mix(distinct) % np.uint64(buckets)
     order = np.argsort(bucket.astype(np.int64), kind="stable")
     digests = np.concatenate([distinct.view(np.uint8).reshape(-1, 8), tail[first].view(np.uint8).reshape(-1, 8)[:, : DIGEST - 8]], 1)
     return starts, digests, first, inverse, order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-def _send(depth: int, heavy, buckets: int):
+def _send(depth: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
         table, _, h, per = _opened(table.select(["doc_id", "z", "size"]))
-        _, digests, _, _, order, cuts = _suffixes(h, per, depth, heavy, buckets)
+        _, digests, _, _, order, cuts = _suffixes(h, per, depth, buckets)
         has = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
         blobs = [digests[order[cuts[b] : cuts[b + 1]]].tobytes() for b in has]
         return pa.table({"bucket": pa.array(has, pa.int32()), "block": pa.array([block] * len(has), pa.int32()), "suffixes": pa.array(blobs, pa.binary())})
@@ -184,7 +147,7 @@ def _unnamed(rejoin: bool):
     return run
 
 
-def _remove(depth: int, heavy, buckets: int, rejoin: bool, rest: pa.DataType):
+def _remove(depth: int, buckets: int, rejoin: bool, rest: pa.DataType):
     def kept(text: bytes, keep: list[bool]) -> bytes:
         if rejoin:
             found = text.split()
@@ -205,7 +168,7 @@ def _remove(depth: int, heavy, buckets: int, rejoin: bool, rest: pa.DataType):
             return pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string()), "n_words": pa.array([], pa.int64()), "spans": pa.array([], pa.list_(pa.list_(pa.int64()))), "rest": pa.array([], rest)})
         docs, texts, h, per = _opened(docs)
         gone = np.zeros(per[-1] + 1, np.int64)
-        starts, digests, first, inverse, order, cuts = _suffixes(h, per, depth, heavy, buckets)
+        starts, digests, first, inverse, order, cuts = _suffixes(h, per, depth, buckets)
         told = np.zeros(len(digests), bool)
         for b, bits in zip(seen["bucket"].to_pylist(), seen["seen"].to_pylist(), strict=True):
             at = order[cuts[b] : cuts[b + 1]]
@@ -238,27 +201,23 @@ def remove_repeats(docs: DataFrame, words: int = 13, rejoin: bool = False, block
     input. Returns doc_id, text (what is kept), n_words, spans (array of [first, end) word numbers removed: the maximal
     repeats) and rest (the other columns). rejoin: kept words joined by one space, else the white space stays.
 
-    Null or empty text: no words. Null doc_id: the row is returned whole and is nobody's predecessor. Rows with one
+    No rows: none come back. Null or empty text: no words. Null doc_id: the row is returned whole and is nobody's predecessor. Rows with one
     doc_id, repeated or not, share a block and are not each other's predecessors. Two windows are the same if their
     digests of 88 bits are.
     """
     table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), others(docs, "doc_id", "text"))
     unnamed, table = table.where("doc_id is null"), table.where("doc_id is not null")
-    cuts = _cuts(table, block_bytes)
-    n_words = (table.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0) // 6
-    buckets = max(1, n_words // BUCKET)
-    found = table.select("text").mapInArrow(_census(n_words, words), "k int, prefix long, n long").groupBy("k", "prefix").agg(F.sum("n").alias("n"))
-    found = found.where(F.col("n") >= GROUP // 2).select("k", "prefix").collect()  # at most 2 n_words / GROUP for each length
-    heavy = [np.sort(np.array([r.prefix for r in found if r.k == k], np.int64).view(np.uint64)) for k in range(words)]
+    n_bytes, cuts = _cuts(table, block_bytes)
+    buckets = max(1, n_bytes // 6 // BUCKET)
     rest = table.schema["rest"].dataType
     # both groupings by block read one exchange, so texts are shuffled once
     dealt = table.mapInArrow(_deal(*cuts), T.StructType([T.StructField("block", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("z", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("rest", rest)]))
-    sent = dealt.groupBy("block").applyInArrow(_send(words, heavy, buckets), "bucket int, block int, suffixes binary")
+    sent = dealt.groupBy("block").applyInArrow(_send(words, buckets), "bucket int, block int, suffixes binary")
     seen = sent.groupBy("bucket").applyInArrow(_merge, "block int, bucket int, seen binary")
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("rest", rest)])
-    out = dealt.groupBy("block").cogroup(seen.groupBy("block")).applyInArrow(_remove(words, heavy, buckets, rejoin, to_arrow_type(rest)), kind)
+    out = dealt.groupBy("block").cogroup(seen.groupBy("block")).applyInArrow(_remove(words, buckets, rejoin, to_arrow_type(rest)), kind)
     return out.unionByName(unnamed.mapInArrow(_unnamed(rejoin), kind))
 
 

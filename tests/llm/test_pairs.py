@@ -200,7 +200,6 @@ def _brute_repeats(docs: list[tuple[int, str]], k: int) -> dict[int, list[bool]]
 
 
 def test_repeats_small_blocks(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "GROUP", 40)
     monkeypatch.setattr(substring_dedup, "BUCKET", 500)
     rng = np.random.default_rng(3)
     share = [" ".join(f"s{j}x{i}" for i in range(30)) for j in range(5)]
@@ -239,7 +238,8 @@ def test_blocks_follow_bytes(spark, monkeypatch):
     rng = np.random.default_rng(12)
     ids = sorted({*range(1000), *(int(x) for x in rng.integers(-(2**62), 2**62, 500)), -(2**63), 2**63 - 1})
     table = spark.createDataFrame([(d, "x" * (3000 if d % 50 == 0 else 100), None) for d in ids], "doc_id long, text string, rest string")
-    cuts = substring_dedup._cuts(table, 20_000)
+    n_bytes, cuts = substring_dedup._cuts(table, 20_000)
+    assert n_bytes == sum(3000 if d % 50 == 0 else 100 for d in ids)
     rows = table.mapInArrow(substring_dedup._deal(*cuts), "block int, doc_id long, z binary, size long, rest string").select("block", "doc_id", "size").collect()
     block = {r.doc_id: r.block for r in rows}
     order = [block[d] for d in ids]
