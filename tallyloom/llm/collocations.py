@@ -47,7 +47,7 @@ _SCHEMA = pa.schema(
 def _pack(x: np.ndarray) -> bytes:
     """Array bytes, like places together, compressed; the first 8 bytes are the length."""
     raw = x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 6).compress(raw, asbytes=True)
 
 
 def _unpack(z: bytes, kind: str) -> np.ndarray:
