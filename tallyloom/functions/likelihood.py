@@ -159,3 +159,78 @@ def left_out(y: np.ndarray, n: np.ndarray, w: np.ndarray, steps: int = 40) -> li
             fallback = stats.moment_fit(y[rest > 0], n[rest > 0], rest[rest > 0])
         out.append(_named(u[i], v[i], settled[i], fallback))
     return out
+
+
+def _newton(u: np.ndarray, v: np.ndarray, sums_of, steps: int) -> np.ndarray:
+    """Moves many fits, in place, until they settle; sums_of(which, u, v) gives their sums of parts. Which have settled."""
+    settled = np.zeros(len(u), bool)
+    for _ in range(steps):
+        go = np.flatnonzero(~settled)
+        if not len(go):
+            break
+        g, h, _ = slopes(sums_of(go, u[go], v[go]), u[go], v[go])
+        new_u, new_v = step(u[go], v[go], g, h)
+        settled[go] = np.maximum(np.abs(new_u - u[go]), np.abs(new_v - v[go])) < LEAST_MOVE
+        u[go], v[go] = new_u, new_v
+    return settled
+
+
+def _ragged(counts: np.ndarray) -> np.ndarray:
+    """0 .. counts[0] - 1, 0 .. counts[1] - 1, and so on."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def left_out_many(first: np.ndarray, y: np.ndarray, n: np.ndarray, w: np.ndarray, steps: int = 40) -> list[tuple[float | None, float | None, str]]:
+    """`left_out` of many small pools at once; first: where each pool's states begin."""
+    size = np.diff(np.append(first, len(y)))
+    total = np.add.reduceat(w, first)
+    pool = np.repeat(np.arange(len(first)), size)
+    mean = np.clip((np.add.reduceat(w * y, first) + 0.5) / (np.add.reduceat(w * n, first) + 1), 1e-6, 1 - 1e-6)
+    var = np.add.reduceat(w * (y / n - mean[pool]) ** 2, first) / total
+    u, v = start(mean, np.clip(mean * (1 - mean) / np.maximum(var, 1e-9) - 1, 1e-3, 1e6))
+
+    def summed(at: np.ndarray, count: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Sums of parts over the states `at`, `count` of them for each fit with parameters a, b and `rows` rows."""
+        begin, fit = np.cumsum(count) - count, np.repeat(np.arange(len(a)), count)
+        out = np.empty((len(a), 9))
+        for j, (x, own, sign) in enumerate(((y[at], a, 1), (n[at] - y[at], b, 1), (n[at], a + b, -1))):
+            for k, (over, base) in enumerate(zip(polygammas(x + own[fit]), polygammas(own), strict=True)):
+                out[:, 3 * k + j] = sign * (np.add.reduceat(over * weight, begin) - rows * base)
+        return out
+
+    def whole(go: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        at = np.repeat(first[go], size[go]) + _ragged(size[go])
+        return summed(at, size[go], np.exp(u), np.exp(v), w[at], total[go])
+
+    def without(go: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        out = np.empty((len(go), 9))
+        ends = np.cumsum(size[pool[go]])
+        i = 0
+        while i < len(go):  # about CELLS states at a time
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + CELLS, side="right")))
+            some, count = go[i:j], size[pool[go[i:j]]]
+            at = np.repeat(first[pool[some]], count) + _ragged(count)
+            left = w[at] - (at == np.repeat(some, count))
+            out[i:j] = summed(at, count, np.exp(u[i:j]), np.exp(v[i:j]), left, total[pool[some]] - 1)
+            i = j
+        return out
+
+    _newton(u, v, whole, 80)
+    u, v = u[pool], v[pool]
+    alone = total[pool] <= 1
+    settled = np.zeros(len(y), bool)
+    some = np.flatnonzero(~alone)
+    us, vs = u[some], v[some]
+    settled[some] = _newton(us, vs, lambda go, a, b: without(some[go], a, b), steps)
+    u[some], v[some] = us, vs
+    out: list[tuple[float | None, float | None, str]] = []
+    for i in range(len(y)):
+        if alone[i]:
+            out.append((None, None, "none"))
+        elif settled[i]:
+            out.append(_named(u[i], v[i], True, (0.0, 0.0)))
+        else:
+            a, b = first[pool[i]], first[pool[i]] + size[pool[i]]
+            rest = w[a:b] - (np.arange(a, b) == i)
+            out.append((*stats.moment_fit(y[a:b][rest > 0], n[a:b][rest > 0], rest[rest > 0]), "moment"))
+    return out

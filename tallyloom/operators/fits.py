@@ -12,6 +12,8 @@ from tallyloom.operators import windows
 from tallyloom.scratch import dropped, kept
 
 MOST_STATES = 512  # states of a pool that one task fits; larger pools are fitted by sums over all tasks
+SMALL = 64  # states of a pool that is fitted together with others
+GROUP = 50_000  # states of the pools that one task fits
 ROUNDS = 60
 EXACT_SHARE = 200  # groups with a 200th of all rows or more (so 200 at most) get exact sums outside, others an expansion
 _FIT = "fit_mean double, fit_concentration double, fit string"
@@ -30,7 +32,20 @@ def _numbers(pdf: pd.DataFrame, *columns: str) -> list[np.ndarray]:
 
 
 def _in_task(pdf: pd.DataFrame) -> pd.DataFrame:
-    out = L.left_out(*_numbers(pdf, "y", "n", "w"))
+    """Left-out fits of the pools of one group: small ones all at once, each larger one by its distinct values."""
+    pdf = pdf.sort_values(["pool_key", "y", "n"]).reset_index(drop=True)
+    keys = pdf["pool_key"].to_numpy()
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    size = np.diff(np.append(first, len(pdf)))
+    y, n, w = _numbers(pdf, "y", "n", "w")
+    out: list = [None] * len(pdf)
+    small = np.repeat(size <= SMALL, size)
+    if small.any():
+        begins = np.cumsum(size[size <= SMALL]) - size[size <= SMALL]
+        for i, o in zip(np.flatnonzero(small).tolist(), L.left_out_many(begins, y[small], n[small], w[small]), strict=True):
+            out[i] = o
+    for a, k in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+        out[a : a + k] = L.left_out(y[a : a + k], n[a : a + k], w[a : a + k])
     return pdf[["pool_key", "y", "n"]].assign(fit_mean=[o[0] for o in out], fit_concentration=[o[1] for o in out], fit=[o[2] for o in out])
 
 
@@ -119,9 +134,13 @@ def left_out(of: DataFrame, most: int = MOST_STATES) -> DataFrame:
     A pool with up to `most` states is one task's work; larger ones are summed over all tasks, round by round, and no task
     holds one.
     """
-    sizes = of.groupBy("pool_key").agg(F.count("*").alias("k"), F.sum("w").alias("total"))
+    of = kept(of, "states")
+    sizes = kept(of.groupBy("pool_key").agg(F.count("*").alias("k"), F.sum("w").alias("total")), "sizes")
     sized = of.join(sizes, "pool_key")
-    small = sized.where(F.col("k") <= most).drop("k", "total").groupBy("pool_key").applyInPandas(_in_task, f"pool_key string, y long, n long, {_FIT}")
+    total = sizes.where(F.col("k") <= most).agg(F.sum("k").alias("k")).first().k or 0
+    groups = max(of.sparkSession.sparkContext.defaultParallelism * 4, total // GROUP)
+    dealt = sized.where(F.col("k") <= most).drop("k", "total").withColumn("group", F.pmod(F.xxhash64("pool_key"), F.lit(groups)))
+    small = dealt.groupBy("group").applyInPandas(_in_task, f"pool_key string, y long, n long, {_FIT}")
     crowded = sized.where(F.col("k") > most).drop("k", "total")
     if sizes.where(F.col("k") > most).limit(1).count():
         small = small.unionByName(_crowded(crowded))

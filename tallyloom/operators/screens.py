@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 
 import numpy as np
 import pandas as pd
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import likelihood, stats
-from tallyloom.operators import fits, rollup, windows
+from tallyloom.operators import fits, trees, windows
 from tallyloom.scratch import kept
 
 LEAST_DENOMINATOR, LEAST_PEERS, MOST_STATES = 80, 30, 512
@@ -35,7 +35,7 @@ def peer_screen_moments(df: DataFrame, family: str, unit: str, levels: list[str]
 
     levels: finest first. Pools hold eligible rows only; a row without enough peers abstains.
     """
-    keyed = df.withColumns({f"__{x}": F.concat_ws("|", F.col(family).cast("string"), F.col(x).cast("string")) for x in levels})
+    keyed = kept(df.withColumns({f"__{x}": F.concat_ws("|", F.col(family).cast("string"), F.col(x).cast("string")) for x in levels}), "screened")
     pooled = windows.fallback_pool(keyed, [f"__{x}" for x in levels], F.col(eligible), LEAST_PEERS)
     pooled = pooled.withColumn("pool", F.substring("pool", 3, 99))
     fits = None
@@ -70,7 +70,7 @@ def peer_screen(df: DataFrame, family: str, unit: str, levels: list[str], y: str
 
     Rows are pre-aggregated to states with counts, so a task holds a pool's states, not its rows.
     """
-    keyed = df.withColumns({f"__{x}": F.concat_ws("|", F.col(family).cast("string"), F.col(x).cast("string")) for x in levels})
+    keyed = kept(df.withColumns({f"__{x}": F.concat_ws("|", F.col(family).cast("string"), F.col(x).cast("string")) for x in levels}), "screened")
     pooled = windows.fallback_pool(keyed, [f"__{x}" for x in levels], F.col(eligible), LEAST_PEERS).withColumn("pool", F.substring("pool", 3, 99))
     key = F.coalesce(*[F.when(F.col("pool") == x, F.concat(F.lit(f"{x}|"), f"__{x}")) for x in levels])
     k = pooled.withColumn("pool_key", key)
@@ -149,6 +149,7 @@ def hierarchical_reference(df: DataFrame, levels: list[str], y: str, n: str, eli
     in the place, 1 in the municipality, else the department, which must have 30. ref_fit: likelihood if all levels used
     settled inside their bounds, else not_converged; moment. Levels must not be null in eligible rows.
     """
+    df = kept(df, "screened")
     some = df.where(F.col(eligible))
     fitted = _fitted_by_moments(some, levels, y, n) if fit == "moment" else _fitted_by_likelihood(some, levels, y, n, most_states)
     mean, strength, sound, level = F.col("mean_0"), F.col("strength_0"), F.col("fit_0") == "likelihood", F.lit(None).cast("string")
@@ -195,11 +196,14 @@ def municipality_left_out(df: DataFrame, department: str, municipality: str, y:
     return out.select(*group, "units", "y", "n", (F.col("n") * F.col("mean")).alias("expected"), stats.beta_binomial_variance(F.col("n"), a, b).alias("variance"), "fit")
 
 
-# Screens by permutation: a permutation's draws depend on the municipality's key and the batch, never on the partitioning.
+# Screens by permutation: draws depend on the municipality's key, its data and the batch, never on the partitioning.
 
 
-def _seed(group, start: int) -> np.random.Generator:
-    return np.random.default_rng([zlib.crc32(str(group).encode()), start])
+def _seed(group, start: int, *data: np.ndarray) -> np.random.Generator:
+    digest = hashlib.sha256(str(group).encode())
+    for x in data:
+        digest.update(np.ascontiguousarray(x).tobytes())
+    return np.random.default_rng([int.from_bytes(digest.digest()[:8], "little"), start])
 
 
 def _batched(df: DataFrame, first: int, last: int, batch: int) -> DataFrame:
@@ -237,7 +241,7 @@ def _drawn_runs(pdf: pd.DataFrame) -> pd.DataFrame:
     """|z| of one municipality for each permutation of a batch: runs of a shuffled block are drawn from their distribution."""
     start, size = int(pdf["start"].iloc[0]), int(pdf["size"].iloc[0])
     pdf = pdf.sort_values(["place", "block"], kind="stable").reset_index(drop=True)
-    rng = _seed(pdf["municipality"].iloc[0], start)
+    rng = _seed(pdf["municipality"].iloc[0], start, *(pdf[c].to_numpy(np.float64) for c in ("a", "b", "expected", "variance")))
     drawn = np.empty((len(pdf), size), np.int32)
     for (a, b), rows in sorted(pdf.groupby(["a", "b"]).indices.items()):
         drawn[rows] = np.searchsorted(np.cumsum(runs_distribution(int(a), int(b)))[:-1], rng.random((len(rows), size))) + 2
@@ -266,29 +270,60 @@ def runs_screen(df: DataFrame, place: str, municipality: str, sequence: str, cat
     return observed.select(municipality, "places", "z", ((1 + _reached(tops)("z")) / (permutations + 1)).alias("p"))
 
 
+DEEPEST = 10  # halvings of the widest cell: at 20 km, down to some 20 m
+
+
+def _cells(level: Column, lat: Column, lon: Column, most_km: float, rows: list[int]) -> list[tuple[Column, Column]]:
+    """(row, column) of a place in the grid of a level, for its own row of cells and others beside it.
+
+    Cells are as high as the level's reach and, by their row's farthest edge from the equator, at least as wide, with 1 %
+    to spare: who is within reach stands in one of three rows and, in that row's own grid, three columns.
+    """
+    high = F.lit(most_km / 110.0) / F.pow(F.lit(2.0), level)
+    out = []
+    for r in rows:
+        row = F.floor(lat / high).cast("long") + r
+        least = F.least(*[F.cos(F.radians((row + e) * high)) for e in (-1, 0, 1, 2)])
+        out.append((row, F.floor(lon / (F.lit(1.01) * high / F.greatest(least, F.lit(0.02)))).cast("long")))
+    return out
+
+
 def neighbours(units: DataFrame, unit: str, group: str, lat: str, lon: str, k: int = 5, most_km: float = 20.0) -> DataFrame:
     """The k nearest units of the same group within most_km, ties by id: unit, other, km, n.
 
-    Joined by grid cells as wide as the reach, each unit with the 9 cells around it, never all pairs of a group.
+    Units at one place are one place with its k + 1 least ids. A place searches the grid whose cells are twice as wide as
+    the finest cell around it that holds k others: those are nearer than the grid's reach, so nearer ones cannot be outside
+    the nine cells around it. Where there is no such cell the widest grid, of the whole reach, is searched. So a
+    crowded cell is split as far as it is crowded, and never makes all its pairs. Longitudes do not wrap at 180 degrees.
     """
-    step = most_km / 111.0
-    row = F.floor(F.col(lat) / step).cast("long")
-    base = units.select(F.col(unit).alias("u"), F.col(group).alias("g"), F.col(lat).alias("la"), F.col(lon).alias("lo"), row.alias("row"))
-    # a longitude cell depends on the row looked at, so neighbours of other rows are found in their own grid
-    col = lambda r: F.floor(F.col("lo") / (step / F.greatest(F.cos(F.radians(r * step)), F.lit(0.05)))).cast("long")
-    there = base.select("g", F.col("u").alias("other"), F.col("la").alias("la2"), F.col("lo").alias("lo2"), F.col("row").alias("r"), col(F.col("row")).alias("c"))
-    here = base.withColumn("r", F.explode(F.array(F.col("row") - 1, F.col("row"), F.col("row") + 1))).withColumn("c0", col(F.col("r")))
-    here = here.withColumn("c", F.explode(F.array(F.col("c0") - 1, F.col("c0"), F.col("c0") + 1)))
+    base = units.select(F.col(unit).alias("u"), F.col(group).alias("g"), F.col(lat).cast("double").alias("la"), F.col(lon).cast("double").alias("lo")).where("u is not null and g is not null and la is not null and lo is not null")
+    place, first = ["g", "la", "lo"], Window.partitionBy("g", "la", "lo", "salt").orderBy("u")
+    few = base.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(64))).withColumn("i", F.row_number().over(first)).where(F.col("i") <= k + 1)
+    few = few.withColumn("i", F.row_number().over(Window.partitionBy(*place).orderBy("u"))).where(F.col("i") <= k + 1)
+    places = kept(few.groupBy(*place).agg(F.array_sort(F.collect_list("u")).alias("ids")), "places")  # k + 1 ids at most
+    level = F.col("level")
+    (row, column), *_ = _cells(level, F.col("la"), F.col("lo"), most_km, [0])
+    every = places.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(DEEPEST)))).withColumns({"row": row, "column": column})
+    full = every.groupBy("g", "level", "row", "column").agg(F.sum(F.size("ids")).alias("n")).where(F.col("n") > k)
+    finest = every.join(full, ["g", "level", "row", "column"]).groupBy(*place).agg(F.max("level").alias("finest"))
+    reach = F.when(F.abs("la") > 80, 0).otherwise(F.greatest(F.coalesce(F.col("finest") - 1, F.lit(0)), F.lit(0)))
+    here = places.drop("ids").join(finest, place, "left").select(*place, reach.alias("level"))
+    beside = _cells(level, F.col("la"), F.col("lo"), most_km, [-1, 0, 1])
+    around = F.array(*[F.struct(r.alias("row"), (c + e).alias("column")) for r, c in beside for e in (-1, 0, 1)])
+    here = here.withColumn("cell", F.explode(around)).select(*place, "level", "cell.row", "cell.column")
+    there = every.select("g", "level", "row", "column", F.col("la").alias("la2"), F.col("lo").alias("lo2"), "ids")
     km = stats.haversine_km(F.col("la"), F.col("lo"), F.col("la2"), F.col("lo2"))
-    pairs = here.join(there, ["g", "r", "c"]).where("u <> other").withColumn("km", km).where(F.col("km") <= most_km)
-    near = Window.partitionBy("u").orderBy("km", "other")
-    return pairs.withColumn("n", F.row_number().over(near)).where(F.col("n") <= k).select(F.col("u").alias(unit), "other", "km", "n")
+    found = here.join(there, ["g", "level", "row", "column"]).withColumn("km", km).where(F.col("km") <= most_km).select(*place, "km", F.explode("ids").alias("other"))
+    nearest = found.withColumn("i", F.row_number().over(Window.partitionBy(*place).orderBy("km", "other"))).where(F.col("i") <= k + 1)
+    nearest = nearest.groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("km", "other"))).alias("near"))
+    mine = base.join(nearest, place).select("u", F.posexplode(F.slice(F.filter("near", lambda x: x["other"] != F.col("u")), 1, k)).alias("n", "x"))
+    return mine.select(F.col("u").alias(unit), F.col("x.other").alias("other"), F.col("x.km").alias("km"), (F.col("n") + 1).alias("n"))
 
 
 def local_moran(units: DataFrame, links: DataFrame, unit: str, group: str, residual: str, least: int = 3) -> DataFrame:
     """I = z * mean of the neighbours' z / variance, z centred by group; units with under `least` neighbours get null."""
-    w = Window.partitionBy(group)
-    z = units.withColumn("z", F.col(residual) - F.avg(residual).over(w)).withColumn("v", F.var_pop(residual).over(w))
+    of = units.groupBy(group).agg(F.avg(residual).alias("__mean"), F.var_pop(residual).alias("v"))
+    z = units.join(of, group).withColumn("z", F.col(residual) - F.col("__mean"))
     lag = links.join(z.select(F.col(unit).alias("other"), F.col("z").alias("zo")), "other").groupBy(unit).agg(F.avg("zo").alias("lag"), F.count("*").alias("neighbours"))
     out = z.join(lag, unit, "left").withColumn("neighbours", F.coalesce("neighbours", F.lit(0)))
     moran = F.when((F.col("neighbours") >= least) & (F.col("v") > 0), F.col("z") * F.col("lag") / F.col("v"))
@@ -308,50 +343,117 @@ def spatial_units(rows: DataFrame, unit: str, group: str, lat: str, lon: str, re
     return g.withColumn("status", status).drop("__ok", "__c")
 
 
+MOST_ACCURACY_M = 500
+EXCLUSIONS = ("invalid_row", "inconsistent_unit", "colocated_units", "not_the_place's_representative", "fewer_than_3_neighbours", "fewer_than_100_eligible_units")
+
+
+def located_units(rows: DataFrame, row: str, place: str, grain: str, group: str, lat: str, lon: str, residual: str, accuracy: str, cross_border: str) -> tuple[DataFrame, DataFrame]:
+    """(units, rows): the units of a spatial screen, and every row with its unit and the reason why it is out, if it is.
+
+    A row located by its polling place (grain "place") belongs to the place's unit, another is a unit of its own. A row
+    without coordinates, across a border or located worse than to 500 m is invalid. A unit's valid rows must agree
+    on group, coordinates and grain; units of a group must not share coordinates; of a place's rows the least id represents
+    it. units: unit, group, lat, lon, residual (mean of the valid rows), rows.
+    """
+    valid = F.col(lat).isNotNull() & F.col(lon).isNotNull() & ~F.coalesce(F.col(cross_border), F.lit(False)) & (F.coalesce(F.col(accuracy), F.lit(0)) <= MOST_ACCURACY_M)
+    by_place = F.coalesce(F.col(grain) == "place", F.lit(False))
+    unit = F.when(by_place, F.concat(F.lit("place:"), F.col(place).cast("string"))).otherwise(F.concat(F.lit("row:"), F.col(row).cast("string")))
+    r = rows.withColumns({"unit": unit, "__valid": valid, "__by_place": by_place})
+    where = F.struct(F.col(group), F.col(lat), F.col(lon), F.col(grain))
+    g = r.where("__valid").groupBy("unit").agg(
+        F.min(group).alias(group), (F.min(where) == F.max(where)).alias("__one"), F.min(lat).alias(lat), F.min(lon).alias(lon), F.avg(residual).alias(residual), F.count("*").alias("rows"), F.min(row).alias("__first"),
+    )
+    g = kept(g, "units")
+    together = g.where("__one").groupBy(group, lat, lon).count().where("count > 1").drop("count").withColumn("__with", F.lit(True))
+    g = g.join(together, [group, lat, lon], "left").withColumn("__with", F.coalesce("__with", F.lit(False)) & F.col("__one"))
+    state = r.join(g.select("unit", "__one", "__with", "__first"), "unit", "left")
+    reason = F.when(~F.col("__valid"), EXCLUSIONS[0]).when(~F.col("__one"), EXCLUSIONS[1]).when(F.col("__with"), EXCLUSIONS[2]).when(F.col("__by_place") & (F.col(row) != F.col("__first")), EXCLUSIONS[3])
+    return g.where("__one and not __with").select("unit", group, lat, lon, residual, "rows"), state.select(*rows.columns, "unit", reason.alias("reason"))
+
+
+def spatial_observed(rows: DataFrame, row: str, place: str, grain: str, group: str, lat: str, lon: str, residual: str, accuracy: str, cross_border: str, least_units: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What `spatial_signals` knows before it permutes: (rows with unit, neighbours, local_i and reason; units; work).
+
+    Reasons are given in the order of EXCLUSIONS; a unit with neighbours whose group does not vary has local_i null.
+    """
+    units, said = located_units(rows, row, place, grain, group, lat, lon, residual, accuracy, cross_border)
+    seen, work = _moran_work(units, "unit", group, lat, lon, residual, least_units)
+    seen = kept(seen, "observed")
+    late = F.when(F.col("neighbours") < 3, EXCLUSIONS[4]).when(F.col("local_i").isNull(), "no_variance").when(~F.col("tested"), EXCLUSIONS[5])
+    found = seen.select("unit", "neighbours", "local_i", late.alias("__late"))
+    j = said.join(found, "unit", "left")
+    shown = lambda c: F.when(F.col("reason").isNull(), F.col(c)).alias(c)
+    return j.select(*rows.columns, "unit", shown("neighbours"), shown("local_i"), F.coalesce("reason", "__late").alias("reason")), seen, work
+
+
+def spatial_signals(rows: DataFrame, row: str, place: str, grain: str, group: str, lat: str, lon: str, residual: str, accuracy: str, cross_border: str, permutations: int = 9_999, most: int = 99_999, batch: int = 256, least_units: int = 100) -> DataFrame:
+    """Spatial screen of raw rows: units, exclusions, neighbours, local Moran, max-T permutations, rank. All rows come back.
+
+    Adds unit, neighbours, local_i, p, rank, flag, kind and reason. A place's result stands once, at its representative.
+    """
+    _enough(permutations)
+    shown, seen, work = spatial_observed(rows, row, place, grain, group, lat, lon, residual, accuracy, cross_border, least_units)
+    tested = _permuted(seen, work, "unit", permutations, most, batch).select("unit", "p", "rank", "flag", "kind")
+    j = shown.join(tested, "unit", "left")
+    here = F.col("reason").isNull()
+    return j.select(*shown.columns[:-1], F.when(here, F.col("p")).alias("p"), F.when(here, F.col("rank")).alias("rank"), F.coalesce(here & F.col("flag"), F.lit(False)).alias("flag"), F.when(here, F.col("kind")).alias("kind"), "reason")
+
+
 MOST_EXTENDED = 99_999  # permutations where a p-value of the first ones is 0.01 or less
-COLUMNS = 256  # tested units whose statistics a task holds at once
+COLUMNS = 1024  # tested units whose statistics a task holds at once
 
 
 def _moran_draws(pdf: pd.DataFrame):
-    """One municipality, one batch: (units, |observed|, |statistics| by permutation and unit) of the tested units, in chunks."""
+    """One municipality, one batch: (units, |observed|, |statistics| by unit and permutation) of the tested units, in chunks.
+
+    A unit's values in all permutations of the batch lie side by side, so a neighbour's are read as one run of memory.
+    """
     start, size = int(pdf["start"].iloc[0]), int(pdf["size"].iloc[0])
     pdf = pdf.sort_values("unit", kind="stable").reset_index(drop=True)
     x = pdf["residual"].to_numpy(np.float64)
-    at = {u: i for i, u in enumerate(pdf["unit"])}
+    at = pd.Series(np.arange(len(pdf)), index=pdf["unit"])
     tested = np.flatnonzero(pdf["tested"].to_numpy(bool))
-    near = [[at[o] for o in pdf["others"].iloc[i] if o in at] for i in tested]
+    count = pdf["others"].str.len().to_numpy()[tested]
+    names = np.concatenate([np.asarray(o) for o in pdf["others"].iloc[tested]]) if len(tested) else np.zeros(0)
+    index = np.zeros((len(tested), count.max(initial=1)), np.int64)
+    weight = np.zeros(index.shape)
+    filled = np.arange(index.shape[1]) < count[:, None]
+    index[filled] = at.reindex(names).to_numpy()
+    weight[filled] = np.repeat(1 / np.maximum(count, 1), count)
     z, v = x - x.mean(), x.var()
-    drawn = z[_seed(pdf["group"].iloc[0], start).permuted(np.tile(np.arange(len(z)), (size, 1)), axis=1)]
+    drawn = np.ascontiguousarray(_seed(pdf["group"].iloc[0], start, x).permuted(np.tile(z, (size, 1)), axis=1).T)
     for c in range(0, len(tested), COLUMNS):
-        own, others = tested[c : c + COLUMNS], near[c : c + COLUMNS]
-        wide = max(map(len, others))
-        index = np.array([o + [0] * (wide - len(o)) for o in others])
-        weight = np.array([[1 / len(o)] * len(o) + [0.0] * (wide - len(o)) for o in others])
-        lag = lambda values: sum(values[:, index[:, j]] * weight[:, j] for j in range(wide))  # noqa: B023, E731
-        yield pdf["unit"].to_numpy()[own], np.abs(z[own] * lag(z[None, :])[0] / v), np.abs(drawn[:, own] * lag(drawn) / v)
+        own, near, w = tested[c : c + COLUMNS], index[c : c + COLUMNS], weight[c : c + COLUMNS] / v
+        observed = np.abs(z[own] * (z[near] * w).sum(1))
+        lag = np.zeros((len(own), size))
+        for j in range(near.shape[1]):
+            lag += drawn[near[:, j]] * w[:, j, None]
+        lag *= drawn[own]
+        yield pdf["unit"].to_numpy()[own], observed, np.abs(lag, out=lag)
 
 
 def _top_moran(pdf: pd.DataFrame) -> pd.DataFrame:
     top = np.zeros(int(pdf["size"].iloc[0]))
     for _, _, drawn in _moran_draws(pdf):
-        top = np.maximum(top, drawn.max(1))
+        top = np.maximum(top, drawn.max(0))
     return pd.DataFrame({"permutation": int(pdf["start"].iloc[0]) + np.arange(len(top)), "top": top})
 
 
 def _unit_moran(pdf: pd.DataFrame) -> pd.DataFrame:
-    got = [(units, (drawn >= observed - 1e-12).sum(0)) for units, observed, drawn in _moran_draws(pdf)]
+    got = [(units, (drawn >= observed[:, None] - 1e-12).sum(1)) for units, observed, drawn in _moran_draws(pdf)]
     return pd.DataFrame({"unit": np.concatenate([u for u, _ in got]), "reached": np.concatenate([n for _, n in got])})
 
 
 def _moran_work(units: DataFrame, unit: str, group: str, lat: str, lon: str, residual: str, least_units: int) -> tuple[DataFrame, DataFrame]:
     """(rows with neighbours, local_i and tested; all units of municipalities with tested ones, with their neighbours)."""
-    links = neighbours(units, unit, group, lat, lon)
+    units = kept(units, "units")
+    links = kept(neighbours(units, unit, group, lat, lon), "neighbours")
     moran = local_moran(units, links, unit, group, residual)
     counts = moran.groupBy(group).agg(F.count("local_i").alias("__scored"))
     rows = moran.join(counts, group).withColumn("tested", F.col("local_i").isNotNull() & (F.col("__scored") >= least_units))
     near = links.groupBy(unit).agg(F.array_sort(F.collect_list("other")).alias("others"))  # k at most
     work = rows.where(F.col("__scored") >= least_units).join(near, unit, "left").withColumn("others", F.coalesce("others", F.array().cast(near.schema["others"].dataType)))
-    return rows.drop("__scored"), work.select(F.col(group).alias("group"), F.col(unit).alias("unit"), F.col(residual).alias("residual"), "others", "tested")
+    return rows.drop("__scored"), kept(work.select(F.col(group).alias("group"), F.col(unit).alias("unit"), F.col(residual).alias("residual"), "others", "tested"), "work")
 
 
 def _enough(permutations: int) -> None:
@@ -359,15 +461,8 @@ def _enough(permutations: int) -> None:
         raise ValueError("at least 9,999 permutations")
 
 
-def spatial_screen(units: DataFrame, unit: str, group: str, lat: str, lon: str, residual: str, permutations: int = 9_999, most: int = MOST_EXTENDED, batch: int = 256, least_units: int = 100) -> DataFrame:
-    """Local Moran screen with synchronised max-T permutations: neighbours, local_i, p, rank, flag, kind, reason.
-
-    All valid units of a municipality are exchanged; those with 3 neighbours in a municipality of least_units such
-    units are tested. A task holds one municipality and one batch of permutations; one maximum for each permutation
-    reaches the driver. p = (1 + reached) / (1 + N); if one is 0.01 or less, N grows to `most` for all. rank: by p, then unit.
-    """
-    _enough(permutations)
-    rows, work = _moran_work(units, unit, group, lat, lon, residual, least_units)
+def _permuted(rows: DataFrame, work: DataFrame, unit: str, permutations: int, most: int, batch: int) -> DataFrame:
+    """p, rank, flag and kind of tested units by synchronised max-T permutations; nulls for the others."""
 
     def tops(first: int, last: int) -> np.ndarray:
         found = _batched(work, first, last, batch).groupBy("group", "start").applyInPandas(_top_moran, "permutation long, top double")
@@ -377,11 +472,25 @@ def spatial_screen(units: DataFrame, unit: str, group: str, lat: str, lon: str,
     if largest is not None and most > permutations and (1 + (got >= largest - 1e-12).sum()) / (1 + permutations) <= 0.01:
         got, permutations = np.concatenate([got, tops(permutations, most)]), most
     out = rows.withColumn("p", F.when(F.col("tested"), (1 + _reached(got)("local_i")) / (1 + permutations)))
-    reason = F.when(F.col("neighbours") < 3, "fewer_than_3_neighbours").when(F.col("local_i").isNull(), "no_variance").when(~F.col("tested"), f"fewer_than_{least_units}_eligible_units")
     flag = F.coalesce((F.col("p") <= 0.001) & (F.abs("local_i") >= 0.25), F.lit(False))
-    out = out.withColumn("__key", F.struct("p", unit))
-    ranked = out.join(rollup.dense_ids(out.where("tested"), "__key", "rank"), "__key", "left")
-    return ranked.select(*units.columns, "neighbours", "local_i", "p", F.col("rank").cast("long").alias("rank"), flag.alias("flag"), F.when(flag, F.when(F.col("local_i") > 0, "cluster").otherwise("outlier")).alias("kind"), reason.alias("reason"))
+    ranked = kept(out.where("tested").select(unit, "p"), "tested")
+    ranked = trees.numbered(ranked.withColumn("__all", F.lit(1)), ["__all"], ["p", unit], "rank").select(unit, "rank")
+    return out.join(ranked, unit, "left").withColumns({"flag": flag, "kind": F.when(flag, F.when(F.col("local_i") > 0, "cluster").otherwise("outlier"))})
+
+
+def spatial_screen(units: DataFrame, unit: str, group: str, lat: str, lon: str, residual: str, permutations: int = 9_999, most: int = MOST_EXTENDED, batch: int = 256, least_units: int = 100) -> DataFrame:
+    """Local Moran screen with synchronised max-T permutations: neighbours, local_i, p, rank, flag, kind, reason.
+
+    All valid units of a municipality are exchanged; those with 3 neighbours in a municipality of least_units such
+    units are tested. A task holds one municipality and one batch of permutations; one maximum for each permutation
+    reaches the driver. p = (1 + reached) / (1 + N); if one is 0.01 or less, N grows to `most` for all. rank: by p, then unit.
+    """
+    _enough(permutations)
+    rows, work = _moran_work(units, unit, group, lat, lon, residual, least_units)
+    rows = kept(rows, "observed")
+    out = _permuted(rows, work, unit, permutations, most, batch)
+    reason = F.when(F.col("neighbours") < 3, "fewer_than_3_neighbours").when(F.col("local_i").isNull(), "no_variance").when(~F.col("tested"), f"fewer_than_{least_units}_eligible_units")
+    return out.select(*units.columns, "neighbours", "local_i", "p", "rank", "flag", "kind", reason.alias("reason"))
 
 
 def joint_permutations(units: DataFrame, unit: str, group: str, lat: str, lon: str, residual: str, permutations: int = 9_999, most: int = MOST_EXTENDED, batch: int = 256, least_units: int = 100) -> DataFrame:

@@ -243,17 +243,59 @@ def local_moran(spark, d):
     return screens.local_moran(p, links, "place", "municipality", "residual").select("place", "neighbours", F.round("local_i", 6).alias("local_i"))
 
 
+def _located(spark, d):
+    """Orders as rows with coordinates: most by their customer's place, every 40th customer's by themselves.
+
+    Some rows are inaccurate, across a border, without coordinates, at odds with their place, or share another place's.
+    """
+    o, c, k = b.table(spark, d, "orders"), F.col("o_custkey"), F.col("o_orderkey")
+    own = c % 40 == 0
+    u = b.units(spark, d).select(F.col("unit").alias("__u"), F.col("department").alias("municipality"))
+    lat = F.when(c % 50 == 1, 10.1).otherwise(10 + (c % 97) / 250.0) + F.when(own, (k % 13) / 10000.0).when((c % 25 == 2) & (k % 3 == 0), 0.01).otherwise(0.0)
+    lon = F.when(c % 50 == 1, -74.9).when(c % 60 == 3, -60.0 - (c * 7 % 1200) / 10.0).otherwise(-75 + (c * 7 % 89) / 250.0) + F.when(own, (k % 17) / 10000.0).otherwise(0.0)
+    rows = o.join(u, k == F.col("__u")).select(
+        k.alias("row"), c.alias("place"), F.when(own, "row").otherwise("place").alias("grain"), "municipality", F.when(k % 71 != 0, lat).alias("lat"), lon.alias("lon"),
+        (F.col("o_totalprice") / 1000).alias("residual"), F.when(k % 53 == 0, 900).otherwise(20).alias("accuracy"), (k % 61 == 0).alias("cross_border"),
+    )
+    return rows
+
+
+_ROW = ("row", "place", "grain", "municipality", "lat", "lon", "residual", "accuracy", "cross_border")
+_LOCATED = f"""rows0 AS (
+  SELECT o_orderkey AS row, o_custkey AS place, CASE WHEN o_custkey % 40 = 0 THEN 'row' ELSE 'place' END AS grain, u.department AS g,
+    CASE WHEN o_orderkey % 71 <> 0 THEN (CASE WHEN o_custkey % 50 = 1 THEN 10.1::DOUBLE ELSE 10 + (o_custkey % 97) / 250.0::DOUBLE END) + (CASE WHEN o_custkey % 40 = 0 THEN (o_orderkey % 13) / 10000.0::DOUBLE WHEN o_custkey % 25 = 2 AND o_orderkey % 3 = 0 THEN 0.01::DOUBLE ELSE 0.0::DOUBLE END) END AS lat,
+    (CASE WHEN o_custkey % 50 = 1 THEN -74.9::DOUBLE WHEN o_custkey % 60 = 3 THEN -60.0::DOUBLE - (o_custkey * 7 % 1200) / 10.0::DOUBLE ELSE -75 + (o_custkey * 7 % 89) / 250.0::DOUBLE END) + (CASE WHEN o_custkey % 40 = 0 THEN (o_orderkey % 17) / 10000.0::DOUBLE ELSE 0.0::DOUBLE END) AS lon,
+    orders.o_totalprice / 1000 AS residual, o_orderkey % 53 <> 0 AND o_orderkey % 61 <> 0 AND o_orderkey % 71 <> 0 AS valid FROM orders JOIN units u ON o_orderkey = u.unit
+), rows1 AS (SELECT *, CASE WHEN grain = 'place' THEN 'place:' || place ELSE 'row:' || row END AS unit FROM rows0),
+un AS (SELECT unit, min(g) AS g, count(DISTINCT (g, lat, lon, grain)) = 1 AS one, min(lat) AS lat, min(lon) AS lon, avg(residual) AS residual, min(row) AS first FROM rows1 WHERE valid GROUP BY unit),
+co AS (SELECT *, one AND count(*) FILTER (WHERE one) OVER (PARTITION BY g, lat, lon) > 1 AS shared FROM un),
+c AS (SELECT unit, g, lat, lon, residual, residual - avg(residual) OVER (PARTITION BY g) AS z, var_pop(residual) OVER (PARTITION BY g) AS v FROM co WHERE one AND NOT shared),
+n AS (SELECT p.unit, q.unit AS other, q.z AS z, {KM} AS km FROM c p JOIN c q ON p.g = q.g AND p.unit <> q.unit AND abs(p.lat - q.lat) < 0.2),
+k AS (SELECT * FROM n WHERE km <= 20 QUALIFY row_number() OVER (PARTITION BY unit ORDER BY km, other) <= 5),
+l AS (SELECT unit, avg(z) AS lag, count(*) AS m FROM k GROUP BY unit),
+s AS (SELECT c.unit, c.g, coalesce(m, 0) AS m, CASE WHEN m >= 3 AND v > 0 THEN z * lag / v END AS i FROM c LEFT JOIN l USING (unit)),
+e AS (SELECT *, count(i) OVER (PARTITION BY g) AS scored FROM s)"""
+
+
+@query(f"""WITH {_LOCATED}, r AS (SELECT rows1.row, rows1.unit, e.m, e.i, e.scored, CASE WHEN NOT rows1.valid THEN 'invalid_row' WHEN NOT co.one THEN 'inconsistent_unit' WHEN co.shared THEN 'colocated_units' WHEN rows1.grain = 'place' AND rows1.row <> co.first THEN 'not_the_place''s_representative' END AS early FROM rows1 LEFT JOIN co USING (unit) LEFT JOIN e USING (unit))
+SELECT row, unit, CASE WHEN early IS NULL THEN m END AS neighbours, CASE WHEN early IS NULL THEN round(i, 6) END AS local_i, coalesce(early, CASE WHEN m < 3 THEN 'fewer_than_3_neighbours' WHEN i IS NULL THEN 'no_variance' WHEN scored < 100 THEN 'fewer_than_100_eligible_units' END) AS reason FROM r""")
+def spatial_exclusions(spark, d):
+    """Units, exclusions, neighbours and statistics of the spatial screen, before its permutations."""
+    shown, _, _ = screens.spatial_observed(_located(spark, d), *_ROW)
+    return shown.select("row", "unit", "neighbours", F.round("local_i", 6).alias("local_i"), "reason")
+
+
 @query()
 def spatial_screen(spark, d):
-    """Synchronised permutation screen."""
-    r = screens.spatial_screen(_points(spark, d), "place", "municipality", "lat", "lon", "residual")
-    return r.select("place", "neighbours", "local_i", "p", "rank", "flag", "kind", "reason")
+    """The whole spatial screen, from rows to ranks."""
+    return screens.spatial_signals(_located(spark, d), *_ROW).select("row", "unit", "neighbours", "local_i", "p", "rank", "flag", "kind", "reason")
 
 
 @query()
 def joint_permutations(spark, d):
     """Each unit's own p inside its municipality."""
-    return screens.joint_permutations(_points(spark, d), "place", "municipality", "lat", "lon", "residual")
+    units, _ = screens.located_units(_located(spark, d), *_ROW)
+    return screens.joint_permutations(units, "unit", "municipality", "lat", "lon", "residual")
 
 
 @query()
