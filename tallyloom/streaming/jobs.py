@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -38,46 +41,104 @@ def versioned_snapshots(snapshots: DataFrame) -> DataFrame:
     return snapshots.groupBy("key").applyInPandasWithState(_track, SNAPSHOT, "last string, number long, newest string", "append", GroupStateTimeout.NoTimeout)
 
 
-def upsert_latest(stream: DataFrame, target: str, keys: list[str], order: list[str], checkpoint: str, bad=None, quarantine: str | None = None) -> StreamingQuery:
-    """Keeps the latest row of each key at target (two alternating Parquet tables), failures in a second table.
+BUCKETS, BUCKET = 64, "bucket_of_key"
 
-    Each batch is folded into the table before it; a batch that is run again gives the same table (its number is its name).
-    """
 
-    def fold(df: DataFrame, at: str, batch: int) -> None:
-        spark = df.sparkSession
-        old = _newest(spark, at, batch)
-        rows = df if old is None else df.unionByName(old)
-        windows.latest(rows, keys, order).write.mode("overwrite").parquet(f"{at}/v={batch}")
+def upsert_latest(stream: DataFrame, target: str, keys: list[str], order: list[str], checkpoint: str, bad=None, quarantine: str | None = None, buckets: int = BUCKETS) -> StreamingQuery:
+    """Keeps the latest row of each key at target, failures in a second table; see `fold`."""
 
     def run(df: DataFrame, batch: int) -> None:
         df = df.persist()
-        fold(df if bad is None else df.where(~bad), target, batch)
+        fold(df if bad is None else df.where(~bad), target, batch, keys, order, buckets)
         if bad is not None and quarantine:
-            fold(df.where(bad), quarantine, batch)
+            fold(df.where(bad), quarantine, batch, keys, order, buckets)
         df.unpersist()
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _newest(spark: SparkSession, at: str, before: int | None = None) -> DataFrame | None:
-    """The table of the last batch (before one)."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(at)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def fold(rows: DataFrame, target: str, batch: int, keys: list[str], order: list[str], buckets: int = BUCKETS) -> None:
+    """Folds one batch into the table at target: the latest row of each key, by order.
+
+    The table lies in buckets by a hash of the keys. A batch reads and rewrites only the buckets that it has keys of, in a
+    folder of its own number; then a manifest with the folder of every live bucket is put in place by one rename. Readers
+    follow the last manifest. A batch that is run again starts from the manifest before it and gives the same table.
+    What neither this manifest nor the one before it names is deleted. The number of buckets is fixed by the first batch.
+    """
+    spark = rows.sparkSession
+    old, last = _manifest(spark, target, before=batch)
+    if old and old["buckets"] != buckets:
+        raise ValueError(f"the table has {old['buckets']} buckets")
+    live = dict(old["live"]) if old else {}
+    placed = rows.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    touched = sorted(r[0] for r in placed.select(BUCKET).distinct().collect())  # as many as there are buckets, at most
+    if touched:
+        had = [f"{target}/v={live[str(b)]}/{BUCKET}={b}" for b in touched if str(b) in live]
+        if had:
+            was = spark.read.schema(rows.schema).parquet(*had).select(*rows.columns)
+            placed = placed.unionByName(was.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")))
+        kept = windows.latest(placed, [BUCKET, *keys], order)
+        kept.repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{target}/v={batch}")
+        live |= {str(b): batch for b in touched}
+    _put_manifest(spark, target, batch, {"buckets": buckets, "live": live, "schema": rows.schema.json()})
+    _sweep(spark, target, live, old["live"] if old else {}, {batch, last})
+
+
+def _files(spark: SparkSession, at: str):
+    """(file system, path) of a folder or file."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def _manifest(spark: SparkSession, target: str, before: int | None = None) -> tuple[dict | None, int]:
+    """(the last manifest, or the last before a batch; its number): None, -1 if there is none."""
+    fs, root = _files(spark, f"{target}/_manifests")
     if not fs.exists(root):
-        return None
-    found = [int(s.getPath().getName()[2:]) for s in fs.listStatus(root) if s.getPath().getName().startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+        return None, -1
+    found = [int(n) for n in (s.getPath().getName() for s in fs.listStatus(root)) if n.isdigit()]
     found = [n for n in found if before is None or n < before]
-    return spark.read.parquet(f"{at}/v={max(found)}") if found else None
+    if not found:
+        return None, -1
+    number = max(found)
+    return json.loads("".join(r.value for r in spark.read.text(f"{target}/_manifests/{number}", wholetext=True).collect())), number
+
+
+def _put_manifest(spark: SparkSession, target: str, batch: int, content: dict) -> None:
+    fs, made = _files(spark, f"{target}/_manifests/.{batch}-{uuid.uuid4().hex}")
+    _, place = _files(spark, f"{target}/_manifests/{batch}")
+    out = fs.create(made, True)
+    out.write(bytearray(json.dumps(content).encode()))
+    out.close()
+    fs.delete(place, False)
+    if not fs.rename(made, place):
+        raise OSError(f"cannot put {place}")
+
+
+def _sweep(spark: SparkSession, target: str, live: dict, before: dict, manifests: set[int]) -> None:
+    """Deletes bucket folders and manifests that nothing names any more."""
+    named = {(int(v), int(b)) for part in (live, before) for b, v in part.items()}
+    fs, root = _files(spark, target)
+    for version in [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("v=")]:
+        v = int(version.getName()[2:])
+        folders = [s.getPath() for s in fs.listStatus(version) if s.getPath().getName().startswith(f"{BUCKET}=")]
+        gone = [p for p in folders if (v, int(p.getName()[len(BUCKET) + 1 :])) not in named]
+        for p in [version] if len(gone) == len(folders) else gone:
+            fs.delete(p, True)
+    _, root = _files(spark, f"{target}/_manifests")
+    for s in fs.listStatus(root):
+        n = s.getPath().getName()
+        if n.isdigit() and int(n) not in manifests and int(n) < max(manifests):
+            fs.delete(s.getPath(), False)
 
 
 def upserted(spark: SparkSession, target: str) -> DataFrame:
     """The table that `upsert_latest` keeps."""
-    df = _newest(spark, target)
-    if df is None:
+    now, _ = _manifest(spark, target)
+    if now is None:
         raise FileNotFoundError(target)
-    return df
+    schema = T.StructType.fromJson(json.loads(now["schema"]))
+    paths = [f"{target}/v={v}/{BUCKET}={b}" for b, v in now["live"].items()]
+    return spark.read.schema(schema).parquet(*paths).select(*schema.names) if paths else spark.createDataFrame([], schema)
 
 
 def running_coverage(ledger: DataFrame, plan: str, status: str) -> DataFrame:
