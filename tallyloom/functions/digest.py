@@ -23,16 +23,42 @@ def tuple_hash(*fields: Column) -> Column:
     return F.sha2(F.concat(*parts), 256)
 
 
-def set_digest(df: DataFrame, keys: list[str], member: str) -> DataFrame:
-    """Order-independent SHA-256 of each group's members, with their number.
+def digest_tree(df: DataFrame, keys: list[str], member: str) -> DataFrame:
+    """The leaves of each group's digest: keys, bucket, members, digest of the members in it.
 
-    Members are digested in buckets by the first two hex digits of their SHA-256, and the buckets' digests then, so no
-    task sorts a whole group.
+    A member's bucket is the first two hex digits of its SHA-256, so equal sets have equal leaves, whatever their order, and
+    two sets that differ do so in the buckets of what only one of them has.
     """
     bucket = F.substring(F.sha2(F.col(member).cast("string"), 256), 1, 2)
-    parts = df.groupBy(*keys, bucket.alias("__b")).agg(F.count("*").alias("__n"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(member).cast("string"))), ";"), 256).alias("__d"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__b", "__d"))), lambda x: F.concat_ws("=", x["__b"], x["__d"])), ";")
-    return parts.groupBy(*keys).agg(F.sum("__n").alias("members"), F.sha2(whole, 256).alias("digest"))
+    text = F.array_join(F.array_sort(F.collect_list(F.col(member).cast("string"))), ";")
+    return df.groupBy(*keys, bucket.alias("bucket")).agg(F.count("*").alias("members"), F.sha2(text, 256).alias("digest"))
+
+
+def tree_root(leaves: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, members, digest of each group from its leaves (256 at most)."""
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda x: F.concat_ws("=", x["bucket"], x["digest"])), ";")
+    return leaves.groupBy(*keys).agg(F.sum("members").alias("members"), F.sha2(whole, 256).alias("digest"))
+
+
+def tree_differences(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """The leaves in which two digest trees differ: keys, bucket, left_members, right_members (0 where a side lacks it)."""
+    side = lambda t, n: t.select(*keys, "bucket", F.col("members").alias(f"{n}_members"), F.col("digest").alias(f"__{n}"))
+    j = side(left, "left").join(side(right, "right"), [*keys, "bucket"], "full_outer").where("not (__left <=> __right)")
+    zero = F.lit(0).cast("long")
+    return j.select(*keys, "bucket", F.coalesce("left_members", zero).alias("left_members"), F.coalesce("right_members", zero).alias("right_members"))
+
+
+def set_digest(df: DataFrame, keys: list[str], member: str) -> DataFrame:
+    """Order-independent SHA-256 of each group's members, with their number: the root of `digest_tree`.
+
+    Members are digested in buckets, and the buckets' digests then, so no task sorts a whole group.
+    """
+    return tree_root(digest_tree(df, keys, member), keys)
+
+
+def cohort_digest(declaration: list[str]) -> Column:
+    """SHA-256 of a family's declaration: its count and digest, and what it is of (election, layer, metric, version, ..)."""
+    return row_hash(declaration)
 
 
 def _shape(value) -> object:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text
+from tallyloom.functions.digest import row_hash, set_digest
 from tallyloom.schema import Metric
 
 
@@ -114,6 +115,14 @@ def pinned_totals(rows: DataFrame, key: list[str], value: str, kind: str, pins:
 
 
 def verify(gates: dict[str, DataFrame]) -> DataFrame:
-    """Every gate with its number of findings and whether it passes."""
-    counts = [df.agg(F.count("*").alias("findings")).select(F.lit(name).alias("gate"), "findings") for name, df in gates.items()]
-    return reduce(DataFrame.unionByName, counts).withColumn("passes", F.col("findings") == 0)
+    """Every gate with its number of findings, whether it passes, and an order-independent digest of its findings.
+
+    The digest of no findings is that of the empty text.
+    """
+    each = []
+    for name, df in gates.items():
+        rows = df.select(F.lit(name).alias("gate"), row_hash(df.columns).alias("h"))
+        none = df.sparkSession.createDataFrame([(name,)], "gate string")
+        each.append(none.join(set_digest(rows, ["gate"], "h"), "gate", "left"))
+    found = reduce(DataFrame.unionByName, each).select("gate", F.coalesce("members", F.lit(0)).cast("long").alias("findings"), F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("digest"))
+    return found.withColumn("passes", F.col("findings") == 0)

@@ -6,6 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+MOST_LAYERS = 1000
+
+
+def few(layers: DataFrame) -> DataFrame:
+    """The distinct source layers, of which there are MOST_LAYERS at most: checked, since every one is set beside every unit."""
+    if layers.limit(MOST_LAYERS + 1).count() > MOST_LAYERS:
+        raise ValueError(f"more than {MOST_LAYERS} source layers")
+    return layers
+
+
 def identity_conflicts(records: DataFrame, source: str, identity: list[str], content: Column) -> DataFrame:
     """Identities that a source has more than once: duplicate (equal content) or conflict."""
     g = records.groupBy(source, *identity).agg(F.count("*").alias("rows"), F.countDistinct(content).alias("contents"))
@@ -39,7 +49,7 @@ def completeness(expected: DataFrame, records: DataFrame, unit: list[str], ambig
 def completeness_by_source(expected: DataFrame, records: DataFrame, source: str, unit: list[str], ambiguous: str) -> DataFrame:
     """The same for each source that sent anything, as counts."""
     sources = records.select(source).distinct()
-    want = expected.select(*unit).distinct().crossJoin(F.broadcast(sources))  # sources are few: one row for each layer
+    want = expected.select(*unit).distinct().join(F.broadcast(few(sources)))
     return completeness(want, records, [source, *unit], ambiguous).groupBy(source, "state").count().withColumnRenamed("count", "units")
 
 
@@ -86,6 +96,48 @@ def nested_scopes(records: DataFrame, id_: str, path: str) -> DataFrame:
     return inner.join(outer, "p").where("outer <> inner and (p <> inner_path or outer < inner)").select("outer", "inner")
 
 
+def _overlaps(records: DataFrame, id_: str, atoms: str, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, copies; id, atom; id, scope, own): what records are linked by. A null atom or path links nothing."""
+    ids = records.groupBy(F.col(id_).alias("id")).agg(F.count("*").alias("copies"))
+    shared = records.select(F.col(id_).alias("id"), F.explode(atoms).alias("atom")).where("atom is not null").distinct()
+    parts = F.split("own", "/")
+    starts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    scopes = records.where(F.col(path).isNotNull()).select(F.col(id_).alias("id"), F.col(path).alias("own")).distinct()
+    known = scopes.select(F.col("own").alias("scope")).distinct()
+    inside = scopes.select("id", "own", F.explode(starts).alias("scope"))
+    return ids, shared, inside.join(known, "scope", "left_semi").select("id", "scope", (F.col("scope") == F.col("own")).alias("own"))
+
+
+def overlap_pairs(records: DataFrame, id_: str, atoms: str, path: str) -> DataFrame:
+    """a, b, via, token: pairs that hold all overlaps together, linear in the records: each member of a common atom with the
+    atom's least id, each record inside a scope with the least id that has just this scope. Both are overlaps themselves."""
+    _, shared, inside = _overlaps(records, id_, atoms, path)
+    star = shared.groupBy("atom").agg(F.min("id").alias("a")).join(shared, "atom").where("a <> id").select("a", F.col("id").alias("b"), F.lit("atom").alias("via"), F.col("atom").cast("string").alias("token"))
+    heads = inside.where("own").groupBy("scope").agg(F.min("id").alias("a"))
+    nested = heads.join(inside, "scope").where("a <> id").select("a", F.col("id").alias("b"), F.lit("scope").alias("via"), F.col("scope").alias("token")).distinct()
+    return star.unionByName(nested)
+
+
+def overlap_classes(records: DataFrame, id_: str, atoms: str, path: str) -> DataFrame:
+    """One row for each id: class (the least id that overlaps lead to), copies, atom_links, scope_links.
+
+    Records overlap if they have the same id, share an atom, or one's scope path lies in the other's or is the same. copies:
+    records of this id. atom_links: other ids that share an atom, counted once for each atom. scope_links: other ids with the
+    same scope, one inside it or one around it. Pairs of a common atom or scope are never made: it is counted, and its
+    members are linked to its least id.
+    """
+    from tallyloom.operators import graphs
+
+    ids, shared, inside = _overlaps(records, id_, atoms, path)
+    of_atoms = shared.join(shared.groupBy("atom").agg(F.count("*").alias("n")), "atom").groupBy("id").agg(F.sum(F.col("n") - 1).alias("atom_links"))
+    sizes = inside.groupBy("scope").agg(F.countDistinct("id").alias("within"), F.count_distinct(F.when(F.col("own"), F.col("id"))).alias("just"))
+    of_scopes = inside.join(sizes, "scope").groupBy("id").agg(F.sum(F.when(F.col("own"), F.col("within") - 1).otherwise(F.col("just"))).alias("scope_links"))
+    classes = graphs.components(overlap_pairs(records, id_, atoms, path).select("a", "b"))
+    out = ids.join(classes, "id", "left").join(of_atoms, "id", "left").join(of_scopes, "id", "left")
+    zero = F.lit(0).cast("long")
+    return out.select("id", F.coalesce("class", "id").alias("class"), "copies", F.coalesce("atom_links", zero).alias("atom_links"), F.coalesce("scope_links", zero).alias("scope_links"))
+
+
 def declared_rollup_errors(declared: DataFrame, computed: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Declared rows that a computed rollup lacks or has with another value."""
     c = computed.select(*keys, F.col(value).alias("computed"))
@@ -97,7 +149,7 @@ def controlling_source(facts: DataFrame, source: str, controlling: str, keys: li
     control = facts.where(F.col(source) == controlling).select(*keys, F.col(value).alias("controlling"), F.lit(True).alias("__c"))
     other = facts.where(F.col(source) != controlling).select(source, *keys, F.col(value).alias("other"), F.lit(True).alias("__o"))
     names = other.select(source).distinct()
-    j = control.crossJoin(F.broadcast(names)).join(other, [source, *keys], "full_outer")  # one row for each layer
+    j = control.join(F.broadcast(few(names))).join(other, [source, *keys], "full_outer")
     finding = F.when(F.col("__o").isNull(), "only_controlling").when(F.col("__c").isNull(), "only_other").when(~F.col("controlling").eqNullSafe(F.col("other")), "different")
     return j.select(source, *keys, "controlling", "other", finding.alias("finding")).where("finding is not null")
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions import likelihood, stats
+from tallyloom.functions import digest, likelihood, stats
 from tallyloom.operators import fits, trees, windows
 from tallyloom.scratch import kept
 
@@ -23,6 +23,36 @@ def eligibility(complete: Column, joined: Column, denominator: Column) -> tuple[
     return reason.isNull(), reason
 
 
+def family_gate(df: DataFrame, declared: DataFrame, family: str, unit: str) -> DataFrame:
+    """One row for each family seen or declared: members, digest, family_reason (null if it is as declared).
+
+    declared: family, members, digest (`digest.set_digest` of the units' `digest.tuple_hash`). A family that is not
+    declared, or whose number of units or digest is another, is not screened at all.
+    """
+    seen = digest.set_digest(df.withColumn("__h", digest.tuple_hash(F.col(unit))), [family], "__h")
+    want = declared.select(F.col(family).alias("__f"), F.col("members").alias("__m"), F.col("digest").alias("__d"), F.lit(True).alias("__declared"))
+    j = seen.join(want, F.col(family).eqNullSafe(F.col("__f")), "full_outer")
+    reason = (
+        F.when(F.col("__declared").isNull(), "family_undeclared").when(F.col("members").isNull(), "family_missing")
+        .when(F.col("members") != F.col("__m"), "family_count_differs").when(~F.col("digest").eqNullSafe(F.col("__d")), "family_digest_differs")
+    )
+    return j.select(F.coalesce(family, "__f").alias(family), "members", "digest", reason.alias("family_reason"))
+
+
+def gated(df: DataFrame, declared: DataFrame, family: str, unit: str, eligible: str) -> DataFrame:
+    """df with family_reason, and eligible false in families that are not as declared: what a peer screen takes."""
+    gate = family_gate(df, declared, family, unit).select(F.col(family).alias("__f"), "family_reason")
+    j = df.join(gate, F.col(family).eqNullSafe(F.col("__f"))).drop("__f")
+    return j.withColumn(eligible, F.col(eligible) & F.col("family_reason").isNull())
+
+
+def complete_families(screen, df: DataFrame, declared: DataFrame, family: str, unit: str, levels: list[str], y: str, n: str, eligible: str) -> DataFrame:
+    """A peer screen (`peer_screen` or `peer_screen_moments`) of complete families; the units of others abstain with the
+    family's reason."""
+    out = screen(gated(df, declared, family, unit, eligible), family, unit, levels, y, n, eligible)
+    return out.withColumn("reason", F.coalesce("family_reason", "reason")).drop("family_reason")
+
+
 def _scored(df: DataFrame, y: str, n: str, mean: str, concentration: str) -> DataFrame:
     a, b = F.col(mean) * F.col(concentration), (1 - F.col(mean)) * F.col(concentration)
     z = (F.col(y) - F.col(n) * F.col(mean)) / F.sqrt(stats.beta_binomial_variance(F.col(n), a, b))
@@ -200,10 +230,10 @@ def municipality_left_out(df: DataFrame, department: str, municipality: str, y:
 
 
 def _seed(group, start: int, *data: np.ndarray) -> np.random.Generator:
-    digest = hashlib.sha256(str(group).encode())
+    seed = hashlib.sha256(str(group).encode())
     for x in data:
-        digest.update(np.ascontiguousarray(x).tobytes())
-    return np.random.default_rng([int.from_bytes(digest.digest()[:8], "little"), start])
+        seed.update(np.ascontiguousarray(x).tobytes())
+    return np.random.default_rng([int.from_bytes(seed.digest()[:8], "little"), start])
 
 
 def _batched(df: DataFrame, first: int, last: int, batch: int) -> DataFrame:

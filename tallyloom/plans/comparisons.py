@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import digest, text
@@ -80,6 +81,34 @@ def reconciliation(spark, d):
     return reconcile.reconcile(b.units(spark, d), b.sources(spark, d), "source", "unit", "category", "votes", "a", "b")
 
 
+def _claims(spark, d) -> DataFrame:
+    """Orders as records (id, atoms, scope): some ids twice, an atom of each customer's month, a few records of whole places
+    or municipalities, and one atom that every 50th record has."""
+    u, k = b.units(spark, d), F.col("unit")
+    scope = F.when(k % 997 == 0, F.concat_ws("/", "department", "municipality")).when(k % 101 == 0, F.concat_ws("/", "department", "municipality", "place")).otherwise(F.concat_ws("/", "department", "municipality", "place", "unit"))
+    month = F.concat_ws("-", F.col("place").cast("string"), F.date_format("o_orderdate", "yyyyMM"))
+    rows = u.select((k - F.when(k % 89 == 0, 1).otherwise(0)).alias("id"), F.array(month, F.when(k % 50 == 0, "common")).alias("atoms"), F.when(k % 7 != 0, scope).alias("scope"))
+    return rows
+
+
+_ROUNDS = 12  # of least labels through tokens: more than the claims' classes need
+_CLAIMS = """claims AS (SELECT unit - (unit % 89 = 0)::INT AS id, place || '-' || strftime(o_orderdate, '%Y%m') AS m, unit % 50 = 0 AS common,
+  CASE WHEN unit % 7 <> 0 THEN CASE WHEN unit % 997 = 0 THEN concat_ws('/', department, municipality) WHEN unit % 101 = 0 THEN concat_ws('/', department, municipality, place) ELSE concat_ws('/', department, municipality, place, unit) END END AS scope FROM units),
+atoms AS (SELECT DISTINCT id, m AS atom FROM claims UNION SELECT DISTINCT id, 'common' FROM claims WHERE common),
+scopes AS (SELECT DISTINCT id, scope FROM claims WHERE scope IS NOT NULL),
+inside AS (SELECT s.id, s.scope AS own, o.scope FROM scopes s, (SELECT DISTINCT scope FROM scopes) o WHERE o.scope IN (s.scope, array_to_string(string_split(s.scope, '/')[1:2], '/'), array_to_string(string_split(s.scope, '/')[1:3], '/'))),
+tok AS (SELECT id, 'a:' || atom AS token FROM atoms UNION SELECT id, 's:' || scope FROM inside), l0 AS (SELECT DISTINCT id, id AS c FROM claims)"""
+
+
+@query(f"""WITH {_CLAIMS}, {', '.join(f"l{k} AS MATERIALIZED (SELECT l{k - 1}.id, least(any_value(l{k - 1}.c), min(t.c)) AS c FROM l{k - 1} LEFT JOIN (SELECT tok.id, min(m.c) AS c FROM tok JOIN (SELECT token, min(c) AS c FROM tok JOIN l{k - 1} USING (id) GROUP BY token) m USING (token) GROUP BY tok.id) t USING (id) GROUP BY l{k - 1}.id)" for k in range(1, _ROUNDS + 1))},
+al AS (SELECT id, sum(n - 1) AS n FROM atoms JOIN (SELECT atom, count(*) AS n FROM atoms GROUP BY atom) USING (atom) GROUP BY id),
+sl AS (SELECT id, sum(CASE WHEN own = scope THEN w - 1 ELSE j END) AS n FROM inside JOIN (SELECT scope, count(DISTINCT id) AS w, count(DISTINCT CASE WHEN own = scope THEN id END) AS j FROM inside GROUP BY scope) USING (scope) GROUP BY id)
+SELECT id, c AS class, k AS copies, coalesce(al.n, 0)::BIGINT AS atom_links, coalesce(sl.n, 0)::BIGINT AS scope_links FROM l{_ROUNDS} JOIN (SELECT id, count(*) AS k FROM claims GROUP BY id) USING (id) LEFT JOIN al USING (id) LEFT JOIN sl USING (id)""")
+def overlap_classes(spark, d):
+    """Classes of records with one id, a common atom or nested scopes; a very common atom among them."""
+    return reconcile.overlap_classes(_claims(spark, d), "id", "atoms", "scope")
+
+
 @query("""WITH t AS (SELECT DISTINCT p_partkey AS id, unnest(string_split(p_type, ' ')) || '-' || p_size AS atom FROM part) SELECT a.id AS a, b.id AS b, count(*) AS shared FROM t a JOIN t b ON a.atom = b.atom AND a.id < b.id GROUP BY ALL""")
 def overlapping_records(spark, d):
     """Records that share atoms."""
@@ -200,10 +229,12 @@ def conflicting_names(spark, d):
     return quality.conflicting_names(b.table(spark, d, "part").select(F.col("p_size").cast("long").alias("code"), F.col("p_brand").alias("name")), ["code"], "name")
 
 
-@query("""SELECT gate, n AS findings, n = 0 AS passes FROM (SELECT 'duplicate_units' AS gate, count(*) AS n FROM (SELECT unit FROM units GROUP BY unit HAVING count(*) > 1)
-UNION ALL SELECT 'orphans', count(*) FROM geo WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM geo) UNION ALL SELECT 'without_result', count(*) FROM customer WHERE c_custkey NOT IN (SELECT place FROM units))""")
+@query("""WITH f AS (SELECT 'without_result' AS gate, '{"place":' || c_custkey || '}' AS j FROM customer WHERE c_custkey NOT IN (SELECT place FROM units)
+  UNION ALL SELECT 'orphans', '{"id":"' || id || '"}' FROM geo WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM geo) UNION ALL SELECT 'duplicate_units', unit::VARCHAR FROM units GROUP BY unit HAVING count(*) > 1),
+p AS (SELECT gate, substr(sha256(sha256(j)), 1, 2) AS b, count(*) AS n, sha256(string_agg(sha256(j), ';' ORDER BY sha256(j))) AS d FROM f GROUP BY ALL), r AS (SELECT gate, sum(n)::BIGINT AS n, sha256(string_agg(b || '=' || d, ';' ORDER BY b)) AS digest FROM p GROUP BY gate)
+SELECT g.gate, coalesce(n, 0) AS findings, coalesce(n, 0) = 0 AS passes, coalesce(digest, sha256('')) AS digest FROM (VALUES ('duplicate_units'), ('orphans'), ('without_result')) g(gate) LEFT JOIN r USING (gate)""")
 def release_gates(spark, d):
-    """Q9: gates of a release with their findings."""
+    """Q9: gates of a release with their findings and digests of these."""
     c = b.table(spark, d, "customer").select(F.col("c_custkey").alias("place"))
     return quality.verify({"duplicate_units": quality.semantic_keys(b.units(spark, d), ["unit"]), "orphans": rollup.orphans(b.geo(spark, d)), "without_result": reconcile.without_result(c, b.units(spark, d), "place")})
 
@@ -233,6 +264,36 @@ def set_digests(spark, d):
     return digest.set_digest(h, ["department"], "h")
 
 
+def _tampered(spark, d) -> DataFrame:
+    """Units by department as declared: one of department 1 is another, one of department 2 is left out, 3 is not declared."""
+    u = b.units(spark, d).select("department", "unit")
+    first = u.groupBy("department").agg(F.min("unit").alias("first"))
+    kept = u.join(first, "department").where("department <> 3 and not (department = 2 and unit = first)")
+    return kept.select("department", F.when((F.col("department") == 1) & (F.col("unit") == F.col("first")), -F.col("unit")).otherwise(F.col("unit")).alias("unit"))
+
+
+@query("""WITH t AS (SELECT department, unit, min(unit) OVER (PARTITION BY department) AS first FROM units), l AS (SELECT department, unit FROM t), r AS (SELECT department, CASE WHEN department = 1 AND unit = first THEN -unit ELSE unit END AS unit FROM t WHERE department <> 3 AND NOT (department = 2 AND unit = first)),
+h AS (SELECT 'l' AS side, department, substr(sha256(sha256(len(unit::VARCHAR) || ':' || unit || ';')), 1, 2) AS bucket, unit FROM l UNION ALL SELECT 'r', department, substr(sha256(sha256(len(unit::VARCHAR) || ':' || unit || ';')), 1, 2), unit FROM r)
+SELECT department, bucket, count(*) FILTER (WHERE side = 'l') AS left_members, count(*) FILTER (WHERE side = 'r') AS right_members FROM h GROUP BY ALL HAVING list_sort(list(unit) FILTER (WHERE side = 'l')) IS DISTINCT FROM list_sort(list(unit) FILTER (WHERE side = 'r'))""")
+def digest_differences(spark, d):
+    """Where the digest trees of two sets differ."""
+    tree = lambda u: digest.digest_tree(u.withColumn("h", digest.tuple_hash(F.col("unit"))), ["department"], "h")
+    return digest.tree_differences(tree(b.units(spark, d)), tree(_tampered(spark, d)), ["department"])
+
+
+@query("""WITH g AS (SELECT *, CASE department WHEN 1 THEN 'family_digest_differs' WHEN 2 THEN 'family_count_differs' WHEN 3 THEN 'family_undeclared' END AS family_reason FROM rates),
+c AS (SELECT *, eligible AND family_reason IS NULL AS ok FROM g), p AS (SELECT *, sum(ok::INT) OVER (PARTITION BY place) - ok::INT AS n1, sum(ok::INT) OVER (PARTITION BY municipality) - ok::INT AS n2 FROM c)
+SELECT unit, department, CASE WHEN NOT ok THEN NULL WHEN n1 >= 30 THEN 'place' WHEN n2 >= 30 THEN 'municipality' END AS pool, coalesce(family_reason, CASE WHEN NOT ok THEN 'not_eligible' WHEN n1 < 30 AND n2 < 30 THEN 'fewer_than_30_eligible_peers' END) AS reason FROM p""")
+def family_gate(spark, d):
+    """Peer screen by family, of which three are not as declared: their units abstain."""
+    from tallyloom.operators import screens
+
+    h = _tampered(spark, d).join(b.rates(spark, d).select(F.abs("unit").alias("u")), F.abs("unit") == F.col("u"), "left_semi")
+    declared = digest.set_digest(h.withColumn("h", digest.tuple_hash(F.col("unit"))), ["department"], "h")
+    r = screens.complete_families(screens.peer_screen_moments, b.rates(spark, d), declared, "department", "unit", ["place", "municipality"], "y", "n", "eligible")
+    return r.select("unit", "department", "pool", "reason")
+
+
 @query("SELECT unit, sha256(len(unit::VARCHAR) || ':' || unit || ';' || len(n::VARCHAR) || ':' || n || ';') AS h, sha256('{\"n\":' || n || ',\"unit\":' || unit || '}') AS j FROM rates")
 def row_hashes(spark, d):
     """Canonical row hashes."""
