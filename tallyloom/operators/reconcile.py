@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.scratch import kept
+
 
 MOST_LAYERS = 1000
 
@@ -190,3 +192,73 @@ def reconcile(expected: DataFrame, records: DataFrame, source: str, unit: str, c
     state = F.when(~F.col("comparable"), "not_comparable").when((F.col("difference") == 0) & (F.col("min_edits") == 0), "equal").otherwise("different")
     pair = compare_sources(records, source, left, right, [unit], category, value).groupBy(state.alias("state")).count().select(F.lit("comparison").alias("check"), F.lit(f"{left}/{right}").alias(source), "state", F.col("count").alias("n"))
     return done.unionByName(clash).unionByName(pair)
+
+
+def full(records: DataFrame, expected: DataFrame, declared: DataFrame, source: str, unit: str, place: str, fields: list[str], rules: list[tuple[str, str, list[str], str]], voters: str, registered: str, left: str, right: str) -> DataFrame:
+    """Every check of a reconciliation as one table: check, source, key (of the unit or place), field, state.
+
+    records: source, unit, place, values map<string, bigint>, states map<string, string> and `registered`. declared: source,
+    place, values (rollups as published). Checks:
+    - arithmetic: a source's declared rules (source, name, addends, total): pass, fail, not_evaluable
+    - electors: values[voters] within registered: within, exceeds, not_evaluable
+    - value_state: observed_without_value, value_without_observation, negative; only what is wrong
+    - identity: duplicate (equal content) or conflict, where a source has a unit more than once
+    - completeness: each source and expected unit: complete, missing, duplicated, ambiguous; unexpected units
+    - comparison of left and right: equal, different, not_comparable (a side lacks the unit, is ambiguous, or no field of
+      both has values); fields that only one has do not count
+    - rollup: each declared place and field of a source against its units' sum: equal, different, blocked (a unit lacks the
+      field, or is ambiguous), no_units
+    A record is read once for its own checks, and grouped once by source and unit for the others; layers of a unit stand in
+    one map (MOST_LAYERS at most). Nothing is joined with itself.
+    """
+    value, key = lambda f: F.col("values")[f], F.col(unit).cast("string")
+    said = lambda check, field, state: F.struct(F.lit(check).alias("check"), field.alias("field"), state.alias("state"))
+    own = []
+    for name_of, name, addends, total in rules:
+        parts = [value(f) for f in (*addends, total)]
+        sum_ = parts[0]
+        for x in parts[1:-1]:
+            sum_ = sum_ + x
+        lost = parts[0].isNull()
+        for x in parts[1:]:
+            lost = lost | x.isNull()
+        state = F.when(lost, "not_evaluable").when(sum_ == parts[-1], "pass").otherwise("fail")
+        own.append(F.when(F.col(source) == name_of, said("arithmetic", F.lit(name), state)))
+    bound = F.when(value(voters).isNull() | F.col(registered).isNull(), "not_evaluable").when(value(voters) > F.col(registered), "exceeds").otherwise("within")
+    own.append(said("electors", F.lit(voters), bound))
+    for f in fields:
+        seen = F.col("states")[f] == "observed"
+        wrong = F.when(seen & value(f).isNull(), "observed_without_value").when(~seen & value(f).isNotNull(), "value_without_observation").when(value(f) < 0, "negative")
+        own.append(F.when(wrong.isNotNull(), said("value_state", F.lit(f), wrong)))
+    out = records.select(F.explode(F.array_compact(F.array(*own))).alias("c"), F.col(source).alias("source"), key.alias("key")).select("c.check", "source", "key", "c.field", "c.state")
+
+    content = F.xxhash64(*[value(f) for f in fields], *[F.col("states")[f] for f in fields], F.col(registered))
+    by = records.groupBy(F.col(source).alias("source"), F.col(unit).alias("unit")).agg(
+        F.count("*").alias("n"), (F.min(content) != F.max(content)).alias("clash"), F.min_by("values", content).alias("values"), F.min(place).alias("place")
+    )
+    by = kept(by, "layers")
+    none = F.lit(None).cast("string")
+    identity = by.where("n > 1").select(F.lit("identity").alias("check"), "source", F.col("unit").cast("string").alias("key"), none.alias("field"), F.when(F.col("clash"), "conflict").otherwise("duplicate").alias("state"))
+
+    layers = sorted(r[0] for r in few(by.select("source").where("source is not null").distinct()).collect())
+    units = by.where("source is not null").groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct("source", F.struct("n", "clash", "values")))).alias("has"))
+    j = units.join(expected.select(F.col(unit).alias("unit")).distinct().withColumn("wanted", F.lit(True)), "unit", "full_outer")
+    there = lambda s: F.col("has")[s]
+    lines = []
+    for s in layers:
+        state = F.when(there(s).isNull(), "missing").when(there(s)["clash"], "ambiguous").when(there(s)["n"] > 1, "duplicated").otherwise("complete")
+        state = F.when(F.col("wanted"), state).when(there(s).isNotNull(), "unexpected")
+        lines.append(F.when(state.isNotNull(), F.struct(F.lit("completeness").alias("check"), F.lit(s).alias("source"), state.alias("state"))))
+    a, b = there(left), there(right)
+    common = F.filter(F.array(*map(F.lit, fields)), lambda f: a["values"][f].isNotNull() & b["values"][f].isNotNull())
+    same = F.forall(common, lambda f: a["values"][f] == b["values"][f])
+    apart = a.isNull() | b.isNull() | a["clash"] | b["clash"] | (F.size(common) == 0)
+    lines.append(F.when(F.col("has").isNotNull(), F.struct(F.lit("comparison").alias("check"), F.lit(f"{left}/{right}").alias("source"), F.when(F.coalesce(apart, F.lit(True)), "not_comparable").when(same, "equal").otherwise("different").alias("state"))))
+    across = j.select(F.col("unit").cast("string").alias("key"), F.explode(F.array_compact(F.array(*lines))).alias("c")).select("c.check", "c.source", "key", none.alias("field"), "c.state")
+
+    sums = [F.when(~F.max("clash") & (F.count(F.col("values")[f]) == F.count("*")), F.sum(F.col("values")[f])).alias(f"sum_{k}") for k, f in enumerate(fields)]
+    rolled = by.groupBy("source", "place").agg(*sums, F.count("*").alias("units"))
+    d = declared.select(F.col(source).alias("source"), F.col(place).alias("place"), F.col("values").alias("declared")).join(rolled, ["source", "place"], "left")
+    each = [F.struct(F.lit(f).alias("field"), F.when(F.col("units").isNull(), "no_units").when(F.col(f"sum_{k}").isNull(), "blocked").when(F.col(f"sum_{k}").eqNullSafe(F.col("declared")[f]), "equal").otherwise("different").alias("state")) for k, f in enumerate(fields)]
+    rollup = d.select(F.lit("rollup").alias("check"), "source", F.col("place").cast("string").alias("key"), F.explode(F.array(*each)).alias("c")).select("check", "source", "key", "c.field", "c.state")
+    return out.unionByName(identity).unionByName(across).unionByName(rollup)

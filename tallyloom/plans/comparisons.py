@@ -81,6 +81,58 @@ def reconciliation(spark, d):
     return reconcile.reconcile(b.units(spark, d), b.sources(spark, d), "source", "unit", "category", "votes", "a", "b")
 
 
+FIELDS = ["AF", "NF", "NO", "RF", "total"]
+
+
+def _layers(spark, d) -> DataFrame:
+    """Both layers of units as records with values, states and registered electors, with every kind of fault in some."""
+    u = b.units(spark, d).select("unit", "place")
+    pick = [F.coalesce(F.sum(F.when(F.col("category") == c, F.col("votes"))), F.lit(0)).alias(c) for c in FIELDS[:-1]]
+    w = b.sources(spark, d).groupBy("source", "unit").agg(*pick).join(u, "unit")
+    k = F.col("unit")
+    w = w.where(~((F.col("source") == "b") & (k % 19 == 0))).withColumn("t", F.col("AF") + F.col("NF") + F.col("NO") + F.col("RF"))
+    copy = F.when(k % 37 == 0, F.array(F.lit(0), F.lit(1))).when(k % 29 == 0, F.array(F.lit(0), F.lit(0))).otherwise(F.array(F.lit(0)))
+    w = w.withColumn("more", F.explode(copy)).withColumn("total", F.col("t") + F.col("more") + (k % 31 == 0).cast("int"))
+    w = w.withColumn("NO", F.when(~((k % 17 == 0) | (k % 41 == 0)), F.when(k % 47 == 0, -1 - F.col("NO")).otherwise(F.col("NO"))))
+    pairs = lambda f: F.map_from_arrays(F.array(*map(F.lit, FIELDS)), F.array(*[f(c) for c in FIELDS]))
+    state = lambda c: F.when((k % 17 == 0) if c == "NO" else (k % 53 == 0) if c == "RF" else F.lit(False), "unavailable").otherwise("observed")
+    return w.select("source", "unit", "place", pairs(lambda c: F.col(c).cast("long")).alias("values"), pairs(state).alias("states"), F.when(k % 59 != 0, F.col("t") + 5 - F.when(k % 23 == 0, 20).otherwise(0)).alias("registered"))
+
+
+_LAYERS = """w0 AS (SELECT source, unit, coalesce(sum(votes) FILTER (WHERE category = 'AF'), 0)::BIGINT AS af, coalesce(sum(votes) FILTER (WHERE category = 'NF'), 0)::BIGINT AS nf, coalesce(sum(votes) FILTER (WHERE category = 'NO'), 0)::BIGINT AS no0, coalesce(sum(votes) FILTER (WHERE category = 'RF'), 0)::BIGINT AS rf FROM sources GROUP BY ALL),
+w AS (SELECT source, w0.unit, place, af, nf, rf, CASE WHEN unit % 17 <> 0 AND unit % 41 <> 0 THEN CASE WHEN unit % 47 = 0 THEN -1 - no0 ELSE no0 END END AS no, af + nf + no0 + rf AS t, more FROM w0 JOIN units USING (unit), unnest(CASE WHEN unit % 37 = 0 THEN [0, 1] WHEN unit % 29 = 0 THEN [0, 0] ELSE [0] END) AS x(more) WHERE NOT (source = 'b' AND unit % 19 = 0)),
+r AS (SELECT *, t + more + (unit % 31 = 0)::INT AS total, CASE WHEN unit % 59 <> 0 THEN t + 5 - CASE WHEN unit % 23 = 0 THEN 20 ELSE 0 END END AS registered FROM w),
+one AS (SELECT source, unit, min(place) AS place, count(*) AS n, count(*) > 1 AND min(more) <> max(more) AS clash, min(af) AS af, min(nf) AS nf, min(no) AS no, min(rf) AS rf, min(total) AS total FROM r GROUP BY ALL),
+wanted AS (SELECT DISTINCT unit FROM units WHERE unit % 43 <> 0),
+f AS (SELECT coalesce(a.unit, z.unit) AS unit, a.unit IS NOT NULL AND z.unit IS NOT NULL AND NOT a.clash AND NOT z.clash AS ok, a.af = z.af AND a.nf = z.nf AND a.rf = z.rf AND a.total = z.total AND coalesce(a.no = z.no, true) AS same FROM (SELECT * FROM one WHERE source = 'a') a FULL JOIN (SELECT * FROM one WHERE source = 'b') z USING (unit)),
+g AS (SELECT place, bool_or(clash) AS clash, count(*) AS n, count(no) AS m, sum(af) AS af, sum(nf) AS nf, sum(no) AS no, sum(rf) AS rf, sum(total) AS total FROM one WHERE source = 'a' GROUP BY place),
+p AS (SELECT place, field, CASE WHEN clash OR field = 'NO' AND n <> m THEN 'blocked' WHEN field = 'total' AND place % 11 = 0 THEN 'different' ELSE 'equal' END AS state FROM g, unnest(['AF', 'NF', 'NO', 'RF', 'total']) AS x(field)),
+c AS (SELECT 'arithmetic' AS check, source, 'sum' AS field, CASE WHEN no IS NULL THEN 'not_evaluable' WHEN af + nf + no + rf = total THEN 'pass' ELSE 'fail' END AS state FROM r
+UNION ALL SELECT 'electors', source, 'total', CASE WHEN registered IS NULL THEN 'not_evaluable' WHEN total > registered THEN 'exceeds' ELSE 'within' END FROM r
+UNION ALL SELECT 'value_state', source, 'NO', CASE WHEN no IS NULL THEN 'observed_without_value' ELSE 'negative' END FROM r WHERE unit % 17 <> 0 AND (no IS NULL OR no < 0)
+UNION ALL SELECT 'value_state', source, 'RF', 'value_without_observation' FROM r WHERE unit % 53 = 0
+UNION ALL SELECT 'identity', source, NULL, CASE WHEN clash THEN 'conflict' ELSE 'duplicate' END FROM one WHERE n > 1
+UNION ALL SELECT 'completeness', s.source, NULL, CASE WHEN o.unit IS NULL THEN 'missing' WHEN o.clash THEN 'ambiguous' WHEN o.n > 1 THEN 'duplicated' ELSE 'complete' END FROM wanted CROSS JOIN (VALUES ('a'), ('b')) s(source) LEFT JOIN one o ON o.unit = wanted.unit AND o.source = s.source
+UNION ALL SELECT 'completeness', source, NULL, 'unexpected' FROM one WHERE unit % 43 = 0
+UNION ALL SELECT 'comparison', 'a/b', NULL, CASE WHEN NOT ok THEN 'not_comparable' WHEN same THEN 'equal' ELSE 'different' END FROM f
+UNION ALL SELECT 'rollup', 'a', field, state FROM p UNION ALL SELECT 'rollup', 'a', field, 'no_units' FROM unnest(['AF', 'NF', 'NO', 'RF', 'total']) AS x(field))"""
+
+
+@query(f"WITH {_LAYERS} SELECT \"check\", source, field, state, count(*) AS n FROM c GROUP BY ALL")
+def full_reconciliation(spark, d):
+    """D14 with Q1, Q2, Q3, A3, A9, J14, J17, J23: every check of two layers, each state of each of them."""
+    r = _layers(spark, d)
+    expected = b.units(spark, d).where("unit % 43 <> 0")
+    sums = [F.sum(F.col("v")[c]).alias(c) for c in FIELDS]
+    one = r.where("source = 'a'").groupBy("unit").agg(F.min("place").alias("place"), F.min_by("values", F.col("values")["total"]).alias("v")).groupBy("place").agg(*sums)
+    wrong = F.col("total") + (F.col("place") % 11 == 0).cast("int")
+    declared = one.select(F.lit("a").alias("source"), "place", F.map_from_arrays(F.array(*map(F.lit, FIELDS)), F.array(*[F.col(c) for c in FIELDS[:-1]], wrong)).alias("values"))
+    nowhere = declared.limit(1).select("source", F.lit(-1).cast("long").alias("place"), "values")
+    rules = [(s, "sum", FIELDS[:-1], "total") for s in "ab"]
+    found = reconcile.full(r, expected, declared.unionByName(nowhere), "source", "unit", "place", FIELDS, rules, "total", "registered", "a", "b")
+    return found.groupBy("check", "source", "field", "state").agg(F.count("*").alias("n"))
+
+
 def _claims(spark, d) -> DataFrame:
     """Orders as records (id, atoms, scope): some ids twice, an atom of each customer's month, a few records of whole places
     or municipalities, and one atom that every 50th record has."""
