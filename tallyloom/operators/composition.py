@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import stable
+from tallyloom.scratch import kept
 
 
 def composition(facts: DataFrame, keys: list[str], category: str, value: str, candidates: Column) -> DataFrame:
@@ -123,3 +124,48 @@ def digit_comparison(facts: DataFrame, year: str, unit: str, category: str, valu
     chi = d.groupBy(year).agg(F.sum("o").alias("digits"), (F.sum(F.col("o") * F.col("o")) * 10 / F.sum("o") - F.sum("o")).alias("chi_square"))
     u = facts.groupBy(year, unit).agg(F.max(value).alias("m"), F.sum(value).alias("s")).groupBy(year).agg(F.count("*").alias("units"), F.count_if((F.col("s") > 0) & (F.col("m") == F.col("s"))).alias("unanimous"))
     return u.join(chi, year, "left").withColumn("chi_square", F.round("chi_square", 9))
+
+
+def descriptive(rows: DataFrame, unit: str, department: str, family: str, status: str, candidate: str, votes: str, statuses: list[str]) -> DataFrame:
+    """The descriptive summary of long metric rows, as one long table: section, department, family, status, candidate, value, share.
+
+    Sections: units (how many distinct ones), status (rows of each family by the status of their denominator, zeros
+    included), candidate (totals, with shares of all), department_candidate (totals), margin (first less second, ties by
+    name; null with fewer than two). candidate is null in rows that are of no candidate; null votes count for nothing, and a
+    candidate without any has no total. All grains are grouping sets of one aggregation; no rows give units 0 only.
+    """
+    own = F.when(F.col(candidate).isNotNull(), F.col(votes))
+    renamed = rows.select(*[F.col(c).alias(n) for c, n in ((unit, "u"), (department, "d"), (family, "f"), (candidate, "c"))], F.col(status), own.alias("v"))
+    counts = [F.count_if(F.col(status) == s).alias(f"n{i}") for i, s in enumerate(statuses)]
+    g = renamed.groupingSets([[F.col(c) for c in s] for s in ("u", "f", "c", "dc")], *[F.col(c) for c in "udfc"]).agg(*counts, F.sum("v").alias("v"), *[F.grouping(c).alias(f"g_{c}") for c in "udfc"])
+    section = F.when(F.col("g_u") == 0, "units").when(F.col("g_f") == 0, "status").when(F.col("g_d") == 0, "department_candidate").otherwise("candidate")
+    g = kept(g.withColumn("section", section), "summary")
+    none = lambda n: F.lit(None).cast("string").alias(n)
+    text = lambda c, n: F.col(c).cast("string").alias(n)
+    noshare = F.lit(None).cast("double").alias("share")
+    units = g.where("section = 'units' and u is not null").agg(F.count("*").alias("value")).select(F.lit("units").alias("section"), none("department"), none("family"), none("status"), none("candidate"), "value", noshare)
+    each = F.array(*[F.struct(F.lit(s).alias("status"), F.col(f"n{i}").alias("value")) for i, s in enumerate(statuses)])
+    status_rows = g.where("section = 'status' and f is not null").select("section", none("department"), text("f", "family"), F.explode(each).alias("x")).select("section", "department", "family", "x.status", none("candidate"), "x.value", noshare)
+    totals = g.where("section = 'candidate' and c is not null and v is not null").select(text("c", "candidate"), F.col("v").cast("long").alias("value"))
+    whole = totals.agg(F.sum("value").alias("all"))  # one row
+    shares = totals.crossJoin(F.broadcast(whole)).select(F.lit("candidate").alias("section"), none("department"), none("family"), none("status"), "candidate", "value", (F.col("value") / F.nullif(F.col("all"), F.lit(0))).alias("share"))
+    by_department = g.where("section = 'department_candidate' and c is not null and v is not null").select("section", text("d", "department"), none("family"), none("status"), text("c", "candidate"), F.col("v").cast("long").alias("value"), noshare)
+    first = totals.orderBy(F.desc("value"), "candidate").limit(2)
+    margin = first.agg(F.when(F.count("*") == 2, F.max("value") - F.min("value")).alias("value"), F.count("*").alias("n")).where("n > 0").select(F.lit("margin").alias("section"), none("department"), none("family"), none("status"), none("candidate"), "value", noshare)
+    return reduce(DataFrame.unionByName, [units, status_rows, shares, by_department, margin])
+
+
+def universe_coverage(crosswalk: DataFrame, old: DataFrame, new: DataFrame, round_: str, code: str, outside: Column) -> DataFrame:
+    """Per round: observed and domestic places of both years, crosswalk rows by status, matched shares of both domestic universes.
+
+    crosswalk: round, code, status (as `crosswalk.year_crosswalk`); old, new: the places observed (round, code); outside: which
+    of them are extraterritorial. unmatched counts all its bases; a share over no places is null.
+    """
+    side = lambda df, n: df.select(round_, code, outside.alias("o")).distinct().groupBy(round_).agg(F.countDistinct(code).alias(f"observed_{n}"), F.count_distinct(F.when(~F.col("o"), F.col(code))).alias(f"domestic_{n}"))
+    kinds = {"high": F.col("status") == "high", "label_mismatch": F.col("status") == "unmatched_label", "extraterritorial": F.col("status") == "extraterritorial", "unmatched": F.col("status").startswith("unmatched"), "ambiguous": F.col("status") == "ambiguous"}
+    walk = crosswalk.groupBy(round_).agg(*[F.count_if(c).alias(k) for k, c in kinds.items()])
+    j = side(old, "old").join(side(new, "new"), round_, "full_outer").join(walk, round_, "full_outer")
+    zero = F.lit(0).cast("long")
+    j = j.select(round_, *[F.coalesce(c, zero).alias(c) for c in ("observed_old", "observed_new", "domestic_old", "domestic_new", *kinds)])
+    share = lambda n: (F.col("high") / F.nullif(F.col(f"domestic_{n}"), F.lit(0))).alias(f"matched_share_{n}")
+    return j.select("*", share("old"), share("new"))

@@ -108,6 +108,45 @@ def candidate_summary(spark, d):
     return composition.candidate_summary(f, ["municipality"], "category", "votes", slate, F.col("category") != "NF")
 
 
+_SHARES = """rows AS (SELECT unit, department, 'candidate_share:' || category AS family, CASE WHEN unit % 7 = 0 THEN 'unavailable' ELSE 'observed' END AS status, category AS candidate, CASE WHEN unit % 11 <> 0 THEN votes END AS votes FROM facts
+UNION ALL SELECT unit, department, 'turnout', CASE WHEN unit % 5 = 0 THEN 'redacted' ELSE 'observed' END, NULL, n FROM rates)"""
+
+
+@query(f"""WITH {_SHARES}, c AS (SELECT candidate, sum(votes)::BIGINT AS v FROM rows WHERE candidate IS NOT NULL GROUP BY candidate HAVING sum(votes) IS NOT NULL), k AS (SELECT v, row_number() OVER (ORDER BY v DESC, candidate) AS r FROM c)
+SELECT 'units' AS section, NULL AS department, NULL AS family, NULL AS status, NULL AS candidate, count(DISTINCT unit) AS value, NULL::DOUBLE AS share FROM rows
+UNION ALL SELECT 'status', NULL, family, s.status, NULL, count(*) FILTER (WHERE rows.status = s.status), NULL FROM rows CROSS JOIN (VALUES ('observed'), ('unavailable'), ('redacted')) s(status) GROUP BY family, s.status
+UNION ALL SELECT 'candidate', NULL, NULL, NULL, candidate, v, round(v / sum(v) OVER (), 9) FROM c
+UNION ALL SELECT 'department_candidate', department::VARCHAR, NULL, NULL, candidate, sum(votes)::BIGINT, NULL FROM rows WHERE candidate IS NOT NULL GROUP BY department, candidate HAVING sum(votes) IS NOT NULL
+UNION ALL SELECT 'margin', NULL, NULL, NULL, NULL, max(v) - min(v), NULL FROM k WHERE r <= 2""")
+def descriptive_summary(spark, d):
+    """The whole descriptive summary from one aggregation."""
+    k, cols = F.col("unit"), ["unit", "department", "family", "status", "candidate", "votes"]
+    f = b.facts(spark, d).select("unit", "department", F.concat(F.lit("candidate_share:"), "category").alias("family"), F.when(k % 7 == 0, "unavailable").otherwise("observed").alias("status"), F.col("category").alias("candidate"), F.when(k % 11 != 0, F.col("votes")).alias("votes"))
+    t = b.rates(spark, d).select("unit", "department", F.lit("turnout").alias("family"), F.when(k % 5 == 0, "redacted").otherwise("observed").alias("status"), F.lit(None).cast("string").alias("candidate"), F.col("n").alias("votes"))
+    r = composition.descriptive(f.select(cols).unionByName(t), "unit", "department", "family", "status", "candidate", "votes", ["observed", "unavailable", "redacted"])
+    return r.withColumn("share", F.round("share", 9))
+
+
+@query("""WITH o AS (SELECT n_regionkey AS round, n_nationkey AS code FROM nation), n AS (SELECT * FROM o WHERE code % 5 <> 0 UNION ALL SELECT round, code + 100 FROM o WHERE code % 5 = 0),
+x AS (SELECT coalesce(o.round, n.round) AS round, coalesce(o.code, n.code) AS code, CASE WHEN coalesce(o.code, n.code) % 7 = 3 THEN 'extraterritorial' WHEN o.code IS NULL OR n.code IS NULL THEN 'unmatched_absent' WHEN o.code % 4 = 1 THEN 'unmatched_label' ELSE 'high' END AS status FROM o FULL JOIN n ON o.round = n.round AND o.code = n.code),
+uo AS (SELECT round, count(*) AS n, count(*) FILTER (WHERE code % 7 <> 3) AS d FROM o GROUP BY round), un AS (SELECT round, count(*) AS n, count(*) FILTER (WHERE code % 7 <> 3) AS d FROM n GROUP BY round),
+k AS (SELECT round, count(*) FILTER (WHERE status = 'high') AS high, count(*) FILTER (WHERE status = 'unmatched_label') AS label_mismatch, count(*) FILTER (WHERE status = 'extraterritorial') AS extraterritorial, count(*) FILTER (WHERE starts_with(status, 'unmatched')) AS unmatched, count(*) FILTER (WHERE status = 'ambiguous') AS ambiguous FROM x GROUP BY round)
+SELECT k.*, uo.n AS observed_old, un.n AS observed_new, uo.d AS domestic_old, un.d AS domestic_new, round(high / nullif(uo.d, 0), 9) AS matched_share_old, round(high / nullif(un.d, 0), 9) AS matched_share_new FROM k JOIN uo USING (round) JOIN un USING (round)""")
+def longitudinal_coverage(spark, d):
+    """How much of two years' universes the crosswalk matches, by round."""
+    from functools import reduce
+
+    from tallyloom.operators import crosswalk
+
+    o = b.table(spark, d, "nation").select(F.col("n_regionkey").cast("long").alias("round"), F.col("n_nationkey").cast("long").alias("code"), F.col("n_name").alias("label"))
+    c = F.col("code")
+    n = o.select("round", F.when(c % 5 == 0, c + 100).otherwise(c).alias("code"), F.when((c % 4 == 1) & (c % 5 != 0), F.concat("label", F.lit(" NEW"))).otherwise(F.when(c % 5 == 0, F.concat("label", F.lit(" MOVED"))).otherwise(F.col("label"))).alias("label"))
+    outside = c % 7 == 3
+    walks = [crosswalk.year_crosswalk(o.where(F.col("round") == r), n.where(F.col("round") == r), "code", "label", outside).withColumn("round", F.lit(r).cast("long")) for r in range(5)]
+    found = composition.universe_coverage(reduce(lambda x, y: x.unionByName(y), walks), o, n, "round", "code", outside)
+    return found.withColumns({x: F.round(x, 9) for x in ("matched_share_old", "matched_share_new")})
+
+
 @query("""WITH dd AS (SELECT year, votes % 10 AS d, count(*) AS o FROM facts WHERE votes >= 10 GROUP BY ALL), c AS (SELECT year, sum(o)::BIGINT AS digits, round(sum(o * o) * 10 / sum(o) - sum(o), 9) AS chi_square FROM dd GROUP BY year),
 u AS (SELECT year, unit, max(votes) AS m, sum(votes) AS s FROM facts GROUP BY ALL), n AS (SELECT year, count(*) AS units, count(*) FILTER (WHERE s > 0 AND m = s) AS unanimous FROM u GROUP BY year) SELECT year, units, unanimous, digits, chi_square FROM n LEFT JOIN c USING (year)""")
 def digit_years(spark, d):
