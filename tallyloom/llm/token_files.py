@@ -125,9 +125,8 @@ def _checked(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def _segments(spark: SparkSession, path: str) -> DataFrame:
-    """The segments with `before`: how many ids all earlier segments hold (those of earlier parts, then inside its part)."""
-    table = spark.read.schema(SCHEMA).parquet(path)
+def _placed(spark: SparkSession, table: DataFrame) -> DataFrame:
+    """Segments with `before`: how many ids all earlier segments hold (those of earlier parts, then inside its part)."""
     parts = table.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row for about 16 MB of text
     parts = parts.select("part", F.expr("sum(n) over (order by part) - n").alias("base"))
     if parts.count() <= 1_000_000:  # 16 MB at most; beyond, Spark chooses the join
@@ -135,25 +134,40 @@ def _segments(spark: SparkSession, path: str) -> DataFrame:
     return table.join(parts, "part").withColumn("before", F.col("base") + F.col("inside"))
 
 
+def _segments(spark: SparkSession, path: str) -> DataFrame:
+    return _placed(spark, spark.read.schema(SCHEMA).parquet(path))
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before), ids (binary, little-endian unsigned 32-bit)."""
     return _segments(spark, path).mapInArrow(_decode, "doc_id long, start long, ids binary")
 
 
-def _pick(batches):
-    for batch in batches:
-        for row in batch.to_pylist():
-            places = [p - row["before"] for p in row["places"]]
-            yield pa.RecordBatch.from_arrays([pa.array(row["places"], pa.int64()), pa.array([token_at(row["levels"], i) for i in places], pa.int64())], ["place", "id"])
+def _pick(wanted: dict[tuple[int, int], tuple[int, list[int]]]):
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                before, places = wanted.get((row["part"], row["inside"]), (0, []))
+                yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array([token_at(row["levels"], p - before) for p in places], pa.int64())], ["place", "id"])
+
+    return run
 
 
 def tokens(spark: SparkSession, path: str, places: list[int]) -> DataFrame:
-    """place, id of the ids at these places (from 0, over all documents), by random access: only segments that hold one
-    are read, and in them a chunk, a bit and a rank for each level. Places past the end have no row; repeated ones have one.
+    """place, id of the ids at these places (from 0, over all documents), by random access.
+
+    The directory (three numbers of each segment) says which segments hold one; the scan of the levels then asks for those
+    parts and segments by their values, so files and row groups without one are not read, and in a segment a chunk, a bit
+    and a rank are looked up for each level. Places past the end have no row; repeated ones have one.
     """
-    wanted = F.array(*[F.lit(int(p)).cast("long") for p in sorted(set(places))]).cast("array<long>")
+    asked = sorted({int(p) for p in places})
+    wanted = F.array(*[F.lit(p).cast("long") for p in asked]).cast("array<long>")
     inside = F.filter(wanted, lambda p: (p >= F.col("before")) & (p < F.col("before") + F.col("n_tokens")))
-    return _segments(spark, path).withColumn("places", inside).where("size(places) > 0").select("before", "places", "levels").mapInArrow(_pick, "place long, id long")
+    directory = spark.read.schema(SCHEMA).parquet(path).select("part", "inside", "n_tokens")
+    hits = _placed(spark, directory).withColumn("places", inside).where("size(places) > 0").select("part", "inside", "before", "places").collect()  # one for each place at most
+    found = {(r.part, r.inside): (r.before, r.places) for r in hits}
+    scan = spark.read.schema(SCHEMA).parquet(path).where(F.col("part").isin(sorted({p for p, _ in found})) & F.col("inside").isin(sorted({i for _, i in found})))
+    return scan.select("part", "inside", "levels").mapInArrow(_pick(found), "place long, id long")
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:

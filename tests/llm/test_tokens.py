@@ -75,6 +75,10 @@ def test_token_files_edges(spark, plain, monkeypatch):
     places = [0, 1, 7, 30, len(every) // 2, len(every) - 1, len(every) - 1, len(every), -1]
     got = {r.place: r.id for r in token_files.tokens(spark, path, places).collect()}
     assert got == {p: int(every[p]) for p in places if 0 <= p < len(every)}
+    plan = token_files.tokens(spark, path, [0, len(every) - 1])._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters: [") :].splitlines()[0]
+    assert "(part," in pushed and "(inside," in pushed and "doc_ends" not in plan
+    assert token_files.tokens(spark, path, []).count() == 0
     none = shared.new_path(spark, "t")
     token_files.write(docs.where("false"), none, PATH)
     assert token_files.digests(spark, none).count() == 0
