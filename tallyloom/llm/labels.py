@@ -19,4 +19,5 @@ def training(labels: DataFrame, label: str, most: int) -> DataFrame:
     y = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out())
     y = y.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
     n = y.count()
-    return y.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * most / n)) if n > most else y
+    unit = F.shiftrightunsigned(F.xxhash64("doc_id"), 11)  # 53 bits, so that the share may be as small as the corpus is large
+    return y.where(unit < F.lit(2**53 * most // n)) if n > most else y

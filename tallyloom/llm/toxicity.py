@@ -209,7 +209,9 @@ def learn_lexicon(rows: DataFrame) -> list[str]:
     it stay entries, since a beginning allows no edits. What reaches the driver is bounded by FIT_ROWS.
     """
     schema = "entry string, n long"
-    rows = written(rows.mapInArrow(_sketch, "text string, y int, sketch long").dropDuplicates(["y", "sketch"]), "distinct")
+    sketched = rows.mapInArrow(_sketch, "text string, y int, sketch long")
+    first = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")  # the same copy in every run
+    rows = written(sketched.groupBy("y", "sketch").agg(first).select("text", "y", "sketch"), "distinct")
     share = min(0.5, (rows.where("y = 1").count() + 1) / (rows.count() + 2))
     bad = {r.entry: r.n for r in rows.where("y = 1").select("text").mapInArrow(_tally(None), schema).groupBy("entry").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).collect()}
     least = max(LEAST, int(np.ceil(np.log(max(1, len(bad)) / CHANCE) / np.log(1 / share))))

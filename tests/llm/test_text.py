@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -215,3 +217,38 @@ def test_misspelled_word_with_inflections(spark):
     assert any(e.endswith("*") for e in entries) and {"idiot", "idiots"} <= set(entries)
     found = toxicity.Automaton(entries)
     assert [found.edits(w) for w in ("idiot", "idiotas", "iidiot", "idjot", "friend")] == [0, 0, 1, 1, -1]
+
+
+def test_quality_against_plain_discriminant(spark):
+    """op5's scores are one increasing line of log odds that plain covariances, determinants and inverses give."""
+    small = SF.replace("sf0.01", "sf0.001")
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    label = {r.doc_id: r.quality for r in spark.read.parquet(f"{small}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    got = {r.doc_id: r.score for r in queries.op5_quality(spark, small).collect()}
+    x = {d: np.array(quality.statistics(t)) for d, t in docs.items()}
+    rows = {c: np.array([x[d] for d in docs if label.get(d) == c]) for c in (0, 1)}
+    n = {c: len(v) for c, v in rows.items()}
+    cov = {c: np.cov(v.T, bias=True) for c, v in rows.items()}
+    pooled = sum(n[c] * cov[c] for c in cov) / sum(n.values())
+    gap = np.zeros(len(docs))
+    every = np.array([x[d] for d in docs])
+    for c, sign in ((1, 1), (0, -1)):
+        weight = max(quality.SHRINK, min(1.0, 2 * len(pooled) / n[c]))
+        s = (1 - weight) * cov[c] + weight * pooled
+        s = (1 - quality.RIDGE) * s + quality.RIDGE * np.diag(np.maximum(np.diag(s), 1e-6) + 1e-4)
+        z = every - rows[c].mean(0)
+        gap += sign * (-0.5 * (np.einsum("ij,jk,ik->i", z, np.linalg.inv(s), z) + np.linalg.slogdet(s)[1]) + np.log(n[c] + 1))
+    fitted = quality.fit(quality.measured(spark.read.parquet(f"{small}/documents.parquet")), spark.read.parquet(f"{small}/labels.parquet"))
+    plain = fitted.log_density(every, 1) - fitted.log_density(every, 0) + np.log(fitted.prior[1] / fitted.prior[0])
+    assert np.allclose(plain, gap, rtol=1e-6, atol=1e-4)
+    score = np.array([got[d] for d in docs])
+    want = 1 / (1 + np.exp(-np.clip(fitted.slope * np.clip(gap, -quality.GAP, quality.GAP) + fitted.shift, -500, 500)))
+    assert np.abs(score - want).max() < 1e-6 and len(set(np.sign(gap))) == 2
+
+
+def test_label_samples_of_any_size(spark):
+    from tallyloom.llm.labels import training
+
+    df = spark.createDataFrame([(d, d % 2) for d in range(5000)], "doc_id long, quality int")
+    whole = sum(zlib.crc32(str(d).encode()) % 5 != 0 for d in range(5000))
+    assert training(df, "quality", 10_000).count() == whole and 300 < training(df, "quality", 400).count() < 500
