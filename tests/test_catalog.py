@@ -7,6 +7,7 @@ import pytest
 from compare import check
 from conftest import SF
 
+from tallyloom.operators import screens
 from tallyloom.plans import catalog
 
 SMALL = SF.replace("sf0.01", "sf0.001")
@@ -48,13 +49,22 @@ def test_screens_return_every_unit(spark):
 
 
 def test_permutation_screens_repeat(spark):
-    for name in ("runs_screen", "spatial_screen"):
-        if name == "spatial_screen":
-            continue  # its municipalities are too small here; see test_permutations_of_units
-        f = catalog.queries()[name]
-        a, b = (sorted(map(str, f(spark, SMALL).collect())) for _ in range(2))
-        assert a == b and a
-    assert all(0 < r.p <= 1 for r in catalog.queries()["runs_screen"](spark, SMALL).collect())
+    runs = catalog.queries()["runs_screen"]
+    a, b = (sorted(map(str, runs(spark, SMALL).collect())) for _ in range(2))
+    assert a == b and a
+    assert all(0 < r.p <= 1 for r in runs(spark, SMALL).collect())
+
+
+def test_spatial_screens_test_units(spark):
+    """On sf0.01 every exclusion but a small municipality's occurs, there are tested units, and a second run gives the same."""
+    screen = catalog.queries()["spatial_screen"]
+    a, b = ({r.row: r for r in screen(spark, SF).collect()} for _ in range(2))
+    assert a == b and len(a) == spark.read.parquet(f"{SF}/orders.parquet").count()
+    tested = [r for r in a.values() if r.reason is None]
+    assert len(tested) > 500 and all(0 < r.p <= 1 for r in tested) and sorted(r["rank"] for r in tested) == list(range(1, len(tested) + 1))
+    assert set(screens.EXCLUSIONS[:5]) <= {r.reason for r in a.values()}
+    joint = catalog.queries()["joint_permutations"](spark, SF).collect()
+    assert len(joint) == len(tested) and all(0 < r.p <= 1 and r.permutations in (9_999, 99_999) for r in joint)
 
 
 def test_json_shapes(spark):
