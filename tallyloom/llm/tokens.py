@@ -68,15 +68,14 @@ class WordEncoder:
         return np.where(self.keys[at] == h, at, -1) if len(self.keys) else np.full(len(h), -1)
 
     def _add(self, h: np.ndarray, ids: list[bytes]) -> None:
-        """h: hashes not in the cache, each once."""
+        """h: sorted hashes not in the cache, each once."""
         if len(self.keys) >= self.most or not len(h):
             return
         size = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
         begin = len(self.flat) + np.cumsum(size, dtype=np.int64) - size
         self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), "<u4")])
-        keys = np.concatenate([self.keys, h])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.begin, self.size = keys[order], np.concatenate([self.begin, begin])[order], np.concatenate([self.size, size])[order]
+        at = np.searchsorted(self.keys, h)
+        self.keys, self.begin, self.size = np.insert(self.keys, at, h), np.insert(self.begin, at, begin), np.insert(self.size, at, size)
 
     def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
         out = {}
@@ -106,7 +105,7 @@ class WordEncoder:
                     stems.add(mark)
             else:
                 stems.add(w)
-        names = sorted(stems)
+        names = list(stems)
         keys = _joined(names)
         at = self._find(keys)
         known = {w: self.flat[self.begin[k] : self.begin[k] + self.size[k]].tobytes() for w, k in zip(names, at.tolist(), strict=True) if k >= 0}
