@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from . import words as W
 from .shared import trim
 
-MOST = 600_000  # words kept by one Python worker, unless told otherwise
+MOST = 2_000_000  # words kept by one Python worker, unless told otherwise; some 30 bytes each
 _DELIMITER = "<|endoftext|>"
 _loaded: dict[str, WordEncoder] = {}
 
