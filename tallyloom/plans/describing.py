@@ -353,6 +353,16 @@ def peer_screen_moments(spark, d):
     return s.select("unit", "pool", "peers", "reason", "z", "p", "q", "rank", "effect_points", "signal")
 
 
+@query(f"""WITH f AS (SELECT *, {_sums(1, 'PARTITION BY department')}, {_sums(2, 'PARTITION BY municipality')}, {_sums(3, 'PARTITION BY place')} FROM rates WHERE eligible), m AS (SELECT *, {', '.join(map(_mean, (1, 2, 3)))} FROM f), v AS (SELECT *, {', '.join(map(_strength, (1, 2, 3)))} FROM m),
+p AS (SELECT *, CASE WHEN k3 >= 30 THEN 3 WHEN k2 >= 30 THEN 2 WHEN k1 >= 30 THEN 1 END AS l FROM v), c AS (SELECT *, CASE l WHEN 3 THEN m3 WHEN 2 THEN m2 WHEN 1 THEN m1 END AS a, CASE l WHEN 3 THEN c3 WHEN 2 THEN c2 WHEN 1 THEN c1 END AS s FROM p)
+SELECT unit, CASE l WHEN 3 THEN 'place' WHEN 2 THEN 'municipality' WHEN 1 THEN 'department' END AS pool, round((y - n * a) / sqrt(n * a * (1 - a) * (s + n) / (s + 1)), 6) AS z, round(100 * (y / n - a), 6) AS effect_points FROM c UNION ALL SELECT unit, NULL, NULL, NULL FROM rates WHERE NOT eligible""")
+def peer_effects(spark, d):
+    """Pools, standardised residuals and effects of the moment screen."""
+    r = b.rates(spark, d).withColumn("family", F.lit("share"))
+    s = screens.peer_screen_moments(r, "family", "unit", ["place", "municipality", "department"], "y", "n", "eligible")
+    return s.select("unit", "pool", F.round("z", 6).alias("z"), F.round("effect_points", 6).alias("effect_points"))
+
+
 @query()
 def cluster_screen(spark, d):
     """Whole places against places."""
