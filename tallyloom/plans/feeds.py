@@ -156,6 +156,21 @@ def stream_versions(spark, d):
     return spark.read.parquet(out).groupBy(F.col("key").cast("long").alias("key")).agg(F.count("*").alias("versions"))
 
 
+@query("""WITH s AS (SELECT user_id AS key, ts, event_type AS c FROM events WHERE ts <= (SELECT max(date_trunc('millisecond', ts)) FROM events) - INTERVAL 30 MINUTE),
+n AS (SELECT *, c IS DISTINCT FROM lag(c) OVER w OR row_number() OVER w = 1 AS new FROM s WINDOW w AS (PARTITION BY key ORDER BY ts, c))
+SELECT key, epoch_us(ts) AS at_us, c AS content, row_number() OVER (PARTITION BY key ORDER BY ts, c) AS version FROM n WHERE new""")
+def stream_versions_late(spark, d):
+    """R1 with rows out of order: the second run brings rows up to 20 minutes older than what the first has seen."""
+    out, cp, path = _folder(spark, "ordered"), _folder(spark, "cp"), _folder(spark, "events")
+    e = b.table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("content"), "event_id")
+    half = e.agg(F.percentile_approx("at", 0.5)).first()[0]
+    late = F.coalesce(F.col("at") + F.expr("make_interval(0, 0, 0, 0, 0, 10 * (event_id % 3))") > F.lit(half), F.lit(False))
+    for run in (~late, late):
+        e.where(run).drop("event_id").write.mode("append").parquet(path)
+        jobs.start_ordered(spark.readStream.schema("key string, at timestamp, content string").parquet(path), "30 minutes", out, cp).awaitTermination()
+    return spark.read.parquet(out).select(F.col("key").cast("long").alias("key"), F.unix_micros("at").alias("at_us"), "content", "version")
+
+
 def _ledger(spark, d) -> str:
     """Where the events' ledger is kept; failures stand beside it."""
     out, cp = _folder(spark, "ledger"), _folder(spark, "cp")

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -41,6 +42,92 @@ def versioned_snapshots(snapshots: DataFrame) -> DataFrame:
     return snapshots.groupBy("key").applyInPandasWithState(_track, SNAPSHOT, "last string, number long, newest string", "append", GroupStateTimeout.NoTimeout)
 
 
+class _Ordered(StatefulProcessor):
+    """Rows of a key wait until the watermark has passed them, then they are compared in order of (us, content).
+
+    State: the rows that wait, the last version, and when the one timer of the key goes off.
+    """
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, content string")
+        self.last = handle.getValueState("last", "content string, number long")
+        self.due = handle.getValueState("due", "ms long")
+
+    def _wake(self, us: int) -> None:
+        """The timer at the first whole millisecond that is not before us, unless one is set before that."""
+        ms = -(-us // 1000)
+        if self.due.exists():
+            (old,) = self.due.get()
+            if old <= ms:
+                return
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(ms)
+        self.due.update((ms,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        first = None
+        for pdf in rows:
+            self.waiting.appendList([(int(u), None if pd.isna(c) else c) for u, c in zip(pdf["us"], pdf["content"], strict=True)])
+            first = int(pdf["us"].min()) if first is None else min(first, int(pdf["us"].min()))
+        if first is not None:
+            self._wake(first)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        due, later = [], []
+        for us, content in self.waiting.get():
+            (due if us <= passed else later).append((us, content))
+        self.due.clear()  # a timer that went off is gone by itself
+        if later:
+            self.waiting.put(later)
+            self._wake(min(us for us, _ in later))
+        else:
+            self.waiting.clear()
+        content, number = self.last.get() if self.last.exists() else (None, 0)
+        out = []
+        for us, c in sorted(due, key=lambda r: (r[0], r[1] is not None, r[1] or "")):
+            if number and c == content:
+                continue
+            content, number = c, number + 1
+            out.append((key[0], us, c, number, "first" if number == 1 else "revision"))
+        if out:
+            self.last.update((content, number))
+            yield pd.DataFrame(out, columns=["key", "us", "content", "version", "revision"])
+
+    def close(self) -> None:
+        pass
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def ordered_snapshots(snapshots: DataFrame, delay: str) -> DataFrame:
+    """As `versioned_snapshots` for rows that come in any order, up to `delay` ("30 minutes") behind the newest.
+
+    A row waits in its key's state until the watermark has passed it; then its key's rows are compared in order of
+    (at, content; null first), so late rows give the versions that `windows.versions` gives. Rows behind the watermark, and
+    those without a time, are left out; a null key is a key. What the watermark has not passed yet is still to come.
+    The state needs the RocksDB provider: start the stream through `start_ordered`, or set it.
+    """
+    rows = snapshots.where("at is not null").withWatermark("at", delay).select("key", "at", F.unix_micros("at").alias("us"), "content")
+    out = rows.groupBy("key").transformWithStateInPandas(_Ordered(), "key string, us long, content string, version long, revision string", "Append", "EventTime")
+    return out.select("key", F.timestamp_micros("us").alias("at"), "content", "version", "revision")
+
+
+def start_ordered(snapshots: DataFrame, delay: str, target: str, checkpoint: str) -> StreamingQuery:
+    """Appends the versions of `ordered_snapshots` to Parquet at target, with the state provider that it needs for this stream alone."""
+    conf, name = snapshots.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    conf.set(name, ROCKS)
+    try:  # a stream copies its session's settings when it starts
+        out = ordered_snapshots(snapshots, delay).writeStream.format("parquet").outputMode("append").option("path", target)
+        return out.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set(name, before)
+
+
 BUCKETS, BUCKET = 64, "bucket_of_key"
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pathlib
+from datetime import datetime, timedelta
 
 import pytest
 
@@ -67,3 +68,39 @@ def test_three_runs_of_a_stream(spark, tmp_path):
         jobs.upsert_latest(stream, str(target), ["k"], ["at"], str(tmp_path / "cp"), stream.v == "bad", str(tmp_path / "bad"), buckets=8).awaitTermination()
         want |= {k: (at, v) for k, at, v in rows if v != "bad"}
         assert _now(spark, target) == want and set(_now(spark, tmp_path / "bad")) == {1000 + r for r in range(run + 1)}
+
+
+def test_versions_of_late_rows(spark, tmp_path):
+    """Three runs: rows out of order, ties, null contents and keys; a row behind the watermark and one without a time are left out."""
+    start, kind = datetime(2024, 3, 1), "key string, at timestamp, content string"
+    at = lambda seconds, us=0: start + timedelta(seconds=seconds, microseconds=us)
+    runs = [
+        [("a", at(100), "x"), ("a", at(40), "y"), ("b", at(90), None), (None, at(5), "n"), ("a", None, "lost")],
+        [("a", at(70), "x"), ("a", at(70, 300), "z"), ("a", at(100), "w"), ("b", at(80), "p"), ("b", at(200), None), (None, at(60), "n")],
+        [("a", at(30), "behind"), ("a", at(150, 7), "x"), ("b", at(150), "q"), ("c", at(400), "end")],
+    ]
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    got = []
+    for rows in runs:
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(source)
+        before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+        jobs.start_ordered(spark.readStream.schema(kind).parquet(source), "60 seconds", out, str(tmp_path / "cp")).awaitTermination()
+        assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+        got.append({(r.key, r["at"], r.content, r.version, r.revision) for r in spark.read.parquet(out).collect()})
+    want, passed = set(), at(400) - timedelta(seconds=60)
+    taken = [r for rows in runs for r in rows if r[1] is not None and r[1] <= passed and r[2] != "behind"]
+    for key in {r[0] for r in taken}:
+        last, number = object(), 0
+        for _, t, c in sorted((r for r in taken if r[0] == key), key=lambda r: (r[1], r[2] is not None, r[2] or "")):
+            if c != last:
+                last, number = c, number + 1
+                want.add((key, t, c, number, "first" if number == 1 else "revision"))
+    assert got[-1] == want and got[0] < got[1] < got[2]
+    assert ("a", at(70, 300), "z", 3, "revision") in want and not any(r[2] == "end" for r in want)
+
+
+def test_no_rows_to_version(spark, tmp_path):
+    kind = "key string, at timestamp, content string"
+    spark.createDataFrame([(None, None, None)], kind).write.parquet(str(tmp_path / "in"))
+    jobs.start_ordered(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), "1 minute", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert spark.read.schema(jobs.SNAPSHOT).parquet(str(tmp_path / "out")).count() == 0
