@@ -211,3 +211,19 @@ def payload_class(payload: Column, allowed: list[str], required: list[str]) -> C
     keys = F.json_object_keys(payload)
     has = F.size(F.array_except(F.array(*[F.lit(k) for k in required]).cast("array<string>"), keys)) == 0
     return F.when(keys.isNull(), "not_an_object").when(~has, "incomplete").when(F.size(unknown_keys(payload, allowed)) > 0, "extended").otherwise("expected")
+
+
+def metric_object(metrics: dict[str, Column | None]) -> Column:
+    """JSON object of metrics in the order given: value and status; a metric that no column gives is unavailable."""
+    none = F.lit(None).cast("bigint")
+    one = lambda v: F.struct(v.cast("bigint").alias("value"), F.when(v.isNull(), "unavailable").otherwise("observed").alias("status"))
+    return F.to_json(F.struct(*[one(none if v is None else v).alias(m) for m, v in metrics.items()]), {"ignoreNullFields": "false"})
+
+
+def metric_value(raw: Column, metric: str) -> Column:
+    """A metric's value in such an object; null if it is null, absent or no integer."""
+    return F.get_json_object(raw, f"$['{metric}'].value").try_cast("bigint")
+
+
+def metric_status(raw: Column, metric: str) -> Column:
+    return F.get_json_object(raw, f"$['{metric}'].status")

@@ -126,3 +126,25 @@ def verify(gates: dict[str, DataFrame]) -> DataFrame:
         each.append(none.join(set_digest(rows, ["gate"], "h"), "gate", "left"))
     found = reduce(DataFrame.unionByName, each).select("gate", F.coalesce("members", F.lit(0)).cast("long").alias("findings"), F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("digest"))
     return found.withColumn("passes", F.col("findings") == 0)
+
+
+def relation_findings(geographies: DataFrame, units: DataFrame, facts: DataFrame, categories: DataFrame, scope: list[str], unit_level: str) -> DataFrame:
+    """Broken references of a loaded release, one row each: scope, record, id, finding.
+
+    geographies: id, level, parent_id; units: id; facts: id, geography_id, geography_level, unit_id; categories: fact_id;
+    all with the scope's columns. A fact's place must exist and have the fact's level; facts of unit_level, and only those,
+    name a unit, which must exist. A record may have several findings. A null id refers to nothing.
+    """
+    g = geographies.select(*scope, F.col("id").alias("geography_id"), F.col("level").alias("__level")).distinct()
+    u = units.select(*scope, F.col("id").alias("unit_id"), F.lit(True).alias("__unit")).distinct()
+    named, placed = F.col("unit_id").isNotNull(), F.col("__level").isNotNull()
+    found = F.array(
+        F.when(~placed, "unknown_geography"), F.when(placed & ~F.col("geography_level").eqNullSafe(F.col("__level")), "wrong_level"),
+        F.when(placed & ((F.col("__level") == unit_level) != named), F.when(named, "unit_above_its_level").otherwise("no_unit")), F.when(named & F.col("__unit").isNull(), "unknown_unit"),
+    )
+    j = facts.join(g, [*scope, "geography_id"], "left").join(u, [*scope, "unit_id"], "left")
+    bad = j.select(*scope, F.lit("fact").alias("record"), "id", F.explode(F.array_compact(found)).alias("finding"))
+    no_fact = categories.join(facts.select(*scope, F.col("id").alias("fact_id")), [*scope, "fact_id"], "left_anti")
+    no_parent = geographies.where("parent_id is not null").join(g.withColumnRenamed("geography_id", "parent_id"), [*scope, "parent_id"], "left_anti")
+    bad = bad.unionByName(no_fact.select(*scope, F.lit("category").alias("record"), F.col("fact_id").alias("id"), F.lit("no_fact").alias("finding")))
+    return bad.unionByName(no_parent.select(*scope, F.lit("geography").alias("record"), "id", F.lit("orphan").alias("finding")))

@@ -169,3 +169,28 @@ def summary_check(summary: DataFrame, parts: DataFrame, keys: list[str], value:
     c = parts.groupBy(*keys).agg(F.sum(value).alias("computed"))
     j = summary.select(*keys, F.col(value).alias("declared")).join(c, keys, "full_outer")
     return j.select(*keys, "declared", "computed", F.coalesce(F.col("declared") == F.col("computed"), F.lit(False)).alias("equal"))
+
+
+def release_statistics(geo: DataFrame, counts: DataFrame, scope: list[str], first: list[str], top: str) -> DataFrame:
+    """One row for each scope: least of the `first` columns, places, sum of their category counts, id of the top level.
+
+    geo: scope, id, level and the `first` columns; counts: scope, id, category_count. Places without counts are left out.
+    """
+    j = geo.join(counts, [*scope, "id"])
+    return j.groupBy(*scope).agg(*[F.min(c).alias(f"first_{c}") for c in first], F.count("*").alias("places"), F.sum("category_count").alias("categories"), F.max(F.when(F.col("level") == top, F.col("id"))).alias("top_id"))
+
+
+def reported_rollup(facts: DataFrame, geo: DataFrame, levels: list[str], level: str, value: Metric, category: str) -> tuple[DataFrame, DataFrame]:
+    """Totals of what was reported, places of `level` found by walking parents from the units of the last level.
+
+    facts: id of a unit, category, value and its state, one row for each category. Returns (id, units_reported, units: all
+    of the geography, value) and (id, category, value); unobserved values add nothing, units without a way up are left out.
+    """
+    walk = lineage(geo, levels).select(F.col(levels[-1]).alias("id"), F.col(level).alias("__up")).where("__up is not null")
+    seen = F.sum(F.when(value.observed(), F.col(value.value)))
+    per = facts.groupBy("id", category).agg(seen.alias("__v")).join(walk, "id").groupBy("__up", category).agg(F.sum("__v").alias("__v"))
+    of = facts.select("id").distinct().withColumn("__r", F.lit(1))
+    units = walk.join(of, "id", "left").groupBy("__up").agg(F.count("__r").alias("units_reported"), F.count("*").alias("units"))
+    total = per.groupBy("__up").agg(F.coalesce(F.sum("__v"), F.lit(0)).alias(value.value))
+    whole = units.join(total, "__up", "left").select(F.col("__up").alias("id"), "units_reported", "units", value.value)
+    return whole, per.where("__v is not null").select(F.col("__up").alias("id"), category, F.col("__v").alias(value.value))

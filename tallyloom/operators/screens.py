@@ -54,10 +54,11 @@ def complete_families(screen, df: DataFrame, declared: DataFrame, family: str, u
 
 
 def _scored(df: DataFrame, y: str, n: str, mean: str, concentration: str) -> DataFrame:
+    """Adds z, effect_points, p, low and high; a row with n = 0 (never eligible) has none of them."""
     a, b = F.col(mean) * F.col(concentration), (1 - F.col(mean)) * F.col(concentration)
-    z = (F.col(y) - F.col(n) * F.col(mean)) / F.sqrt(stats.beta_binomial_variance(F.col(n), a, b))
+    z = F.try_divide(F.col(y) - F.col(n) * F.col(mean), F.sqrt(stats.beta_binomial_variance(F.col(n), a, b)))
     tail = stats.beta_binomial_tail(F.col(y).cast("double"), F.col(n).cast("double"), F.col(mean), F.col(concentration))
-    return df.withColumn("__t", tail).select("*", z.alias("z"), (100 * (F.col(y) / F.col(n) - F.col(mean))).alias("effect_points"), F.col("__t.p").alias("p"), F.col("__t.low").alias("low"), F.col("__t.high").alias("high")).drop("__t")
+    return df.withColumn("__t", tail).select("*", z.alias("z"), (100 * (F.try_divide(F.col(y), F.col(n)) - F.col(mean))).alias("effect_points"), F.col("__t.p").alias("p"), F.col("__t.low").alias("low"), F.col("__t.high").alias("high")).drop("__t")
 
 
 def peer_screen_moments(df: DataFrame, family: str, unit: str, levels: list[str], y: str, n: str, eligible: str) -> DataFrame:

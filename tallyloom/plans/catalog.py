@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import base, comparisons, describing, details, feeds, records, rollups  # noqa: F401
+from tallyloom.plans import base, comparisons, describing, details, feeds, records, releases, rollups  # noqa: F401
 
 
 def queries() -> dict:

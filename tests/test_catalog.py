@@ -7,7 +7,7 @@ import pytest
 from compare import check
 from conftest import SF
 
-from tallyloom.operators import screens
+from tallyloom.operators import quality, screens
 from tallyloom.plans import catalog
 
 SMALL = SF.replace("sf0.01", "sf0.001")
@@ -71,3 +71,21 @@ def test_json_shapes(spark):
     rows = catalog.queries()["json_shapes"](spark, SMALL).collect()
     assert sum(r["count"] for r in rows) == spark.read.parquet(f"{SMALL}/events.parquet").count()
     assert all(r.shape for r in rows) and np.isfinite(len(rows))
+
+
+def test_every_broken_relation_is_found(spark):
+    found = {r.finding for r in catalog.queries()["relation_findings"](spark, SF).select("finding").distinct().collect()}
+    assert found == {"unknown_geography", "wrong_level", "no_unit", "unit_above_its_level", "unknown_unit", "no_fact", "orphan"}
+
+
+def test_relations_of_empty_and_null_rows(spark):
+    empty = [spark.createDataFrame([], k) for k in ("r long, id string, level string, parent_id string", "r long, id string", "r long, id string, geography_id string, geography_level string, unit_id string", "r long, fact_id string")]
+    assert quality.relation_findings(*empty, ["r"], "unit").count() == 0
+    facts = spark.createDataFrame([(1, "f", None, "unit", None), (1, "g", "p", "unit", "u"), (2, "g", "p", "unit", "u")], empty[2].schema)
+    places = spark.createDataFrame([(1, "p", "unit", None), (1, "p", "unit", None)], empty[0].schema)
+    got = quality.relation_findings(places, spark.createDataFrame([(1, "u")], empty[1].schema), facts, spark.createDataFrame([(1, "f"), (1, None), (2, "f")], empty[3].schema), ["r"], "unit")
+    assert sorted((r.r, r.record, r.id or "", r.finding) for r in got.collect()) == [(1, "category", "", "no_fact"), (1, "fact", "f", "unknown_geography"), (2, "category", "f", "no_fact"), (2, "fact", "g", "unknown_geography"), (2, "fact", "g", "unknown_unit")]
+
+
+def test_research_signals_are_the_planted_units(spark, con):
+    assert check(catalog.queries()["research_signals"](spark, SF), con, catalog.oracle_sql()["research_signals"]) > 10
