@@ -431,48 +431,65 @@ def spatial_signals(rows: DataFrame, row: str, place: str, grain: str, group: st
 
 
 MOST_EXTENDED = 99_999  # permutations where a p-value of the first ones is 0.01 or less
-COLUMNS = 1024  # tested units whose statistics a task holds at once
+COLUMNS = 64  # tested units whose statistics are computed at once
+TASK = 8  # batches of permutations of one task, one after the other
 
 
-def _moran_draws(pdf: pd.DataFrame):
-    """One municipality, one batch: (units, |observed|, |statistics| by unit and permutation) of the tested units, in chunks.
-
-    A unit's values in all permutations of the batch lie side by side, so a neighbour's are read as one run of memory.
-    """
-    start, size = int(pdf["start"].iloc[0]), int(pdf["size"].iloc[0])
+def _moran_parts(pdf: pd.DataFrame) -> tuple:
+    """One municipality: units, residuals, places of the tested, places of their neighbours (the place after the last: none), how many."""
     pdf = pdf.sort_values("unit", kind="stable").reset_index(drop=True)
-    x = pdf["residual"].to_numpy(np.float64)
     at = pd.Series(np.arange(len(pdf)), index=pdf["unit"])
     tested = np.flatnonzero(pdf["tested"].to_numpy(bool))
-    count = pdf["others"].str.len().to_numpy()[tested]
+    count = pdf["others"].str.len().to_numpy()[tested].astype(np.int64)
     names = np.concatenate([np.asarray(o) for o in pdf["others"].iloc[tested]]) if len(tested) else np.zeros(0)
-    index = np.zeros((len(tested), count.max(initial=1)), np.int64)
-    weight = np.zeros(index.shape)
-    filled = np.arange(index.shape[1]) < count[:, None]
-    index[filled] = at.reindex(names).to_numpy()
-    weight[filled] = np.repeat(1 / np.maximum(count, 1), count)
+    index = np.full((len(tested), count.max(initial=1)), len(pdf))
+    index[np.arange(index.shape[1]) < count[:, None]] = at.reindex(names).to_numpy()
+    return pdf["unit"].to_numpy(), pdf["residual"].to_numpy(np.float64), tested, index, count
+
+
+def _moran_draws(parts: tuple, group, start: int, size: int):
+    """One batch of a municipality: (units, |observed|, |statistics| by unit and permutation) of the tested units, in chunks.
+
+    A unit's values in all permutations of the batch lie side by side, so a neighbour's are read as one run of memory; a
+    chunk stays in the processor's cache. What is given out is overwritten by the next chunk.
+    """
+    units, x, tested, index, count = parts
     z, v = x - x.mean(), x.var()
-    drawn = np.ascontiguousarray(_seed(pdf["group"].iloc[0], start, x).permuted(np.tile(z, (size, 1)), axis=1).T)
+    drawn = np.zeros((len(z) + 1, size))
+    drawn[:-1] = _seed(group, start, x).permuted(np.tile(z, (size, 1)), axis=1).T
+    whole, scale = np.append(z, 0.0), 1 / np.maximum(count * v, np.finfo(float).tiny)
+    sums, buffer = np.empty((2, min(COLUMNS, len(tested)), size))
     for c in range(0, len(tested), COLUMNS):
-        own, near, w = tested[c : c + COLUMNS], index[c : c + COLUMNS], weight[c : c + COLUMNS] / v
-        observed = np.abs(z[own] * (z[near] * w).sum(1))
-        lag = np.zeros((len(own), size))
-        for j in range(near.shape[1]):
-            lag += drawn[near[:, j]] * w[:, j, None]
-        lag *= drawn[own]
-        yield pdf["unit"].to_numpy()[own], observed, np.abs(lag, out=lag)
+        own, near, by = tested[c : c + COLUMNS], index[c : c + COLUMNS], scale[c : c + COLUMNS]
+        lag, one = sums[: len(own)], buffer[: len(own)]
+        np.take(drawn, near[:, 0], axis=0, out=lag, mode="clip")
+        for j in range(1, near.shape[1]):
+            lag += np.take(drawn, near[:, j], axis=0, out=one, mode="clip")
+        lag *= np.take(drawn, own, axis=0, out=one, mode="clip")
+        lag *= by[:, None]
+        yield units[own], np.abs(z[own] * whole[near].sum(1) * by), np.abs(lag, out=lag)
 
 
 def _top_moran(pdf: pd.DataFrame) -> pd.DataFrame:
-    top = np.zeros(int(pdf["size"].iloc[0]))
-    for _, _, drawn in _moran_draws(pdf):
-        top = np.maximum(top, drawn.max(0))
-    return pd.DataFrame({"permutation": int(pdf["start"].iloc[0]) + np.arange(len(top)), "top": top})
+    """One municipality, some batches of permutations: the largest statistic of each. Draws depend on the batch alone."""
+    start, size, batch = (int(pdf[c].iloc[0]) for c in ("start", "size", "batch"))
+    parts, tops = _moran_parts(pdf), []
+    for at in range(start, start + size, batch):
+        tops.append(np.zeros(min(batch, start + size - at)))
+        for _, _, drawn in _moran_draws(parts, pdf["group"].iloc[0], at, len(tops[-1])):
+            np.maximum(tops[-1], drawn.max(0), out=tops[-1])
+    return pd.DataFrame({"permutation": np.arange(start, start + size), "top": np.concatenate(tops)})
 
 
 def _unit_moran(pdf: pd.DataFrame) -> pd.DataFrame:
-    got = [(units, (drawn >= observed[:, None] - 1e-12).sum(1)) for units, observed, drawn in _moran_draws(pdf)]
-    return pd.DataFrame({"unit": np.concatenate([u for u, _ in got]), "reached": np.concatenate([n for _, n in got])})
+    """One municipality, some batches: how many of each unit's statistics reach what was observed."""
+    start, size, batch = (int(pdf[c].iloc[0]) for c in ("start", "size", "batch"))
+    parts = _moran_parts(pdf)
+    reached = pd.Series(np.zeros(len(parts[2]), np.int64), index=parts[0][parts[2]])
+    for at in range(start, start + size, batch):
+        got = [(drawn >= observed[:, None] - 1e-12).sum(1) for _, observed, drawn in _moran_draws(parts, pdf["group"].iloc[0], at, min(batch, start + size - at))]
+        reached += np.concatenate([*got, np.zeros(0, np.int64)])
+    return pd.DataFrame({"unit": reached.index, "reached": reached.to_numpy()})
 
 
 def _moran_work(units: DataFrame, unit: str, group: str, lat: str, lon: str, residual: str, least_units: int) -> tuple[DataFrame, DataFrame]:
@@ -496,7 +513,8 @@ def _permuted(rows: DataFrame, work: DataFrame, unit: str, permutations: int, mo
     """p, rank, flag and kind of tested units by synchronised max-T permutations; nulls for the others."""
 
     def tops(first: int, last: int) -> np.ndarray:
-        found = _batched(work, first, last, batch).groupBy("group", "start").applyInPandas(_top_moran, "permutation long, top double")
+        rows = _batched(work, first, last, TASK * batch).withColumn("batch", F.lit(batch))
+        found = rows.groupBy("group", "start").applyInPandas(_top_moran, "permutation long, top double")
         return found.groupBy("permutation").agg(F.max("top").alias("top")).toPandas()["top"].to_numpy(np.float64)
 
     got, largest = tops(0, permutations), rows.where("tested").agg(F.max(F.abs("local_i")).alias("m")).first().m
@@ -535,7 +553,8 @@ def joint_permutations(units: DataFrame, unit: str, group: str, lat: str, lon: s
     kind = units.schema[unit].dataType.simpleString()
 
     def reached(some: DataFrame, first: int, last: int) -> DataFrame:
-        found = _batched(some, first, last, batch).groupBy("group", "start").applyInPandas(_unit_moran, f"unit {kind}, reached long")
+        drawn = _batched(some, first, last, TASK * batch).withColumn("batch", F.lit(batch))
+        found = drawn.groupBy("group", "start").applyInPandas(_unit_moran, f"unit {kind}, reached long")
         return found.groupBy(F.col("unit").alias(unit)).agg(F.sum("reached").alias("reached"))
 
     tested = rows.where("tested").select(unit, group, "local_i")

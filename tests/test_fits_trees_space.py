@@ -6,6 +6,7 @@ import math
 
 import brute
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,3 +218,24 @@ def test_nothing_stays_cached(spark):
     before = spark.sparkContext._jsc.getPersistentRDDs().size()
     assert windows.by_adjust(df, "f", "p", "id").where(F.col("q") <= 1).count() == 50
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+@pytest.mark.parametrize("shape", ["uniform", "heavy", "few"])
+def test_drawn_statistics(shape):
+    """Maxima and counts of drawn statistics against the formula, unit by unit, over batches and chunks; untested units and ties included."""
+    rng = np.random.default_rng(len(shape))
+    n = 7 if shape == "few" else 150
+    x = rng.standard_cauchy(n) if shape == "heavy" else np.round(rng.random(n), 2)
+    others = [rng.choice(np.delete(np.arange(n), i), int(rng.integers(3, 6)), replace=False).tolist() for i in range(n)]
+    tested = rng.random(n) < 0.8
+    pdf = pd.DataFrame({"group": 1, "unit": np.arange(n), "residual": x, "others": others, "tested": tested, "start": 512, "size": 300, "batch": 128})
+    z, v = x - x.mean(), x.var()
+    one = lambda values: np.array([abs(values[i] * np.mean([values[j] for j in others[i]])) / v for i in np.flatnonzero(tested)])
+    drawn = np.concatenate([screens._seed(1, at, x).permuted(np.tile(z, (size, 1)), axis=1) for at, size in ((512, 128), (640, 128), (768, 44))])
+    every = np.array([one(d) for d in drawn])
+    top, reached = screens._top_moran(pdf), screens._unit_moran(pdf)
+    assert top["permutation"].tolist() == list(range(512, 812)) and np.allclose(top["top"], every.max(1), rtol=1e-12, atol=0)
+    assert reached["unit"].tolist() == np.flatnonzero(tested).tolist()
+    assert (reached["reached"].to_numpy() == (every >= one(z) - 1e-12).sum(0)).all()
+    none = pdf.assign(tested=False)
+    assert (screens._top_moran(none)["top"] == 0).all() and len(screens._unit_moran(none)) == 0
