@@ -11,36 +11,42 @@ from pyspark.sql import functions as F
 from tallyloom.scratch import dropped, kept
 
 
-def links(tree: DataFrame, id_: str = "id", parent: str = "parent_id") -> DataFrame:
-    """id, up: one row for each id, up null at the top."""
-    t = tree.select(F.col(id_).alias("id"), F.col(parent).alias("up")).where("id is not null").distinct()
+NEAR = 8  # ancestors that a node's own row holds in `paths`
+
+
+def links(tree: DataFrame, id_: str = "id", parent: str = "parent_id") -> tuple[DataFrame, DataFrame]:
+    """(id, node; node, up): nodes numbered in the order of their ids, and one row for each with its parent, null at the top.
+
+    Rounds move numbers, of 8 bytes, not ids. The tree is read once.
+    """
+    t = kept(tree.select(F.col(id_).alias("id"), F.col(parent).alias("up")).where("id is not null").distinct(), "links")
     twice = t.groupBy("id").count().where("count > 1").limit(1).collect()
     if twice:
         raise ValueError(f"{twice[0].id} has several parents")
-    known = t.select(F.col("id").alias("k"))
-    return t.join(known, t.up == known.k, "left").select("id", F.col("k").alias("up"))
+    nodes = kept(t.repartitionByRange("id").sortWithinPartitions("id").withColumn("node", F.monotonically_increasing_id()), "nodes")
+    dropped(t)
+    known = nodes.select(F.col("id").alias("__k"), F.col("node").alias("__n"))
+    return nodes.select("id", "node"), kept(nodes.join(known, F.col("up") == F.col("__k"), "left").select("node", F.col("__n").alias("up")), "links")
 
 
-def _doubled(state: DataFrame, ends: Column) -> DataFrame:
-    """One round on (id, up, steps): rows that have not ended follow the link of where they are."""
-    far = state.select(F.col("id").alias("__i"), F.col("up").alias("__u"), F.col("steps").alias("__s"))
-    moving, rest = state.where(~ends), state.where(ends)
-    moved = moving.join(far, F.col("up") == F.col("__i")).select("id", F.col("__u").alias("up"), (F.col("steps") + F.col("__s")).alias("steps"))
-    return rest.unionByName(moved)
+def _until(state: DataFrame, ends: Column) -> tuple[DataFrame, DataFrame]:
+    """(ended, lost) of (node, up, steps): in each round, rows that have not ended follow the link of where they are.
 
-
-def _until(state: DataFrame, ends: Column) -> tuple[DataFrame, bool]:
-    """Rounds until all rows have ended, or more steps than rows have been made: then some stand in cycles, or below."""
+    Rows that have ended are not written again. Lost are those in cycles, or below: more steps than rows would not end them.
+    """
     state = kept(state, "links")
-    n, reach = state.count(), 1
-    while reach <= 2 * n:
-        left = state.where(~ends).limit(1).count()
-        if not left:
-            return state, False
-        new = kept(_doubled(state, ends), "links")
-        dropped(state)
-        state, reach = new, 2 * reach
-    return state, True
+    n, reach, ended, moving = state.count(), 1, state.where(ends), state.where(~ends)
+    while reach <= 2 * n and moving.limit(1).count():
+        far = ended.unionByName(moving).select(F.col("node").alias("__n"), F.col("up").alias("__u"), F.col("steps").alias("__s"))
+        new = kept(moving.join(far, F.col("up") == F.col("__n")).select("node", F.col("__u").alias("up"), (F.col("steps") + F.col("__s")).alias("steps")), "links")
+        ended, moving, reach = ended.unionByName(new.where(ends)), new.where(~ends), 2 * reach
+    return ended, moving
+
+
+def summed(tree_links: DataFrame, weight: Column) -> tuple[DataFrame, DataFrame]:
+    """((node, steps), (node)): the sum of weight from each node's top down to it; the nodes without a top. weight: of (node, up, ..)."""
+    done, lost = _until(tree_links.select("node", "up", weight.cast("long").alias("steps")), F.col("up").isNull())
+    return done.select("node", "steps"), lost.select("node")
 
 
 def descend(tree: DataFrame, root, id_: str = "id", parent: str = "parent_id") -> DataFrame:
@@ -48,59 +54,86 @@ def descend(tree: DataFrame, root, id_: str = "id", parent: str = "parent_id") -
 
     A root inside a cycle heads what hangs below it: links end where they reach it.
     """
-    up = F.when(F.col("id") == F.lit(root), None).otherwise(F.col("up"))
-    state = links(tree, id_, parent).select("id", up.alias("up")).withColumn("steps", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long"))
-    top = F.lit(root)
-    ends = F.col("up").isNull() | (F.col("up") == top)
+    names, state = links(tree, id_, parent)
+    found = names.where(F.col("id") == F.lit(root)).collect()
+    top = F.lit(found[0].node if found else None).cast("long")
+    is_root = F.coalesce(F.col("node") == top, F.lit(False))
+    steps = F.when(is_root | F.col("up").isNull(), 0).otherwise(1).cast("long")
     # a link that reaches the root stays there, one that reaches another top ends as null
-    done, _ = _until(state.withColumn("up", F.when(F.col("id") == top, top).otherwise(F.col("up"))), ends)
-    return done.where(F.col("up") == top).select("id", F.col("steps").alias("depth"))
+    ends = F.col("up").isNull() | F.coalesce(F.col("up") == top, F.lit(False))
+    done, _ = _until(state.select("node", F.when(is_root, top).otherwise(F.col("up")).alias("up"), steps.alias("steps")), ends)
+    return done.where(F.col("up") == top).join(names, "node").select("id", F.col("steps").alias("depth"))
 
 
 def cycles(tree: DataFrame, id_: str = "id", parent: str = "parent_id") -> DataFrame:
     """id of every node that has no top: on a cycle, or below one."""
-    ends = F.col("up").isNull()
-    state = links(tree, id_, parent).withColumn("steps", F.lit(1).cast("long"))
-    done, _ = _until(state, ends)
-    return done.where("up is not null").select("id")
+    names, tree_links = links(tree, id_, parent)
+    return names.join(summed(tree_links, F.lit(1))[1], "node", "left_semi").select("id")
 
 
 def paths(tree: DataFrame, id_: str = "id", parent: str = "parent_id", of: Column | None = None) -> DataFrame:
     """id, depth, ancestor: one row for each node and each node on its way from the top (depth 0) to itself.
 
     of: which ids are asked for (all). Nodes without a top, on a cycle or below one, have no rows: see `cycles`.
+    Each node holds itself and the NEAR - 1 above it; a node asked for is joined with the rows of every NEAR-th on its way,
+    which are then exploded. What is shuffled is a row for each NEAR rows of the result, and the result never.
     """
-    tree_links = kept(links(tree, id_, parent), "links")
-    lost = cycles(tree_links, "id", "up")
-    sound = tree_links.join(lost, "id", "left_anti")
-    jumps = kept(sound, "jumps")
-    found = kept(sound.select("id", F.col("id").alias("ancestor"), F.lit(0).cast("long").alias("steps")), "ancestors")
+    tree = tree if of is None else kept(tree, "tree")
+    names, tree_links = links(tree, id_, parent)
+    depths = kept(summed(tree_links, F.col("up").isNotNull().cast("int"))[0], "depths")
+    near = kept(tree_links.join(depths, "node", "left_semi").join(names, "node").select("node", "up", F.array("id").alias("ids")), "near")
     reach = 1
-    while jumps.where("up is not null").limit(1).count():
-        there = found.select(F.col("id").alias("__i"), "ancestor", "steps")
-        more = jumps.where("up is not null").join(there, F.col("up") == F.col("__i")).select("id", "ancestor", (F.col("steps") + reach).alias("steps"))
-        new = kept(found.unionByName(more), "ancestors")
-        far = jumps.select(F.col("id").alias("__i"), F.col("up").alias("__u"))
-        jumped = kept(jumps.where("up is not null").join(far, F.col("up") == F.col("__i")).select("id", F.col("__u").alias("up")), "jumps")
-        dropped(found)
+    while reach < NEAR:
+        far = near.select(F.col("node").alias("__n"), F.col("up").alias("__u"), F.col("ids").alias("__ids"))
+        new = kept(near.join(far, F.col("up") == F.col("__n"), "left").select("node", F.col("__u").alias("up"), F.concat("ids", F.coalesce("__ids", F.array().cast(near.schema["ids"].dataType))).alias("ids")), "near")
+        dropped(near)
+        near, reach = new, 2 * reach
+    asked = names if of is None else names.join(tree.where(of).select(F.col(id_).alias("id")).distinct(), "id", "left_semi")
+    found = depths.join(asked, "node").select("node", F.col("node").alias("at"), F.lit(0).cast("long").alias("steps"))
+    found, jumps = kept(found, "found"), kept(near.where("up is not null").select(F.col("node").alias("__n"), "up"), "jumps")
+    while jumps.limit(1).count():
+        more = kept(found.join(jumps, F.col("at") == F.col("__n")).select("node", F.col("up").alias("at"), (F.col("steps") + reach).alias("steps")), "found")
+        far = jumps.select(F.col("__n").alias("__f"), F.col("up").alias("__u"))
+        jumped = kept(jumps.join(far, F.col("up") == F.col("__f")).select("__n", F.col("__u").alias("up")), "jumps")
+        dropped(jumps)
+        found, jumps, reach = found.unionByName(more), jumped, 2 * reach
+    whose = found.join(depths.withColumnRenamed("steps", "__d").join(names, "node"), "node").select("at", "id", (F.col("__d") - F.col("steps")).alias("__from"))
+    rows = whose.join(near.select(F.col("node").alias("at"), "ids"), "at").select("id", "__from", F.posexplode("ids").alias("__i", "ancestor"))
+    return rows.select("id", (F.col("__from") - F.col("__i")).alias("depth"), "ancestor")
+
+
+def sizes(tree_links: DataFrame) -> DataFrame:
+    """node, size: how many nodes each node and what is below it are; of nodes without a top, any number."""
+    out, n, reach = kept(tree_links.select("node", F.lit(1).cast("long").alias("size")), "sizes"), tree_links.count(), 1
+    jumps = kept(tree_links.where("up is not null"), "jumps")
+    while reach <= 2 * n and jumps.limit(1).count():
+        below = jumps.join(out, "node").groupBy("up").agg(F.sum("size").alias("__more")).withColumnRenamed("up", "node")
+        new = kept(out.join(below, "node", "left").select("node", (F.col("size") + F.coalesce("__more", F.lit(0))).alias("size")), "sizes")
+        far = jumps.select(F.col("node").alias("__n"), F.col("up").alias("__u"))
+        jumped = kept(jumps.join(far, F.col("up") == F.col("__n")).select("node", F.col("__u").alias("up")), "jumps")
+        dropped(out)
         dropped(jumps)
-        found, jumps, reach = new, jumped, 2 * reach
-    asked = found if of is None else found.join(tree.where(of).select(F.col(id_).alias("id")).distinct(), "id", "left_semi")
-    depth = asked.groupBy("id").agg(F.max("steps").alias("__d"))
-    return asked.join(depth, "id").select("id", (F.col("__d") - F.col("steps")).alias("depth"), "ancestor")
+        out, jumps, reach = new, jumped, 2 * reach
+    return out
 
 
-def numbered(df: DataFrame, scope: list[str], order: list[str], name: str) -> DataFrame:
-    """Adds name: 1, 2, .. in order within each scope. Rows are dealt by ranges of (scope, order), counted by range, and each
-    range goes on from the ones before it: no task holds a scope. Order must be unique within a scope."""
-    dealt = kept(df.repartitionByRange(*scope, *order).withColumn("__part", F.spark_partition_id()), "numbered")
-    counts = dealt.groupBy(*scope, "__part").count()
+def running(df: DataFrame, scope: list[str], order: list[str], weight: Column, name: str) -> DataFrame:
+    """Adds name: the sum of weight (a bigint) up to and with each row, in order within each scope. Rows are dealt by ranges of
+    (scope, order), summed by range, and each range goes on from the ones before it: no task holds a scope. Order must be
+    unique within a scope."""
+    dealt = kept(df.withColumn("__w", weight.cast("long")).repartitionByRange(*scope, *order).withColumn("__part", F.spark_partition_id()), "dealt")
+    whole = dealt.groupBy(*scope, "__part").agg(F.sum("__w").alias("__sum"))
     upto = Window.partitionBy(*scope).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    before = counts.select(*scope, "__part", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("__before"))
-    k = F.row_number().over(Window.partitionBy(*scope, "__part").orderBy(*order))
+    before = whole.select(*scope, "__part", F.coalesce(F.sum("__sum").over(upto), F.lit(0)).alias("__before"))
+    k = F.sum("__w").over(Window.partitionBy(*scope, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*scope, "__part")]
     on = same[0]
     for c in same[1:]:
         on = on & c
     j = dealt.withColumn("__k", k).alias("a").join(before.alias("b"), on)
     return j.select(*[F.col(f"a.`{c}`") for c in df.columns], (F.col("b.__before") + F.col("a.__k")).cast("long").alias(name))
+
+
+def numbered(df: DataFrame, scope: list[str], order: list[str], name: str) -> DataFrame:
+    """Adds name: 1, 2, .. in order within each scope, by ranges as `running` sums. Order must be unique within a scope."""
+    return running(df, scope, order, F.lit(1), name)

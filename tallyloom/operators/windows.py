@@ -158,13 +158,19 @@ def nested_sets(tree: DataFrame, scope: list[str], id_: str, path: str) -> DataF
 
 
 def nested_sets_by_links(tree: DataFrame, id_: str = "id", parent: str = "parent_id") -> DataFrame:
-    """id, tree_left, tree_right of a forest given by parent links, siblings and tops in the order of their ids."""
+    """id, tree_left, tree_right of a forest given by parent links, siblings and tops in the order of their ids.
+
+    A node starts one after its parent, and two more for each node of the siblings before it: those steps are summed from the
+    top down. Nothing is made that is as long as the tree is deep.
+    """
     from tallyloom.operators import trees
 
-    up = kept(trees.paths(tree, id_, parent), "paths")
-    path = F.transform(F.array_sort(F.collect_list(F.struct("depth", "ancestor"))), lambda x: x["ancestor"])  # as long as the tree is deep
-    nodes = up.groupBy("id").agg(path.alias("path")).withColumn("scope", F.lit(1))
-    return nested_sets(nodes, ["scope"], "id", "path").select("id", "tree_left", "tree_right")
+    names, links = trees.links(tree, id_, parent)
+    sized = links.join(trees.sizes(links), "node")
+    upto = kept(trees.running(sized, ["up"], ["node"], F.col("size"), "__upto"), "siblings")
+    left, _ = trees.summed(upto, 1 + 2 * (F.col("__upto") - F.col("size")))
+    out = left.join(upto.select("node", "size"), "node").join(names, "node")
+    return out.select("id", F.col("steps").alias("tree_left"), (F.col("steps") + 2 * F.col("size") - 1).alias("tree_right"))
 
 
 def ranks(df: DataFrame, by: dict[str, Column], tie: str) -> DataFrame:
