@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import stable
+from tallyloom.operators.trees import running
 from tallyloom.scratch import kept
 
 
@@ -78,17 +79,45 @@ def margins(facts: DataFrame, place: str, category: str, value: str, first: str,
     return out.select(place, "votes", "first_votes", "second_votes", winner.alias("winner"), m.alias("margin"), F.round(m / F.nullif(F.col("votes"), F.lit(0)), 9).alias("margin_share"), F.round(100 * m / F.nullif(F.col("__w"), F.lit(0)), 9).alias("percent_of_margin"))
 
 
+def quantiles(counts: DataFrame, by: list[str], value: str, n: str, points: list[float]) -> DataFrame:
+    """by, and for each point q<i> the value at that share of a group's rows, linear between two of them.
+
+    counts: distinct values without nulls, and how often each stands (n). Values are numbered by ranges of (by, value), so no
+    task holds a group; of each group only the rows around a point are picked.
+    """
+    upto = kept(running(counts, by, [value], F.col(n), "__upto"), "quantiles")
+    size = upto.groupBy(*by).agg(F.max("__upto").alias("__all"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    j = upto.join(size.withColumnsRenamed({c: f"__{c}" for c in by}), reduce(Column.__and__, same))
+    first, last, out = F.col("__upto") - F.col(n), F.col("__upto") - 1, []
+    for i, p in enumerate(points):
+        at = F.lit(float(p)) * (F.col("__all") - 1)
+        low, high = F.floor(at), F.ceil(at)
+        pick = lambda k: F.max(F.when((first <= k) & (k <= last), F.col(value)))
+        out.append((pick(low), pick(high), F.max(at - low)))
+    g = j.groupBy(*by).agg(*[c.alias(f"__{k}{i}") for i, three in enumerate(out) for k, c in zip("lhf", three, strict=True)])
+    between = lambda i: F.when(F.col(f"__f{i}") == 0, F.col(f"__l{i}")).otherwise((1 - F.col(f"__f{i}")) * F.col(f"__l{i}") + F.col(f"__f{i}") * F.col(f"__h{i}"))
+    return g.select(*by, *[between(i).alias(f"q{i}") for i in range(len(points))])
+
+
 def join_summary(joined: DataFrame, ratio: str, by: list[str], thresholds: list[float]) -> DataFrame:
-    """Counts by status group with the ratio's min, median, 95 % point (linear), max and counts above thresholds."""
-    q = lambda p: F.round(F.percentile(ratio, p), 9)
-    above = [F.count_if(F.col(ratio) > t).alias(f"above_{str(t).replace('.', '_')}") for t in thresholds]
-    return joined.groupBy(*by).agg(F.count("*").alias("rows"), F.count(ratio).alias("with_ratio"), F.round(F.min(ratio), 9).alias("min_ratio"), q(0.5).alias("median_ratio"), q(0.95).alias("p95_ratio"), F.round(F.max(ratio), 9).alias("max_ratio"), *above)
+    """Counts by status group with the ratio's min, median, 95 % point (linear), max and counts above thresholds.
+
+    Rows are counted by distinct ratio first; what follows reads those counts.
+    """
+    counts = kept(joined.groupBy(*by, F.col(ratio).cast("double").alias("__r")).agg(F.count("*").alias("__n")), "ratios")
+    there, r = F.col("__r").isNotNull(), F.col("__r")
+    above = [F.coalesce(F.sum(F.when(r > t, F.col("__n"))), F.lit(0)).alias(f"above_{str(t).replace('.', '_')}") for t in thresholds]
+    g = counts.groupBy(*by).agg(F.sum("__n").alias("rows"), F.coalesce(F.sum(F.when(there, F.col("__n"))), F.lit(0)).alias("with_ratio"), F.round(F.min("__r"), 9).alias("min_ratio"), F.round(F.max("__r"), 9).alias("max_ratio"), *above)
+    q = quantiles(counts.where(there), by, "__r", "__n", [0.5, 0.95]).withColumnsRenamed({c: f"__{c}" for c in by})
+    j = g.join(q, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]), "left")
+    return j.select(*by, "rows", "with_ratio", "min_ratio", F.round("q0", 9).alias("median_ratio"), F.round("q1", 9).alias("p95_ratio"), "max_ratio", *[f"above_{str(t).replace('.', '_')}" for t in thresholds])
 
 
 def variant_summaries(variants: dict[str, DataFrame], ratio: str, by: list[str], thresholds: list[float]) -> DataFrame:
     """`join_summary` of the same join under several mappings, side by side with the variant's name."""
-    parts = [join_summary(df, ratio, by, thresholds).select(F.lit(name).alias("variant"), "*") for name, df in variants.items()]
-    return reduce(DataFrame.unionByName, parts)
+    parts = [df.select(F.lit(name).alias("variant"), *by, ratio) for name, df in variants.items()]
+    return join_summary(reduce(DataFrame.unionByName, parts), ratio, ["variant", *by], thresholds)
 
 
 def matched_coverage(crosswalk: DataFrame, observations: DataFrame, code: str, value: str) -> DataFrame:
