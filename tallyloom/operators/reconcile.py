@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.scratch import kept
@@ -82,11 +82,28 @@ def without_result(units: DataFrame, facts: DataFrame, unit: str) -> DataFrame:
     return units.join(facts.select(unit), unit, "left_anti")
 
 
+MEMBERS = 1024  # records of a class that one row holds
+
+
 def overlapping_records(records: DataFrame, id_: str, atoms: str) -> DataFrame:
-    """Pairs of records that share an atom, found by joining on atoms, each pair once with the number shared."""
-    flat = records.select(id_, F.explode(atoms).alias("atom")).distinct()
-    a, b = flat.select(F.col(id_).alias("a"), "atom"), flat.select(F.col(id_).alias("b"), "atom")
-    return a.join(b, "atom").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    """Pairs of records that share an atom, each pair once with the number shared. A null atom is shared with nothing.
+
+    Records with the same atoms are one class. Classes are joined on atoms and their pairs counted; members are put in for
+    them last, in lists of MEMBERS, so that pairs of records are made once, unshuffled.
+    """
+    flat = records.select(F.col(id_).alias("id"), F.explode(atoms).alias("atom")).where("id is not null and atom is not null")
+    own = flat.groupBy("id").agg(F.array_sort(F.collect_set("atom")).alias("atoms"))
+    dealt = kept(own.withColumn("part", F.floor(F.row_number().over(Window.partitionBy("atoms", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id")) / MEMBERS)), "records")
+    lists = dealt.groupBy("atoms", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt"), "part").agg(F.collect_list("id").alias("ids"))
+    lists = kept(lists.withColumn("class", F.sha2(F.to_json("atoms"), 256)).withColumn("list", F.struct("salt", "part")), "lists")
+    classes = lists.groupBy("class").agg(F.first("atoms").alias("atoms"))
+    tokens = kept(classes.select("class", F.explode("atoms").alias("atom")), "tokens")
+    a, b = (tokens.select(F.col("class").alias(c), "atom") for c in ("c", "d"))
+    pairs = a.join(b, "atom").where("c <= d").groupBy("c", "d").agg(F.count("*").alias("shared"))
+    left, right = (lists.select(F.col("class").alias(c), F.col("list").alias(f"{c}l"), F.col("ids").alias(f"{c}s")) for c in ("c", "d"))
+    both = pairs.join(left, "c").join(right, "d").where("c < d or cl <= dl").repartition("cl", "dl", "c", "d")
+    made = both.select("shared", (F.col("c").eqNullSafe(F.col("d")) & (F.col("cl") == F.col("dl"))).alias("one"), F.explode("cs").alias("x"), "ds").select("shared", "one", "x", F.explode("ds").alias("y")).where("not one or x < y")
+    return made.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared")
 
 
 def nested_scopes(records: DataFrame, id_: str, path: str) -> DataFrame:
