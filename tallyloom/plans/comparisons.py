@@ -298,7 +298,7 @@ def provenance_constant(spark, d):
     return quality.provenance_constant(l, "round", ["l_returnflag"], l)
 
 
-@query("""SELECT place AS unit, 'missing_result' AS anomaly FROM (SELECT c_custkey AS place FROM customer) WHERE place NOT IN (SELECT place FROM units)
+@query("""SELECT place AS unit, 'missing_result' AS anomaly FROM (SELECT c_custkey AS place FROM customer) WHERE place NOT IN (SELECT place FROM facts)
 UNION ALL SELECT place, 'inconsistent_ballot_vector' FROM (SELECT place, sum(votes) AS v FROM facts GROUP BY place) WHERE v % 10 = 0""")
 def anomalies(spark, d):
     """A36."""
