@@ -62,7 +62,7 @@ def unanimous(facts: DataFrame, unit: str, value: str) -> DataFrame:
 
 def densify(facts: DataFrame, unit: str, category: str, codes: list[str], value: str, universe: DataFrame) -> DataFrame:
     """One vector for each unit of the universe: a column for each code, absence read as zero, and how many were there."""
-    wide = facts.groupBy(unit).pivot(category, codes).agg(F.sum(value))
+    wide = facts.groupBy(unit).agg(*[F.sum(F.when(F.col(category) == c, F.col(value))).alias(c) for c in codes])
     rows = universe.select(unit).distinct().join(wide, unit, "left")
     present = sum((F.col(f"`{c}`").isNotNull().cast("int") for c in codes), F.lit(0))
     return rows.select(unit, present.alias("present"), *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(c) for c in codes])
