@@ -30,14 +30,14 @@ def fact_layers(facts: DataFrame, sources: DataFrame, source: str, id_: list[str
     """
     s = sources.select(source, F.col("source_type").alias("__t"), F.col("legal_status").alias("__l"), F.lit(True).alias("__s"))
     law = F.create_map(*[F.lit(x) for kv in legal.items() for x in kv])
-    twice = facts.groupBy(source, *id_).agg(F.count("*").alias("__n"))
-    j = facts.join(s, source, "left").join(twice, [source, *id_])
-    found = F.array_compact(F.array(
-        F.when(F.col("__s").isNull(), "unknown_source"), F.when(F.col("__t") != F.col("source_type"), "source_type_mismatch"),
-        F.when(F.col("__l") != F.col("legal_status"), "legal_status_mismatch"), F.when(~law[F.col("source_type")].eqNullSafe(F.col("legal_status")), "illegal_status"),
-        F.when(F.col("inferred"), "inferred"), F.when(F.col("ambiguous"), "ambiguous"), F.when(F.col("__n") > 1, "duplicate"),
-    ))
-    return j.select(source, *id_, F.explode(found).alias("finding")).distinct()
+    j = facts.join(s, source, "left")
+    found = {
+        "unknown_source": F.col("__s").isNull(), "source_type_mismatch": F.col("__t") != F.col("source_type"), "legal_status_mismatch": F.col("__l") != F.col("legal_status"),
+        "illegal_status": ~law[F.col("source_type")].eqNullSafe(F.col("legal_status")), "inferred": F.col("inferred"), "ambiguous": F.col("ambiguous"),
+    }
+    g = j.groupBy(source, *id_).agg(F.count("*").alias("__n"), *[F.bool_or(c).alias(f"__{k}") for k, c in found.items()])
+    said = F.array_compact(F.array(*[F.when(F.col(f"__{k}"), k) for k in found], F.when(F.col("__n") > 1, "duplicate")))
+    return g.select(source, *id_, F.explode(said).alias("finding"))
 
 
 def result_arithmetic(facts: DataFrame, candidates: str, blank: str, null: str, unmarked: str, valid: str, voters: str, id_: list[str]) -> DataFrame:
