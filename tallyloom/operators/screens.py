@@ -54,7 +54,11 @@ def complete_families(screen, df: DataFrame, declared: DataFrame, family: str, u
 
 
 def _scored(df: DataFrame, y: str, n: str, mean: str, concentration: str) -> DataFrame:
-    """Adds z, effect_points, p, low and high; a row with n = 0 (never eligible) has none of them."""
+    """Adds z, effect_points, p, low and high; a row with n = 0 (never eligible) has none of them.
+
+    Rows with one state and fit are dealt to one task, side by side, so each tail is computed once a batch.
+    """
+    df = df.repartition(y, n, mean, concentration).sortWithinPartitions(y, n, mean, concentration)
     a, b = F.col(mean) * F.col(concentration), (1 - F.col(mean)) * F.col(concentration)
     z = F.try_divide(F.col(y) - F.col(n) * F.col(mean), F.sqrt(stats.beta_binomial_variance(F.col(n), a, b)))
     tail = stats.beta_binomial_tail(F.col(y).cast("double"), F.col(n).cast("double"), F.col(mean), F.col(concentration))
