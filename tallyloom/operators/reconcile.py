@@ -202,12 +202,29 @@ def revision_class(previous: Column, current: Column, marker: Column, same_sourc
 
 
 def reconcile(expected: DataFrame, records: DataFrame, source: str, unit: str, category: str, value: str, left: str, right: str) -> DataFrame:
-    """All checks of two layers as one table of findings: check, source, state, n."""
-    unit_rows = records.groupBy(source, unit).agg(F.sum(value).alias("total"), F.bool_or(F.col(value).isNull()).alias("ambiguous"))
-    done = completeness_by_source(expected, unit_rows, source, [unit], "ambiguous").select(F.lit("completeness").alias("check"), source, "state", F.col("units").alias("n"))
-    clash = identity_conflicts(records, source, [unit, category], F.col(value)).groupBy(source, "finding").count().select(F.lit("identity").alias("check"), source, F.col("finding").alias("state"), F.col("count").alias("n"))
-    state = F.when(~F.col("comparable"), "not_comparable").when((F.col("difference") == 0) & (F.col("min_edits") == 0), "equal").otherwise("different")
-    pair = compare_sources(records, source, left, right, [unit], category, value).groupBy(state.alias("state")).count().select(F.lit("comparison").alias("check"), F.lit(f"{left}/{right}").alias(source), "state", F.col("count").alias("n"))
+    """All checks of two layers as one table of findings: check, source, state, n.
+
+    Each check is a grouping by unit that is counted at once: layers are not joined with each other, nor units with layers.
+    A unit is compared as `compare_sources` does it, from the least and largest value of each side's category.
+    """
+    rows = records.groupBy(F.col(source).alias("source"), F.col(unit).alias("unit")).agg(F.bool_or(F.col(value).isNull()).alias("ambiguous"))
+    want = expected.select(F.col(unit).alias("unit")).distinct().withColumn("wanted", F.lit(True))
+    seen = rows.join(want, "unit", "left").groupBy("source").agg(*[F.count_if(F.col("wanted") & F.col("source").isNotNull() & (F.col("ambiguous") == x)).alias(n) for n, x in (("complete", False), ("ambiguous", True))])
+    each = [F.struct(F.lit(x).alias("state"), F.col(x).alias("n")) for x in ("complete", "ambiguous", "missing")]
+    states = few(kept(seen, "layers")).crossJoin(F.broadcast(want.agg(F.count("*").alias("all")))).withColumn("missing", F.col("all") - F.col("complete") - F.col("ambiguous"))
+    done = states.select(F.lit("completeness").alias("check"), F.col("source").alias(source), F.explode(F.array(*each)).alias("x")).select("check", source, "x.*").where("n > 0")
+
+    v = F.col(value)
+    by = records.groupBy(F.col(source).alias("source"), F.col(unit).alias("unit"), F.col(category).alias("category")).agg(F.count("*").alias("rows"), (F.min(v) < F.max(v)).alias("differ"))
+    clash = by.where("rows > 1").groupBy("source", F.when(F.col("differ"), "conflict").otherwise("duplicate").alias("state")).agg(F.count("*").alias("n")).select(F.lit("identity").alias("check"), F.col("source").alias(source), "state", "n")
+
+    side = lambda s, n: [F.count_if(F.col(source) == s).alias(f"{n}_rows"), F.count(F.when(F.col(source) == s, v)).alias(f"{n}_known"), F.min(F.when(F.col(source) == s, v)).alias(f"{n}_min"), F.max(F.when(F.col(source) == s, v)).alias(f"{n}_max")]
+    both = records.groupBy(F.col(unit).alias("unit"), F.col(category).alias("category")).agg(*side(left, "left"), *side(right, "right")).where("left_rows + right_rows > 0")
+    comparable = F.expr("unit is not null and category is not null and left_rows > 0 and right_rows > 0 and left_rows = left_known and right_rows = right_known")
+    equal = F.greatest("left_max", "right_max") - F.least("left_min", "right_min") == 0
+    units = both.groupBy("unit").agg(F.max("left_rows").alias("l"), F.max("right_rows").alias("r"), F.bool_and(comparable).alias("comparable"), F.bool_and(equal).alias("equal")).where("l > 0 and r > 0")
+    state = F.when(~F.col("comparable"), "not_comparable").when(F.col("equal"), "equal").otherwise("different")
+    pair = units.groupBy(state.alias("state")).agg(F.count("*").alias("n")).select(F.lit("comparison").alias("check"), F.lit(f"{left}/{right}").alias(source), "state", "n")
     return done.unionByName(clash).unionByName(pair)
 
 
