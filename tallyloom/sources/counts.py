@@ -189,5 +189,4 @@ def stateful_csv(df: DataFrame, metrics: list[str]) -> list[Column]:
 
 def wide_download(facts: DataFrame, id_: list[str], candidate: str, votes: str, candidates: list[str]) -> DataFrame:
     """One column candidate_<id>_votes for each candidate."""
-    w = facts.groupBy(*id_).pivot(candidate, candidates).agg(F.max(votes))
-    return w.select(*id_, *[F.col(f"`{c}`").alias(f"candidate_{c}_votes") for c in candidates])
+    return facts.groupBy(*id_).agg(*[F.max(F.when(F.col(candidate) == c, F.col(votes))).alias(f"candidate_{c}_votes") for c in candidates])
