@@ -57,6 +57,7 @@ def with_dialect(raw: DataFrame, columns: dict[str, str | None], labels: dict[st
     return out
 
 
+CANDIDATES, METRICS = "array<struct<code: string, votes: string>>", "array<struct<metric: string, party: string, candidate: string, text: string>>"
 COUNT_DOCUMENT = "totals map<string,string>, parties array<struct<code: string, votes: string, candidates: array<struct<code: string, votes: string>>>>"
 
 
@@ -66,15 +67,16 @@ def count_documents(docs: DataFrame, raw: str, keys: list[str]) -> tuple[DataFra
     Rows: keys, metric, party, candidate, value, status. A document that does not parse is quarantined whole; a value of
     no known form has no status and is quarantined alone.
     """
-    d = docs.withColumn("__d", F.from_json(raw, COUNT_DOCUMENT))
-    ok = d.where(F.col("__d.totals").isNotNull())
-    totals = ok.select(*keys, F.explode("__d.totals").alias("metric", "text")).select(*keys, "metric", F.lit(None).cast("string").alias("party"), F.lit(None).cast("string").alias("candidate"), "text")
-    p = ok.select(*keys, F.explode("__d.parties").alias("p"))
-    party = p.select(*keys, F.lit("party").alias("metric"), F.col("p.code").alias("party"), F.lit(None).cast("string").alias("candidate"), F.col("p.votes").alias("text"))
-    cand = p.select(*keys, F.col("p.code").alias("party"), F.explode("p.candidates").alias("c")).select(*keys, F.lit("candidate").alias("metric"), "party", F.col("c.code").alias("candidate"), F.col("c.votes").alias("text"))
-    rows = totals.unionByName(party).unionByName(cand).withColumn("status", text.value_state(F.col("text")))
+    none = F.lit(None).cast("string")
+    row = lambda metric, party, candidate, said: F.struct(metric.alias("metric"), party.alias("party"), candidate.alias("candidate"), said.alias("text"))
+    of_party = lambda p: F.concat(F.array(row(F.lit("party"), p["code"], none, p["votes"])), F.transform(F.coalesce(p["candidates"], F.array().cast(CANDIDATES)), lambda c: row(F.lit("candidate"), p["code"], c["code"], c["votes"])))
+    totals = lambda d: F.transform(F.map_entries(d["totals"]), lambda e: row(e["key"], none, none, e["value"]))
+    parties = lambda d: F.coalesce(F.flatten(F.transform(d["parties"], of_party)), F.array().cast(METRICS))
+    # the document is bound by a transform of one element: parsed once, whatever reads it
+    lines = F.transform(F.array(F.from_json(raw, COUNT_DOCUMENT)), lambda d: F.when(d["totals"].isNotNull(), F.concat(totals(d), parties(d))))[0]
+    rows = docs.select(*keys, F.explode(lines).alias("__r")).select(*keys, "__r.*").withColumn("status", text.value_state(F.col("text")))
     rows = rows.withColumn("value", F.when(F.col("status") == "observed", text.localized_integer(F.col("text"))))
-    bad = d.where(F.col("__d.totals").isNull()).select(*keys, F.lit("document").alias("metric"), F.col(raw).alias("text"), F.lit("not_a_count_document").alias("reason"))
+    bad = docs.where(F.from_json(raw, COUNT_DOCUMENT)["totals"].isNull()).select(*keys, F.lit("document").alias("metric"), F.col(raw).alias("text"), F.lit("not_a_count_document").alias("reason"))
     odd = rows.where("status is null").select(*keys, "metric", "text", F.lit("unreadable_value").alias("reason"))
     return rows.where("status is not null").drop("text"), bad.unionByName(odd)
 
