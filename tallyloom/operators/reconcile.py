@@ -127,16 +127,20 @@ def _overlaps(records: DataFrame, id_: str, atoms: str, path: str) -> tuple[Data
     return ids, shared, inside.join(known, "scope", "left_semi").select("id", "scope", (F.col("scope") == F.col("own")).alias("own"))
 
 
-def overlap_pairs(records: DataFrame, id_: str, atoms: str, path: str) -> DataFrame:
+def _pairs(shared: DataFrame, inside: DataFrame) -> DataFrame:
     """a, b, via, token: pairs that hold all overlaps together, linear in the records: each member of a common atom with the
     atom's least id, each record inside a scope with the least id that has just this scope. Both are overlaps themselves."""
-    _, shared, inside = _overlaps(records, id_, atoms, path)
     star = shared.groupBy("atom").agg(F.min("id").alias("a")).join(shared, "atom").where("a <> id").select("a", F.col("id").alias("b"), F.lit("atom").alias("via"), F.col("atom").cast("string").alias("token"))
     heads = inside.where("own").groupBy("scope").agg(F.min("id").alias("a"))
     nested = heads.join(inside, "scope").where("a <> id").select("a", F.col("id").alias("b"), F.lit("scope").alias("via"), F.col("scope").alias("token")).distinct()
     return star.unionByName(nested)
 
 
+def overlap_pairs(records: DataFrame, id_: str, atoms: str, path: str) -> DataFrame:
+    """`_pairs` of records."""
+    return _pairs(*_overlaps(records, id_, atoms, path)[1:])
+
+
 def overlap_classes(records: DataFrame, id_: str, atoms: str, path: str) -> DataFrame:
     """One row for each id: class (the least id that overlaps lead to), copies, atom_links, scope_links.
 
@@ -147,11 +151,11 @@ def overlap_classes(records: DataFrame, id_: str, atoms: str, path: str) -> Data
     """
     from tallyloom.operators import graphs
 
-    ids, shared, inside = _overlaps(records, id_, atoms, path)
+    ids, shared, inside = (kept(x, "overlaps") for x in _overlaps(records, id_, atoms, path))
     of_atoms = shared.join(shared.groupBy("atom").agg(F.count("*").alias("n")), "atom").groupBy("id").agg(F.sum(F.col("n") - 1).alias("atom_links"))
     sizes = inside.groupBy("scope").agg(F.countDistinct("id").alias("within"), F.count_distinct(F.when(F.col("own"), F.col("id"))).alias("just"))
     of_scopes = inside.join(sizes, "scope").groupBy("id").agg(F.sum(F.when(F.col("own"), F.col("within") - 1).otherwise(F.col("just"))).alias("scope_links"))
-    classes = graphs.components(overlap_pairs(records, id_, atoms, path).select("a", "b"))
+    classes = graphs.components(_pairs(shared, inside).select("a", "b"))
     out = ids.join(classes, "id", "left").join(of_atoms, "id", "left").join(of_scopes, "id", "left")
     zero = F.lit(0).cast("long")
     return out.select("id", F.coalesce("class", "id").alias("class"), "copies", F.coalesce("atom_links", zero).alias("atom_links"), F.coalesce("scope_links", zero).alias("scope_links"))
