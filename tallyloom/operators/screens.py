@@ -435,7 +435,8 @@ def spatial_signals(rows: DataFrame, row: str, place: str, grain: str, group: st
 
 
 MOST_EXTENDED = 99_999  # permutations where a p-value of the first ones is 0.01 or less
-COLUMNS = 64  # tested units whose statistics are computed at once
+COLUMNS = 64  # tested units whose statistics of a batch are computed at once
+DRAWN = 1 << 22  # values of a municipality that are drawn at once: 32 MB, a permutation at least
 TASK = 8  # batches of permutations of one task, one after the other
 
 
@@ -452,26 +453,32 @@ def _moran_parts(pdf: pd.DataFrame) -> tuple:
 
 
 def _moran_draws(parts: tuple, group, start: int, size: int):
-    """One batch of a municipality: (units, |observed|, |statistics| by unit and permutation) of the tested units, in chunks.
+    """One batch of a municipality: (units, permutations, |observed|, |statistics| by unit and permutation) in chunks.
 
-    A unit's values in all permutations of the batch lie side by side, so a neighbour's are read as one run of memory; a
-    chunk stays in the processor's cache. What is given out is overwritten by the next chunk.
+    units and permutations are slices of the tested ones and of the batch. Permutations are drawn one after the other, so
+    many at once as DRAWN values hold. A unit's values in them lie side by side, so a neighbour's are read as one run of
+    memory; a chunk stays in the processor's cache. What is given out is overwritten by the next chunk.
     """
-    units, x, tested, index, count = parts
+    _, x, tested, index, count = parts
     z, v = x - x.mean(), x.var()
-    drawn = np.zeros((len(z) + 1, size))
-    drawn[:-1] = _seed(group, start, x).permuted(np.tile(z, (size, 1)), axis=1).T
+    width = max(1, min(size, DRAWN // len(z)))
+    columns = COLUMNS * max(1, 256 // width)
+    rng, drawn = _seed(group, start, x), np.zeros((len(z) + 1, width))
     whole, scale = np.append(z, 0.0), 1 / np.maximum(count * v, np.finfo(float).tiny)
-    sums, buffer = np.empty((2, min(COLUMNS, len(tested)), size))
-    for c in range(0, len(tested), COLUMNS):
-        own, near, by = tested[c : c + COLUMNS], index[c : c + COLUMNS], scale[c : c + COLUMNS]
-        lag, one = sums[: len(own)], buffer[: len(own)]
-        np.take(drawn, near[:, 0], axis=0, out=lag, mode="clip")
-        for j in range(1, near.shape[1]):
-            lag += np.take(drawn, near[:, j], axis=0, out=one, mode="clip")
-        lag *= np.take(drawn, own, axis=0, out=one, mode="clip")
-        lag *= by[:, None]
-        yield units[own], np.abs(z[own] * whole[near].sum(1) * by), np.abs(lag, out=lag)
+    sums, buffer = np.empty((2, min(columns, len(tested)), width))
+    for at in range(0, size, width):
+        n = min(width, size - at)
+        drawn[:-1, :n] = rng.permuted(np.tile(z, (n, 1)), axis=1).T
+        values = drawn[:, :n]
+        for c in range(0, len(tested), columns):
+            own, near, by = tested[c : c + columns], index[c : c + columns], scale[c : c + columns]
+            lag, one = sums[: len(own), :n], buffer[: len(own), :n]
+            np.take(values, near[:, 0], axis=0, out=lag, mode="clip")
+            for j in range(1, near.shape[1]):
+                lag += np.take(values, near[:, j], axis=0, out=one, mode="clip")
+            lag *= np.take(values, own, axis=0, out=one, mode="clip")
+            lag *= by[:, None]
+            yield slice(c, c + len(own)), slice(at, at + n), np.abs(z[own] * whole[near].sum(1) * by), np.abs(lag, out=lag)
 
 
 def _top_moran(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -480,8 +487,8 @@ def _top_moran(pdf: pd.DataFrame) -> pd.DataFrame:
     parts, tops = _moran_parts(pdf), []
     for at in range(start, start + size, batch):
         tops.append(np.zeros(min(batch, start + size - at)))
-        for _, _, drawn in _moran_draws(parts, pdf["group"].iloc[0], at, len(tops[-1])):
-            np.maximum(tops[-1], drawn.max(0), out=tops[-1])
+        for _, some, _, drawn in _moran_draws(parts, pdf["group"].iloc[0], at, len(tops[-1])):
+            np.maximum(tops[-1][some], drawn.max(0), out=tops[-1][some])
     return pd.DataFrame({"permutation": np.arange(start, start + size), "top": np.concatenate(tops)})
 
 
@@ -489,23 +496,29 @@ def _unit_moran(pdf: pd.DataFrame) -> pd.DataFrame:
     """One municipality, some batches: how many of each unit's statistics reach what was observed."""
     start, size, batch = (int(pdf[c].iloc[0]) for c in ("start", "size", "batch"))
     parts = _moran_parts(pdf)
-    reached = pd.Series(np.zeros(len(parts[2]), np.int64), index=parts[0][parts[2]])
+    reached = np.zeros(len(parts[2]), np.int64)
     for at in range(start, start + size, batch):
-        got = [(drawn >= observed[:, None] - 1e-12).sum(1) for _, observed, drawn in _moran_draws(parts, pdf["group"].iloc[0], at, min(batch, start + size - at))]
-        reached += np.concatenate([*got, np.zeros(0, np.int64)])
-    return pd.DataFrame({"unit": reached.index, "reached": reached.to_numpy()})
+        for units, _, observed, drawn in _moran_draws(parts, pdf["group"].iloc[0], at, min(batch, start + size - at)):
+            reached[units] += (drawn >= observed[:, None] - 1e-12).sum(1)
+    return pd.DataFrame({"unit": parts[0][parts[2]], "reached": reached})
 
 
 def _moran_work(units: DataFrame, unit: str, group: str, lat: str, lon: str, residual: str, least_units: int) -> tuple[DataFrame, DataFrame]:
-    """(rows with neighbours, local_i and tested; all units of municipalities with tested ones, with their neighbours)."""
+    """(rows with neighbours, local_i and tested; all units of municipalities with tested ones, with their neighbours).
+
+    The units that tasks permute are numbers in the order of (group, unit); id is the unit.
+    """
     units = kept(units, "units")
     links = kept(neighbours(units, unit, group, lat, lon), "neighbours")
     moran = local_moran(units, links, unit, group, residual)
     counts = moran.groupBy(group).agg(F.count("local_i").alias("__scored"))
     rows = moran.join(counts, group).withColumn("tested", F.col("local_i").isNotNull() & (F.col("__scored") >= least_units))
-    near = links.groupBy(unit).agg(F.array_sort(F.collect_list("other")).alias("others"))  # k at most
-    work = rows.where(F.col("__scored") >= least_units).join(near, unit, "left").withColumn("others", F.coalesce("others", F.array().cast(near.schema["others"].dataType)))
-    return rows.drop("__scored"), kept(work.select(F.col(group).alias("group"), F.col(unit).alias("unit"), F.col(residual).alias("residual"), "others", "tested"), "work")
+    work = rows.where(F.col("__scored") >= least_units).select(F.col(group).alias("group"), F.col(unit).alias("id"), F.col(residual).alias("residual"), "tested", F.lit(1).alias("__all"))
+    work = kept(trees.numbered(work, ["__all"], ["group", "id"], "unit").drop("__all"), "numbers")
+    to = links.select(F.col(unit).alias("id"), "other").join(work.select(F.col("id").alias("other"), F.col("unit").alias("__to")), "other")
+    near = to.groupBy("id").agg(F.array_sort(F.collect_list("__to")).alias("others"))  # k at most
+    work = work.join(near, "id", "left").withColumn("others", F.coalesce("others", F.array().cast(near.schema["others"].dataType)))
+    return rows.drop("__scored"), kept(work.select("group", "unit", "residual", "others", "tested", "id"), "work")
 
 
 def _enough(permutations: int) -> None:
@@ -554,15 +567,14 @@ def joint_permutations(units: DataFrame, unit: str, group: str, lat: str, lon: s
     """
     _enough(permutations)
     rows, work = _moran_work(units, unit, group, lat, lon, residual, least_units)
-    kind = units.schema[unit].dataType.simpleString()
 
     def reached(some: DataFrame, first: int, last: int) -> DataFrame:
-        drawn = _batched(some, first, last, TASK * batch).withColumn("batch", F.lit(batch))
-        found = drawn.groupBy("group", "start").applyInPandas(_unit_moran, f"unit {kind}, reached long")
-        return found.groupBy(F.col("unit").alias(unit)).agg(F.sum("reached").alias("reached"))
+        drawn = _batched(some.drop("id"), first, last, TASK * batch).withColumn("batch", F.lit(batch))
+        found = drawn.groupBy("group", "start").applyInPandas(_unit_moran, "unit long, reached long")
+        return found.groupBy("unit").agg(F.sum("reached").alias("reached")).join(work.select("unit", F.col("id").alias("__id")), "unit").select(F.col("__id").alias(unit), "reached")
 
     tested = rows.where("tested").select(unit, group, "local_i")
-    first = tested.join(reached(work, 0, permutations), unit)
+    first = kept(tested.join(reached(work, 0, permutations), unit), "reached")
     low = first.where((1 + F.col("reached")) / (1 + permutations) <= 0.01).select(group).distinct().withColumn("__more", F.lit(True))
     more = reached(work.join(low.select(F.col(group).alias("group")), "group", "left_semi"), permutations, most).withColumnRenamed("reached", "__again")
     out = first.join(low, group, "left").join(more, unit, "left")
