@@ -18,7 +18,7 @@ LEVEL_NAME = "CASE WHEN grouping(municipality) = 1 THEN 'department' WHEN groupi
 FROM facts GROUP BY {LEVEL_SETS}""")
 def rollup_levels(spark, d):
     """A1: exact rollup of four levels with category shares."""
-    r = rollup.rollup_levels(b.facts(spark, d), H, ["category"], "votes")
+    r = b.dealt(spark, d, rollup.rollup_levels(b.facts(spark, d), H, ["category"], "votes"), "level", "id")
     return r.withColumn("share", F.round(F.col("votes") / F.expr("sum(votes) over (partition by level, id)"), 9))
 
 
