@@ -272,9 +272,9 @@ def full(records: DataFrame, expected: DataFrame, declared: DataFrame, source: s
 
     content = F.xxhash64(*[value(f) for f in fields], *[F.col("states")[f] for f in fields], F.col(registered))
     by = records.groupBy(F.col(source).alias("source"), F.col(unit).alias("unit")).agg(
-        F.count("*").alias("n"), (F.min(content) != F.max(content)).alias("clash"), F.min_by("values", content).alias("values"), F.min(place).alias("place")
+        F.count("*").alias("n"), (F.min(content) != F.max(content)).alias("clash"), F.min(place).alias("place"), *[F.min_by(value(f), content).alias(f"v{k}") for k, f in enumerate(fields)]
     )
-    by = kept(by, "layers")
+    by = kept(by.select("source", "unit", "place", "n", "clash", F.array(*[F.col(f"v{k}") for k in range(len(fields))]).alias("values")), "layers")  # numbers are grouped by hash, maps by sorting
     none = F.lit(None).cast("string")
     identity = by.where("n > 1").select(F.lit("identity").alias("check"), "source", F.col("unit").cast("string").alias("key"), none.alias("field"), F.when(F.col("clash"), "conflict").otherwise("duplicate").alias("state"))
 
@@ -288,13 +288,13 @@ def full(records: DataFrame, expected: DataFrame, declared: DataFrame, source: s
         state = F.when(F.col("wanted"), state).when(there(s).isNotNull(), "unexpected")
         lines.append(F.when(state.isNotNull(), F.struct(F.lit("completeness").alias("check"), F.lit(s).alias("source"), state.alias("state"))))
     a, b = there(left), there(right)
-    common = F.filter(F.array(*map(F.lit, fields)), lambda f: a["values"][f].isNotNull() & b["values"][f].isNotNull())
-    same = F.forall(common, lambda f: a["values"][f] == b["values"][f])
+    common = F.filter(F.array(*[F.struct(a["values"][k].alias("a"), b["values"][k].alias("b")) for k in range(len(fields))]), lambda f: f["a"].isNotNull() & f["b"].isNotNull())
+    same = F.forall(common, lambda f: f["a"] == f["b"])
     apart = a.isNull() | b.isNull() | a["clash"] | b["clash"] | (F.size(common) == 0)
     lines.append(F.when(F.col("has").isNotNull(), F.struct(F.lit("comparison").alias("check"), F.lit(f"{left}/{right}").alias("source"), F.when(F.coalesce(apart, F.lit(True)), "not_comparable").when(same, "equal").otherwise("different").alias("state"))))
     across = j.select(F.col("unit").cast("string").alias("key"), F.explode(F.array_compact(F.array(*lines))).alias("c")).select("c.check", "c.source", "key", none.alias("field"), "c.state")
 
-    sums = [F.when(~F.max("clash") & (F.count(F.col("values")[f]) == F.count("*")), F.sum(F.col("values")[f])).alias(f"sum_{k}") for k, f in enumerate(fields)]
+    sums = [F.when(~F.max("clash") & (F.count(F.col("values")[k]) == F.count("*")), F.sum(F.col("values")[k])).alias(f"sum_{k}") for k in range(len(fields))]
     rolled = by.groupBy("source", "place").agg(*sums, F.count("*").alias("units"))
     d = declared.select(F.col(source).alias("source"), F.col(place).alias("place"), F.col("values").alias("declared")).join(rolled, ["source", "place"], "left")
     each = [F.struct(F.lit(f).alias("field"), F.when(F.col("units").isNull(), "no_units").when(F.col(f"sum_{k}").isNull(), "blocked").when(F.col(f"sum_{k}").eqNullSafe(F.col("declared")[f]), "equal").otherwise("different").alias("state")) for k, f in enumerate(fields)]

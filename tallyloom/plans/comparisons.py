@@ -9,6 +9,7 @@ from tallyloom.functions import digest, text
 from tallyloom.operators import crosswalk, quality, read, reconcile, rollup
 from tallyloom.plans import base as b
 from tallyloom.plans.base import query
+from tallyloom.scratch import kept
 
 PAIR = """p AS (SELECT coalesce(l.unit, r.unit) AS unit, l.votes AS lv, r.votes AS rv FROM (SELECT * FROM sources WHERE source = 'a') l FULL JOIN (SELECT * FROM sources WHERE source = 'b') r ON l.unit = r.unit AND l.category = r.category)"""
 COMPARED = f"""{PAIR}, c AS (SELECT unit, bool_and(lv IS NOT NULL AND rv IS NOT NULL) AS comparable, sum(rv - lv)::BIGINT AS diff, sum(greatest(rv - lv, 0)) FILTER (WHERE rv - lv IS NOT NULL) AS up, sum(greatest(lv - rv, 0)) FILTER (WHERE rv - lv IS NOT NULL) AS down
@@ -121,10 +122,10 @@ UNION ALL SELECT 'rollup', 'a', field, state FROM p UNION ALL SELECT 'rollup', '
 @query(f"WITH {_LAYERS} SELECT \"check\", source, field, state, count(*) AS n FROM c GROUP BY ALL")
 def full_reconciliation(spark, d):
     """D14 with Q1, Q2, Q3, A3, A9, J14, J17, J23: every check of two layers, each state of each of them."""
-    r = _layers(spark, d)
+    r = kept(_layers(spark, d), "records")  # read for the checks of rows and of units, and for the rollups
     expected = b.units(spark, d).where("unit % 43 <> 0")
-    sums = [F.sum(F.col("v")[c]).alias(c) for c in FIELDS]
-    one = r.where("source = 'a'").groupBy("unit").agg(F.min("place").alias("place"), F.min_by("values", F.col("values")["total"]).alias("v")).groupBy("place").agg(*sums)
+    sums, v = [F.sum(c).alias(c) for c in FIELDS], F.col("values")
+    one = r.where("source = 'a'").groupBy("unit").agg(F.min("place").alias("place"), *[F.min_by(v[c], v["total"]).alias(c) for c in FIELDS]).groupBy("place").agg(*sums)
     wrong = F.col("total") + (F.col("place") % 11 == 0).cast("int")
     declared = one.select(F.lit("a").alias("source"), "place", F.map_from_arrays(F.array(*map(F.lit, FIELDS)), F.array(*[F.col(c) for c in FIELDS[:-1]], wrong)).alias("values"))
     nowhere = declared.limit(1).select("source", F.lit(-1).cast("long").alias("place"), "values")
