@@ -12,6 +12,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from tallyloom.functions import text
 from tallyloom.plans import base as b
 from tallyloom.plans.base import query
+from tallyloom.scratch import kept
 from tallyloom.sources import counts, tables
 from tallyloom.streaming import jobs
 
@@ -84,7 +85,7 @@ def release_documents(spark, d):
     docs = per.groupBy(F.concat(F.lit("r"), s("department")).alias("release_id"), "place").agg(
         F.collect_list(result).alias("results"), F.collect_list(F.struct(s("unit").alias("id"))).alias("mesas"), F.array(F.struct(s("place").alias("id"))).alias("geographies")
     )
-    shred = counts.shred_release(docs.drop("place"))
+    shred = counts.shred_release(kept(docs.drop("place"), "documents"))  # read once for each table and check
     folder = _folder(spark, "release")
     tables.load_release({k: shred[k] for k in ("facts", "categories")}, folder, ["release_id"])
     facts = tables.federated(spark, [f"{folder}/facts"])
