@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -272,6 +273,12 @@ def runs_distribution(a: int, b: int) -> np.ndarray:
     return out / out.sum()
 
 
+@lru_cache(maxsize=4096)
+def _runs_steps(a: int, b: int) -> np.ndarray:
+    """Where the distribution of runs steps up; kept by the worker, since every batch and municipality has the same few."""
+    return np.cumsum(runs_distribution(a, b))[:-1]
+
+
 def _drawn_runs(pdf: pd.DataFrame) -> pd.DataFrame:
     """|z| of one municipality for each permutation of a batch: runs of a shuffled block are drawn from their distribution."""
     start, size = int(pdf["start"].iloc[0]), int(pdf["size"].iloc[0])
@@ -279,7 +286,7 @@ def _drawn_runs(pdf: pd.DataFrame) -> pd.DataFrame:
     rng = _seed(pdf["municipality"].iloc[0], start, *(pdf[c].to_numpy(np.float64) for c in ("a", "b", "expected", "variance")))
     drawn = np.empty((len(pdf), size), np.int32)
     for (a, b), rows in sorted(pdf.groupby(["a", "b"]).indices.items()):
-        drawn[rows] = np.searchsorted(np.cumsum(runs_distribution(int(a), int(b)))[:-1], rng.random((len(rows), size))) + 2
+        drawn[rows] = np.searchsorted(_runs_steps(int(a), int(b)), rng.random((len(rows), size))) + 2
     first = np.flatnonzero(np.concatenate([[True], pdf["place"].to_numpy()[1:] != pdf["place"].to_numpy()[:-1]]))
     e, v = (np.add.reduceat(pdf[c].to_numpy(np.float64), first)[:, None] for c in ("expected", "variance"))
     z = ((np.add.reduceat(drawn, first, axis=0) - e) / np.sqrt(v)).sum(0) / np.sqrt(len(first))
@@ -296,7 +303,7 @@ def runs_screen(df: DataFrame, place: str, municipality: str, sequence: str, cat
     if permutations < 999:
         raise ValueError("at least 999 permutations")
     b = windows.blocks(df, [municipality, place], sequence, category)
-    found = windows.runs_moments(b, [municipality, place, "block"], sequence, category).where("variance > 0")
+    found = kept(windows.runs_moments(b, [municipality, place, "block"], sequence, category).where("variance > 0"), "runs")
     places = found.groupBy(municipality, place).agg(F.sum("runs").alias("runs"), F.sum("expected").alias("e"), F.sum("variance").alias("v"))
     observed = places.groupBy(municipality).agg((F.sum((F.col("runs") - F.col("e")) / F.sqrt("v")) / F.sqrt(F.count("*"))).alias("z"), F.count("*").alias("places"))
     rows = found.select(F.col(municipality).alias("municipality"), F.col(place).alias("place"), "block", F.col("fewer").cast("int").alias("a"), (F.col("n") - F.col("fewer")).cast("int").alias("b"), "expected", "variance")
@@ -530,7 +537,7 @@ def _permuted(rows: DataFrame, work: DataFrame, unit: str, permutations: int, mo
     """p, rank, flag and kind of tested units by synchronised max-T permutations; nulls for the others."""
 
     def tops(first: int, last: int) -> np.ndarray:
-        rows = _batched(work, first, last, TASK * batch).withColumn("batch", F.lit(batch))
+        rows = _batched(work.drop("id"), first, last, TASK * batch).withColumn("batch", F.lit(batch))
         found = rows.groupBy("group", "start").applyInPandas(_top_moran, "permutation long, top double")
         return found.groupBy("permutation").agg(F.max("top").alias("top")).toPandas()["top"].to_numpy(np.float64)
 

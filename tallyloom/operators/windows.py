@@ -109,9 +109,9 @@ def runs_moments(df: DataFrame, block: list[str], sequence: str, category: str,
     """Runs of two categories in a block: n, runs, expected, variance, fewer (rows of the rarer one); blocks under `least` or not of two kinds left out."""
     w = Window.partitionBy(*block).orderBy(sequence)
     changed = df.withColumn("__c", F.coalesce(F.col(category) != F.lag(category).over(w), F.lit(False)).cast("int"))
-    g = changed.groupBy(*block).agg(F.count("*").alias("n"), (F.sum("__c") + 1).alias("runs"), F.countDistinct(category).alias("kinds"))
-    ones = changed.groupBy(*block, category).count().groupBy(*block).agg(F.min("count").alias("__a"))
-    out = g.join(ones, block).where(f"kinds = 2 and n >= {least}")
+    each = changed.groupBy(*block, category).agg(F.count("*").alias("__n"), F.sum("__c").alias("__c"))
+    g = each.groupBy(*block).agg(F.sum("__n").alias("n"), (F.sum("__c") + 1).alias("runs"), F.count(category).alias("kinds"), F.min("__n").alias("__a"))
+    out = g.where(f"kinds = 2 and n >= {least}").where(" and ".join(f"`{c}` is not null" for c in block))
     n, a = F.col("n").cast("double"), F.col("__a").cast("double")
     b = n - a
     expected = 1 + 2 * a * b / n
