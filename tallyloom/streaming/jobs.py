@@ -22,16 +22,19 @@ SNAPSHOT = "key string, at timestamp, content string, version long, revision str
 def _track(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Keeps the last hash and number of a key; emits the rows whose hash is new, in order of time."""
     last, number, newest = state.get if state.exists else (None, 0, None)
-    rows = pd.concat(list(batches)).sort_values(["at", "content"], kind="stable")
+    rows = [r for pdf in batches for r in zip(pdf["at"].tolist(), pdf["content"].tolist(), strict=True)]
+    rows.sort(key=lambda r: (pd.isna(r[0]), 0 if pd.isna(r[0]) else r[0].value, pd.isna(r[1]), "" if pd.isna(r[1]) else r[1]))  # by time, then content; nulls last
     out = []
-    for at, content in zip(rows["at"], rows["content"], strict=True):
+    for at, content in rows:
         if number and content == last:
             continue
         number += 1
-        out.append((key[0], at, content, number, "first" if number == 1 else "revision"))
+        out.append((at, content, number))
         last, newest = content, at.isoformat()
     state.update((last, number, newest))
-    yield pd.DataFrame(out, columns=["key", "at", "content", "version", "revision"])
+    if out:  # a frame costs more than the rows of most keys
+        ats, contents, numbers = zip(*out, strict=True)
+        yield pd.DataFrame({"key": key[0], "at": list(ats), "content": list(contents), "version": list(numbers), "revision": ["first" if n == 1 else "revision" for n in numbers]})
 
 
 def versioned_snapshots(snapshots: DataFrame) -> DataFrame:
