@@ -161,26 +161,33 @@ def descriptive(rows: DataFrame, unit: str, department: str, family: str, status
     Sections: units (how many distinct ones), status (rows of each family by the status of their denominator, zeros
     included), candidate (totals, with shares of all), department_candidate (totals), margin (first less second, ties by
     name; null with fewer than two). candidate is null in rows that are of no candidate; null votes count for nothing, and a
-    candidate without any has no total. All grains are grouping sets of one aggregation; no rows give units 0 only.
+    candidate without any has no total. No rows give units 0 only.
+
+    All sections are sums over one aggregation by department, family and candidate. A unit counts in its first row, found
+    where rows of a unit stand together, so no task or table holds a row for each unit: rows dealt by unit are not shuffled
+    again and decide how many tasks there are; rows of no unit are dealt by what they hold.
     """
     own = F.when(F.col(candidate).isNotNull(), F.col(votes))
-    renamed = rows.select(*[F.col(c).alias(n) for c, n in ((unit, "u"), (department, "d"), (family, "f"), (candidate, "c"))], F.col(status), own.alias("v"))
-    counts = [F.count_if(F.col(status) == s).alias(f"n{i}") for i, s in enumerate(statuses)]
-    g = renamed.groupingSets([[F.col(c) for c in s] for s in ("u", "f", "c", "dc")], *[F.col(c) for c in "udfc"]).agg(*counts, F.sum("v").alias("v"), *[F.grouping(c).alias(f"g_{c}") for c in "udfc"])
-    section = F.when(F.col("g_u") == 0, "units").when(F.col("g_f") == 0, "status").when(F.col("g_d") == 0, "department_candidate").otherwise("candidate")
-    g = kept(g.withColumn("section", section), "summary")
+    renamed = rows.select(*[F.col(c).alias(n) for c, n in ((unit, "u"), (department, "d"), (family, "f"), (candidate, "c"))], F.col(status).alias("s"), own.alias("v"))
+    alone = F.when(F.col("u").isNull(), F.xxhash64(*"dfcsv"))
+    first = F.row_number().over(Window.partitionBy("u", "__alone").orderBy("u")) == 1
+    marked = renamed.withColumn("__alone", alone).withColumn("__first", F.col("u").isNotNull() & first)
+    counts = [F.count_if(F.col("s") == s).alias(f"n{i}") for i, s in enumerate(statuses)]
+    g = kept(marked.groupBy("d", "f", "c").agg(*counts, F.sum("v").alias("v"), F.count_if("__first").alias("units")), "summary")
     none = lambda n: F.lit(None).cast("string").alias(n)
     text = lambda c, n: F.col(c).cast("string").alias(n)
     noshare = F.lit(None).cast("double").alias("share")
-    units = g.where("section = 'units' and u is not null").agg(F.count("*").alias("value")).select(F.lit("units").alias("section"), none("department"), none("family"), none("status"), none("candidate"), "value", noshare)
+    units = g.agg(F.coalesce(F.sum("units"), F.lit(0)).alias("value")).select(F.lit("units").alias("section"), none("department"), none("family"), none("status"), none("candidate"), "value", noshare)
+    families = g.where("f is not null").groupBy("f").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(statuses))])
     each = F.array(*[F.struct(F.lit(s).alias("status"), F.col(f"n{i}").alias("value")) for i, s in enumerate(statuses)])
-    status_rows = g.where("section = 'status' and f is not null").select("section", none("department"), text("f", "family"), F.explode(each).alias("x")).select("section", "department", "family", "x.status", none("candidate"), "x.value", noshare)
-    totals = g.where("section = 'candidate' and c is not null and v is not null").select(text("c", "candidate"), F.col("v").cast("long").alias("value"))
+    status_rows = families.select(F.lit("status").alias("section"), none("department"), text("f", "family"), F.explode(each).alias("x")).select("section", "department", "family", "x.status", none("candidate"), "x.value", noshare)
+    total = lambda *by: g.where("c is not null").groupBy(*by).agg(F.sum("v").cast("long").alias("value")).where("value is not null")
+    totals = total("c").select(text("c", "candidate"), "value")
     whole = totals.agg(F.sum("value").alias("all"))  # one row
     shares = totals.crossJoin(F.broadcast(whole)).select(F.lit("candidate").alias("section"), none("department"), none("family"), none("status"), "candidate", "value", (F.col("value") / F.nullif(F.col("all"), F.lit(0))).alias("share"))
-    by_department = g.where("section = 'department_candidate' and c is not null and v is not null").select("section", text("d", "department"), none("family"), none("status"), text("c", "candidate"), F.col("v").cast("long").alias("value"), noshare)
-    first = totals.orderBy(F.desc("value"), "candidate").limit(2)
-    margin = first.agg(F.when(F.count("*") == 2, F.max("value") - F.min("value")).alias("value"), F.count("*").alias("n")).where("n > 0").select(F.lit("margin").alias("section"), none("department"), none("family"), none("status"), none("candidate"), "value", noshare)
+    by_department = total("d", "c").select(F.lit("department_candidate").alias("section"), text("d", "department"), none("family"), none("status"), text("c", "candidate"), "value", noshare)
+    top = totals.orderBy(F.desc("value"), "candidate").limit(2)
+    margin = top.agg(F.when(F.count("*") == 2, F.max("value") - F.min("value")).alias("value"), F.count("*").alias("n")).where("n > 0").select(F.lit("margin").alias("section"), none("department"), none("family"), none("status"), none("candidate"), "value", noshare)
     return reduce(DataFrame.unionByName, [units, status_rows, shares, by_department, margin])
 
 

@@ -72,19 +72,27 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+LINES = 1_000_000  # lines, or orders, of one task
+
+
+def tasks(spark: SparkSession, d: str, name: str) -> int | None:
+    """Tasks of LINES rows of a table where the session's would hold more."""
+    n = -(-table(spark, d, name).count() // LINES)
+    return n if n > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def units(spark: SparkSession, d: str) -> DataFrame:
     o, c, n = (table(spark, d, t) for t in ("orders", "customer", "nation"))
+    if dealt_to := tasks(spark, d, "orders"):
+        c = c.repartition(dealt_to, "c_custkey")  # orders follow where they are shuffled for the join
     j = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     return j.select(F.col("n_regionkey").cast("long").alias("department"), F.col("n_nationkey").cast("long").alias("municipality"), F.col("c_custkey").alias("place"), F.col("o_orderkey").alias("unit"), F.year("o_orderdate").cast("long").alias("year"), "o_orderdate", "o_totalprice")
 
 
-LINES = 1_000_000  # lines of one task
-
-
 def dealt(spark: SparkSession, d: str, df: DataFrame, *by: str) -> DataFrame:
     """df, which grows with the lines, dealt by columns: into more tasks than the session's where those would hold over LINES."""
-    n = -(-table(spark, d, "lineitem").count() // LINES)
-    return df.repartition(n, *by) if n > int(spark.conf.get("spark.sql.shuffle.partitions")) else df.repartition(*by)
+    n = tasks(spark, d, "lineitem")
+    return df.repartition(n, *by) if n else df.repartition(*by)
 
 
 def by_order(spark: SparkSession, d: str) -> DataFrame:
@@ -93,9 +101,13 @@ def by_order(spark: SparkSession, d: str) -> DataFrame:
     return dealt(spark, d, lines, "l_orderkey")
 
 
+def votes(spark: SparkSession, d: str) -> DataFrame:
+    """Votes of each unit's categories, dealt by unit."""
+    return by_order(spark, d).groupBy(F.col("l_orderkey").alias("unit"), "category").agg(F.sum("l_quantity").cast("long").alias("votes"))
+
+
 def facts(spark: SparkSession, d: str) -> DataFrame:
-    lines = by_order(spark, d).groupBy(F.col("l_orderkey").alias("unit"), "category").agg(F.sum("l_quantity").cast("long").alias("votes"))
-    return lines.join(units(spark, d).select("department", "municipality", "place", "unit", "year"), "unit").select("department", "municipality", "place", "unit", "year", "category", "votes")
+    return votes(spark, d).join(units(spark, d).select("department", "municipality", "place", "unit", "year"), "unit").select("department", "municipality", "place", "unit", "year", "category", "votes")
 
 
 def sources(spark: SparkSession, d: str) -> DataFrame:
