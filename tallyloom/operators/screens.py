@@ -353,6 +353,8 @@ def neighbours(units: DataFrame, unit: str, group: str, lat: str, lon: str, k: i
     beside = _cells(level, F.col("la"), F.col("lo"), most_km, [-1, 0, 1])
     around = F.array(*[F.struct(r.alias("row"), (c + e).alias("column")) for r, c in beside for e in (-1, 0, 1)])
     here = here.withColumn("cell", F.explode(around)).select(*place, "level", "cell.row", "cell.column")
+    # few bytes and much to compute: dealt into all of the session's tasks, not into as few as the bytes need
+    here = here.repartition(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g", "level", "row", "column")
     there = every.select("g", "level", "row", "column", F.col("la").alias("la2"), F.col("lo").alias("lo2"), "ids")
     km = stats.haversine_km(F.col("la"), F.col("lo"), F.col("la2"), F.col("lo2"))
     found = here.join(there, ["g", "level", "row", "column"]).withColumn("km", km).where(F.col("km") <= most_km).select(*place, "km", F.explode("ids").alias("other"))
@@ -444,7 +446,8 @@ def spatial_signals(rows: DataFrame, row: str, place: str, grain: str, group: st
 MOST_EXTENDED = 99_999  # permutations where a p-value of the first ones is 0.01 or less
 COLUMNS = 64  # tested units whose statistics of a batch are computed at once
 DRAWN = 1 << 22  # values of a municipality that are drawn at once: 32 MB, a permutation at least
-TASK = 8  # batches of permutations of one task, one after the other
+TASK = 8  # batches of permutations that are computed one after the other
+LEAST_DRAWN = 1 << 23  # values that a task draws, as far as more tasks than the session's are made
 
 
 def _moran_parts(pdf: pd.DataFrame) -> tuple:
@@ -464,22 +467,27 @@ def _moran_draws(parts: tuple, group, start: int, size: int):
 
     units and permutations are slices of the tested ones and of the batch. Permutations are drawn one after the other, so
     many at once as DRAWN values hold. A unit's values in them lie side by side, so a neighbour's are read as one run of
-    memory; a chunk stays in the processor's cache. What is given out is overwritten by the next chunk.
+    memory; a chunk stays in the processor's cache. Tables are whole runs of memory whatever the number of permutations:
+    of a part of a wider one, each read would copy all. What is given out is overwritten by the next chunk.
     """
     _, x, tested, index, count = parts
     z, v = x - x.mean(), x.var()
     width = max(1, min(size, DRAWN // len(z)))
     columns = COLUMNS * max(1, 256 // width)
-    rng, drawn = _seed(group, start, x), np.zeros((len(z) + 1, width))
+    rng, drawn = _seed(group, start, x), np.zeros((len(z) + 1) * width)
     whole, scale = np.append(z, 0.0), 1 / np.maximum(count * v, np.finfo(float).tiny)
-    sums, buffer = np.empty((2, min(columns, len(tested)), width))
+    sums, buffer = np.empty((2, min(columns, len(tested)) * width))
+    rows = np.tile(z, (width, 1))
     for at in range(0, size, width):
         n = min(width, size - at)
-        drawn[:-1, :n] = rng.permuted(np.tile(z, (n, 1)), axis=1).T
-        values = drawn[:, :n]
+        rows[:n] = z
+        for row in rows[:n]:
+            rng.shuffle(row)  # what permuted() draws, in less time
+        values = drawn[: (len(z) + 1) * n].reshape(-1, n)
+        values[:-1], values[-1] = rows[:n].T, 0.0
         for c in range(0, len(tested), columns):
             own, near, by = tested[c : c + columns], index[c : c + columns], scale[c : c + columns]
-            lag, one = sums[: len(own), :n], buffer[: len(own), :n]
+            lag, one = (a[: len(own) * n].reshape(-1, n) for a in (sums, buffer))
             np.take(values, near[:, 0], axis=0, out=lag, mode="clip")
             for j in range(1, near.shape[1]):
                 lag += np.take(values, near[:, j], axis=0, out=one, mode="clip")
@@ -533,12 +541,22 @@ def _enough(permutations: int) -> None:
         raise ValueError("at least 9,999 permutations")
 
 
+def _dealt(work: DataFrame, first: int, last: int, batch: int, units: int, groups: int) -> DataFrame:
+    """work once for each TASK batches. (municipality, TASK batches) are dealt into twice as many tasks, so that few share one.
+
+    They are few bytes and much to compute: Spark's own size rules would put them into a few tasks. units, groups: of work, or more.
+    """
+    rows = _batched(work.drop("id"), first, last, TASK * batch).withColumn("batch", F.lit(batch))
+    tasks = min(2 * groups * -(-(last - first) // (TASK * batch)), units * (last - first) // LEAST_DRAWN)
+    return rows.repartition(tasks, "group", "start") if tasks > int(work.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 def _permuted(rows: DataFrame, work: DataFrame, unit: str, permutations: int, most: int, batch: int) -> DataFrame:
     """p, rank, flag and kind of tested units by synchronised max-T permutations; nulls for the others."""
+    size = work.agg(F.count("*"), F.countDistinct("group")).first()
 
     def tops(first: int, last: int) -> np.ndarray:
-        rows = _batched(work.drop("id"), first, last, TASK * batch).withColumn("batch", F.lit(batch))
-        found = rows.groupBy("group", "start").applyInPandas(_top_moran, "permutation long, top double")
+        found = _dealt(work, first, last, batch, *size).groupBy("group", "start").applyInPandas(_top_moran, "permutation long, top double")
         return found.groupBy("permutation").agg(F.max("top").alias("top")).toPandas()["top"].to_numpy(np.float64)
 
     got, largest = tops(0, permutations), rows.where("tested").agg(F.max(F.abs("local_i")).alias("m")).first().m
@@ -574,10 +592,10 @@ def joint_permutations(units: DataFrame, unit: str, group: str, lat: str, lon: s
     """
     _enough(permutations)
     rows, work = _moran_work(units, unit, group, lat, lon, residual, least_units)
+    size = work.agg(F.count("*"), F.countDistinct("group")).first()
 
     def reached(some: DataFrame, first: int, last: int) -> DataFrame:
-        drawn = _batched(some.drop("id"), first, last, TASK * batch).withColumn("batch", F.lit(batch))
-        found = drawn.groupBy("group", "start").applyInPandas(_unit_moran, "unit long, reached long")
+        found = _dealt(some, first, last, batch, *size).groupBy("group", "start").applyInPandas(_unit_moran, "unit long, reached long")
         return found.groupBy("unit").agg(F.sum("reached").alias("reached")).join(work.select("unit", F.col("id").alias("__id")), "unit").select(F.col("__id").alias(unit), "reached")
 
     tested = rows.where("tested").select(unit, group, "local_i")
