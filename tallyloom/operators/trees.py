@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyloom.scratch import dropped, kept
 
 
-NEAR = 8  # ancestors that a node's own row holds in `paths`
+NEAR = 64  # nodes at most of one row of `paths`
 
 
 def links(tree: DataFrame, id_: str = "id", parent: str = "parent_id") -> tuple[DataFrame, DataFrame]:
@@ -71,35 +71,66 @@ def cycles(tree: DataFrame, id_: str = "id", parent: str = "parent_id") -> DataF
     return names.join(summed(tree_links, F.lit(1))[1], "node", "left_semi").select("id")
 
 
+def _lines(tree_links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, top, steps; top, up): lines of nodes that go on from parent to child, each node in one; the top's own parent.
+
+    A parent's line goes on with one child, by preference one with most children. steps: from the line's top down to the
+    node. A line that is a whole cycle has no top, and its nodes no rows.
+    """
+    below = tree_links.where("up is not null").groupBy("up").agg(F.count("*").alias("__below")).withColumnRenamed("up", "node")
+    heirs = tree_links.where("up is not null").join(below, "node", "left").groupBy("up").agg(F.max(F.struct(F.coalesce("__below", F.lit(0)).alias("b"), "node"))["node"].alias("node"))
+    state = kept(tree_links.join(heirs.select("node", F.lit(True).alias("on")), "node", "left"), "heirs")
+    # a line's top is where its nodes end: below 0, -1 - top
+    up, steps = F.when(F.col("on"), F.col("up")).otherwise(-1 - F.col("node")), F.when(F.col("on"), 1).otherwise(0).cast("long")
+    done, _ = _until(state.select("node", up.alias("up"), steps.alias("steps")), F.col("up") < 0)
+    return done.select("node", (-1 - F.col("up")).alias("top"), "steps"), state.where("on is null").select(F.col("node").alias("top"), "up")
+
+
 def paths(tree: DataFrame, id_: str = "id", parent: str = "parent_id", of: Column | None = None) -> DataFrame:
     """id, depth, ancestor: one row for each node and each node on its way from the top (depth 0) to itself.
 
     of: which ids are asked for (all). Nodes without a top, on a cycle or below one, have no rows: see `cycles`.
-    Each node holds itself and the NEAR - 1 above it; a node asked for is joined with the rows of every NEAR-th on its way,
-    which are then exploded. What is shuffled is a row for each NEAR rows of the result, and the result never.
+    Lines of nodes are cut into pieces of NEAR, each with the ids of its own nodes, so an id is written once. The ids asked
+    for of a piece go as one row to each piece above it, and are multiplied there. What is shuffled is a row for each two
+    pieces of a way, and the result never.
     """
     tree = tree if of is None else kept(tree, "tree")
     names, tree_links = links(tree, id_, parent)
-    depths = kept(summed(tree_links, F.col("up").isNotNull().cast("int"))[0], "depths")
-    near = kept(tree_links.join(depths, "node", "left_semi").join(names, "node").select("node", "up", F.array("id").alias("ids")), "near")
-    reach = 1
-    while reach < NEAR:
-        far = near.select(F.col("node").alias("__n"), F.col("up").alias("__u"), F.col("ids").alias("__ids"))
-        new = kept(near.join(far, F.col("up") == F.col("__n"), "left").select("node", F.col("__u").alias("up"), F.concat("ids", F.coalesce("__ids", F.array().cast(near.schema["ids"].dataType))).alias("ids")), "near")
-        dropped(near)
-        near, reach = new, 2 * reach
-    asked = names if of is None else names.join(tree.where(of).select(F.col(id_).alias("id")).distinct(), "id", "left_semi")
-    found = depths.join(asked, "node").select("node", F.col("node").alias("at"), F.lit(0).cast("long").alias("steps"))
-    found, jumps = kept(found, "found"), kept(near.where("up is not null").select(F.col("node").alias("__n"), "up"), "jumps")
+    lines, tops = _lines(tree_links)
+    above = lines.select(F.col("node").alias("up"), F.col("top").alias("__t"), F.col("steps").alias("__s"))
+    # a top without a parent, or with one in a line; a parent in no line is on a cycle
+    forest = kept(tops.join(above, "up", "left").where("up is null or __t is not null").select(F.col("top").alias("node"), F.col("__t").alias("up"), F.coalesce(F.col("__s") + 1, F.lit(0)).cast("long").alias("steps")), "forest")
+    ended = _until(forest, F.col("up").isNull())[0]
+    deep = kept(ended.select(F.col("node").alias("top"), F.col("steps").alias("from")), "depths")
+
+    marks = [] if of is None else ["mine"]  # which ids of a piece are asked for
+    asked = names if of is None else names.join(tree.where(of).select(F.col(id_).alias("id"), F.lit(True).alias("mine")).distinct(), "id", "left").fillna(False, "mine")
+    one = lines.join(asked, "node").select("top", F.expr(f"steps div {NEAR}").alias("k"), "steps", "id", *marks)
+    whole = one.repartition("top", "k").groupBy("top", "k").agg(F.array_sort(F.collect_list(F.struct("steps", "id", *marks))).alias("x"))
+    pieces = kept(whole.join(deep, "top").select("top", "k", (F.col("from") + F.col("k") * NEAR).alias("from"), *[F.col(f"x.{c}").alias(c) for c in ("id", *marks)]).withColumnRenamed("id", "ids"), "pieces")
+
+    # the lines above each line, and the place on them where its way goes up
+    jumps = kept(forest.join(deep.select(F.col("top").alias("node")), "node", "left_semi").where("up is not null").select(F.col("node").alias("__n"), "up", (F.col("steps") - 1).alias("upto")), "jumps")
+    found = jumps.select(F.col("__n").alias("top"), F.col("up").alias("at"), "upto")
+    for done in (names, tree_links, lines, tops, forest, ended, deep):  # numbers and ids, all of them written here
+        dropped(done)
     while jumps.limit(1).count():
-        more = kept(found.join(jumps, F.col("at") == F.col("__n")).select("node", F.col("up").alias("at"), (F.col("steps") + reach).alias("steps")), "found")
-        far = jumps.select(F.col("__n").alias("__f"), F.col("up").alias("__u"))
-        jumped = kept(jumps.join(far, F.col("up") == F.col("__f")).select("__n", F.col("__u").alias("up")), "jumps")
-        dropped(jumps)
-        found, jumps, reach = found.unionByName(more), jumped, 2 * reach
-    whose = found.join(depths.withColumnRenamed("steps", "__d").join(names, "node"), "node").select("at", "id", (F.col("__d") - F.col("steps")).alias("__from"))
-    rows = whose.join(near.select(F.col("node").alias("at"), "ids"), "at").select("id", "__from", F.posexplode("ids").alias("__i", "ancestor"))
-    return rows.select("id", (F.col("__from") - F.col("__i")).alias("depth"), "ancestor")
+        more = kept(found.join(jumps.withColumnRenamed("upto", "__upto"), F.col("at") == F.col("__n")).select("top", F.col("up").alias("at"), F.col("__upto").alias("upto")), "found")
+        far = jumps.select(F.col("__n").alias("__f"), F.col("up").alias("__u"), F.col("upto").alias("__upto"))
+        jumps = kept(jumps.join(far, F.col("up") == F.col("__f")).select("__n", F.col("__u").alias("up"), F.col("__upto").alias("upto")), "jumps")
+        found = found.unionByName(more)
+
+    who = F.col("ids") if of is None else F.filter("ids", lambda _, i: F.get("mine", i))
+    some = pieces.select("top", "k", who.alias("who")).where(F.size("who") > 0)
+    own = some.where("k > 0").select("who", F.col("top").alias("at"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"), F.lit(NEAR).cast("long").alias("m"))
+    up = some.join(found, "top").select("who", "at", "upto", F.explode(F.expr(f"sequence(0, upto div {NEAR})")).alias("j"))
+    up = up.select("who", "at", "j", F.least(F.lit(NEAR).cast("long"), F.col("upto") + 1 - F.col("j") * NEAR).alias("m"))
+    there = pieces.select(F.col("top").alias("at"), F.col("k").alias("j"), "from", "ids")
+    far = own.unionByName(up).join(there, ["at", "j"]).select(F.explode("who").alias("id"), "from", F.slice("ids", 1, F.col("m").cast("int")).alias("ids"))
+    near = pieces.select(F.posexplode("ids").alias("i", "id"), "from", "ids", *marks)
+    near = (near if of is None else near.where(F.get("mine", F.col("i")))).select("id", "from", F.slice("ids", 1, F.col("i") + 1).alias("ids"))
+    rows = near.unionByName(far).select("id", "from", F.posexplode("ids").alias("__i", "ancestor"))
+    return rows.select("id", (F.col("from") + F.col("__i")).alias("depth"), "ancestor")
 
 
 def sizes(tree_links: DataFrame) -> DataFrame:

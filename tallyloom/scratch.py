@@ -19,11 +19,22 @@ def folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # a query's shuffle files go when it ends
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: computed once, its lineage cut, readable after the loss of any executor."""
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a table in the shared folder: computed once, its lineage cut, readable after the loss of any executor.
+
+    What was shuffled for it is deleted once it is written, not at some later time: nothing else reads that.
+    """
+    spark = df.sparkSession
+    path, before = f"{folder(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(CLEANED, None)
+    spark.conf.set(CLEANED, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANED) if before is None else spark.conf.set(CLEANED, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def dropped(df: DataFrame) -> None:
